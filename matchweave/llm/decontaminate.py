@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchweave.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of a-z, A-Z, 0-9 and everything beyond ASCII; lowered() is applied to the words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words: everything in ASCII but a-z, A-Z and 0-9. lowered() is applied to the words.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(word: Column) -> Column:
@@ -16,14 +18,14 @@ def lowered(word: Column) -> Column:
     return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order, not lower-cased; null has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def pieces(text: Column) -> Column:
+    """The words of a text in order, not lower-cased, with an empty string for a gap at either end."""
+    return F.split(F.coalesce(text, F.lit("")), GAP, -1)
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
     """(item_id, window) for every run of `size` words of an item; a shorter item is one window."""
-    found = items.select("item_id", F.transform(words(F.col("text")), lowered).alias("w")).where("size(w) > 0")
+    found = items.select("item_id", F.transform(F.filter(pieces(F.col("text")), lambda x: x != ""), lowered).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(size) + 1, F.lit(1)))
     return found.select(
         "item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window")
@@ -61,13 +63,13 @@ def contamination(
 
     vocabulary = patterns.select(F.explode("window").alias("word")).distinct()
     seen = (
-        rows.select(F.explode(words(F.col("text"))).alias("raw"))
+        rows.select(F.explode(pieces(F.col("text"))).alias("raw"))
         .select(lowered(F.col("raw")).alias("word"))
         .join(side(vocabulary), "word", "left_semi")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    rarest = (
+    rarest = written(
         patterns.select("item_id", "window", F.posexplode("window").alias("offset", "word"))
         .join(seen, "word", "left")
         .groupBy("item_id", "window")
@@ -76,31 +78,42 @@ def contamination(
         .groupBy("window", "token.word", "token.offset")
         .agg(F.collect_set("item_id").alias("item_ids"))
     )
-    tokens = rows.select("doc_id", "text_key", words(F.col("text")).alias("w"))
+    empty = F.lit(0).cast("int")
+    ends = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(empty) + F.when(
+        (F.size("w") > 1) & (F.get("w", F.size("w") - 1) == ""), 1
+    ).otherwise(empty)
+    tokens = rows.select("doc_id", "text_key", pieces(F.col("text")).alias("w")).withColumn(
+        "n_words", (F.size("w") - ends).cast("long")
+    )
     start, length = F.col("pos") - F.col("offset"), F.size("window")
     fits = (start >= 0) & (start + length <= F.col("n"))
     if narrow:
         prefix = [r.word for r in rarest.select("word").distinct().collect()]
-        reach = F.lit(size - 1)
-        around = tokens.select(
-            "doc_id",
-            "text_key",
-            F.size("w").alias("n"),
-            F.explode(
+        first = lambda i: F.greatest(i - F.lit(size - 1), F.lit(0))
+        picked = F.filter(
+            F.sequence(F.lit(0), F.size("w") - 1), lambda i: lowered(F.get("w", i)).isin(prefix) if prefix else F.lit(False)
+        )
+        scanned = written(
+            tokens.select(
+                "doc_id",
+                "text_key",
+                "n_words",
+                F.size("w").alias("n"),
                 F.transform(
-                    F.filter(
-                        F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)),
-                        lambda i: lowered(F.get("w", i)).isin(prefix),
-                    ),
+                    picked,
                     lambda i: F.struct(
                         i.alias("pos"),
                         lowered(F.get("w", i)).alias("word"),
-                        F.greatest(i - reach, F.lit(0)).alias("first"),
-                        F.transform(F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * size - 1), lowered).alias("near"),
+                        first(i).alias("first"),
+                        F.transform(F.slice("w", first(i) + 1, 2 * size - 1), lowered).alias("near"),
                     ),
-                )
-            ).alias("at"),
-        ).select("doc_id", "text_key", "n", "at.*")
+                ).alias("at"),
+            )
+        )
+        counted = scanned.select("doc_id", "text_key", "n_words").alias("d")
+        around = scanned.select("doc_id", "text_key", "n", F.explode("at").alias("at")).select(
+            "doc_id", "text_key", "n", "at.*"
+        )
         hits = around.join(F.broadcast(rarest), "word").where(
             fits & (F.slice("near", start - F.col("first") + 1, length) == F.col("window"))
         )
@@ -113,6 +126,7 @@ def contamination(
             .drop("word", "raw")
             .alias("c")
         )
+        counted = tokens.select("doc_id", "text_key", "n_words").alias("d")
         whole = tokens.dropDuplicates(ids).alias("t")
         hits = (
             candidates.join(whole, F.expr("c.doc_id <=> t.doc_id and c.text_key = t.text_key"))
@@ -141,9 +155,6 @@ def contamination(
         covered["n"].cast("long").alias("n_hit"),
         F.transform("ids", lambda i: i.cast("string")).alias("ids"),
     ).alias("h")
-    counted = rows.select(
-        "doc_id", "text_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
-    ).alias("d")
     joined = counted.join(found, F.expr("d.doc_id <=> h.doc_id and d.text_key = h.text_key"), "left")
     n_hit, ids = F.coalesce("h.n_hit", F.lit(0).cast("long")), F.coalesce("h.ids", F.array().cast("array<string>"))
     return joined.select(

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from matchweave.llm import simhash
+from matchweave.llm import decontaminate, embedding_dedup, simhash, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op5_url_rules": url_rules.OP5_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }
-ORACLES: dict[str, str] = {}
