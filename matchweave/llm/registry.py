@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, simhash, url_rules
+from matchweave.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }
