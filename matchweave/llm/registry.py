@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash, url_rules
+from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pii, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.OP5_SQL,
