@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pii, simhash, toxicity, url_rules
+from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pii, simhash, substrings, toxicity, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_substrings": substrings.op3_substrings,
     "op4_pii": pii.op4_pii,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_decontaminate": decontaminate.op6_decontaminate,
