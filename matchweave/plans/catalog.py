@@ -1,6 +1,8 @@
-"""Registry of the library's queries and their DuckDB oracles."""
+"""All queries of the library and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from matchweave.plans import history
+from matchweave.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "history"]
