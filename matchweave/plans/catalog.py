@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.plans import history, probability
+from matchweave.plans import history, metrics, probability
 from matchweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history", "probability"]
+__all__ = ["ORACLES", "QUERIES", "history", "metrics", "probability"]
