@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.plans import history, joins, metrics, probability
+from matchweave.plans import history, joins, metrics, probability, ratings, sources
 from matchweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history", "joins", "metrics", "probability"]
+__all__ = ["ORACLES", "QUERIES", "history", "joins", "metrics", "probability", "ratings", "sources"]
