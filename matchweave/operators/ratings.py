@@ -86,8 +86,11 @@ class AttackDefence:
             self.state[team] = (cut(a + self.rate * attack), cut(d - self.rate * defence))
 
 
-def replay(pdf: pd.DataFrame, make: Callable) -> pd.DataFrame:
-    """Ratings before each contest, for contests of any status, in kickoff order."""
+def replay(pdf: pd.DataFrame, make: Callable, flush: bool = False) -> pd.DataFrame:
+    """Ratings before each contest, for contests of any status, in kickoff order.
+
+    flush writes the last kickoff's results too, for a kernel that lives on.
+    """
     pdf = pdf.sort_values(["unix", "fixture_id"], kind="stable")
     kernel, out, waiting, at = make(), [], [], None
     rows = pdf[["fixture_id", "unix", "home_id", "away_id", "home_goals", "away_goals", "status", "season_id"]].itertuples(index=False)
@@ -101,6 +104,9 @@ def replay(pdf: pd.DataFrame, make: Callable) -> pd.DataFrame:
         out.append((fixture, *seen))
         if status in PLAYED and gh == gh and ga == ga and gh is not None and ga is not None:
             waiting.append((home, away, float(gh), float(ga), seen))
+    if flush:
+        for w in waiting:
+            kernel.write(*w)
     return pd.DataFrame(out, columns=["fixture_id", *kernel.columns])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.plans import decisions, history, joins, metrics, models, probability, ratings, sources
+from matchweave.plans import decisions, history, joins, metrics, models, probability, ratings, sources, streams
 from matchweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decisions", "history", "joins", "metrics", "models", "probability", "ratings", "sources"]
+__all__ = ["ORACLES", "QUERIES", "decisions", "history", "joins", "metrics", "models", "probability", "ratings", "sources", "streams"]
