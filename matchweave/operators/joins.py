@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,46 +58,62 @@ def best_name_match(left: DataFrame, right: DataFrame, day: str) -> DataFrame:
     )
 
 
-def similarity(q: str, c: str) -> Column:
-    """Similarity in per cent, rounded to a tenth: 0.7 of the probability distance and 0.3 of the rate distance / 5,
-    0.15 more if the decisions differ."""
-    def gap(*names: str) -> Column:
-        parts = [F.pow(F.col(f"{q}_{n}") - F.col(f"{c}_{n}"), F.lit(2)) for n in names]
-        return F.sqrt(sum(parts[1:], parts[0]))
+VECTOR = ("p_home", "p_draw", "p_away", "lambda_home", "lambda_away")
 
-    distance = 0.7 * gap("p_home", "p_draw", "p_away") + 0.3 * gap("lambda_home", "lambda_away") / 5
-    distance = distance + F.when(F.col(f"{q}_pick") != F.col(f"{c}_pick"), 0.15).otherwise(0.0)
-    return F.round(100 * F.greatest(F.lit(0.0), 1 - distance / F.sqrt(F.lit(2.0))), 1)
 
+def _similarity(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """Similarity in per cent, rounded to a tenth, of every query to every candidate of a block.
 
-def nearest_past(rows: DataFrame, queries: DataFrame, k: int = 8, least: float = 60.0, grid: float = 0.25, group: str = "competition_id") -> DataFrame:
-    """The k most similar earlier rows of the same group for each query.
-
-    The threshold bounds the probability distance: 0.7 * d <= sqrt(2) * (1 - least / 100) (plus the
-    rounding). Candidates are therefore found by equal cells of a grid over p_home and p_draw: rows
-    are listed under their own cell, queries under all cells within the bound. Everything else is
-    compared within those cells only.
+    0.7 of the probability distance and 0.3 of the rate distance / 5, 0.15 more if the picks differ.
     """
-    reach = (1 - (least - 0.05) / 100) * 2**0.5 / 0.7
-    names = ["fixture_id", "unix", group, "p_home", "p_draw", "p_away", "lambda_home", "lambda_away", "pick"]
-    c = rows.select(*(F.col(n).alias(f"c_{n}") for n in names), "outcome").withColumns(
-        {"x": F.floor(F.col("c_p_home") / grid), "y": F.floor(F.col("c_p_draw") / grid)}
-    )
-    q = queries.select(*(F.col(n).alias(f"q_{n}") for n in names))
-
-    def cells(value: str) -> Column:
-        low, high = F.greatest(F.col(value) - reach, F.lit(0.0)), F.least(F.col(value) + reach, F.lit(1.0))
-        return F.sequence(F.floor(low / grid), F.floor(high / grid))
-
-    q = q.withColumn("x", F.explode(cells("q_p_home"))).withColumn("y", F.explode(cells("q_p_draw")))
-    pairs = q.join(c, (q.x == c.x) & (q.y == c.y) & (F.col(f"q_{group}") == F.col(f"c_{group}")) & (F.col("c_unix") < F.col("q_unix")))
-    scored = pairs.withColumn("similarity", similarity("q", "c")).where(F.col("similarity") >= least)
-    order = W.partitionBy("q_fixture_id").orderBy(F.desc("similarity"), F.desc("c_unix"), "c_fixture_id")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(F.col("q_fixture_id").alias("query_id"), F.col("c_fixture_id").alias("match_id"), "rank", "similarity", F.col("q_pick").alias("pick"), "outcome")
+    gap = [(q[n].to_numpy()[:, None] - c[n].to_numpy()[None, :]) ** 2 for n in VECTOR]
+    distance = 0.7 * np.sqrt(gap[0] + gap[1] + gap[2]) + 0.3 * np.sqrt(gap[3] + gap[4]) / 5
+    distance += 0.15 * (q["pick"].to_numpy()[:, None] != c["pick"].to_numpy()[None, :])
+    return np.floor(1000 * np.maximum(0, 1 - distance / np.sqrt(2)) + 0.5) / 10
+
+
+def _block_top(q: pd.DataFrame, c: pd.DataFrame, k: int, least: float, q_rows: int = 256, c_rows: int = 8192) -> pd.DataFrame:
+    found = []
+    for s in range(0, len(q), q_rows):
+        qs, best = q.iloc[s : s + q_rows], None
+        for t in range(0, len(c), c_rows):
+            cs = c.iloc[t : t + c_rows]
+            similar = _similarity(qs, cs)
+            similar[cs["unix"].to_numpy()[None, :] >= qs["unix"].to_numpy()[:, None]] = -1
+            floor = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(qs), -1.0)
+            i, j = np.nonzero(similar >= np.maximum(floor, least)[:, None])
+            part = pd.DataFrame(
+                {"query_id": qs["fixture_id"].to_numpy()[i], "match_id": cs["fixture_id"].to_numpy()[j], "similarity": similar[i, j], "unix": cs["unix"].to_numpy()[j], "pick": qs["pick"].to_numpy()[i], "outcome": cs["outcome"].to_numpy()[j]}
+            )
+            best = part if best is None else pd.concat([best, part])
+            best = best.sort_values(["similarity", "unix", "match_id"], ascending=[False, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            found.append(best)
+    columns = ["query_id", "match_id", "similarity", "unix", "pick", "outcome"]
+    return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+
+def nearest_past(rows: DataFrame, queries: DataFrame, k: int = 8, least: float = 60.0, group: str = "competition_id", slices: int = 32) -> DataFrame:
+    """The k most similar earlier rows of the same group for each query of a stated query set.
+
+    Rows are dealt into slices of their group and queries to every slice; a task compares them in
+    blocks and keeps its own k best per query, so that pairs never leave it. The final ranking is
+    over at most k * slices rows per query.
+    """
+    names = ["fixture_id", "unix", group, *VECTOR, "pick"]
+    c = rows.select(*(F.col(n).alias(f"c_{n}") for n in names), F.col("outcome").alias("c_outcome"), F.pmod(F.xxhash64("fixture_id"), F.lit(slices)).cast("int").alias("c_slice"))
+    q = queries.select(*(F.col(n).alias(f"q_{n}") for n in names), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("q_slice"))
+
+    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return _block_top(pd.DataFrame(), pd.DataFrame(), k, least)
+        return _block_top(left.rename(columns=lambda n: n[2:]), right.rename(columns=lambda n: n[2:]), k, least)
+
+    best = q.groupBy(f"q_{group}", "q_slice").cogroup(c.groupBy(f"c_{group}", "c_slice")).applyInPandas(
+        top, "query_id long, match_id long, similarity double, unix long, pick string, outcome string"
     )
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("unix"), "match_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("unix")
 
 
 def evidence(neighbours: DataFrame, least: int = 3) -> DataFrame:
