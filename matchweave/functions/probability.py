@@ -212,3 +212,13 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
+
+
+def inflated(home: Column, draw: Column, away: Column, share: float) -> list[Column]:
+    """The given share of all mass moved onto the draw."""
+    return [(1 - share) * home, (1 - share) * draw + share, (1 - share) * away]
+
+
+def bounded_rate(rate: Column, shift: Column, bound: float) -> Column:
+    """rate * exp(shift), the shift clipped to +-bound."""
+    return rate * F.exp(F.greatest(F.least(shift, F.lit(bound)), F.lit(-bound)))

@@ -416,3 +416,18 @@ def a21_label_audit(spark, sf):
         F.count("*").alias("total"), F.countDistinct("fixture_id").alias("ids"), F.count("home_goals").alias("labelled"), k(F.col("home_goals") < 0).alias("negative"), k(F.col("home_goals") > 15).alias("beyond"),
         k(F.col("home_shots_on") > F.col("home_shots")).alias("on_over_all"), k(F.col("status") == "ABANDONED").alias("abandoned"), k(F.col("status") == "NS").alias("not_started"),
     )
+
+
+_SEGMENTS = [("first3", 1, 3), ("first5", 1, 5), ("first10", 1, 10), ("remaining", 11, 10**6)]
+
+
+@query(
+    f"""{SCORED}, n AS (SELECT *, dense_rank() OVER (PARTITION BY competition_id, season_id ORDER BY unix) AS k FROM s), g(segment, lo, hi) AS (VALUES {', '.join(f"('{a}', {b}, {c})" for a, b, c in _SEGMENTS)})
+SELECT segment, count(*) AS n, {r('avg(ll)', 'log_loss')}, {r('avg(rps)', 'rps')} FROM n JOIN g ON k BETWEEN lo AND hi GROUP BY segment"""
+)
+def m40_season_segments(spark, sf):
+    """Overlapping segments of the season, each row listed under all of its segments."""
+    k = F.dense_rank().over(W.partitionBy("competition_id", "season_id").orderBy("unix"))
+    listed = F.array_compact(F.array(*(F.when(F.col("k").between(lo, hi), F.lit(name)) for name, lo, hi in _SEGMENTS)))
+    rows = predictions(spark, sf).withColumn("k", k).withColumn("segment", F.explode(listed))
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.avg(m.log_loss()).alias("log_loss"), F.avg(m.rps()).alias("rps"))

@@ -216,3 +216,22 @@ def f42_closeness_and_cancellation(spark, sf):
     return predictions(spark, sf).select(
         "fixture_id", F.abs(terms[3]).alias("closeness"), F.when(spread > 0, F.abs(total) / spread).alias("cancellation")
     )
+
+
+@query(
+    f"""WITH {PREDS}, {_grid(10)}, o AS (SELECT fixture_id, sum(CASE WHEN i > j THEN ph * pa END) / sum(ph * pa) AS w, sum(CASE WHEN i = j THEN ph * pa END) / sum(ph * pa) AS d FROM grid GROUP BY fixture_id)
+SELECT fixture_id, {r('0.94e0 * w', 'win')}, {r('0.94e0 * d + 0.06e0', 'draw')}, {r('0.94e0 * (1 - w - d)', 'loss')} FROM o"""
+)
+def f23_diagonal_inflation(spark, sf):
+    """a share of the mass moved onto the draws of the 0..10 goal grid."""
+    w, d, x = fn.corrected_outcomes(F.col("lambda_home"), F.col("lambda_away"), 0.0, k=10)
+    w, d, x = fn.inflated(w, d, x, 0.06)
+    return predictions(spark, sf).select("fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"))
+
+
+@query(f"WITH {PREDS} SELECT fixture_id, {r('lambda_home * exp(greatest(least(elo_diff / 1000, 0.15), -0.15))', 'home')}, {r('lambda_away * exp(greatest(least(-elo_diff / 1000, 0.15), -0.15))', 'away')} FROM preds")
+def f35_bounded_adjustment(spark, sf):
+    shift = F.col("elo_diff") / 1000
+    return predictions(spark, sf).select(
+        "fixture_id", fn.bounded_rate(F.col("lambda_home"), shift, 0.15).alias("home"), fn.bounded_rate(F.col("lambda_away"), -shift, 0.15).alias("away")
+    )
