@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Iso
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.functions.probability import logit, sigmoid
+from matchweave.functions.probability import logit, poisson_pmf, sigmoid
 
 LABELS = ("H", "D", "A")
 
@@ -192,3 +192,34 @@ def normal_cdf(x: float) -> float:
 
 def decay_from_half_life(days: float) -> float:
     return log(2) / days
+
+
+def cell_multiplier(rows: DataFrame, top: int, alpha: float) -> DataFrame:
+    """Per score cell up to `top` goals: expected and observed share, and (n * o + alpha * e) / ((n + alpha) * e)."""
+    pmf = rows.select(
+        "home_goals", "away_goals", F.posexplode(poisson_pmf(F.col("lambda_home"), top)).alias("i", "ph"), poisson_pmf(F.col("lambda_away"), top).alias("pa")
+    ).select("home_goals", "away_goals", "i", "ph", F.posexplode("pa").alias("j", "pa"))
+    hit = ((F.col("home_goals") == F.col("i")) & (F.col("away_goals") == F.col("j"))).cast("double")
+    cells = pmf.groupBy(F.col("i").alias("home_goals"), F.col("j").alias("away_goals")).agg(
+        F.avg(F.col("ph") * F.col("pa")).alias("expected"), F.avg(hit).alias("observed"), F.count("*").alias("n")
+    )
+    e = F.col("expected")
+    return cells.withColumn("multiplier", (F.col("n") * F.col("observed") + alpha * e) / ((F.col("n") + alpha) * e)).drop("n")
+
+
+def robustness(curve: DataFrame, group: str, setting: str, base: float) -> DataFrame:
+    """Each setting's loss against the base setting's over the groups of curve(group, setting, loss).
+
+    Verdict A: better in every group; B: better on average; C: within 0.001; D: worse.
+    """
+    reference = curve.where(F.col(setting) == base).select(group, F.col("loss").alias("base"))
+    d = curve.join(reference, group).withColumn("d", F.col("loss") - F.col("base"))
+    ends = curve.agg(F.min(setting).alias("low"), F.max(setting).alias("high"))
+    better = F.col("d") < -1e-12
+    found = d.groupBy(setting).agg(
+        F.count("*").alias("n"), F.count_if(better).alias("wins"), F.min("d").alias("best"), F.max("d").alias("worst"), F.avg("d").alias("mean")
+    )
+    verdict = F.when(F.col("wins") == F.col("n"), "A").when(F.col("mean") < -1e-12, "B").when(F.col("mean") < 0.001, "C").otherwise("D")
+    return found.crossJoin(F.broadcast(ends)).select(
+        setting, "wins", "best", "worst", "mean", F.col(setting).isin(F.col("low"), F.col("high")).alias("edge"), verdict.alias("verdict")
+    )

@@ -10,6 +10,7 @@ from matchweave.operators import calibrate as cal
 from matchweave.operators import metrics
 from matchweave.plans.base import query, r
 from matchweave.plans.metrics import SCORED
+from matchweave.plans.probability import _grid
 from matchweave.sources.bindings import CONTESTS, PREDS, contests, predictions
 
 CLASSES = {"H": "p_home", "D": "p_draw", "A": "p_away"}
@@ -148,3 +149,32 @@ def k18_regimes(spark, sf):
     train, test = split(spark, sf)
     out = cal.regimes(train, COLUMNS).transform(test)
     return out.groupBy("regime").agg(F.count("*").alias("n"), F.avg(metrics.log_loss()).alias("log_loss"))
+
+
+@query(
+    f"""WITH {PREDS}, {_grid(2)}, e AS (SELECT i, j, avg(ph * pa) AS e, count(*) AS n FROM grid GROUP BY i, j), o AS (SELECT home_goals AS i, away_goals AS j, count(*) AS k FROM preds GROUP BY 1, 2)
+SELECT e.i AS home_goals, e.j AS away_goals, {r('e', 'expected')}, {r('coalesce(k, 0) / n::DOUBLE', 'observed')}, {r('(n * (coalesce(k, 0) / n::DOUBLE) + 50e0 * e) / ((n + 50e0) * e)', 'multiplier')} FROM e LEFT JOIN o ON o.i = e.i AND o.j = e.j"""
+)
+def k13_cell_multiplier(spark, sf):
+    """Shrunk ratio of observed to expected share for the nine lowest scores."""
+    return cal.cell_multiplier(predictions(spark, sf), 2, 50.0)
+
+
+_TEMPERATURES = (0.8, 1.0, 1.2, 1.5)
+
+
+@query(
+    f"""WITH {PREDS}, g AS (SELECT unnest([0.8e0, 1.0e0, 1.2e0, 1.5e0]) AS t), l AS (SELECT competition_id, t, avg(-ln(power(CASE y_true WHEN 'H' THEN p_home WHEN 'D' THEN p_draw ELSE p_away END, 1 / t) / (power(p_home, 1 / t) + power(p_draw, 1 / t) + power(p_away, 1 / t)))) AS loss FROM preds, g GROUP BY 1, 2),
+ d AS (SELECT l.competition_id, l.t, l.loss - b.loss AS d FROM l JOIN l b ON b.competition_id = l.competition_id AND b.t = 1)
+SELECT {r('t', 'setting')}, count(*) FILTER (d < -1e-12) AS wins, {r('min(d)', 'best')}, {r('max(d)', 'worst')}, {r('avg(d)', 'mean')}, t IN (0.8e0, 1.5e0) AS edge,
+ CASE WHEN count(*) FILTER (d < -1e-12) = count(*) THEN 'A' WHEN avg(d) < -1e-12 THEN 'B' WHEN avg(d) < 0.001 THEN 'C' ELSE 'D' END AS verdict FROM d GROUP BY t"""
+)
+def m24_grid_robustness(spark, sf):
+    """Each grid setting against the middle one: wins, range, verdict, and whether it is at the edge."""
+    from matchweave.functions.probability import temperature
+
+    rows = predictions(spark, sf).select("competition_id", "y_true", *metrics.P, F.explode(F.array(*map(F.lit, _TEMPERATURES))).alias("setting"))
+    h, d, a = temperature([F.col(c) for c in metrics.P], F.col("setting"))
+    loss = -F.log(F.when(F.col("y_true") == "H", h).when(F.col("y_true") == "D", d).otherwise(a))
+    curve = rows.groupBy("competition_id", "setting").agg(F.avg(loss).alias("loss"))
+    return cal.robustness(curve, "competition_id", "setting", 1.0)
