@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import lgamma
 
+from numpy.polynomial.hermite import hermgauss
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -222,3 +224,46 @@ def inflated(home: Column, draw: Column, away: Column, share: float) -> list[Col
 def bounded_rate(rate: Column, shift: Column, bound: float) -> Column:
     """rate * exp(shift), the shift clipped to +-bound."""
     return rate * F.exp(F.greatest(F.least(shift, F.lit(bound)), F.lit(-bound)))
+
+
+def quadrature(points: int = 5) -> list[tuple[float, float]]:
+    """Gauss-Hermite (node, weight) pairs for a standard normal variable; the weights add up to 1."""
+    nodes, weights = hermgauss(points)
+    return [(float(x * 2**0.5), float(w / weights.sum())) for x, w in zip(nodes, weights, strict=True)]
+
+
+def uncertain_rate(rate: Column, variance: Column, node: Column) -> Column:
+    """The log-normal rate at a standard normal node; the deviation is held in [0.01, 0.35]."""
+    sd = F.least(F.greatest(F.sqrt(F.greatest(variance, F.lit(1e-4))), F.lit(0.01)), F.lit(0.35))
+    return rate * F.exp(sd * node - sd * sd / 2)
+
+
+def vector_scaled(p: list[Column], scale: list[float], shift: list[float], eps: float = 1e-15) -> list[Column]:
+    """softmax(scale * ln p + shift), class by class."""
+    return softmax(*(s * F.log(F.greatest(x, F.lit(eps))) + b for x, s, b in zip(p, scale, shift, strict=True)))
+
+
+def platt_draw(p: list[Column], slope: float, shift: float) -> list[Column]:
+    """The draw through a logistic curve of its logit; home and away share the rest as before."""
+    return redistribute(p[0], p[2], sigmoid(slope * logit(p[1]) + shift))
+
+
+def beta_draw(p: list[Column], a: float, b: float, c: float, eps: float = 1e-12) -> list[Column]:
+    """The draw through a beta curve, sigmoid(a ln p - b ln(1 - p) + c); home and away share the rest as before."""
+    x = F.least(F.greatest(p[1], F.lit(eps)), F.lit(1 - eps))
+    return redistribute(p[0], p[2], sigmoid(a * F.log(x) - b * F.log(1 - x) + c))
+
+
+def nearest_rates(p: list[Column], grid: Column) -> Column:
+    """The struct (gap, home, away) of a grid of structs (home, away, h, d, a) whose outcome probabilities lie
+    nearest; of equal gaps the smallest rates."""
+    return F.array_min(
+        F.transform(
+            grid,
+            lambda g: F.struct(
+                F.round(F.pow(g["h"] - p[0], F.lit(2)) + F.pow(g["d"] - p[1], F.lit(2)) + F.pow(g["a"] - p[2], F.lit(2)), 9).alias("gap"),
+                g["home"].alias("home"),
+                g["away"].alias("away"),
+            ),
+        )
+    )

@@ -86,6 +86,69 @@ class AttackDefence:
             self.state[team] = (cut(a + self.rate * attack), cut(d - self.rate * defence))
 
 
+@dataclass
+class DynamicAttackDefence:
+    """Attack and defence with a variance each, and states for home and away contests apart.
+
+    A contest first pulls both teams' states towards zero and adds noise to their variances. The Poisson
+    error then moves a state by a step that grows with its variance, and the variance shrinks, down to a
+    floor. Venue states follow the same errors at a fixed step, without pull or variance.
+    """
+
+    rate: float = 0.025
+    noise: float = 0.005
+    reversion: float = 0.015
+    learned: float = 0.08
+    floor: float = 0.01
+    start_variance: float = 0.25
+    venue_rate: float = 0.03
+    base_home: float = 1.5348
+    base_away: float = 1.2740
+    clip: float = 1.5
+    state: dict = field(default_factory=dict)
+    at_venue: dict = field(default_factory=dict)
+    played: dict = field(default_factory=dict)
+    columns = (
+        "home_attack", "home_defence", "home_attack_variance", "home_defence_variance", "home_seen", "home_venue_attack", "home_venue_defence",
+        "away_attack", "away_defence", "away_attack_variance", "away_defence_variance", "away_seen", "away_venue_attack", "away_venue_defence",
+        "home_rate", "away_rate", "home_rate_variance", "away_rate_variance",
+    )
+
+    def season(self, key) -> None:
+        pass
+
+    def _of(self, team) -> tuple[float, ...]:
+        return self.state.get(team, (0.0, 0.0, self.start_variance, self.start_variance))
+
+    def _cut(self, x: float) -> float:
+        return max(-self.clip, min(self.clip, x))
+
+    def _rates(self, home: tuple[float, ...], away: tuple[float, ...]) -> tuple[float, float]:
+        return self.base_home * exp(self._cut(home[0] - away[1])), self.base_away * exp(self._cut(away[0] - home[1]))
+
+    def read(self, home, away) -> tuple[float, ...]:
+        sides = [(self._of(t), float(self.played.get(t, 0)), self.at_venue.get((t, v), (0.0, 0.0))) for t, v in ((home, "home"), (away, "away"))]
+        (h, _, _), (a, _, _) = sides
+        flat = [x for s, n, v in sides for x in (*s, n, *v)]
+        return (*flat, *self._rates(h, a), h[2] + a[3], a[2] + h[3])
+
+    def write(self, home, away, goals_home: float, goals_away: float, seen: tuple[float, ...]) -> None:
+        keep = 1 - self.reversion
+        h, a = (tuple(x * keep for x in s[:2]) + tuple(v + self.noise for v in s[2:]) for s in (self._of(home), self._of(away)))
+        rate_home, rate_away = self._rates(h, a)
+        miss_home, miss_away = goals_home - rate_home, goals_away - rate_away
+        for team, venue, (attack, defence, va, vd), scored, conceded in ((home, "home", h, miss_home, miss_away), (away, "away", a, miss_away, miss_home)):
+            self.state[team] = (
+                self._cut(attack + self.rate * (1 + 2 * va) * scored),
+                self._cut(defence - self.rate * (1 + 2 * vd) * conceded),
+                max(va * (1 - self.learned), self.floor),
+                max(vd * (1 - self.learned), self.floor),
+            )
+            x, y = self.at_venue.get((team, venue), (0.0, 0.0))
+            self.at_venue[team, venue] = (self._cut(x + self.venue_rate * scored), self._cut(y - self.venue_rate * conceded))
+            self.played[team] = self.played.get(team, 0) + 1
+
+
 def replay(pdf: pd.DataFrame, make: Callable, flush: bool = False) -> pd.DataFrame:
     """Ratings before each contest, for contests of any status, in kickoff order.
 

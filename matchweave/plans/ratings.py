@@ -32,6 +32,12 @@ def q4_attack_defence(spark, sf):
     return ratings.rated(contests(spark, sf), ratings.AttackDefence)
 
 
+@query()
+def q5_dynamic_attack_defence(spark, sf):
+    """Q5: attack and defence with variances, venue states and implied goal rates."""
+    return ratings.rated(contests(spark, sf), ratings.DynamicAttackDefence)
+
+
 @query()
 def q7_cold_start(spark, sf):
     """Each team's latest rating, else an earlier season's, else the start."""

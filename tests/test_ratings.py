@@ -34,6 +34,19 @@ def test_no_learning_stays_at_zero():
     assert clipped.drop(columns="fixture_id").abs().max().max() <= 1.5
 
 
+def test_dynamic_states_by_hand():
+    out = ratings.replay(frame([(1, 10, 1, 2, 2, 0, "FT", 1), (2, 20, 1, 2, None, None, "NS", 1)]), ratings.DynamicAttackDefence)
+    miss_home, miss_away, step = 2 - 1.5348, 0 - 1.2740, 0.025 * (1 + 2 * 0.255)
+    after = out.iloc[1]
+    assert out.iloc[0].home_attack_variance == 0.25 and out.iloc[0].home_rate == pytest.approx(1.5348)
+    assert after.home_attack == pytest.approx(step * miss_home) and after.away_defence == pytest.approx(-step * miss_home)
+    assert after.home_defence == pytest.approx(-step * miss_away) and after.away_attack == pytest.approx(step * miss_away)
+    assert after.home_attack_variance == pytest.approx(0.255 * 0.92) and after.home_seen == 1
+    assert after.home_venue_attack == pytest.approx(0.03 * miss_home) and after.away_venue_defence == pytest.approx(-0.03 * miss_home)
+    assert after.home_rate_variance == pytest.approx(2 * 0.255 * 0.92)
+    assert after.home_rate == pytest.approx(1.5348 * 2.718281828459045 ** (after.home_attack - after.away_defence))
+
+
 def test_groups_and_competitions_agree(spark):
     c = contests(spark, SF)
     show = lambda df: sorted(map(tuple, df.collect()))
