@@ -70,42 +70,83 @@ def signatures(hashes: np.ndarray, width: int, bands: int, rows: int):
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
 
 
+def set_starts(hashes: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
+    """The window starts in [first, last] whose shingle set differs from that of the start before, and `first`."""
+    n = last - first + 1
+    span = hashes[first : last + width]
+    order = np.argsort(span, kind="stable")
+    same = span[order[1:]] == span[order[:-1]]
+    following, before = np.full(len(span), 2 * len(span)), np.full(len(span), -1)
+    following[order[:-1][same]], before[order[1:][same]] = order[1:][same], order[:-1][same]
+    at = np.arange(n - 1)
+    stays = (following[: n - 1] <= at + width) & (before[width : width + n - 1] >= at)
+    return first + np.concatenate([[0], 1 + np.flatnonzero(~stays)])
+
+
+def window_sets(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a span of windows, and for every window which of them it holds."""
+    span = hashes[starts[0] : starts[-1] + width]
+    values, of = np.unique(span, return_inverse=True)
+    at, begin = np.arange(len(span)), starts - starts[0]
+    steps = np.zeros((len(starts) + 1, len(values)), dtype=np.int32)
+    np.add.at(steps, (np.searchsorted(begin, at - width + 1), of), 1)
+    np.add.at(steps, (np.searchsorted(begin, at, side="right"), of), -1)
+    return values, np.cumsum(steps[:-1], axis=0) > 0
+
+
+def close_windows(mine: np.ndarray, other: np.ndarray, run, width: int, similarity: float, block: int = 512):
+    """(first start, last start, start there, similarity) of the windows of a run pair that are close, best first.
+
+    Every start of one run is compared with every start of the other: shared shingles of all window
+    pairs are one matrix product of the windows' shingle sets. Neighbouring starts with one set count once.
+    """
+    a, b, ra, rb = run
+    mine_starts, other_starts = set_starts(mine, a, b, width), set_starts(other, ra, rb, width)
+    ends = np.append(mine_starts[1:] - 1, b)
+    best, where = np.zeros(len(mine_starts)), np.zeros(len(mine_starts), dtype=np.int64)
+    for k in range(0, len(mine_starts), block):
+        values, x = window_sets(mine, mine_starts[k : k + block], width)
+        for m in range(0, len(other_starts), block):
+            there = other_starts[m : m + block]
+            other_values, y = window_sets(other, there, width)
+            _, i, j = np.intersect1d(values, other_values, assume_unique=True, return_indices=True)
+            if not len(i):
+                continue
+            shared = np.rint(x[:, i].astype(np.float32) @ y[:, j].astype(np.float32).T).astype(np.float64)
+            union = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - shared
+            close = np.where(shared >= similarity * union, shared / union, 0.0)
+            at = close.argmax(axis=1)
+            top = close[np.arange(len(at)), at]
+            better = np.flatnonzero(top > best[k : k + block])
+            best[k + better], where[k + better] = top[better], there[at[better]]
+    order = np.argsort(-best, kind="stable")
+    return [(int(mine_starts[o]), int(ends[o]), int(where[o]), float(best[o])) for o in order if best[o] > 0]
+
+
 def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float, shingle: int):
     """Passages of `mine` close to one of `other`: (start word, stop word, start word there), merged.
 
-    For each candidate the windows are aligned at a shingle they share; the passage is accepted if
-    the shingle sets of two aligned windows reach the Jaccard similarity, and then grows along equal
-    shingles in both directions.
+    Every pair of windows of a candidate is compared; each start with a window there whose shingle
+    sets reach the Jaccard similarity is accepted, best first, unless a passage accepted before
+    holds it, and then grows along equal shingles in both directions.
     """
     accepted: list[list[int]] = []
+
+    def held(first, last):
+        return any(s <= first and last + width <= e for s, e, _ in accepted)
+
     for a, b, ra, rb in found:
-        if any(s <= a and b + width <= e and s + d <= ra and rb + width <= e + d for s, e, d in accepted):
-            continue
-        span, there = mine[a : b + width], other[ra : rb + width]
-        _, i, j = np.intersect1d(span, there, return_indices=True)
-        if not len(i):
+        if b + width > len(mine) or rb + width > len(other) or held(a, b):
             continue
-        shifts, votes = np.unique((ra + j) - (a + i), return_counts=True)
-        for d in shifts[np.argsort(-votes)[:3]].tolist():
-            low, high = max(a, ra - d), min(b, rb - d)
-            done = False
-            for s in {low, (low + high) // 2, high} if low <= high else ():
-                if any(x <= s and s + width <= e and d == y for x, e, y in accepted):
-                    done = True
-                    break
-                x, y = set(mine[s : s + width].tolist()), set(other[s + d : s + d + width].tolist())
-                shared = len(x & y)
-                if shared >= similarity * (len(x) + len(y) - shared):
-                    start, stop = s, s + width
-                    while start > 0 and start + d > 0 and mine[start - 1] == other[start + d - 1]:
-                        start -= 1
-                    while stop < len(mine) and stop + d < len(other) and mine[stop] == other[stop + d]:
-                        stop += 1
-                    accepted.append([start, stop, d])
-                    done = True
-                    break
-            if done:
-                break
+        for first, last, there, _ in close_windows(mine, other, (a, b, ra, rb), width, similarity):
+            if held(first, last):
+                continue
+            start, stop, d = first, first + width, there - first
+            while start > 0 and start + d > 0 and mine[start - 1] == other[start + d - 1]:
+                start -= 1
+            while stop < len(mine) and stop + d < len(other) and mine[stop] == other[stop + d]:
+                stop += 1
+            accepted.append([start, max(stop, last + width), d])
     out: list[list[int]] = []
     for start, stop, d in sorted(accepted):
         if out and start <= out[-1][1]:

@@ -60,3 +60,26 @@ def test_planted_passages(spark):
     assert {i for i, r in got.items() if r.repeats} == {*range(1, 40), 50, docs[45][0], 90, 91}
     assert got[91].sources == [docs[45][0]] and got[2].sources == [1] and got[51].sources == []
     assert op.repeated_passages(frame.where("false")).count() == 0
+
+
+def test_every_start_of_a_candidate_is_compared():
+    rng, width, near = np.random.default_rng(3), 46, 0
+    for _ in range(150):
+        n = int(rng.integers(46, 60))
+        passage = rng.integers(0, 2**63, n, dtype=np.uint64)
+        changed = passage.copy()
+        at = int(rng.integers(0, n - 5))
+        changed[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
+        pad = lambda: rng.integers(0, 2**63, 60, dtype=np.uint64)
+        mine, other = np.concatenate([pad(), passage, pad()]), np.concatenate([pad()[:31], changed, pad()])
+        (k, a, b), (rk, ra, rb) = op.signatures(mine, width, 2, 3), op.signatures(other, width, 2, 3)
+        found = [(int(a[i]), int(b[i]), int(ra[j]), int(rb[j])) for i in range(len(k)) for j in range(len(rk)) if k[i] == rk[j]]
+        close = lambda s, t: len({*mine[s : s + width]} & {*other[t : t + width]}) >= 0.8 * len({*mine[s : s + width]} | {*other[t : t + width]})
+        want = {s for x, y, rx, ry in found for s in range(x, y + 1) if any(close(s, t) for t in range(rx, ry + 1))}
+        got = op.verified_passages(mine, other, found, width, 0.8, 5)
+        assert bool(got) == bool(want)
+        assert all(any(s <= x and x + width <= e - 4 for s, e, _ in got) for x in want)
+        near += bool(want)
+    assert near > 50
+    words = np.resize(np.arange(3, dtype=np.uint64), 20_000)
+    assert op.verified_passages(words, words[1:], [(0, 19_954, 0, 19_953)], width, 0.8, 5)[0][:2] == (0, 20_004)
