@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchweave.llm.common import connected_components, written
@@ -52,12 +52,12 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return first, low[first]
 
 
-def signatures(hashes: np.ndarray, width: int, bands: int, rows: int):
+def signatures(hashes: np.ndarray, width: int, bands: int, rows: int, first_band: int = 0):
     """(key, first start, last start): passages of `width` shingles whose minima under all functions
     of a band stay the same, found by intersecting the functions' compact windows."""
     n = len(hashes) - width + 1
     keys, firsts, lasts = [], [], []
-    for band in range(bands):
+    for band in range(first_band, first_band + bands):
         parts = [compact_windows(ordered(hashes, band * rows + r), width) for r in range(rows)]
         first = np.unique(np.concatenate([p[0] for p in parts]))
         key = np.full(len(first), np.uint64(band + 1), dtype=np.uint64)
@@ -101,6 +101,11 @@ def close_windows(mine: np.ndarray, other: np.ndarray, run, width: int, similari
     pairs are one matrix product of the windows' shingle sets. Neighbouring starts with one set count once.
     """
     a, b, ra, rb = run
+    span, other_span = set(mine[a : b + width].tolist()), set(other[ra : rb + width].tolist())
+    # No window has fewer distinct shingles than its width less the repeats of the whole span.
+    least = 2 * width - (b + width - a - len(span)) - (rb + width - ra - len(other_span))
+    if len(span & other_span) * (1 + similarity) < similarity * least - 1e-6:
+        return []
     mine_starts, other_starts = set_starts(mine, a, b, width), set_starts(other, ra, rb, width)
     ends = np.append(mine_starts[1:] - 1, b)
     best, where = np.zeros(len(mine_starts)), np.zeros(len(mine_starts), dtype=np.int64)
@@ -123,8 +128,8 @@ def close_windows(mine: np.ndarray, other: np.ndarray, run, width: int, similari
     return [(int(mine_starts[o]), int(ends[o]), int(where[o]), float(best[o])) for o in order if best[o] > 0]
 
 
-def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float, shingle: int):
-    """Passages of `mine` close to one of `other`: (start word, stop word, start word there), merged.
+def accepted_windows(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float) -> list[list[int]]:
+    """(start, stop, shift) in shingles of the parts of `mine` close to one of `other`.
 
     Every pair of windows of a candidate is compared; each start with a window there whose shingle
     sets reach the Jaccard similarity is accepted, best first, unless a passage accepted before
@@ -147,6 +152,11 @@ def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, si
             while stop < len(mine) and stop + d < len(other) and mine[stop] == other[stop + d]:
                 stop += 1
             accepted.append([start, max(stop, last + width), d])
+    return accepted
+
+
+def merged_passages(accepted: list[list[int]], shingle: int) -> list[tuple[int, int, int]]:
+    """(start word, stop word, start word there) of accepted parts, overlapping ones merged."""
     out: list[list[int]] = []
     for start, stop, d in sorted(accepted):
         if out and start <= out[-1][1]:
@@ -156,8 +166,13 @@ def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, si
     return [(s, e + shingle - 1, t) for s, e, t in out]
 
 
+def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float, shingle: int):
+    """Passages of `mine` close to one of `other`: (start word, stop word, start word there), merged."""
+    return merged_passages(accepted_windows(mine, other, found, width, similarity), shingle)
+
+
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, bands: int = 2, rows: int = 3
+    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, bands: int = 4, rows: int = 3
 ) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, class_id, repeats, n_passages, passages, sources.
 
@@ -165,9 +180,11 @@ def repeated_passages(
     one whose shingle sets have at least the given Jaccard similarity. Of equal texts only the first
     is verified.
     Every text lists, for each band of min-hash functions, the runs of passage starts whose minima
-    all stay the same; equal signatures meet (the runs are dealt by signature once, for the grouping
-    and for the join), and each text is verified against the first document
-    with that signature, so that a passage in very many documents costs one comparison each.
+    all stay the same; texts with an equal signature are its members. Members are verified in rounds:
+    the first of those that are still open become heads (twice as many in each round) and are
+    compared with every other member, closed or not. A member closes when all its runs have
+    a close passage in one head; heads have met all. So each run meets an earlier close one under its
+    signature if there is any, while a passage in very many documents costs one comparison each.
     passages is "start:stop:doc:start there" in words, comma-joined; sources are the documents it was
     verified against; class_id is the smallest document id reachable by verified repeats and copies.
 
@@ -180,63 +197,114 @@ def repeated_passages(
     long_enough = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) >= min_words
     keyed = written(usable.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")))
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    def emit(batches):
-        for pdf in batches:
-            keys, ids, first, last = [], [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                hashes = shingle_hashes(text, shingle)
-                if len(hashes) < width:
-                    continue
-                k, a, b = signatures(hashes, width, bands, rows)
-                keys.append(k.view(np.int64))
-                ids.append(np.full(len(k), doc, dtype=np.int64))
-                first.append(a)
-                last.append(b)
-            if keys:
-                yield pd.DataFrame(
-                    {"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "run": np.concatenate(first) << 32 | np.concatenate(last)}
-                )
+    reps = firsts.select(F.col("rep").alias("doc_id")).distinct()
+
+    def emit(first_band, count):
+        def run(batches):
+            for pdf in batches:
+                keys, ids, first, last = [], [], [], []
+                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    hashes = shingle_hashes(text, shingle)
+                    if len(hashes) < width:
+                        continue
+                    k, a, b = signatures(hashes, width, count, rows, first_band)
+                    keys.append(k.view(np.int64))
+                    ids.append(np.full(len(k), doc, dtype=np.int64))
+                    first.append(a)
+                    last.append(b)
+                if keys:
+                    yield pd.DataFrame(
+                        {"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "run": np.concatenate(first) << 32 | np.concatenate(last)}
+                    )
+
+        return run
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    emitted = usable.mapInPandas(emit, "key long, doc_id long, run long").repartition(parts, "key")
-    heads = (
-        emitted.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "run")).alias("head"), F.max("doc_id").alias("top"))
-        .where("head.doc_id < top")
-        .select("key", "head")
-    )
-    low = F.lit(2**32 - 1)
-    pairs = written(
-        emitted.join(heads, "key")
-        .where("doc_id > head.doc_id")
-        .join(firsts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .groupBy("doc_id", F.col("head.doc_id").alias("other_id"))
-        .agg(F.array_sort(F.collect_set(F.struct("run", F.col("head.run").alias("other")))).alias("found"))
-        .select(
-            "doc_id",
-            "other_id",
-            F.transform(
-                "found",
-                lambda x: F.array(F.shiftright(x["run"], 32), x["run"].bitwiseAND(low), F.shiftright(x["other"], 32), x["other"].bitwiseAND(low)),
-            ).alias("found"),
+    members = None
+    for band in range(0, bands, 2):
+        emitted = usable.mapInPandas(emit(band, min(2, bands - band)), "key long, doc_id long, run long").repartition(parts, "key")
+        shared = emitted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key")
+        some = written(
+            emitted.join(shared, "key", "left_semi")
+            .groupBy("key", "doc_id")
+            .agg(F.array_sort(F.collect_set("run")).alias("runs"))
+            .join(reps, "doc_id", "left_semi")
+            .select("key", "doc_id", "runs", F.lit(True).alias("open"))
         )
-    )
-    ids = pairs.select("doc_id").unionAll(pairs.select("other_id")).distinct()
+        members = some if members is None else members.unionAll(some)
+    ids = members.select("doc_id").distinct()
     body = written(usable.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    joined = pairs.join(body, "doc_id").join(
-        body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id"
-    )
 
     def verify(batches):
+        other_id = there = None
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                found = sorted(tuple(map(int, x)) for x in r.found)
-                mine, other = shingle_hashes(r.text, shingle), shingle_hashes(r.other_text, shingle)
-                out.extend((r.doc_id, r.other_id, s, e, t) for s, e, t in verified_passages(mine, other, found, width, similarity, shingle))
-            yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "stop", "there"])
-
-    passages = written(joined.mapInPandas(verify, "doc_id long, other_id long, start int, stop int, there int"))
+                if r.other_id != other_id:
+                    other_id, there = r.other_id, shingle_hashes(r.other_text, shingle)
+                mine = shingle_hashes(r.text, shingle)
+                cut = [(c["key"], [divmod(int(x), 2**32) for x in c["runs"]], [divmod(int(x), 2**32) for x in c["others"]]) for c in r.found]
+                found = sorted({(*x, *y) for _, runs, others in cut for x in runs for y in others})
+                accepted = accepted_windows(mine, there, found, width, similarity)
+                out.extend((r.doc_id, r.other_id, None, s, e, t) for s, e, t in merged_passages(accepted, shingle))
+                for key, runs, _ in cut:
+                    if all(any(max(a, s) <= min(b, e - width) for s, e, _ in accepted) for a, b in runs):
+                        out.append((r.doc_id, r.other_id, key, None, None, None))
+            found = pd.DataFrame(out, columns=["doc_id", "other_id", "key", "start", "stop", "there"])
+            yield found.astype({"key": "Int64", "start": "Int32", "stop": "Int32", "there": "Int32"})
+
+    verified, heads_a_key = None, 1
+    while verified is None or not members.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+        heads = written(members.where("open").select("key", "doc_id", "runs", nth.alias("nth")).where(F.col("nth") <= heads_a_key))
+        later = F.col("doc_id") > F.col("head_id")
+        pairs = (
+            members.join(heads.select("key", F.col("doc_id").alias("head_id"), F.col("runs").alias("head_runs")), "key")
+            .where("doc_id != head_id")
+            .select(
+                F.greatest("doc_id", "head_id").alias("doc_id"),
+                F.least("doc_id", "head_id").alias("other_id"),
+                F.struct(
+                    "key",
+                    F.when(later, F.col("runs")).otherwise(F.col("head_runs")).alias("runs"),
+                    F.when(later, F.col("head_runs")).otherwise(F.col("runs")).alias("others"),
+                ).alias("c"),
+            )
+            .groupBy("doc_id", "other_id")
+            .agg(F.collect_set("c").alias("found"))
+        )
+        joined = pairs.join(body, "doc_id").join(
+            body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id"
+        )
+        seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, key long, start int, stop int, there int"))
+        verified = seen if verified is None else verified.unionAll(seen)
+        closed = seen.where("key is not null").select("key", "doc_id").distinct().withColumn("closed", F.lit(True))
+        of_key = Window.partitionBy("key")
+        members = written(
+            members.join(heads.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+            .join(closed, ["key", "doc_id"], "left")
+            .select("key", "doc_id", "runs", (F.col("open") & F.col("closed").isNull()).alias("open"))
+            .select("*", F.max("open").over(of_key).alias("any_open"), F.count("*").over(of_key).alias("n"))
+            .where("any_open and n > 1")
+            .drop("any_open", "n")
+        )
+        heads_a_key *= 2
+
+    def merge(acc, x):
+        size, last = F.size(acc), F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["there"].alias("there"))
+        joins = (size > 0) & (x["start"] <= last["stop"] - (shingle - 1))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(size - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    passages = written(
+        verified.where("key is null")
+        .groupBy("doc_id", "other_id")
+        .agg(F.array_sort(F.collect_set(F.struct("start", "stop", "there"))).alias("p"))
+        .select(
+            "doc_id", "other_id", F.explode(F.aggregate("p", F.array().cast("array<struct<start:int,stop:int,there:int>>"), merge)).alias("m")
+        )
+        .select("doc_id", "other_id", "m.*")
+    )
     ends = written(passages.groupBy("doc_id", "other_id").agg(F.lit(1).alias("one")))
     copies = keyed.where("long_enough").join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"))
     edges = ends.select("doc_id", "other_id").unionAll(copies)

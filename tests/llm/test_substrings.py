@@ -83,3 +83,19 @@ def test_every_start_of_a_candidate_is_compared():
     assert near > 50
     words = np.resize(np.arange(3, dtype=np.uint64), 20_000)
     assert op.verified_passages(words, words[1:], [(0, 19_954, 0, 19_953)], width, 0.8, 5)[0][:2] == (0, 20_004)
+
+
+def test_copies_behind_smaller_documents_with_a_part_are_found(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, copies = [], []
+    for group in range(30):
+        passage = words(60)
+        for k in range(20):
+            at = rng.randrange(21)
+            docs.append((group * 100 + k, " ".join(words(30) + passage[at : at + 40] + words(30))))
+        copies.append((group * 100 + 50, group * 100 + 60))
+        docs += [(i, " ".join(words(30 + i % 7) + passage + words(30))) for i in copies[-1]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in op.repeated_passages(frame).collect()}
+    assert all(got[b].class_id == got[c].class_id and b in got[c].sources for b, c in copies)
