@@ -21,14 +21,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def subwords(word: str, buckets: int, low: int = 3, high: int = 5) -> list[int]:
-    """Hash buckets of the word and of its character n-grams, with marks at both ends."""
-    marked = f"<{word[:64]}>"
-    grams = {marked} | {marked[k : k + n] for n in range(low, high + 1) for k in range(len(marked) - n + 1)}
+    """Hash buckets of a marked word, or piece of one, and of its character n-grams."""
+    grams = {word} | {word[k : k + n] for n in range(low, high + 1) for k in range(len(word) - n + 1)}
     return sorted({crc32(g.encode("utf-8", "replace")) % buckets for g in grams})
 
 
-def distinct_words(text: str | None) -> list[str]:
-    return sorted(set(WORD.findall((text or "").lower())))
+def distinct_words(text: str | None, longest: int = 64, overlap: int = 4) -> list[str]:
+    """The distinct words of a text, marked at both ends.
+
+    A longer run, as of a script without spaces, comes in pieces that overlap by one character less
+    than the longest n-gram, so that every n-gram of it lies in a piece.
+    """
+    out: dict[str, None] = {}
+    for word in sorted(set(WORD.findall((text or "").lower()))):
+        marked = f"<{word}>"
+        if len(word) <= longest:
+            out[marked] = None
+        else:
+            out.update((marked[k : k + longest], None) for k in range(0, len(marked) - overlap, longest - overlap))
+    return list(out)
 
 
 @dataclass

@@ -40,3 +40,17 @@ def test_odd_rows(spark):
     assert toxicity.scored(docs.where("false"), model).count() == 0
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs, empty).scores(["a"])[0] == 0.5
+
+
+def test_words_late_in_a_long_run_are_read():
+    long = "".join(chr(0x4E00 + k) for k in range(150))
+    clean, toxic = [long] * 20, [long + "毒毒舌毒" + long[:40]] * 20
+    model = toxicity.fit(clean + toxic, [0] * 20 + [1] * 20, epochs=20, batch=8, min_texts=1)
+    scores = model.scores(["好" * 90 + "毒毒舌毒", "好" * 90])
+    assert scores[0] > scores[1]
+    for n in (1, 63, 64, 65, 66, 67, 124, 125, 126, 300):
+        marked = f"<{long * 2}"[: n + 1] + ">"
+        grams = {marked[k : k + m] for m in (3, 4, 5) for k in range(len(marked) - m + 1)}
+        pieces = toxicity.distinct_words(marked[1:-1])
+        assert grams == {p[k : k + m] for p in pieces for m in (3, 4, 5) for k in range(len(p) - m + 1)}
+        assert all(len(p) <= 66 for p in pieces)
