@@ -4,70 +4,177 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, written
+from matchweave.llm.common import connected_components, discard, written
 
 #: Odd 64-bit multipliers, one per hash function, drawn once from a seeded generator.
 _MULTIPLIERS = np.random.default_rng(42).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of the word shingles of a text, A-Z lower-cased; fewer words than a shingle: none."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(words) < shingle:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of every word."""
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, dtype=np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of all runs of `shingle` words; fewer words than that: none."""
+    n = len(words) - shingle + 1
+    if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: len(words) - shingle].tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e]) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+    x = np.zeros(n, dtype=np.uint64)
+    for k in range(shingle):
+        x = (x ^ words[k : k + n]) * _MULTIPLIERS[40 + k % 8]
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def text_shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Shingle hashes of a whole UTF-8 text, A-Z lower-cased."""
+    return shingle_hashes(word_hashes(text.lower().split()), shingle)
 
 
 def ordered(hashes: np.ndarray, function: int) -> np.ndarray:
-    """The k-th random order of the shingles."""
+    """The random order of the shingles under one function; never zero."""
     x = hashes * _MULTIPLIERS[function]
     x ^= x >> np.uint64(31)
     x *= _MULTIPLIERS[63 - function]
-    return x ^ (x >> np.uint64(29))
-
+    return np.maximum(x ^ (x >> np.uint64(29)), np.uint64(1))
 
-def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first start, minimum) of the maximal runs of window starts that share their minimum.
 
-    In the Cartesian tree of the values, every node's subtree is the compact window of the passages
-    with that minimum. The nodes of at least `width` positions, in order, are the minima of the
-    sliding windows of that width: each node rules a run of window starts. The minima come from
-    running minima within blocks of `width` positions, left and right.
-    """
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every window of `width` values, from running minima within blocks, left and right."""
     n = len(values) - width + 1
     pad = np.full(-len(values) % width, np.iinfo(np.uint64).max, dtype=np.uint64)
     blocks = np.concatenate([values, pad]).reshape(-1, width)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(right[:n], left[width - 1 : width - 1 + n])
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return first, low[first]
-
-
-def signatures(hashes: np.ndarray, width: int, bands: int, rows: int, first_band: int = 0):
-    """(key, first start, last start): passages of `width` shingles whose minima under all functions
-    of a band stay the same, found by intersecting the functions' compact windows."""
-    n = len(hashes) - width + 1
-    keys, firsts, lasts = [], [], []
-    for band in range(first_band, first_band + bands):
-        parts = [compact_windows(ordered(hashes, band * rows + r), width) for r in range(rows)]
-        first = np.unique(np.concatenate([p[0] for p in parts]))
-        key = np.full(len(first), np.uint64(band + 1), dtype=np.uint64)
-        for at, low in parts:
-            key = (key ^ low[np.searchsorted(at, first, side="right") - 1]) * _MULTIPLIERS[32]
-            key ^= key >> np.uint64(32)
-        keys.append(key)
-        firsts.append(first)
-        lasts.append(np.append(first[1:], n) - 1)
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+
+
+def last_below(values: np.ndarray) -> np.ndarray:
+    """For every element the nearest one before it that is not greater: its left ancestor in the Cartesian tree.
+
+    No value may be below the first. Every pointer starts at the neighbour and takes over its
+    target's pointer until the target is small enough, so that pointers double their reach.
+    """
+    at = np.maximum(np.arange(len(values)) - 1, 0)
+    left = np.flatnonzero(values[at] > values)
+    while len(left):
+        at[left] = at[at[left]]
+        left = left[values[at[left]] > values[left]]
+    return at
+
+
+def compact_windows(hashes: np.ndarray, starts: np.ndarray, width: int, function: int):
+    """(l, c, r) of the compact windows of at least `width` shingles, in documents laid end to end.
+
+    `starts` holds each document's first position, then the end. Every passage within [l, r] that
+    holds c has its minimum at c (the leftmost of equal ones): [l, r] is the subtree of c in the
+    Cartesian tree of the document's values. The nodes whose subtrees have at least `width`
+    positions are the minima of the sliding windows of that width; a node's ancestors are among them,
+    so the tree of these nodes alone, each document between values below all others, gives the bounds.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    long = np.flatnonzero(np.diff(starts) >= width)
+    if not len(long):
+        return none, none, none
+    bits = np.uint64(int(len(hashes)).bit_length())
+    mixed = ((ordered(hashes, function) >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
+    inside = np.zeros(len(hashes) + 1, dtype=np.int32)
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, starts[long + 1] - width + 1, -1)
+    low = sliding_minima(mixed, width)
+    low = low[np.cumsum(inside)[: len(low)] > 0]
+    low = low[np.concatenate([[True], low[1:] != low[:-1]])]
+    c = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    of = np.searchsorted(starts, c, side="right") - 1
+    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    fences = np.append(new, len(c))
+    node = np.insert(low, fences, 0)
+    before = np.insert(c, fences, np.append(starts[of[new]] - 1, -1))
+    after = np.insert(c, fences, np.append(-1, starts[of[new] + 1]))
+    real = node > 0
+    l = before[last_below(node)] + 1
+    r = after[len(node) - 1 - last_below(node[::-1])[::-1]] - 1
+    return l[real], c, r[real]
+
+
+def windows_of(texts: list[bytes], width: int, shingle: int, functions: int):
+    """(text number, key, l, c, r) of all compact windows of the texts; a key is a function with its minimum."""
+    words = [t.lower().split() for t in texts]
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    hashes = shingle_hashes(word_hashes([w for some in words for w in some]), shingle)
+    del words
+    lengths = np.maximum(counts - shingle + 1, 0)
+    ends = np.cumsum(counts)
+    whole = np.zeros(int(ends[-1]) + 1, dtype=np.int32)
+    np.add.at(whole, (ends - counts)[lengths > 0], 1)
+    np.add.at(whole, (ends - shingle + 1)[lengths > 0], -1)
+    hashes = hashes[np.cumsum(whole)[: len(hashes)] > 0]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    out = []
+    for f in range(functions):
+        l, c, r = compact_windows(hashes, starts, width, f)
+        of = np.searchsorted(starts, c, side="right") - 1
+        key = ((hashes[c] ^ np.uint64(f + 1)) * _MULTIPLIERS[32]).view(np.int64)
+        out.append((of, key, l - starts[of], c - starts[of], r - starts[of]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def chosen_windows(doc, key, n, l, c, r, width: int, functions: int, needed: int):
+    """(index, a, b): the windows by which a passage of `width` shingles has to be sought, with its starts.
+
+    Interval join over the hash functions: [max(l, c - width + 1), min(c, r - width + 1)] are the starts
+    of a window's passages of that width; each start lies in one window of every function, here in
+    those whose key another text has. A passage that shares `needed` keys with another has as many
+    such windows and, as all keys have one order (rare ones first, n is a key's frequency), shares one
+    of its functions - needed + 1 first keys: the keys that nobody else has come first of all.
+    """
+    group = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 32
+    a, b = group + np.maximum(l, c - width + 1), group + np.minimum(c, r - width + 1)
+    cuts = np.unique(np.concatenate([a, b + 1]))
+    first, stop = np.searchsorted(cuts, a), np.searchsorted(cuts, b + 1)
+    steps = np.zeros(len(cuts), dtype=np.int64)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, stop, -1)
+    level = np.cumsum(steps)
+    index = np.repeat(np.arange(len(a)), stop - first)
+    piece = np.arange(len(index)) - np.repeat(np.cumsum(stop - first) - (stop - first), stop - first) + first[index]
+    full = level[piece] >= needed
+    index, piece = index[full], piece[full]
+    order = np.lexsort((key[index], n[index], piece))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order)) - np.searchsorted(piece[order], piece[order])
+    early = rank <= level[piece] - needed
+    index, piece = index[early], piece[early]
+    found, at = np.unique(index, return_index=True)
+    last = np.append(at, len(index))[1:] - 1
+    base = group[found]
+    return found, cuts[piece[at]] - base, cuts[piece[last] + 1] - 1 - base
+
+
+def window_sums(flags: np.ndarray, width: int) -> np.ndarray:
+    """How many flags are set in every window of `width`."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[width:] - total[:-width]
+
+
+def near_repeats(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Which shingles occurred among the `width` - 1 before them."""
+    order = np.argsort(hashes, kind="stable")
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] < width)
+    found = np.zeros(len(hashes), dtype=bool)
+    found[order[1:][same]] = True
+    return found
+
+
+def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the runs of set flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
 def set_starts(hashes: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
@@ -128,112 +235,163 @@ def close_windows(mine: np.ndarray, other: np.ndarray, run, width: int, similari
     return [(int(mine_starts[o]), int(ends[o]), int(where[o]), float(best[o])) for o in order if best[o] > 0]
 
 
-def accepted_windows(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float) -> list[list[int]]:
-    """(start, stop, shift) in shingles of the parts of `mine` close to one of `other`.
+def alike_passages(mine: np.ndarray, other: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(start, stop, start there), in shingles, of the passages of `mine` that are close to one of `other`.
 
-    Every pair of windows of a candidate is compared; each start with a window there whose shingle
-    sets reach the Jaccard similarity is accepted, best first, unless a passage accepted before
-    holds it, and then grows along equal shingles in both directions.
+    Every window of `width` shingles is judged against every window there: a passage is a run of
+    starts whose windows reach the Jaccard similarity of the shingle sets. A window that has too few
+    shingles anywhere in `other` is refused by a count. Aligned equal shingles prove most of the
+    others: n of `width` different ones shared are a similarity of n / (2 width - n) at least. Windows
+    that are neither refused, nor proven, nor inside proven passages are compared set by set.
     """
-    accepted: list[list[int]] = []
-
-    def held(first, last):
-        return any(s <= first and last + width <= e for s, e, _ in accepted)
-
-    for a, b, ra, rb in found:
-        if b + width > len(mine) or rb + width > len(other) or held(a, b):
+    n = len(mine) - width + 1
+    if n <= 0 or len(other) < width:
+        return []
+    values, where = np.unique(other, return_index=True)
+    at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+    hit = values[at] == mine
+    share = similarity / (1 + similarity)
+    fewest = width - window_sums(near_repeats(mine, width), width)
+    there = width - window_sums(near_repeats(other, width), width)
+    least = share * (fewest + there.min()) - 1e-6
+    left = window_sums(hit, width) >= least
+    if not left.any():
+        return []
+    found: list[tuple[int, int, int]] = []
+    shifts, count = np.unique((where[at] - np.arange(len(mine)))[hit], return_counts=True)
+    for d in shifts[count >= 2 * share * width - 1e-6].tolist():
+        low, high = max(0, -d), min(len(mine), len(other) - d)
+        if high - low < width:
             continue
-        for first, last, there, _ in close_windows(mine, other, (a, b, ra, rb), width, similarity):
-            if held(first, last):
-                continue
-            start, stop, d = first, first + width, there - first
-            while start > 0 and start + d > 0 and mine[start - 1] == other[start + d - 1]:
-                start -= 1
-            while stop < len(mine) and stop + d < len(other) and mine[stop] == other[stop + d]:
-                stop += 1
-            accepted.append([start, max(stop, last + width), d])
-    return accepted
-
-
-def merged_passages(accepted: list[list[int]], shingle: int) -> list[tuple[int, int, int]]:
-    """(start word, stop word, start word there) of accepted parts, overlapping ones merged."""
+        equal = window_sums(mine[low:high] == other[low + d : high + d], width)
+        plain = (fewest[low : high - width + 1] == width) & (there[low + d : high + d - width + 1] == width)
+        good = (equal == width) | (plain & (equal >= 2 * share * width - 1e-6))
+        found += [(low + x, low + y + width, low + x + d) for x, y in runs_of(good)]
+    for start, stop in merged(found):
+        left[start : stop - width + 1] = False
+    for x, y in runs_of(left):
+        span = np.unique(mine[x : y + width])
+        near = window_sums(np.isin(other, span), width) >= least[x : y + 1].min()
+        for ra, rb in runs_of(near):
+            for first, last, begin, _ in close_windows(mine, other, (x, y, ra, rb), width, similarity):
+                found.append((first, last + width, begin))
+    return found
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """(start, stop) of spans, overlapping ones merged."""
     out: list[list[int]] = []
-    for start, stop, d in sorted(accepted):
+    for start, stop, *_ in sorted(spans):
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], stop)
         else:
-            out.append([start, stop, start + d])
-    return [(s, e + shingle - 1, t) for s, e, t in out]
-
-
-def verified_passages(mine: np.ndarray, other: np.ndarray, found, width: int, similarity: float, shingle: int):
-    """Passages of `mine` close to one of `other`: (start word, stop word, start word there), merged."""
-    return merged_passages(accepted_windows(mine, other, found, width, similarity), shingle)
+            out.append([start, stop])
+    return [(s, e) for s, e in out]
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, bands: int = 4, rows: int = 3
+    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 8, needed: int = 5
 ) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, class_id, repeats, n_passages, passages, sources.
 
     A passage of min_words words (min_words - shingle + 1 shingles) repeats if another document holds
-    one whose shingle sets have at least the given Jaccard similarity. Of equal texts only the first
-    is verified.
-    Every text lists, for each band of min-hash functions, the runs of passage starts whose minima
-    all stay the same; texts with an equal signature are its members. Members are verified in rounds:
-    the first of those that are still open become heads (twice as many in each round) and are
-    compared with every other member, closed or not. A member closes when all its runs have
-    a close passage in one head; heads have met all. So each run meets an earlier close one under its
-    signature if there is any, while a passage in very many documents costs one comparison each.
-    passages is "start:stop:doc:start there" in words, comma-joined; sources are the documents it was
-    verified against; class_id is the smallest document id reachable by verified repeats and copies.
-
-    Texts under min_words words, null texts and rows without an id have no passages and are their
-    own class. Rows sharing an id are one document, verified by the smallest of its texts.
+    one whose shingle sets have at least the given Jaccard similarity. A longer passage above the
+    similarity holds such a window, as its differing shingles cannot all be dense.
+
+    Every document lists its compact windows under each hash function. Windows whose minimum no other
+    text has are dropped; an interval join within the document keeps those that share a passage with
+    windows of `needed` functions (half of them). Documents with a window of equal key are its members;
+    they are compared in rounds: with the first member, then with the next two, four and so on. A pair
+    is left out if both are one class by then and the member's passage has a source already, so that
+    each repeated passage and each class is found, while copies of a passage cost one comparison each.
+    Compared are whole documents, every window with every window (alike_passages).
+
+    passages is "start:stop:doc:start there" in words, comma-joined, against smaller ids; sources are
+    the documents it was verified against; class_id is the smallest document id reachable by verified
+    repeats and exact copies. Of equal texts only the first is compared.
+
+    Texts under min_words words, null texts and rows without an id have no passages and are their own
+    class. The different texts of rows that share an id are one document, joined in their order by a
+    word that holds the id.
     """
     spark, width = docs.sparkSession, min_words - shingle + 1
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = given.where("doc_id is not null and text is not null")
-    long_enough = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) >= min_words
-    keyed = written(usable.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")))
-    firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = firsts.select(F.col("rep").alias("doc_id")).distinct()
-
-    def emit(first_band, count):
-        def run(batches):
-            for pdf in batches:
-                keys, ids, first, last = [], [], [], []
-                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    hashes = shingle_hashes(text, shingle)
-                    if len(hashes) < width:
-                        continue
-                    k, a, b = signatures(hashes, width, count, rows, first_band)
-                    keys.append(k.view(np.int64))
-                    ids.append(np.full(len(k), doc, dtype=np.int64))
-                    first.append(a)
-                    last.append(b)
-                if keys:
-                    yield pd.DataFrame(
-                        {"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "run": np.concatenate(first) << 32 | np.concatenate(last)}
-                    )
-
-        return run
+    keyed = usable.select("doc_id", F.md5("text").alias("digest"))
+    several = written(keyed.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"))
+    one_each = usable if several.isEmpty() else (
+        usable.join(several, "doc_id", "left_anti").unionAll(
+            usable.join(several, "doc_id", "left_semi")
+            .groupBy("doc_id")
+            .agg(F.array_sort(F.collect_set("text")).alias("texts"))
+            .select("doc_id", F.expr(r"array_join(texts, concat(' \u0001', doc_id, '\u0001 '))").alias("text"))
+        )
+    )
+    long_enough = F.size(F.split(F.trim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")) >= min_words
+    units = written(one_each.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")).distinct())
+    firsts = units.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = firsts.select(F.col("rep").alias("doc_id"))
+
+    def emit(batches):
+        for batch in batches:
+            ids, tags, texts, size = [], [], [], 0
+            columns = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")
+            for doc, tag, text in zip(*columns, strict=True):
+                ids.append(doc)
+                tags.append(tag)
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size > 4_000_000:
+                    yield listed(ids, tags, texts)
+                    ids, tags, texts, size = [], [], [], 0
+            if texts:
+                yield listed(ids, tags, texts)
+
+    def listed(ids, tags, texts):
+        of, key, l, c, r = windows_of(texts, width, shingle, functions)
+        found = [key, np.array(ids, dtype=np.int64)[of], np.array(tags, dtype=np.int32)[of], l.astype(np.int32), c.astype(np.int32), r.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "tag", "l", "c", "r"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = None
-    for band in range(0, bands, 2):
-        emitted = usable.mapInPandas(emit(band, min(2, bands - band)), "key long, doc_id long, run long").repartition(parts, "key")
-        shared = emitted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key")
-        some = written(
-            emitted.join(shared, "key", "left_semi")
-            .groupBy("key", "doc_id")
-            .agg(F.array_sort(F.collect_set("run")).alias("runs"))
-            .join(reps, "doc_id", "left_semi")
-            .select("key", "doc_id", "runs", F.lit(True).alias("open"))
-        )
-        members = some if members is None else members.unionAll(some)
-    ids = members.select("doc_id").distinct()
-    body = written(usable.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    source = one_each.select("doc_id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+    emitted = source.mapInArrow(emit, "key long, doc_id long, tag int, l int, c int, r int").repartition(parts, "key")
+    shared = emitted.groupBy("key").agg(F.min("tag").alias("x"), F.max("tag").alias("y"), F.count("*").alias("n")).where("x < y")
+    met = emitted.join(shared.select("key", "n").hint("shuffle_hash"), "key").select("doc_id", "key", "n", "l", "c", "r")
+
+    def support(batches):
+        kept = None
+        for batch in batches:
+            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            if not len(cut[0]):
+                continue
+            cut = cut if kept is None else [np.concatenate(x) for x in zip(kept, cut, strict=True)]
+            edge = int(np.searchsorted(cut[0], cut[0][-1]))
+            kept = [x[edge:] for x in cut]
+            if edge:
+                yield chosen(*(x[:edge] for x in cut))
+        if kept is not None:
+            yield chosen(*kept)
+
+    def chosen(doc, key, n, l, c, r):
+        at, a, b = chosen_windows(doc, key, n, l.astype(np.int64), c.astype(np.int64), r.astype(np.int64), width, functions, needed)
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(a), pa.array(b)], ["key", "doc_id", "a", "b"])
+
+    by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    windows = written(by_doc.mapInArrow(support, "key long, doc_id long, a long, b long").join(reps, "doc_id", "left_semi"))
+    several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
+    grouped = (
+        windows.join(several_docs, "key", "left_semi")
+        .groupBy("key", "doc_id")
+        .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+    )
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    members = written(
+        grouped.select("key", "doc_id", "runs", nth.alias("nth"), F.lit(True).alias("open"), F.col("doc_id").alias("component"))
+    )
+    discard(windows)
+    body = written(
+        one_each.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text")).distinct()
+    )
 
     def verify(batches):
         other_id = there = None
@@ -241,83 +399,67 @@ def repeated_passages(
             out = []
             for r in pdf.itertuples():
                 if r.other_id != other_id:
-                    other_id, there = r.other_id, shingle_hashes(r.other_text, shingle)
-                mine = shingle_hashes(r.text, shingle)
-                cut = [(c["key"], [divmod(int(x), 2**32) for x in c["runs"]], [divmod(int(x), 2**32) for x in c["others"]]) for c in r.found]
-                found = sorted({(*x, *y) for _, runs, others in cut for x in runs for y in others})
-                accepted = accepted_windows(mine, there, found, width, similarity)
-                out.extend((r.doc_id, r.other_id, None, s, e, t) for s, e, t in merged_passages(accepted, shingle))
-                for key, runs, _ in cut:
-                    if all(any(max(a, s) <= min(b, e - width) for s, e, _ in accepted) for a, b in runs):
-                        out.append((r.doc_id, r.other_id, key, None, None, None))
-            found = pd.DataFrame(out, columns=["doc_id", "other_id", "key", "start", "stop", "there"])
-            yield found.astype({"key": "Int64", "start": "Int32", "stop": "Int32", "there": "Int32"})
-
-    verified, heads_a_key = None, 1
-    while verified is None or not members.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-        heads = written(members.where("open").select("key", "doc_id", "runs", nth.alias("nth")).where(F.col("nth") <= heads_a_key))
-        later = F.col("doc_id") > F.col("head_id")
+                    other_id, there = r.other_id, text_shingles(r.other_text, shingle)
+                found = alike_passages(text_shingles(r.text, shingle), there, width, similarity)
+                out += [(r.doc_id, r.other_id, s, e + shingle - 1, t) for s, e, t in found]
+            yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "stop", "there"]).astype("int64")
+
+    copies = units.where("long_enough").join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"))
+    compared = passages = None
+    first, last = 1, 1
+    while passages is None or not members.isEmpty():
+        heads = members.where(F.col("nth").between(first, last)).select(
+            "key", F.col("doc_id").alias("other_id"), F.col("nth").alias("head"), F.col("component").alias("head_component")
+        )
         pairs = (
-            members.join(heads.select("key", F.col("doc_id").alias("head_id"), F.col("runs").alias("head_runs")), "key")
-            .where("doc_id != head_id")
-            .select(
-                F.greatest("doc_id", "head_id").alias("doc_id"),
-                F.least("doc_id", "head_id").alias("other_id"),
-                F.struct(
-                    "key",
-                    F.when(later, F.col("runs")).otherwise(F.col("head_runs")).alias("runs"),
-                    F.when(later, F.col("head_runs")).otherwise(F.col("runs")).alias("others"),
-                ).alias("c"),
-            )
-            .groupBy("doc_id", "other_id")
-            .agg(F.collect_set("c").alias("found"))
+            members.where(F.col("nth") > first)
+            .join(heads, "key")
+            .where((F.col("nth") > F.col("head")) & (F.col("open") | (F.col("component") != F.col("head_component"))))
+            .select("doc_id", "other_id")
+            .distinct()
         )
+        if compared is not None:
+            pairs = pairs.join(compared, ["doc_id", "other_id"], "left_anti")
+        pairs = written(pairs)
+        compared = pairs if compared is None else compared.unionAll(pairs)
         joined = pairs.join(body, "doc_id").join(
             body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id"
         )
-        seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, key long, start int, stop int, there int"))
-        verified = seen if verified is None else verified.unionAll(seen)
-        closed = seen.where("key is not null").select("key", "doc_id").distinct().withColumn("closed", F.lit(True))
-        of_key = Window.partitionBy("key")
-        members = written(
-            members.join(heads.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-            .join(closed, ["key", "doc_id"], "left")
-            .select("key", "doc_id", "runs", (F.col("open") & F.col("closed").isNull()).alias("open"))
-            .select("*", F.max("open").over(of_key).alias("any_open"), F.count("*").over(of_key).alias("n"))
-            .where("any_open and n > 1")
-            .drop("any_open", "n")
+        seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, start long, stop long, there long"))
+        passages = seen if passages is None else passages.unionAll(seen)
+        cover = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
+        groups = connected_components(passages.select("doc_id", "other_id").distinct(), "doc_id", "other_id")
+        held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))
+        flagged = written(
+            members.drop("open", "component")
+            .join(cover, "doc_id", "left")
+            .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .select(
+                "key", "doc_id", "runs", "nth",
+                (F.col("cover").isNull() | ~F.forall("runs", held)).alias("open"),
+                F.coalesce("component", "doc_id").alias("component"),
+            )
         )
-        heads_a_key *= 2
-
-    def merge(acc, x):
-        size, last = F.size(acc), F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["there"].alias("there"))
-        joins = (size > 0) & (x["start"] <= last["stop"] - (shingle - 1))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(size - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    passages = written(
-        verified.where("key is null")
-        .groupBy("doc_id", "other_id")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "stop", "there"))).alias("p"))
-        .select(
-            "doc_id", "other_id", F.explode(F.aggregate("p", F.array().cast("array<struct<start:int,stop:int,there:int>>"), merge)).alias("m")
+        ahead = flagged.groupBy("key").agg(
+            F.max(F.when(F.col("nth") > last + 1, F.col("open"))).alias("any_open"),
+            F.min("component").alias("x"), F.max("component").alias("y"), F.max("nth").alias("n"),
         )
-        .select("doc_id", "other_id", "m.*")
+        todo = ahead.where((F.col("n") > last + 1) & (F.col("any_open") | (F.col("x") != F.col("y")))).select("key")
+        discard(members)
+        members = written(flagged.join(todo, "key", "left_semi"))
+        discard(flagged)
+        first, last = last + 1, 2 * last + 1
+    discard(members)
+    linked = passages.select("doc_id", "other_id").distinct()
+    groups = connected_components(linked.unionAll(copies), "doc_id", "other_id")
+    listed_by = passages.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.struct("start", "stop", "other_id", "there"))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
     )
-    ends = written(passages.groupBy("doc_id", "other_id").agg(F.lit(1).alias("one")))
-    copies = keyed.where("long_enough").join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"))
-    edges = ends.select("doc_id", "other_id").unionAll(copies)
-    groups = connected_components(edges, "doc_id", "other_id")
-    listed = passages.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop", "other_id", "there"))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
-    )
-    text_of = F.array_join(
-        F.transform("p", lambda x: F.concat_ws(":", x["start"], x["stop"], x["other_id"], x["there"])), ","
-    )
-    mapped = keyed.select("doc_id", "digest").distinct().join(firsts, "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    text_of = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"], x["stop"], x["other_id"], x["there"])), ",")
+    none = F.array().cast("array<long>")
     found = (
-        mapped.join(listed.withColumnRenamed("doc_id", "rep"), "rep", "left")
+        units.join(firsts, "digest")
+        .join(listed_by.withColumnRenamed("doc_id", "rep"), "rep", "left")
         .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
             F.col("doc_id").alias("id"),
@@ -325,12 +467,10 @@ def repeated_passages(
             F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_passages"),
             F.coalesce(text_of, F.lit("")).alias("passages"),
             F.when(
-                F.col("component").isNotNull() & (F.col("rep") != F.col("doc_id")),
-                F.array_sort(F.array_union(F.coalesce("sources", F.array().cast("array<long>")), F.array("rep"))),
-            ).otherwise(F.coalesce("sources", F.array().cast("array<long>"))).alias("sources"),
+                F.col("component").isNotNull() & (F.col("rep") != F.col("doc_id")), F.array_sort(F.array_union(F.coalesce("sources", none), F.array("rep")))
+            ).otherwise(F.coalesce("sources", none)).alias("sources"),
         )
     )
-    none = F.array().cast("array<long>")
     return given.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id",
         F.coalesce("component", "doc_id").alias("class_id"),
