@@ -124,25 +124,24 @@ def windows_of(texts: list[bytes], width: int, shingle: int, functions: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def chosen_windows(doc, key, n, l, c, r, width: int, functions: int, needed: int):
-    """(index, a, b): the windows by which a passage of `width` shingles has to be sought, with its starts.
-
-    Interval join over the hash functions: [max(l, c - width + 1), min(c, r - width + 1)] are the starts
-    of a window's passages of that width; each start lies in one window of every function, here in
-    those whose key another text has. A passage that shares `needed` keys with another has as many
-    such windows and, as all keys have one order (rare ones first, n is a key's frequency), shares one
-    of its functions - needed + 1 first keys: the keys that nobody else has come first of all.
+def chosen_windows(doc, key, n, first, last, functions: int, needed: int):
+    """(index, a, b): the windows by which a passage has to be sought, and for which starts.
+
+    Interval join over the hash functions: first and last are the starts of a window's passages of the
+    least width, from max(l, c - width + 1) to min(c, r - width + 1); each start lies in one window of
+    every function, here in those whose key another text has. A passage that shares `needed` keys
+    with another has as many such windows and, as all keys have one order (rare ones first, n is a
+    key's frequency), shares one of its functions - needed + 1 first keys: the keys that nobody else
+    has come first of all.
     """
     group = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 32
-    a, b = group + np.maximum(l, c - width + 1), group + np.minimum(c, r - width + 1)
+    a, b = group + first, group + last
     cuts = np.unique(np.concatenate([a, b + 1]))
-    first, stop = np.searchsorted(cuts, a), np.searchsorted(cuts, b + 1)
-    steps = np.zeros(len(cuts), dtype=np.int64)
-    np.add.at(steps, first, 1)
-    np.add.at(steps, stop, -1)
-    level = np.cumsum(steps)
-    index = np.repeat(np.arange(len(a)), stop - first)
-    piece = np.arange(len(index)) - np.repeat(np.cumsum(stop - first) - (stop - first), stop - first) + first[index]
+    begin, stop = np.searchsorted(cuts, a), np.searchsorted(cuts, b + 1)
+    level = np.cumsum(np.bincount(begin, minlength=len(cuts)) - np.bincount(stop, minlength=len(cuts)))
+    size = stop - begin
+    index = np.repeat(np.arange(len(a)), size)
+    piece = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size) + begin[index]
     full = level[piece] >= needed
     index, piece = index[full], piece[full]
     order = np.lexsort((key[index], n[index], piece))
@@ -162,13 +161,21 @@ def window_sums(flags: np.ndarray, width: int) -> np.ndarray:
     return total[width:] - total[:-width]
 
 
-def near_repeats(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Which shingles occurred among the `width` - 1 before them."""
+def distance_back(hashes: np.ndarray, width: int) -> np.ndarray:
+    """How far before it each shingle occurred last, `width` at most."""
     order = np.argsort(hashes, kind="stable")
-    same = (hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] < width)
-    found = np.zeros(len(hashes), dtype=bool)
-    found[order[1:][same]] = True
-    return found
+    back = np.full(len(hashes), width)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    back[order[1:][same]] = np.minimum((order[1:] - order[:-1])[same], width)
+    return back
+
+
+def distinct_counts(back: np.ndarray, width: int, flags: np.ndarray | None = None) -> np.ndarray:
+    """How many distinct (flagged) shingles each window of `width` holds: one counts where it occurs first."""
+    p = np.arange(len(back)) if flags is None else np.flatnonzero(flags)
+    n = len(back) + 1
+    enters = np.maximum(p - back[p] + 1, 0)
+    return np.cumsum(np.bincount(enters, minlength=n) - np.bincount(p + 1, minlength=n))[: len(back) - width + 1]
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -235,46 +242,78 @@ def close_windows(mine: np.ndarray, other: np.ndarray, run, width: int, similari
     return [(int(mine_starts[o]), int(ends[o]), int(where[o]), float(best[o])) for o in order if best[o] > 0]
 
 
-def alike_passages(mine: np.ndarray, other: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int]]:
-    """(start, stop, start there), in shingles, of the passages of `mine` that are close to one of `other`.
+def prepared(hashes: np.ndarray, width: int):
+    """What a comparison needs of the other side: shingles, the distinct ones in order with their first
+    places and whether they come again, distances to the place before, and each window's number of distinct ones."""
+    values, where, times = np.unique(hashes, return_index=True, return_counts=True)
+    back = distance_back(hashes, width)
+    return hashes, values, where, times > 1, back, distinct_counts(back, width)
+
+
+def best_windows(p: np.ndarray, q: np.ndarray, starts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, start there) for each of so many starts: the most points (p, q) that a window here, from
+    its start on, and one window of the other side hold. p counts from the first start."""
+    origin = int(q.min()) - width + 1
+    grid = np.zeros((starts + width, int(q.max()) - origin + width + 1), dtype=np.int32)
+    np.add.at(grid, (p + 1, q - origin + 1), 1)
+    total = grid.cumsum(axis=0).cumsum(axis=1)
+    held = total[width:, width:] - total[:-width, width:] - total[width:, :-width] + total[:-width, :-width]
+    at = held[:starts].argmax(axis=1)
+    return held[np.arange(starts), at], at + origin
+
+
+def alike_passages(mine: np.ndarray, side, width: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(start, stop, start there), in shingles, of the passages of `mine` that are close to one of a prepared side.
 
     Every window of `width` shingles is judged against every window there: a passage is a run of
     starts whose windows reach the Jaccard similarity of the shingle sets. A window that has too few
-    shingles anywhere in `other` is refused by a count. Aligned equal shingles prove most of the
-    others: n of `width` different ones shared are a similarity of n / (2 width - n) at least. Windows
-    that are neither refused, nor proven, nor inside proven passages are compared set by set.
+    shingles anywhere there is refused by a count. Aligned equal shingles prove most of the others: n
+    of `width` different ones shared are a similarity of n / (2 width - n) at least. Windows that are
+    neither refused, nor proven, nor inside proven passages are compared with all windows: by counting
+    the shingles at equal places where no shingle comes twice, else set by set.
     """
-    n = len(mine) - width + 1
-    if n <= 0 or len(other) < width:
+    other, values, where, again, other_back, there = side
+    if len(mine) < width or len(other) < width:
         return []
-    values, where = np.unique(other, return_index=True)
     at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
     hit = values[at] == mine
-    share = similarity / (1 + similarity)
-    fewest = width - window_sums(near_repeats(mine, width), width)
-    there = width - window_sums(near_repeats(other, width), width)
-    least = share * (fewest + there.min()) - 1e-6
-    left = window_sums(hit, width) >= least
+    share, back = similarity / (1 + similarity), distance_back(mine, width)
+    here = distinct_counts(back, width)
+    least = np.maximum(similarity * here, share * (here + there.min())) - 1e-6
+    left = distinct_counts(back, width, hit) >= least
     if not left.any():
         return []
     found: list[tuple[int, int, int]] = []
-    shifts, count = np.unique((where[at] - np.arange(len(mine)))[hit], return_counts=True)
-    for d in shifts[count >= 2 * share * width - 1e-6].tolist():
+    place, enough = where[at], 2 * share * width - 1e-6
+    shifts, count = np.unique((place - np.arange(len(mine)))[hit], return_counts=True)
+    for d in shifts[count >= enough].tolist():
         low, high = max(0, -d), min(len(mine), len(other) - d)
         if high - low < width:
             continue
         equal = window_sums(mine[low:high] == other[low + d : high + d], width)
-        plain = (fewest[low : high - width + 1] == width) & (there[low + d : high + d - width + 1] == width)
-        good = (equal == width) | (plain & (equal >= 2 * share * width - 1e-6))
+        good = equal == width
+        near = equal >= enough
+        if not (good == near).all():
+            good |= near & (here[low : high - width + 1] == width) & (there[low + d : high + d - width + 1] == width)
         found += [(low + x, low + y + width, low + x + d) for x, y in runs_of(good)]
     for start, stop in merged(found):
         left[start : stop - width + 1] = False
     for x, y in runs_of(left):
-        span = np.unique(mine[x : y + width])
-        near = window_sums(np.isin(other, span), width) >= least[x : y + 1].min()
-        for ra, rb in runs_of(near):
-            for first, last, begin, _ in close_windows(mine, other, (x, y, ra, rb), width, similarity):
-                found.append((first, last + width, begin))
+        p = np.flatnonzero(hit[x : y + width])
+        q = place[x + p]
+        if (here[x : y + 1] == width).all() and not again[at[x + p]].any() and (y - x + width) * (q.max() - q.min() + 2 * width) < 4_000_000:
+            shared, begin = best_windows(p, q, y - x + 1, width)
+            begin = np.clip(begin, 0, len(other) - width)
+            good = (shared >= enough) & (there[begin] == width)
+            found += [(x + u, x + v + width, int(begin[u])) for u, v in runs_of(good)]
+            reach = there < width
+        else:
+            reach = np.ones(len(there), dtype=bool)
+        if not reach.any():
+            continue
+        reach &= distinct_counts(other_back, width, np.isin(other, mine[x : y + width])) >= np.maximum(least[x : y + 1].min(), similarity * there - 1e-6)
+        for ra, rb in runs_of(reach):
+            found += [(a, b + width, begin) for a, b, begin, _ in close_windows(mine, other, (x, y, ra, rb), width, similarity)]
     return found
 
 
@@ -301,7 +340,7 @@ def repeated_passages(
     Every document lists its compact windows under each hash function. Windows whose minimum no other
     text has are dropped; an interval join within the document keeps those that share a passage with
     windows of `needed` functions (half of them). Documents with a window of equal key are its members;
-    they are compared in rounds: with the first member, then with the next two, four and so on. A pair
+    they are compared in rounds: with the first member, then with the next three, twelve and so on. A pair
     is left out if both are one class by then and the member's passage has a source already, so that
     each repeated passage and each class is found, while copies of a passage cost one comparison each.
     Compared are whole documents, every window with every window (alike_passages).
@@ -327,41 +366,41 @@ def repeated_passages(
             .select("doc_id", F.expr(r"array_join(texts, concat(' \u0001', doc_id, '\u0001 '))").alias("text"))
         )
     )
+    none = F.array().cast("array<long>")
     long_enough = F.size(F.split(F.trim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")) >= min_words
     units = written(one_each.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")).distinct())
     firsts = units.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = firsts.select(F.col("rep").alias("doc_id"))
+    copies = written(units.join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"), "long_enough"))
 
     def emit(batches):
         for batch in batches:
-            ids, tags, texts, size = [], [], [], 0
-            columns = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")
-            for doc, tag, text in zip(*columns, strict=True):
+            ids, texts, size = [], [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids.append(doc)
-                tags.append(tag)
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if size > 4_000_000:
-                    yield listed(ids, tags, texts)
-                    ids, tags, texts, size = [], [], [], 0
+                    yield listed(ids, texts)
+                    ids, texts, size = [], [], 0
             if texts:
-                yield listed(ids, tags, texts)
+                yield listed(ids, texts)
 
-    def listed(ids, tags, texts):
+    def listed(ids, texts):
         of, key, l, c, r = windows_of(texts, width, shingle, functions)
-        found = [key, np.array(ids, dtype=np.int64)[of], np.array(tags, dtype=np.int32)[of], l.astype(np.int32), c.astype(np.int32), r.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "tag", "l", "c", "r"])
+        a, b = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(a * width + b - a)], ["key", "doc_id", "run"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = one_each.select("doc_id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    emitted = source.mapInArrow(emit, "key long, doc_id long, tag int, l int, c int, r int").repartition(parts, "key")
-    shared = emitted.groupBy("key").agg(F.min("tag").alias("x"), F.max("tag").alias("y"), F.count("*").alias("n")).where("x < y")
-    met = emitted.join(shared.select("key", "n").hint("shuffle_hash"), "key").select("doc_id", "key", "n", "l", "c", "r")
+    source = one_each.select("doc_id", F.col("text").cast("binary").alias("text")).join(copies, "doc_id", "left_anti")
+    emitted = source.mapInArrow(emit, "key long, doc_id long, run long").repartition(parts, "key")
+    # Counting `run` reads every column, so that the join below reuses this shuffle.
+    shared = emitted.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("run").alias("n")).where("x < y")
+    met = emitted.join(shared.select("key", "n").hint("shuffle_hash"), "key").select("doc_id", "key", "n", "run")
 
     def support(batches):
         kept = None
         for batch in batches:
-            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             if not len(cut[0]):
                 continue
             cut = cut if kept is None else [np.concatenate(x) for x in zip(kept, cut, strict=True)]
@@ -372,12 +411,13 @@ def repeated_passages(
         if kept is not None:
             yield chosen(*kept)
 
-    def chosen(doc, key, n, l, c, r):
-        at, a, b = chosen_windows(doc, key, n, l.astype(np.int64), c.astype(np.int64), r.astype(np.int64), width, functions, needed)
+    def chosen(doc, key, n, run):
+        first, more = np.divmod(run, width)
+        at, a, b = chosen_windows(doc, key, n, first, first + more, functions, needed)
         return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(a), pa.array(b)], ["key", "doc_id", "a", "b"])
 
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    windows = written(by_doc.mapInArrow(support, "key long, doc_id long, a long, b long").join(reps, "doc_id", "left_semi"))
+    windows = written(by_doc.mapInArrow(support, "key long, doc_id long, a long, b long"))
     several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     grouped = (
         windows.join(several_docs, "key", "left_semi")
@@ -389,22 +429,19 @@ def repeated_passages(
         grouped.select("key", "doc_id", "runs", nth.alias("nth"), F.lit(True).alias("open"), F.col("doc_id").alias("component"))
     )
     discard(windows)
-    body = written(
-        one_each.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text")).distinct()
-    )
+    body = written(source.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     def verify(batches):
-        other_id = there = None
+        other_id = side = None
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 if r.other_id != other_id:
-                    other_id, there = r.other_id, text_shingles(r.other_text, shingle)
-                found = alike_passages(text_shingles(r.text, shingle), there, width, similarity)
+                    other_id, side = r.other_id, prepared(text_shingles(r.other_text, shingle), width)
+                found = alike_passages(text_shingles(r.text, shingle), side, width, similarity)
                 out += [(r.doc_id, r.other_id, s, e + shingle - 1, t) for s, e, t in found]
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "stop", "there"]).astype("int64")
 
-    copies = units.where("long_enough").join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"))
     compared = passages = None
     first, last = 1, 1
     while passages is None or not members.isEmpty():
@@ -448,15 +485,14 @@ def repeated_passages(
         discard(members)
         members = written(flagged.join(todo, "key", "left_semi"))
         discard(flagged)
-        first, last = last + 1, 2 * last + 1
+        first, last = last + 1, 4 * last
     discard(members)
     linked = passages.select("doc_id", "other_id").distinct()
-    groups = connected_components(linked.unionAll(copies), "doc_id", "other_id")
+    groups = connected_components(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")), "doc_id", "other_id")
     listed_by = passages.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop", "other_id", "there"))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
     )
     text_of = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"], x["stop"], x["other_id"], x["there"])), ",")
-    none = F.array().cast("array<long>")
     found = (
         units.join(firsts, "digest")
         .join(listed_by.withColumnRenamed("doc_id", "rep"), "rep", "left")

@@ -19,13 +19,52 @@ def exact_repeats(docs, min_words=50):
     return {i for ids in seen.values() if len(ids) > 1 for i in ids}
 
 
-def test_compact_windows_are_the_sliding_minima():
-    values = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
-    for width in (1, 7, 46, 300):
-        first, low = op.compact_windows(values, width)
-        mins = [values[k : k + width].min() for k in range(len(values) - width + 1)]
-        at = np.searchsorted(first, np.arange(len(mins)), side="right") - 1
-        assert [int(x) for x in low[at]] == [int(x) for x in mins]
+def test_compact_windows_are_subtrees():
+    rng = np.random.default_rng(0)
+    for width in (1, 7, 46):
+        lengths = [300, 0, 5, 46, 90, 7, 120]
+        hashes = rng.integers(0, 2**63, sum(lengths), dtype=np.uint64)
+        hashes[50:120] = hashes[:70]
+        hashes[400:420] = hashes[400]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        got = set(zip(*(x.tolist() for x in op.compact_windows(hashes, starts, width, 3)), strict=True))
+        values = op.ordered(hashes, 3)
+        want = set()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            for c in range(a, b):
+                left = max((k for k in range(a, c) if values[k] <= values[c]), default=a - 1)
+                right = min((k for k in range(c + 1, b) if values[k] < values[c]), default=b)
+                if right - left - 1 >= width:
+                    want.add((left + 1, c, right - 1))
+        assert got == want
+
+
+def test_rare_windows_are_chosen_where_enough_functions_meet():
+    rng, width, functions, needed = np.random.default_rng(1), 5, 4, 3
+    n_keys = {k: int(rng.integers(2, 9)) for k in range(40)}
+    rows = []
+    for doc in (3, 4, 9):
+        for f in range(functions):
+            at = 0
+            while at < 60:
+                stop = at + int(rng.integers(1, 5))
+                if rng.random() < 0.7:
+                    key = f * 10 + int(rng.integers(10))
+                    rows.append((doc, key, n_keys[key], at, stop, stop + width - 1 if stop - at < width else at))
+                at = stop + 1
+    doc, key, n, l, c, r = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+    c = np.minimum(l + width - 1, r)
+    lo, hi = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
+    found, a, b = op.chosen_windows(doc, key, n, lo, hi, functions, needed)
+    got = {int(i): (int(x), int(y)) for i, x, y in zip(found, a, b, strict=True)}
+    want: dict = {}
+    for d in (3, 4, 9):
+        for s in range(70):
+            here = [i for i in range(len(doc)) if doc[i] == d and lo[i] <= s <= hi[i]]
+            here.sort(key=lambda i: (n[i], key[i]))
+            for i in here[: max(len(here) - needed + 1, 0)]:
+                want[i] = (min(want.get(i, (s, s))[0], s), s)
+    assert got == want and want
 
 
 def test_exact_repeats_are_found(spark):
@@ -62,27 +101,85 @@ def test_planted_passages(spark):
     assert op.repeated_passages(frame.where("false")).count() == 0
 
 
-def test_every_start_of_a_candidate_is_compared():
+def test_every_window_of_a_pair_is_compared():
     rng, width, near = np.random.default_rng(3), 46, 0
-    for _ in range(150):
+    for trial in range(150):
         n = int(rng.integers(46, 60))
         passage = rng.integers(0, 2**63, n, dtype=np.uint64)
         changed = passage.copy()
-        at = int(rng.integers(0, n - 5))
-        changed[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
+        at, size = int(rng.integers(0, n - 5)), 5
+        if trial % 3 == 0:
+            changed = np.concatenate([changed[:at], rng.integers(0, 2**63, size, dtype=np.uint64), changed[at + 4 :]])
+        elif trial % 3 == 1:
+            changed = np.concatenate([changed[at:], changed[:at]])
+        else:
+            changed[at : at + size] = rng.integers(0, 2**63, size, dtype=np.uint64)
         pad = lambda: rng.integers(0, 2**63, 60, dtype=np.uint64)
         mine, other = np.concatenate([pad(), passage, pad()]), np.concatenate([pad()[:31], changed, pad()])
-        (k, a, b), (rk, ra, rb) = op.signatures(mine, width, 2, 3), op.signatures(other, width, 2, 3)
-        found = [(int(a[i]), int(b[i]), int(ra[j]), int(rb[j])) for i in range(len(k)) for j in range(len(rk)) if k[i] == rk[j]]
-        close = lambda s, t: len({*mine[s : s + width]} & {*other[t : t + width]}) >= 0.8 * len({*mine[s : s + width]} | {*other[t : t + width]})
-        want = {s for x, y, rx, ry in found for s in range(x, y + 1) if any(close(s, t) for t in range(rx, ry + 1))}
-        got = op.verified_passages(mine, other, found, width, 0.8, 5)
+        sets = [[{*x[s : s + width]} for s in range(len(x) - width + 1)] for x in (mine, other)]
+        want = [s for s, x in enumerate(sets[0]) if any(len(x & y) >= 0.8 * len(x | y) for y in sets[1])]
+        got = op.alike_passages(mine, op.prepared(other, width), width, 0.8)
         assert bool(got) == bool(want)
-        assert all(any(s <= x and x + width <= e - 4 for s, e, _ in got) for x in want)
+        joined = op.merged(got)
+        assert all(any(s <= x and x + width <= e for s, e in joined) for x in want)
+        for start, stop, there in got:
+            assert any(len(sets[0][s] & y) >= 0.8 * len(sets[0][s] | y) for s in range(start, stop - width + 1) for y in [sets[1][min(there + s - start, len(sets[1]) - 1)]])
         near += bool(want)
     assert near > 50
     words = np.resize(np.arange(3, dtype=np.uint64), 20_000)
-    assert op.verified_passages(words, words[1:], [(0, 19_954, 0, 19_953)], width, 0.8, 5)[0][:2] == (0, 20_004)
+    assert op.merged(op.alike_passages(words, op.prepared(words[1:], width), width, 0.8)) == [(0, 20_000)]
+
+
+def test_near_repeats_of_fifty_words_are_found(spark):
+    """Passages of 50 words with one word changed: similarity 41/51 where it stands in the middle."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, pairs = [], []
+    for k in range(400):
+        passage = words(50)
+        changed = passage.copy()
+        changed[rng.randrange(5, 45)] = "changed"
+        docs.append((2 * k, " ".join(words(rng.randrange(90)) + passage + words(rng.randrange(90)))))
+        docs.append((2 * k + 1, " ".join(words(rng.randrange(90)) + changed + words(rng.randrange(90)))))
+        pairs.append((2 * k, 2 * k + 1))
+    got = {r.doc_id: r for r in op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = sum(got[b].class_id == a and got[b].sources == [a] for a, b in pairs)
+    assert found >= 0.9 * len(pairs)
+    assert all(r.class_id in (i, i - i % 2) for i, r in got.items())
+
+
+def test_all_pairs_equal_brute_force(spark):
+    """Classes of small documents against all pairs of windows; minima may miss links, never make any."""
+    rng = random.Random(6)
+    pool = [[f"p{k}x{rng.randrange(10**6)}" for _ in range(rng.randrange(45, 75))] for k in range(12)]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(pool))
+            for _ in range(rng.randrange(3)):
+                part[rng.randrange(len(part))] = f"e{rng.randrange(10**6)}"
+            parts += part[rng.randrange(6) :] + [f"f{rng.randrange(10**9)}" for _ in range(rng.randrange(20))]
+        docs.append((k, " ".join(parts)))
+    hashed = {k: op.text_shingles(t.encode(), 5) for k, t in docs}
+    sets = {k: [{*h[s : s + 46].tolist()} for s in range(len(h) - 45)] for k, h in hashed.items()}
+    near = lambda a, b: any(len(x & y) >= 0.8 * len(x | y) for x in sets[a] for y in sets[b])
+    links = {(a, b) for b in sets for a in sets if a < b and near(a, b)}
+    label = {k: k for k in sets}
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r for r in op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all((o, i) in links for i, r in got.items() for o in r.sources)
+    assert sum(got[k].class_id == label[k] for k in label) >= 0.95 * len(label)
+    assert sum(got[k].repeats == any(k in x for x in links) for k in label) >= 0.97 * len(label)
+
+
+def test_texts_that_share_an_id_are_one_document(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    docs = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a")), (3, words("b")), (4, words("c"))]
+    got = op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, tuple(r.sources)) for r in got) == [(1, 1, ())] * 3 + [(2, 1, (1,)), (3, 1, (1,)), (4, 4, ())]
 
 
 def test_copies_behind_smaller_documents_with_a_part_are_found(spark):
