@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchweave.llm.common import written
@@ -11,11 +12,13 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start, stop, content, mark): from every line on, the shortest run of lines with min_words words.
+    """(doc_id, start, stop, content, mark, mark_at): for every line, the shortest runs of lines with
+    min_words words that begin with it and that end with it.
 
     Lines are compared without white space at their ends; blank lines are skipped. `content` hashes
-    the run's lines, `mark` is the smallest line hash within it: the window minimum. A window holds
-    at most min_words lines, as each line has a word at least.
+    the run's lines in the order they were taken, `mark` is the smallest line hash within it, the window minimum, and
+    mark_at the position of its first line with it. A run holds at most min_words lines, as each
+    line has a word at least.
     """
     lines = F.transform(
         F.split(F.coalesce("text", F.lit("")), "\n", -1),
@@ -27,50 +30,73 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
             x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h"), F.size(F.split(x["line"], BLANKS, -1)).alias("w")
         ),
     )
-    empty = F.struct(
-        F.lit(0).alias("words"), F.lit(0).cast("long").alias("content"), F.lit(2**63 - 1).alias("mark"), F.lit(-1).alias("stop")
-    )
+
+    def empty(way: int):
+        return F.struct(
+            F.lit(0).alias("words"),
+            F.lit(way).cast("long").alias("content"),
+            F.struct(F.lit(2**63 - 1).alias("h"), F.lit(-1).alias("pos")).alias("least"),
+            F.lit(-1).alias("end"),
+        )
 
     def take(acc, x):
         more = F.struct(
             (acc["words"] + x["w"]).alias("words"),
             F.xxhash64(acc["content"], x["h"]).alias("content"),
-            F.least(acc["mark"], x["h"]).alias("mark"),
-            x["pos"].alias("stop"),
+            F.least(acc["least"], F.struct(x["h"].alias("h"), x["pos"].alias("pos"))).alias("least"),
+            x["pos"].alias("end"),
         )
         return F.when(acc["words"] >= min_words, acc).otherwise(more)
 
     def window(x, i):
-        reach = F.when(x["w"] >= min_words, F.lit(1)).otherwise(F.lit(min_words))
-        return F.struct(x["pos"].alias("start"), F.aggregate(F.slice("hashed", i + 1, reach), empty, take).alias("run"))
+        ahead = F.slice("hashed", i + 1, F.when(x["w"] >= min_words, F.lit(1)).otherwise(F.lit(min_words)))
+        first = F.greatest(i - F.lit(min_words - 2), F.lit(1))
+        behind = F.reverse(F.slice("hashed", F.when(x["w"] >= min_words, i + 1).otherwise(first), i + 2 - F.when(x["w"] >= min_words, i + 1).otherwise(first)))
+        return F.array(
+            F.struct(x["pos"].alias("pos"), F.aggregate(ahead, empty(0), take).alias("run")),
+            F.struct(x["pos"].alias("pos"), F.aggregate(behind, empty(1), take).alias("run")),
+        )
 
     return (
         docs.where("doc_id is not null")
         .select("doc_id", lines.alias("lines"))
         .select("doc_id", hashed.alias("hashed"))
-        .select("doc_id", F.explode(F.transform("hashed", window)).alias("at"))
-        .where(F.col("at.run.words") >= min_words)
-        .select("doc_id", "at.start", "at.run.stop", "at.run.content", "at.run.mark")
+        .select("doc_id", F.explode(F.flatten(F.transform("hashed", window))).alias("x"))
+        .where(F.col("x.run.words") >= min_words)
+        .select(
+            "doc_id",
+            F.least("x.pos", "x.run.end").alias("start"),
+            F.greatest("x.pos", "x.run.end").alias("stop"),
+            F.col("x.run.content").alias("content"),
+            F.col("x.run.least.h").alias("mark"),
+            F.col("x.run.least.pos").alias("mark_at"),
+        )
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, salts: int = 8) -> DataFrame:
     """docs(doc_id, text, ...) -> the same rows with deduplicated text, n_lines and n_removed.
 
     A line goes if it lies in a run of consecutive lines of at least min_words words in all that
     already occurred: in a document with a smaller id, or further up in the same one. Winnowing
-    finds those runs: every window of min_words words contributes its minimal line hash, so that a
-    repeated run shares a fingerprint with its first occurrence for certain. Windows whose
-    fingerprint occurs once are dropped; the others meet at equal content, and the later ones,
-    chained line by line in both directions, form the runs to delete.
+    finds those runs: every window of min_words words selects its minimal line hash, so that a
+    repeated run shares a fingerprint with its first occurrence for certain. Fingerprints (document,
+    position) without a second position fall away with their windows. At the positions left, a match
+    reaches both ways: as far as the shortest windows that begin or end with a line are equal to earlier
+    ones. Every line of a repeated run lies in such a window that the run holds; overlapping ones
+    form the runs to delete.
 
     Null texts stay null with no lines. Rows without an id stay as they are and are no source; rows
     sharing an id are one document: what goes, goes in each of them. Blank lines inside a deleted
-    run go with it. An empty text is one empty line. Extra columns are kept.
+    run go with it. An empty text is one empty line. Extra columns are kept, whatever their names;
+    text, n_lines and n_removed are replaced.
     """
-    windows = written(line_windows(docs, min_words))
-    marks = windows.select("doc_id", "start", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
-    shared = windows.join(marks, "mark", "left_semi")
+    windows = written(line_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_words))
+    marks = (
+        windows.select("doc_id", "mark_at", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+        .select("mark", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    )
+    shared = windows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(marks, ["mark", "salt"], "left_semi")
     first = (
         shared.groupBy("content")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
@@ -78,23 +104,28 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         .select("content", "first")
     )
     later = shared.join(first, "content").where(F.struct("doc_id", "start") > F.col("first"))
-    gone = (
-        later.select("doc_id", F.explode(F.sequence("start", "stop")).alias("pos"))
-        .groupBy(F.col("doc_id").alias("gone_id"))
-        .agg(F.collect_set("pos").alias("gone"))
+    upto = F.max("stop").over(W.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
+    pieces = (
+        later.select("doc_id", "start", "stop").distinct()
+        .select("doc_id", F.greatest("start", F.coalesce(upto + 1, F.lit(0))).alias("start"), "stop")
+        .where("start <= stop")
     )
-    split = F.split("d.text", "\n", -1)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone"))
-    text = F.when(F.col("gone").isNull() | F.col("d.text").isNull(), F.col("d.text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+    gone = pieces.groupBy(F.col("doc_id").alias("gone_id")).agg(F.flatten(F.collect_list(F.sequence("start", "stop"))).alias("gone"))
+    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
+    found = given.join(gone, F.expr("id = gone_id"), "left").select("text", "given", "gone", F.split("text", "\n", -1).alias("split"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get("split", i)), "\n")
     )
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return docs.alias("d").join(gone, F.expr("d.doc_id = gone_id"), "left").select(
-        *others,
+    gaps = F.when(F.col("text").isNull(), F.lit(0))
+    done = found.select(
+        "given",
         text.alias("text"),
-        F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("d.text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"),
+        gaps.otherwise(F.size("split")).cast("long").alias("n_lines"),
+        gaps.otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"),
     )
+    new = ["text", "n_lines", "n_removed"]
+    return done.select(*(F.col(f"given.`{c}`") for c in docs.columns if c not in new), *new)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +134,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
-#: Every window against every earlier one, by content; no winnowing.
+#: Every shortest run of 50 words, on from a line and back from it, against every earlier one by its lines; no winnowing.
 OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos, trim(line, E' \t\n\x0B\f\r') AS line
@@ -114,14 +145,17 @@ WITH l AS (
          row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
   FROM (SELECT *, len(string_split_regex(line, '[ \t\n\x0B\f\r]+')) AS n FROM l WHERE line <> '')
 ), span AS (
-  SELECT a.doc_id, a.k, a.pos AS start, min(b.k) AS last FROM w a JOIN w b
-    ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 AND b.upto >= a.upto - a.n + 50 GROUP BY ALL
+  SELECT 'on' AS way, a.doc_id, a.k, min(b.k) AS last FROM w a JOIN w b
+    ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 AND b.upto >= a.upto - a.n + 50 GROUP BY a.doc_id, a.k
+  UNION ALL
+  SELECT 'back', b.doc_id, max(a.k), b.k FROM w a JOIN w b
+    ON a.doc_id = b.doc_id AND a.k BETWEEN b.k - 49 AND b.k AND b.upto >= a.upto - a.n + 50 GROUP BY b.doc_id, b.k
 ), win AS (
-  SELECT s.doc_id, s.start, max(w.pos) AS stop, string_agg(w.line, chr(10) ORDER BY w.k) AS content
-  FROM span s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.k AND s.last GROUP BY s.doc_id, s.start
+  SELECT s.way, s.doc_id, min(w.pos) AS start, max(w.pos) AS stop, string_agg(w.line, chr(10) ORDER BY w.k) AS content
+  FROM span s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.k AND s.last GROUP BY s.way, s.doc_id, s.k, s.last
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS pos
-  FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, start) AS r FROM win) WHERE r > 1
+  FROM (SELECT *, row_number() OVER (PARTITION BY way, content ORDER BY doc_id, start) AS r FROM win) WHERE r > 1
 ), kept AS (
   SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
          coalesce(string_agg(CASE WHEN g.pos IS NULL THEN r.raw END, chr(10) ORDER BY r.pos), '') AS text
