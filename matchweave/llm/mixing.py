@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchweave.llm.common import written
+
 
 def shares(sizes: dict, period: int, power: float = 0.5, weights: dict | None = None) -> dict:
     """Whole slots per period for each source, by largest remainder, at least one each.
@@ -25,14 +30,16 @@ def shares(sizes: dict, period: int, power: float = 0.5, weights: dict | None =
     short = period - sum(out.values())
     for k in range(max(short, 0)):
         out[order[k % len(order)]] += 1
-    while short < 0:
-        s = max(out, key=lambda s: (out[s], str(s)))
-        out[s] -= 1
-        short += 1
+    largest = [(-n, s) for s, n in out.items()] if short < 0 else []
+    heapq.heapify(largest)
+    for _ in range(-short):
+        n, s = heapq.heappop(largest)
+        out[s] = -n - 1
+        heapq.heappush(largest, (n + 1, s))
     return out
 
 
-def pfair_period(slots: dict) -> list[tuple[object, int, int]]:
+def pfair_slots(slots: dict) -> Iterator[tuple[object, int, int]]:
     """(source, block, slot) over one period of sum(slots) slots, earliest deadline first.
 
     Block j of a source with share n of P slots may run from slot floor(j * P / n) on and must run
@@ -44,50 +51,53 @@ def pfair_period(slots: dict) -> list[tuple[object, int, int]]:
     names, counts = list(slots), list(slots.values())
     ready: list = []
     heapq.heapify(waiting)
-    out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             _, deadline, label, j, k = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, label, j, k))
         deadline, label, j, k = heapq.heappop(ready)
-        out.append((names[k], j, slot))
+        yield names[k], j, slot
         if j + 1 < counts[k]:
             n = counts[k]
             heapq.heappush(waiting, ((j + 1) * period // n, -(-(j + 2) * period // n), label, j + 1, k))
-    return out
+
+
+def schedule(sizes: DataFrame, period: int, power: float, weights: dict | None) -> DataFrame:
+    """sizes(source, n) -> (source, share, block, slot): one period's slots, share of them to each source.
+
+    The list of sources, one row each, goes to one task, which yields the slots as it makes them.
+    """
+    def run(batches):
+        listed = pd.concat([pd.DataFrame({"source": [], "n": []}), *batches]).sort_values("source")
+        slots = shares(dict(zip(listed["source"], listed["n"].tolist(), strict=True)), max(period, 4 * len(listed)), power, weights)
+        rows = ((s, slots[s], j, slot) for s, j, slot in (pfair_slots(slots) if slots else ()))
+        while part := list(islice(rows, 100_000)):
+            yield pd.DataFrame(part, columns=["source", "share", "block", "slot"])
+
+    return written(sizes.repartition(1).mapInPandas(run, "source string, share long, block long, slot long"))
 
 
 def ranked(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with `rank`: the row's place among the rows of its source, by the MD5 of its id.
+    """docs(source, doc_id, text, given) -> (source, given, rank): the row's place in its source by the MD5 of its id.
 
     Rows are counted per source and hash bucket; a running sum over the buckets plus the place
-    within the bucket gives the rank, so that no source is ever sorted in one task.
+    within the bucket gives the rank, so that no source is ever sorted in one task. Rows without an
+    id take the MD5 of their text, so that they spread as well.
     """
-    keyed = docs.withColumn("mix_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(
-        "mix_bucket", F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")
+    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))).withColumn(
+        "bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")
     )
-    counts = keyed.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n"))
-    before = W.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("mix_source").alias("o_source"),
-        F.col("mix_bucket").alias("o_bucket"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = W.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_text")
-    placed = keyed.withColumn("mix_text", F.xxhash64("text")).withColumn("place", F.row_number().over(within))
-    return placed.join(
-        offsets, (F.col("mix_source") == F.col("o_source")) & (F.col("mix_bucket") == F.col("o_bucket"))
-    ).withColumn("rank", F.col("offset") + F.col("place") - 1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "mark")
+    placed = keyed.select("source", "bucket", "key", "doc_id", F.xxhash64("text").alias("mark"), "given").withColumn("place", F.row_number().over(within))
+    return placed.join(offsets, ["source", "bucket"]).select("source", "given", (F.col("offset") + F.col("place") - 1).alias("rank"))
 
 
 def mixed(
-    docs: DataFrame,
-    weights: dict | None = None,
-    power: float = 0.5,
-    block: int = 8,
-    period: int = 1000,
-    bucket_rows: int = 4096,
-    max_sources: int = 100_000,
+    docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = 8, period: int = 1000, bucket_rows: int = 4096
 ) -> DataFrame:
     """docs(doc_id, text, source, ...) -> the same rows with mix_block, mix_slot and mix_place.
 
@@ -97,39 +107,33 @@ def mixed(
     takes the slot of block j mod n in period j div n. Sorting by (mix_slot, mix_place) is the mix.
     While all sources last, each is within one block of its weight at any point. A source that is
     used up leaves its slots empty; no row is dropped or repeated. The period grows to at least four
-    slots for each source; the source list (one row each, at most max_sources) is the only thing
-    that the driver sees.
+    slots for each source. There may be any number of sources: their list, one row each, is what one
+    task lays out; the driver sees only the number of rows and of slots.
 
     Null sources are one source of their own; rows repeat and tie freely. Given weights, sources not
-    named get one slot a period. Extra columns are kept; an empty table gives an empty table.
+    named get one slot a period. Extra columns are kept, whatever their names; an empty table gives an empty table.
     """
-    tagged = docs.withColumn("mix_source", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")))
-    listed = tagged.groupBy("mix_source").agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(listed) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r.mix_source: r.n for r in sorted(listed, key=lambda r: r.mix_source)}
-    named = {f"s:{k}" if k is not None else "null": v for k, v in weights.items()} if weights else None
-    slots = shares(sizes, max(period, 4 * len(sizes)), power, named) if sizes else {}
-    length = sum(slots.values()) or 1
-    plan = [(s, slots[s], j, slot) for s, j, slot in pfair_period(slots)] if slots else []
-    spark = docs.sparkSession
-    layout = spark.createDataFrame(plan, "p_source string, p_share int, p_block int, p_slot int")
-    share = spark.createDataFrame(list(slots.items()), "h_source string, share int")
-    buckets = max(1, -(-sum(sizes.values()) // bucket_rows))
-    rows = ranked(tagged, buckets).withColumn("mix_block", F.floor(F.col("rank") / block).cast("long"))
-    rows = rows.join(share, rows.mix_source == share.h_source)
-    turn = F.floor(F.col("mix_block") / F.col("share")).cast("long")
-    found = rows.join(
-        layout,
-        (F.col("mix_source") == F.col("p_source")) & ((F.col("mix_block") % F.col("share")).cast("int") == F.col("p_block")),
+    tagged = docs.select(
+        F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source"),
+        "doc_id",
+        F.col("text").cast("string").alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"),
     )
-    keep = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
-    return found.select(
-        *keep,
-        "mix_block",
-        (turn * length + F.col("p_slot")).alias("mix_slot"),
+    named = {f"s:{k}" if k is not None else "null": v for k, v in weights.items()} if weights else None
+    sizes = written(tagged.groupBy("source").agg(F.count("*").alias("n")))
+    layout = schedule(sizes, period, power, named)
+    total, length = sizes.agg(F.sum("n")).first()[0] or 0, layout.count() or 1
+    rows = ranked(tagged, max(1, -(-total // bucket_rows))).withColumn("nth", F.floor(F.col("rank") / block).cast("long"))
+    share = layout.where("block = 0").select("source", "share")
+    found = rows.join(share, "source").withColumn("block", F.col("nth") % F.col("share")).join(layout.select("source", "block", "slot"), ["source", "block"])
+    done = found.select(
+        "given",
+        F.col("nth").alias("mix_block"),
+        (F.floor(F.col("nth") / F.col("share")).cast("long") * length + F.col("slot")).alias("mix_slot"),
         (F.col("rank") % block).cast("long").alias("mix_place"),
     )
+    new = ["mix_block", "mix_slot", "mix_place"]
+    return done.select(*(F.col(f"given.`{c}`") for c in docs.columns if c not in new), *new)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def test_equals_sql(spark):
 def test_every_prefix_is_within_one_block():
     for slots in ({"a": 1, "b": 2, "c": 997}, {"a": 333, "b": 333, "c": 334}, {str(k): 50 for k in range(20)}, {"x": 10}):
         period, done = sum(slots.values()), Counter()
-        plan = mixing.pfair_period(slots)
+        plan = list(mixing.pfair_slots(slots))
         assert [s for _, _, s in plan] == list(range(period))
         for source, j, slot in plan:
             assert j == done[source]
@@ -38,3 +38,18 @@ def test_rows_are_kept_and_mixed(spark):
         assert (r.mix_block, r.mix_place) == divmod(place.setdefault(r.source, 0), 4)
         place[r.source] += 1
     assert mixing.mixed(docs.where("false")).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["rank", "place", "share", "p_slot", "offset", "bucket", "key", "given", "nth", "block", "slot", "mix_source"]
+    frame = spark.createDataFrame([(k, "t", "ab"[k % 2], *(100 * k + i for i in range(len(names)))) for k in range(40)], ["doc_id", "text", "source", *names])
+    got = mixing.mixed(frame, block=2, period=10, bucket_rows=8)
+    assert got.columns == [*frame.columns, "mix_block", "mix_slot", "mix_place"]
+    assert all(r[n] == 100 * r.doc_id + i for r in got.collect() for i, n in enumerate(names))
+
+
+def test_many_sources_and_rows_without_ids(spark):
+    docs = spark.range(30_000).selectExpr("cast(null as long) doc_id", "string(id) text", "string(id % 15000) source")
+    got = mixing.mixed(docs, block=1)
+    assert got.count() == 30_000 and got.select("mix_slot", "mix_place").distinct().count() == 30_000
+    assert max(mixing.shares({str(k): 1 for k in range(3000)} | {"big": 10**12}, 3500, 1.0).values()) == 500
