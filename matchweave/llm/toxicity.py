@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 FOLDS = 5
+#: An odd 64-bit multiplier for the hashes of n-grams.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -20,10 +22,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def subwords(word: str, buckets: int, low: int = 3, high: int = 5) -> list[int]:
-    """Hash buckets of a marked word, or piece of one, and of its character n-grams."""
-    grams = {word} | {word[k : k + n] for n in range(low, high + 1) for k in range(len(word) - n + 1)}
-    return sorted({crc32(g.encode("utf-8", "replace")) % buckets for g in grams})
+def subwords(words: list[str], buckets: int, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hash bucket) of every marked word, or piece of one, and of each of its character n-grams."""
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(codes)) - starts[owner]
+    powers = np.cumprod(np.full(int(lengths.max()), MIX, dtype=np.uint64))
+    hashed, owners = [np.add.reduceat(codes * powers[place], starts)], [np.arange(len(words))]
+    gram, left = codes * MIX, lengths[owner] - place
+    for n in range(2, high + 1):
+        gram = gram[:-1] if len(gram) == len(codes) - n + 2 else gram
+        gram = (gram ^ codes[n - 1 :]) * MIX
+        if n >= low:
+            inside = np.flatnonzero(left[: len(gram)] >= n)
+            hashed.append(gram[inside] + np.uint64(n))
+            owners.append(owner[inside])
+    x = np.concatenate(hashed)
+    x = (x ^ (x >> np.uint64(29))) * MIX
+    return np.concatenate(owners), ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def distinct_words(text: str | None, longest: int = 64, overlap: int = 4) -> list[str]:
@@ -33,7 +53,7 @@ def distinct_words(text: str | None, longest: int = 64, overlap: int = 4) -> lis
     than the longest n-gram, so that every n-gram of it lies in a piece.
     """
     out: dict[str, None] = {}
-    for word in sorted(set(WORD.findall((text or "").lower()))):
+    for word in set(WORD.findall((text or "").lower())):
         marked = f"<{word}>"
         if len(word) <= longest:
             out[marked] = None
@@ -49,21 +69,24 @@ class Model:
     bucket_logits: np.ndarray
     bias: float
 
-    def scores(self, texts, cache: dict | None = None, cache_words: int = 300_000) -> np.ndarray:
-        cache = {} if cache is None else cache
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            words = distinct_words(text)
-            if len(cache) > cache_words:
-                cache.clear()
-            total = 0.0
-            for w in words:
-                s = cache.get(w)
-                if s is None:
-                    s = cache[w] = float(self.bucket_logits[subwords(w, len(self.bucket_logits))].mean())
-                total += s
-            out[k] = total / max(len(words), 1) ** 0.5 + self.bias
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    def word_logits(self, words: list[str], block: int = 50_000) -> np.ndarray:
+        """The mean over each word's subwords."""
+        out = [np.zeros(0)]
+        for k in range(0, len(words), block):
+            owner, bucket = subwords(words[k : k + block], len(self.bucket_logits))
+            out.append(np.bincount(owner, weights=self.bucket_logits[bucket]) / np.bincount(owner))
+        return np.concatenate(out)
+
+    def scores(self, texts) -> np.ndarray:
+        """Probabilities of the texts; each different word of the batch is looked up once."""
+        number: dict[str, int] = {}
+        bags = [[number.setdefault(w, len(number)) for w in distinct_words(t)] for t in texts]
+        logits = self.word_logits(list(number))
+        size = np.array([len(b) for b in bags], dtype=np.int64)
+        row = np.repeat(np.arange(len(bags)), size)
+        at = np.fromiter((x for b in bags for x in b), dtype=np.int64, count=int(size.sum()))
+        total = np.bincount(row, weights=logits[at], minlength=len(bags)) / np.sqrt(np.maximum(size, 1)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def fit(
@@ -81,7 +104,7 @@ def fit(
 ) -> Model:
     """Train subword embeddings and the softmax jointly, by minibatch Adam in numpy.
 
-    A word is the mean of its subword embeddings, a text the sum of its distinct words' vectors over
+    A word is the mean of its n-grams' embeddings, a text the sum of its distinct words' vectors over
     the square root of their number: an average, scaled so that long texts don't drown a few words.
     Buckets seen in under min_texts texts are left out, and a share `drop` of each bag per step.
     """
@@ -90,17 +113,13 @@ def fit(
         return Model(np.zeros(buckets), 0.0 if len(y) == 0 else (30.0 if y[0] else -30.0))
     weight = np.ones(len(y)) if weights is None else np.asarray(weights, dtype=np.float64)
     weight = weight / weight.mean()
-    cache: dict[str, list[int]] = {}
     bags = []
     for text in texts:
-        words = distinct_words(text)
-        if len(cache) > 50_000:
-            cache.clear()
-        grams = [cache.get(w) or cache.setdefault(w, subwords(w, buckets)) for w in words]
-        share = [1 / len(g) / len(words) ** 0.5 for g in grams for _ in g]
-        at, where = np.unique(np.array([x for g in grams for x in g], dtype=np.int32), return_inverse=True)
+        words = sorted(distinct_words(text))
+        owner, bucket = subwords(words, buckets)
+        share = 1 / np.bincount(owner, minlength=len(words))[owner] / max(len(words), 1) ** 0.5
+        at, where = np.unique(bucket.astype(np.int32), return_inverse=True)
         bags.append((at, np.bincount(where, weights=share, minlength=len(at)).astype(np.float32)))
-    del cache
     spread = np.bincount(np.concatenate([at for at, _ in bags]), minlength=buckets)
     bags = [(at[spread[at] >= min_texts], share[spread[at] >= min_texts]) for at, share in bags]
     rng = np.random.default_rng(seed)
@@ -177,9 +196,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches):
-        cache: dict = {}
         for pdf in batches:
-            pdf["score"] = model.scores(list(pdf["text"]), cache)
+            pdf["score"] = model.scores(list(pdf["text"]))
             pdf["predicted"] = (pdf["score"] >= 0.5).astype("int32")
             yield pdf
 
