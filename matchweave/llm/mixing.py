@@ -26,6 +26,8 @@ def shares(sizes: dict, period: int, power: float = 0.5, weights: dict | None =
     scale = period / sum(exact.values()) if exact else 1
     exact = {s: max(x * scale, 1.0) for s, x in exact.items()}
     out = {s: int(x) for s, x in exact.items()}
+    if not exact:
+        return {}
     order = sorted(exact, key=lambda s: (-(exact[s] - out[s]), str(s)))
     short = period - sum(out.values())
     for k in range(max(short, 0)):
@@ -68,9 +70,12 @@ def schedule(sizes: DataFrame, period: int, power: float, weights: dict | None)
     The list of sources, one row each, goes to one task, which yields the slots as it makes them.
     """
     def run(batches):
-        listed = pd.concat([pd.DataFrame({"source": [], "n": []}), *batches]).sort_values("source")
+        frames = list(batches)
+        if not frames:
+            return
+        listed = pd.concat(frames).sort_values("source")
         slots = shares(dict(zip(listed["source"], listed["n"].tolist(), strict=True)), max(period, 4 * len(listed)), power, weights)
-        rows = ((s, slots[s], j, slot) for s, j, slot in (pfair_slots(slots) if slots else ()))
+        rows = ((s, slots[s], j, slot) for s, j, slot in pfair_slots(slots))
         while part := list(islice(rows, 100_000)):
             yield pd.DataFrame(part, columns=["source", "share", "block", "slot"])
 
