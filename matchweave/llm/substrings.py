@@ -124,35 +124,75 @@ def windows_of(texts: list[bytes], width: int, shingle: int, functions: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def chosen_windows(doc, key, n, first, last, functions: int, needed: int):
-    """(index, a, b): the windows by which a passage has to be sought, and for which starts.
+def supported_starts(doc: np.ndarray, first: np.ndarray, last: np.ndarray, needed: int):
+    """(doc, a, b): the runs of passage starts that lie in windows of at least `needed` functions; doc is in order.
 
     Interval join over the hash functions: first and last are the starts of a window's passages of the
-    least width, from max(l, c - width + 1) to min(c, r - width + 1); each start lies in one window of
-    every function, here in those whose key another text has. A passage that shares `needed` keys
-    with another has as many such windows and, as all keys have one order (rare ones first, n is a
-    key's frequency), shares one of its functions - needed + 1 first keys: the keys that nobody else
-    has come first of all.
+    least width, from max(l, c - width + 1) to min(c, r - width + 1). Each start lies in one window of
+    every function, so that as many windows around it as `needed` are as many functions.
     """
-    group = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 32
-    a, b = group + first, group + last
-    cuts = np.unique(np.concatenate([a, b + 1]))
-    begin, stop = np.searchsorted(cuts, a), np.searchsorted(cuts, b + 1)
-    level = np.cumsum(np.bincount(begin, minlength=len(cuts)) - np.bincount(stop, minlength=len(cuts)))
-    size = stop - begin
-    index = np.repeat(np.arange(len(a)), size)
-    piece = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size) + begin[index]
-    full = level[piece] >= needed
-    index, piece = index[full], piece[full]
-    order = np.lexsort((key[index], n[index], piece))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order)) - np.searchsorted(piece[order], piece[order])
-    early = rank <= level[piece] - needed
-    index, piece = index[early], piece[early]
-    found, at = np.unique(index, return_index=True)
-    last = np.append(at, len(index))[1:] - 1
-    base = group[found]
-    return found, cuts[piece[at]] - base, cuts[piece[last] + 1] - 1 - base
+    names, group = np.unique(doc, return_inverse=True)
+    base = group.astype(np.int64) << 32
+    at = np.concatenate([base + first, base + last + 1])
+    step = np.concatenate([np.ones(len(doc), dtype=np.int64), np.full(len(doc), -1)])
+    cuts, of = np.unique(at, return_inverse=True)
+    full = np.cumsum(np.bincount(of, weights=step, minlength=len(cuts))) >= needed - 0.5
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], full.astype(np.int8), [0]])))
+    a, b = cuts[edge[::2]], cuts[edge[1::2]] - 1
+    return names[a >> 32], a & 0xFFFFFFFF, b & 0xFFFFFFFF
+
+
+def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.ndarray, width: int, similarity: float):
+    """(shingle, doc, a, b): for runs of passage starts, the shingles by which another such passage is found.
+
+    Rows are the shingles of supported passages in document order; n is a shingle's frequency, 0 where
+    no other document has it. Of a window's W distinct shingles a close one as varied misses at most
+    W * (1 - similarity) / (1 + similarity); windows with more of them unshared are left out, and any
+    one more than that, here the rarest, must hold a shared one (prefix filter).
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if len(doc) < width:
+        return none, none, none, none
+    at = np.arange(len(doc))
+    order = np.lexsort((at, shingle, doc))
+    again = (doc[order[1:]] == doc[order[:-1]]) & (shingle[order[1:]] == shingle[order[:-1]])
+    back = np.full(len(doc), width)
+    back[order[1:][again]] = np.minimum((order[1:] - order[:-1])[again], width)
+    size, alone = distinct_counts(back, width), distinct_counts(back, width, n == 0)
+    spare = np.floor(size * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+    place = pos - at
+    whole = (doc[width - 1 :] == doc[: len(doc) - width + 1]) & (place[width - 1 :] == place[: len(doc) - width + 1])
+    start = np.flatnonzero(whole & (alone <= spare))
+    if not len(start):
+        return none, none, none, none
+    by_rarity = np.lexsort((shingle, n))
+    fresh = np.concatenate([[True], (n[by_rarity][1:] != n[by_rarity][:-1]) | (shingle[by_rarity][1:] != shingle[by_rarity][:-1])])
+    rank = np.empty(len(doc), dtype=np.int64)
+    rank[by_rarity] = np.cumsum(fresh) - 1
+    key = shingle[by_rarity[fresh]]
+    rank[n == 0] = len(key)
+    views = np.lib.stride_tricks.sliding_window_view(rank, width)
+    take = (spare + 1 - alone)[start]
+    found_rank, found_start = [], []
+    for plain in (True, False):
+        rows = np.flatnonzero((size[start] == width) == plain)
+        if not len(rows):
+            continue
+        most = int(take[rows].max())
+        held = views[start[rows]]
+        held = np.sort(np.partition(held, min(most, width) - 1, axis=1)[:, :most] if plain else held, axis=1)
+        new = np.ones(held.shape, dtype=bool)
+        new[:, 1:] = held[:, 1:] != held[:, :-1]
+        chosen = new & (np.cumsum(new, axis=1) <= take[rows][:, None]) & (held < len(key))
+        row, column = np.nonzero(chosen)
+        found_rank.append(held[row, column])
+        found_start.append(start[rows[row]])
+    r, s = np.concatenate(found_rank), np.concatenate(found_start)
+    order = np.lexsort((s, r))
+    r, s = r[order], s[order]
+    cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]]), [True]]))
+    a, b = s[cut[:-1]], s[cut[1:] - 1]
+    return key[r[cut[:-1]]], doc[a], pos[a], pos[b]
 
 
 def window_sums(flags: np.ndarray, width: int) -> np.ndarray:
@@ -329,7 +369,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 8, needed: int = 5
+    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 8, needed: int = 4
 ) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, class_id, repeats, n_passages, passages, sources.
 
@@ -338,9 +378,9 @@ def repeated_passages(
     similarity holds such a window, as its differing shingles cannot all be dense.
 
     Every document lists its compact windows under each hash function. Windows whose minimum no other
-    text has are dropped; an interval join within the document keeps those that share a passage with
-    windows of `needed` functions (half of them). Documents with a window of equal key are its members;
-    they are compared in rounds: with the first member, then with the next three, twelve and so on. A pair
+    document has are dropped; an interval join within the document finds the passages that lie in
+    windows of `needed` functions. Those passages are then joined exactly, by their rarest shingles
+    (rare_shingles): the documents that have one are its members; they are compared in rounds: with the first member, then with the next three, twelve and so on. A pair
     is left out if both are one class by then and the member's passage has a source already, so that
     each repeated passage and each class is found, while copies of a passage cost one comparison each.
     Compared are whole documents, every window with every window (alike_passages).
@@ -394,30 +434,58 @@ def repeated_passages(
     source = one_each.select("doc_id", F.col("text").cast("binary").alias("text")).join(copies, "doc_id", "left_anti")
     emitted = source.mapInArrow(emit, "key long, doc_id long, run long").repartition(parts, "key")
     # Counting `run` reads every column, so that the join below reuses this shuffle.
-    shared = emitted.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("run").alias("n")).where("x < y")
-    met = emitted.join(shared.select("key", "n").hint("shuffle_hash"), "key").select("doc_id", "key", "n", "run")
+    shared = emitted.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("run").alias("n")).where("x < y and n > 0")
+    met = emitted.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").select("doc_id", "run")
 
-    def support(batches):
+    def by_document(batches, columns: int, found):
+        """found() of the rows of whole documents, which come sorted; a document may be cut between batches."""
         kept = None
         for batch in batches:
-            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
             if not len(cut[0]):
                 continue
             cut = cut if kept is None else [np.concatenate(x) for x in zip(kept, cut, strict=True)]
             edge = int(np.searchsorted(cut[0], cut[0][-1]))
             kept = [x[edge:] for x in cut]
             if edge:
-                yield chosen(*(x[:edge] for x in cut))
+                yield found(*(x[:edge] for x in cut))
         if kept is not None:
-            yield chosen(*kept)
+            yield found(*kept)
 
-    def chosen(doc, key, n, run):
+    def spans(doc, run):
         first, more = np.divmod(run, width)
-        at, a, b = chosen_windows(doc, key, n, first, first + more, functions, needed)
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(a), pa.array(b)], ["key", "doc_id", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in supported_starts(doc, first, first + more, needed)], ["doc_id", "a", "b"])
 
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    windows = written(by_doc.mapInArrow(support, "key long, doc_id long, a long, b long"))
+    starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long"))
+    of_doc = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    body = written(source.join(of_doc, "doc_id").select("doc_id", "text", "spans"))
+    discard(starts)
+
+    def shingles(batches):
+        for batch in batches:
+            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+                hashes = text_shingles(text.as_py(), shingle)
+                a, b = (np.array([x[k] for x in runs.as_py()], dtype=np.int64) for k in "ab")
+                inside = np.zeros(len(hashes) + 1, dtype=np.int64)
+                np.add.at(inside, a, 1)
+                np.add.at(inside, b + width, -1)
+                at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+                columns = [hashes[at].view(np.int64), np.full(len(at), doc), at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "pos"])
+
+    dealt = body.select("doc_id", "text", "spans").mapInArrow(shingles, "key long, doc_id long, pos long").repartition(parts, "key")
+    # Counting `pos` reads every column, as above.
+    spread = dealt.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("pos").alias("n"))
+    spread = spread.select("key", F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(0).alias("n"))
+    placed = dealt.join(spread.hint("shuffle_hash"), "key").select("doc_id", "pos", "key", "n")
+
+    def rare(doc, pos, key, n):
+        found = rare_shingles(doc, pos, key, n, width, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "a", "b"])
+
+    sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos")
+    windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long"))
     several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     grouped = (
         windows.join(several_docs, "key", "left_semi")
@@ -429,7 +497,7 @@ def repeated_passages(
         grouped.select("key", "doc_id", "runs", nth.alias("nth"), F.lit(True).alias("open"), F.col("doc_id").alias("component"))
     )
     discard(windows)
-    body = written(source.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    body = body.select("doc_id", "text")
 
     def verify(batches):
         other_id = side = None

@@ -39,31 +39,38 @@ def test_compact_windows_are_subtrees():
         assert got == want
 
 
-def test_rare_windows_are_chosen_where_enough_functions_meet():
-    rng, width, functions, needed = np.random.default_rng(1), 5, 4, 3
-    n_keys = {k: int(rng.integers(2, 9)) for k in range(40)}
-    rows = []
-    for doc in (3, 4, 9):
-        for f in range(functions):
-            at = 0
-            while at < 60:
-                stop = at + int(rng.integers(1, 5))
-                if rng.random() < 0.7:
-                    key = f * 10 + int(rng.integers(10))
-                    rows.append((doc, key, n_keys[key], at, stop, stop + width - 1 if stop - at < width else at))
-                at = stop + 1
-    doc, key, n, l, c, r = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-    c = np.minimum(l + width - 1, r)
-    lo, hi = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
-    found, a, b = op.chosen_windows(doc, key, n, lo, hi, functions, needed)
-    got = {int(i): (int(x), int(y)) for i, x, y in zip(found, a, b, strict=True)}
-    want: dict = {}
-    for d in (3, 4, 9):
-        for s in range(70):
-            here = [i for i in range(len(doc)) if doc[i] == d and lo[i] <= s <= hi[i]]
-            here.sort(key=lambda i: (n[i], key[i]))
-            for i in here[: max(len(here) - needed + 1, 0)]:
-                want[i] = (min(want.get(i, (s, s))[0], s), s)
+def test_supported_starts_lie_in_enough_windows():
+    rng = np.random.default_rng(1)
+    doc = np.sort(rng.integers(0, 9, 200))
+    first = rng.integers(0, 60, 200)
+    last = first + rng.integers(0, 9, 200)
+    got = {(int(d), s) for d, a, b in zip(*op.supported_starts(doc, first, last, 3), strict=True) for s in range(a, b + 1)}
+    cover = {}
+    for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
+        for s in range(a, b + 1):
+            cover[d, s] = cover.get((d, s), 0) + 1
+    assert got == {k for k, n in cover.items() if n >= 3} and got
+
+
+def test_rare_shingles_are_the_prefix_of_every_window():
+    rng, width = np.random.default_rng(2), 9
+    doc = np.repeat([2, 3, 7], [60, 40, 8])
+    pos = np.concatenate([np.arange(5, 45), np.arange(90, 110), np.arange(40), np.arange(8)])
+    shingle = rng.integers(0, 40, len(doc))
+    shingle[:25] = np.arange(100, 125)
+    n = np.where(shingle % 9 == 0, 0, 1 + shingle % 5)
+    got = set()
+    for key, d, a, b in zip(*op.rare_shingles(doc, pos, shingle, n, width, 0.8), strict=True):
+        got |= {(int(key), int(d), s) for s in range(a, b + 1)}
+    at, want = {(d, p): (s, k) for d, p, s, k in zip(doc.tolist(), pos.tolist(), shingle.tolist(), n.tolist(), strict=True)}, set()
+    for d, p in at:
+        window = [at.get((d, p + k)) for k in range(width)]
+        if None in window:
+            continue
+        shared, alone = {w for w in window if w[1]}, {w for w in window if not w[1]}
+        spare = (len(shared) + len(alone)) // 9
+        if len(alone) <= spare:
+            want |= {(s, d, p) for s, _ in sorted(shared, key=lambda w: (w[1], w[0]))[: spare + 1 - len(alone)]}
     assert got == want and want
 
 
