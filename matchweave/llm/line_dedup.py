@@ -111,21 +111,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, salts: int = 8) -> DataFra
         .where("start <= stop")
     )
     gone = pieces.groupBy(F.col("doc_id").alias("gone_id")).agg(F.flatten(F.collect_list(F.sequence("start", "stop"))).alias("gone"))
-    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
-    found = given.join(gone, F.expr("id = gone_id"), "left").select("text", "given", "gone", F.split("text", "\n", -1).alias("split"))
+    new = ["text", "n_lines", "n_removed"]
+    others = {c: f"given_{k}" for k, c in enumerate(docs.columns) if c not in new}
+    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in others.items()))
+    found = given.join(gone, F.expr("id = gone_id"), "left").select("text", *others.values(), "gone", F.split("text", "\n", -1).alias("split"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
     text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("split", i)), "\n")
     )
     gaps = F.when(F.col("text").isNull(), F.lit(0))
     done = found.select(
-        "given",
+        *others.values(),
         text.alias("text"),
         gaps.otherwise(F.size("split")).cast("long").alias("n_lines"),
         gaps.otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"),
     )
-    new = ["text", "n_lines", "n_removed"]
-    return done.select(*(F.col(f"given.`{c}`") for c in docs.columns if c not in new), *new)
+    return done.select(*(F.col(k).alias(c) for c, k in others.items()), *new)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
