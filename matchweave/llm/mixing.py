@@ -83,12 +83,13 @@ def schedule(sizes: DataFrame, period: int, power: float, weights: dict | None)
 
 
 def ranked(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(source, doc_id, text, given) -> (source, given, rank): the row's place in its source by the MD5 of its id.
+    """docs(source, doc_id, text, ...) -> all but these two, with rank: the row's place in its source by the MD5 of its id.
 
     Rows are counted per source and hash bucket; a running sum over the buckets plus the place
     within the bucket gives the rank, so that no source is ever sorted in one task. Rows without an
     id take the MD5 of their text, so that they spread as well.
     """
+    others = [c for c in docs.columns if c not in ("source", "doc_id", "text")]
     keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))).withColumn(
         "bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")
     )
@@ -97,8 +98,8 @@ def ranked(docs: DataFrame, buckets: int) -> DataFrame:
         keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "mark")
-    placed = keyed.select("source", "bucket", "key", "doc_id", F.xxhash64("text").alias("mark"), "given").withColumn("place", F.row_number().over(within))
-    return placed.join(offsets, ["source", "bucket"]).select("source", "given", (F.col("offset") + F.col("place") - 1).alias("rank"))
+    placed = keyed.select("source", "bucket", "key", "doc_id", F.xxhash64("text").alias("mark"), *others).withColumn("place", F.row_number().over(within))
+    return placed.join(offsets, ["source", "bucket"]).select("source", *others, (F.col("offset") + F.col("place") - 1).alias("rank"))
 
 
 def mixed(
@@ -118,11 +119,13 @@ def mixed(
     Null sources are one source of their own; rows repeat and tie freely. Given weights, sources not
     named get one slot a period. Extra columns are kept, whatever their names; an empty table gives an empty table.
     """
+    new = ["mix_block", "mix_slot", "mix_place"]
+    others = {c: f"given_{k}" for k, c in enumerate(docs.columns) if c not in new}
     tagged = docs.select(
         F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source"),
         "doc_id",
         F.col("text").cast("string").alias("text"),
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"),
+        *(F.col(f"`{c}`").alias(k) for c, k in others.items()),
     )
     named = {f"s:{k}" if k is not None else "null": v for k, v in weights.items()} if weights else None
     sizes = written(tagged.groupBy("source").agg(F.count("*").alias("n")))
@@ -132,13 +135,12 @@ def mixed(
     share = layout.where("block = 0").select("source", "share")
     found = rows.join(share, "source").withColumn("block", F.col("nth") % F.col("share")).join(layout.select("source", "block", "slot"), ["source", "block"])
     done = found.select(
-        "given",
+        *others.values(),
         F.col("nth").alias("mix_block"),
         (F.floor(F.col("nth") / F.col("share")).cast("long") * length + F.col("slot")).alias("mix_slot"),
         (F.col("rank") % block).cast("long").alias("mix_place"),
     )
-    new = ["mix_block", "mix_slot", "mix_place"]
-    return done.select(*(F.col(f"given.`{c}`") for c in docs.columns if c not in new), *new)
+    return done.select(*(F.col(k).alias(c) for c, k in others.items()), *new)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
