@@ -48,37 +48,70 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """All valid matches of one kind: array<struct<start, stop, value>> in code points, in order.
+def running(items: str, start: Column, carry, emit, kind: str, chunk=None, block: int = 256) -> Column:
+    """[emit(state, item), ...] over an array column, the state carried on from item to item.
+
+    Works in blocks, as an array that grows item by item would be copied whole each time. `items`
+    is a column's name: an expression would be worked out anew for each block. With chunk(state,
+    block), emit gets what that gives for a block and the block's first state as well.
+    """
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda b: F.slice(items, b * block + 1, F.lit(block))
+    )
+    empty = F.array().cast(f"array<{kind}>")
+
+    def step(acc, x):
+        new = emit(acc["at"], x, acc["chunk"], acc["origin"]) if chunk else emit(acc["at"], x)
+        kept = [acc[c].alias(c) for c in ("chunk", "origin") if chunk]
+        return F.struct(carry(acc["at"], x).alias("at"), *kept, F.concat(acc["out"], F.array(new)).alias("out"))
+
+    def head(acc, part):
+        return F.struct(F.aggregate(part, acc["at"], carry).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def one(part, at):
+        given = [chunk(at, part).alias("chunk"), at.alias("origin")] if chunk else []
+        return F.aggregate(part, F.struct(at.alias("at"), *given, empty.alias("out")), step, lambda acc: acc["out"])
+
+    heads = F.aggregate(blocks, F.struct(start.alias("at"), F.array_repeat(start, 0).alias("out")), head, lambda acc: acc["out"])
+    return F.when(F.size(items) > 0, F.flatten(F.zip_with(blocks, heads, one))).otherwise(empty)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """A pattern's matches with the length of what stands before each: array<struct<gap, value>>.
 
     The pattern splits the text into matches and what lies between; their lengths add up to positions.
     """
-    pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    gaps = F.split(text, pattern, -1)
+    return F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
 
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        stop = begin + F.length(pair["m"])
-        return F.struct(
-            stop.alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), pair["m"].alias("value")))).alias("spans"),
-        )
 
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    checked = F.filter(placed, lambda s: valid(kind, s["value"]))
-    hint = HINTS[kind]
-    there = F.contains(text, F.lit(hint)) if hint else text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
-    return F.when(there, checked).otherwise(empty)
+def located(items: str) -> Column:
+    """A column of matches as array<struct<start, stop, value>> in code points, in order."""
+    return running(
+        items,
+        F.lit(0),
+        lambda at, m: at + m["gap"] + F.length(m["value"]),
+        lambda at, m: F.struct((at + m["gap"]).alias("start"), (at + m["gap"] + F.length(m["value"])).alias("stop"), m["value"].alias("value")),
+        "struct<start:int,stop:int,value:string>",
+    )
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs -> row key, doc_id, text and one array of spans for each kind."""
+    """docs -> doc_id, text and the valid matches of each kind: array<struct<start, stop, value>>."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", *(spans_of(k, F.col("text")).alias(k) for k in PATTERNS))
+    text, none = F.col("text"), F.array().cast("array<struct<gap:int,value:string>>")
+
+    def tried(kind: str) -> Column:
+        hint = HINTS[kind]
+        there = F.contains(text, F.lit(hint)) if hint else text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
+        return F.when(there, matches(text, PATTERNS[kind])).otherwise(none)
+
+    def checked(kind: str) -> Column:
+        return F.filter(located(kind), lambda s: valid(kind, s["value"]))
+
+    found = rows.select("doc_id", "text", *(tried(k).alias(k) for k in PATTERNS))
+    return found.select("doc_id", "text", *(checked(k).alias(k) for k in PATTERNS))
 
 
 def _tagged(kind: str) -> Column:
@@ -94,127 +127,87 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def revealing_terms(docs_terms: DataFrame, near: DataFrame, n_docs: int, disclosure: float) -> DataFrame:
-    """(kind, value, term) pairs whose mutual information reaches the disclosure threshold.
+def revealing_terms(entities: DataFrame, words: DataFrame, spread: DataFrame, n_docs: int, disclosure: float, support: int) -> DataFrame:
+    """(row, term): the terms of a document that give one of its entities away.
 
+    entities(row, kind, value), words(row, term) of their documents, spread(term, n_t) of all documents.
     An entity e in n_e of N documents carries log(N / n_e). A term t in n_t documents, n_te of them
-    close to e, reveals log(n_te * N / (n_t * n_e)) of it. The pair is returned if that is at least
-    `disclosure` of the whole.
+    with e, reveals log(n_te * N / (n_t * n_e)) of it, and is returned if that is at least
+    `disclosure` of the whole. Estimates from under `support` documents don't count. As n_te is n_e
+    at most, no term in more than n_e * (N / n_e) ** (1 - disclosure) documents can qualify: pairs are
+    made of rarer terms only.
     """
-    joint = near.groupBy("kind", "value", "term").agg(F.count_distinct("row").alias("n_te"))
-    alone = near.select("kind", "value", "row").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    wanted = joint.select("term").distinct()
-    spread = docs_terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
-    whole = F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    shown = F.log(F.col("n_te") * float(n_docs) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    return (
-        joint.join(alone, ["kind", "value"])
-        .join(spread, "term")
-        .where((whole > 0) & (shown >= whole * disclosure))
-        .select("kind", "value", "term")
+    n = float(n_docs)
+    known = entities.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(support, n_docs - 1))
+    known = known.withColumn("most", F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - disclosure)) + 1e-6)
+    rows = entities.join(known, ["kind", "value"])
+    joint = (
+        words.join(spread.where(F.col("n_t") >= support), "term").join(rows, "row").where("n_t <= most")
+    )
+    whole, shown = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
+    telling = (
+        joint.groupBy("kind", "value", "term", "n_e", "n_t")
+        .agg(F.count("*").alias("n_te"))
+        .where((F.col("n_te") >= support) & (shown >= whole * disclosure))
     )
+    return joint.join(telling.select("kind", "value", "term"), ["kind", "value", "term"], "left_semi").select("row", "term").distinct()
 
 
-def sanitized(docs: DataFrame, disclosure: float = 0.9, reach: int = 80, min_letters: int = 3) -> DataFrame:
+def sanitized(docs: DataFrame, disclosure: float = 0.9, support: int = 2) -> DataFrame:
     """docs(doc_id, text) -> doc_id, the spans found, and `sanitized`: the text with them generalised, null where it stays.
 
     Base spans: email, ip, card and phone by pattern over the whole text. Then an
-    information-theoretic pass: every distinct value is a protected entity; the terms within `reach`
-    characters of it, counted over all documents, show how strongly they give it away
-    (revealing_terms). Occurrences of a revealing term within reach of its entity become spans of
-    kind term, unless they overlap a base span. Spans are replaced by their kind in brackets, terms
-    removed to "[term]".
+    information-theoretic pass: every distinct value is a protected entity; the words of the whole
+    texts it occurs in, counted over all documents, show how strongly they give it away
+    (revealing_terms). Every occurrence of a revealing term in such a text becomes a span of
+    kind term, unless it overlaps a base span. Spans are replaced by their kind in brackets, terms
+    removed to "[term]". Terms are runs of letters of any script and length.
 
     Document counts of all words come from one pass over all texts, combined per task before the
-    shuffle; entity contexts are bounded by `reach`, so a long document cannot pair all its words
-    with all its entities. Null texts are empty; null and repeated ids are separate rows.
+    shuffle; words are paired with entities only where both are rare enough to qualify. Null texts
+    are empty; null and repeated ids are separate rows.
     """
     found_base = base_spans(docs).withColumn("row", F.monotonically_increasing_id())
     some = F.size(F.concat(*PATTERNS)) > 0
     numbered = written(found_base.withColumn("text", F.when(some, F.col("text"))))
     n_docs = numbered.count()
-    entities = numbered.select(
-        "row",
-        "text",
-        F.explode(
-            F.concat(
-                *(F.transform(F.col(k), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"))) for k in PATTERNS)
-            )
-        ).alias("e"),
-    )
-    left = F.greatest(F.col("e.start") - reach, F.lit(0))
-    contexts = entities.select(
-        "row",
-        "e.kind",
-        F.translate(F.col("e.value"), UPPER, LOWER).alias("value"),
-        F.explode(
-            F.array(
-                F.struct(left.alias("base"), F.substring("text", left + 1, F.col("e.start") - left).alias("part"), (left > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-                F.struct(
-                    F.col("e.stop").alias("base"),
-                    F.substring("text", F.col("e.stop") + 1, F.lit(reach)).alias("part"),
-                    F.lit(False).alias("cut_left"),
-                    (F.length("text") > F.col("e.stop") + reach).alias("cut_right"),
-                ),
-            )
-        ).alias("c"),
-    ).select("row", "kind", "value", "c.*")
-    found = F.regexp_extract_all("part", F.lit(TERM), F.lit(0))
-    gaps = F.split("part", TERM, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,term:string>>")
-
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        stop = begin + F.length(pair["m"])
-        return F.struct(
-            stop.alias("at"),
-            F.concat(acc["terms"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), pair["m"].alias("term")))).alias("terms"),
-        )
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    placed = F.aggregate(pairs, F.struct(F.col("base").alias("at"), empty.alias("terms")), step, lambda acc: acc["terms"])
-    near = written(
-        contexts.withColumn("t", F.explode(placed))
-        .where(
-            (F.length("t.term") >= min_letters)
-            & ~(F.col("cut_left") & (F.col("t.start") == F.col("base")))
-            & ~(F.col("cut_right") & (F.col("t.stop") == F.col("base") + F.length("part")))
-        )
-        .select("row", "kind", "value", "t.start", "t.stop", F.translate("t.term", UPPER, LOWER).alias("term"))
-    )
-    terms = docs.select(
-        F.explode(F.array_distinct(F.split(F.translate(F.col("text").cast("string"), UPPER, LOWER), TERM_GAP, -1))).alias("term")
-    )
-    telling = revealing_terms(terms, near, n_docs, disclosure)
-    extra = (
-        near.join(telling, ["kind", "value", "term"])
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "stop"))).alias("terms"))
-        .withColumnRenamed("row", "term_row")
-    )
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.translate(s["value"], UPPER, LOWER).alias("value")))
+
+    listed = F.concat(*map(named, PATTERNS))
+    entities = written(numbered.where("text is not null").select("row", F.explode(F.array_distinct(listed)).alias("e")).select("row", "e.*"))
+    words_of = lambda text: F.explode(F.array_distinct(F.split(F.translate(text, UPPER, LOWER), TERM_GAP, -1)))
+    spread = docs.select(words_of(F.col("text").cast("string")).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = numbered.where("text is not null").select("row", words_of(F.col("text")).alias("term")).where("term != ''")
+    telling = revealing_terms(entities, words, spread, n_docs, disclosure, support)
+    per_row = telling.groupBy(F.col("row").alias("term_row")).agg(F.collect_set("term").alias("telling"))
     base = F.array_sort(F.concat(*(_tagged(k) for k in PATTERNS)))
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    joined = numbered.withColumn("base", base).join(extra, F.col("row") == F.col("term_row"), "left")
+    joined = numbered.join(per_row, F.col("row") == F.col("term_row"), "left").select("*", base.alias("base"))
+    none = F.array().cast("array<struct<gap:int,value:string>>")
+    terms = joined.withColumn("terms", F.when(F.col("telling").isNotNull(), matches(F.col("text"), TERM)).otherwise(none)).withColumn("terms", located("terms"))
     free = F.filter(
-        F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
+        "terms",
+        lambda t: F.array_contains("telling", F.translate(t["value"], UPPER, LOWER))
+        & ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
-    whole = joined.withColumn("spans", F.array_sort(F.concat("base", free)))
+    tagged = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), t["stop"].alias("stop")))
+    spans = F.when(F.col("telling").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", tagged)))
+    whole = terms.withColumn("spans", spans)
     names = F.array(*map(F.lit, KINDS))
-
-    def cut(acc, s):
-        begin = F.greatest(s["start"], acc["at"])
-        return F.when(s["stop"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["stop"].alias("at"),
-                F.concat(acc["parts"], F.array(F.substring("text", acc["at"] + 1, begin - acc["at"]), F.concat(F.lit("["), F.get(names, s["rank"]), F.lit("]")))).alias("parts"),
-            )
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    clean = F.aggregate(
-        "spans", start, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", acc["at"] + 1, F.length("text")))
+    # What stands before a span, from the furthest end so far, and its kind; nothing for a span inside others.
+    pieces = running(
+        "spans",
+        F.lit(0),
+        lambda at, s: F.greatest(at, s["stop"]),
+        lambda at, s, part, origin: F.when(s["stop"] <= at, F.lit("")).otherwise(
+            F.concat(F.substring(part, at - origin + 1, F.greatest(s["start"] - at, F.lit(0))), F.lit("["), F.get(names, s["rank"]), F.lit("]"))
+        ),
+        "string",
+        chunk=lambda at, block: F.substring("text", at + 1, F.greatest(F.array_max(F.transform(block, lambda s: s["stop"])) - at, F.lit(0))),
     )
-    return whole.select(
+    end = F.array_max(F.transform("spans", lambda s: s["stop"]))
+    clean = F.when(F.size("spans") > 0, F.concat(F.array_join("pieces", ""), F.substring("text", end + 1, F.length("text"))))
+    return whole.withColumn("pieces", pieces).select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),

@@ -37,7 +37,7 @@ def low(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
-def brute(docs, disclosure=0.9, reach=80):
+def brute(docs, disclosure=0.9, support=2):
     texts = [t or "" for _, t in docs]
     base = []
     for t in texts:
@@ -45,27 +45,27 @@ def brute(docs, disclosure=0.9, reach=80):
             (m.start(), k, m.end(), m[0]) for k, kind in enumerate(PLAIN) for m in re.finditer(PLAIN[kind], t) if plain_valid(kind, m[0])
         ]
         base.append(sorted(found))
-    n_t, joint, alone, places = defaultdict(int), defaultdict(set), defaultdict(set), []
-    for t in texts:
-        for w in set(regex.findall(TERM, low(t))):
+    words = [set(regex.findall(TERM, low(t))) for t in texts]
+    n_t, joint, alone = defaultdict(int), defaultdict(int), defaultdict(int)
+    entities = [{(kind, low(value)) for _, kind, _, value in b} for b in base]
+    for row in range(len(docs)):
+        for w in words[row]:
             n_t[w] += 1
-    for row, t in enumerate(texts):
-        for start, kind, stop, value in base[row]:
-            left = max(start - reach, 0)
-            e = (kind, low(value))
-            for at, part, cl, cr in ((left, t[left:start], left > 0, False), (stop, t[stop : stop + reach], False, len(t) > stop + reach)):
-                for m in regex.finditer(TERM, part):
-                    if len(m[0]) < 3 or (cl and m.start() == 0) or (cr and m.end() == len(part)):
-                        continue
-                    joint[e, low(m[0])].add(row)
-                    places.append((row, e, low(m[0]), at + m.start(), at + m.end()))
-                    alone[e].add(row)
+        for e in entities[row]:
+            alone[e] += 1
+            for w in words[row]:
+                joint[e, w] += 1
     n, extra = len(docs), defaultdict(set)
-    for row, e, w, a, b in places:
-        n_e, n_te = len(alone[e]), len(joint[e, w])
-        whole, shown = math.log(n / n_e), math.log(n_te * n / (max(n_t[w], n_te) * n_e))
-        if whole > 0 and shown >= whole * disclosure and not any(s < b and a < z for s, _, z, _ in base[row]):
-            extra[row].add((a, 4, b))
+    telling = set()
+    for (e, w), n_te in joint.items():
+        n_e = alone[e]
+        if n_te >= support and n_e < n and math.log(n_te * n / (n_t[w] * n_e)) >= math.log(n / n_e) * disclosure:
+            telling.add((e, w))
+    for row, t in enumerate(texts):
+        mine = {w for w in words[row] if any((e, w) in telling for e in entities[row])}
+        for m in regex.finditer(TERM, t):
+            if low(m[0]) in mine and not any(s < m.end() and m.start() < z for s, _, z, _ in base[row]):
+                extra[row].add((m.start(), 4, m.end()))
     out = []
     for row, (doc_id, _) in enumerate(docs):
         name = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
@@ -106,7 +106,17 @@ def test_odd_texts(spark):
 
 
 def test_revealing_terms_are_generalised(spark):
-    docs = [(1, "Write to Rumpelstilz at rumpel@castle.org today")] + [(k, "Write to us at the office today") for k in range(2, 60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.sanitized for r in pii.sanitized(frame).collect()}
-    assert got[1] == "Write to [term] at [email] today" and got[2] is None
+    far = " and so on" * 30
+    docs = [(k, f"Rumpelstilz{far} wrote: rumpel@castle.org, 李明{far} rumpelstilz") for k in (1, 2)]
+    docs += [(k, "Write to us at once@office.org today or wrote and so on") for k in (3, 4)] + [(k, "Write to the office today wrote and so on") for k in range(5, 60)]
+    docs += [(60, "only once: a@b.cc")]
+    got = {r.doc_id: r.sanitized for r in pii.sanitized(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == f"[term]{far} wrote: [email], [term]{far} [term]"
+    assert got[3] == "Write to [term] [term] [email] today or wrote and so on".replace(" or ", " [term] ")
+    assert got[5] is None and got[60] == "only once: [email]"
+
+
+def test_thousands_of_entities_in_one_text(spark):
+    text = " ".join(f"user{k}@host{k}.org" for k in range(16_000))
+    got = pii.sanitized(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].n_email == 16_000 and got[0].sanitized == " ".join(["[email]"] * 16_000)
