@@ -68,14 +68,22 @@ class Page:
         return False
 
     def _parse(self, html: str) -> None:
+        """One pass; open elements are found by tag, so that deep and unclosed markup costs no search."""
         stack, at, events = [0], 0, self.events
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = []
 
         def close(k: int) -> None:
             while len(stack) > k:
                 n = stack.pop()
+                places[self.tags[n]].pop()
                 if self.tags[n] in BLOCK:
+                    blocks.pop()
                     events.append((n, None))
 
+        def tag_at(k: int) -> str:
+            return self.tags[stack[k]]
+
         while True:
             m = TOKEN.search(html, at)
             text = html[at : m.start()] if m else html[at:]
@@ -89,23 +97,23 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and self.tags[stack[k]] in BLOCK and self.tags[stack[k]] != "p":
-                        break
+                if not places.get(tag):
+                    continue
+                k, wall = places[tag][-1], -1
+                if tag not in BLOCK:
+                    wall = next((b for b in reversed(blocks) if tag_at(b) != "p"), -1)
+                if k > wall:
+                    close(k)
                 continue
             ends = SIBLINGS.get(tag, {"p"} if tag in CLOSES_P else set())
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tags[stack[k]]
-                    if open_tag in ends:
-                        close(k)
-                        if tag != "tr" or open_tag == "tr":
-                            break
-                    elif open_tag in BLOCK and not (tag == "tr" and open_tag in ("td", "th")):
+            while ends and blocks:
+                open_tag = tag_at(blocks[-1])
+                if open_tag in ends:
+                    close(blocks[-1])
+                    if tag != "tr" or open_tag == "tr":
                         break
+                else:
+                    break
             if tag == "br":
                 events.append((stack[-1], " "))
             n = self._open(tag, stack[-1], m[3] or m[6] or "")
@@ -115,6 +123,9 @@ class Page:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
             elif tag not in VOID:
+                places.setdefault(tag, []).append(len(stack))
+                if tag in BLOCK:
+                    blocks.append(len(stack))
                 stack.append(n)
         close(1)
 
@@ -136,20 +147,14 @@ class Page:
         return out
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page: one line for each block.
+def composite_density(page: Page, out: list[bool]) -> list[float]:
+    """For every element: its characters per tag, lowered the more of its text is linked; 0 without text.
 
-    Of what is left after the parts named in Page.dropped, each element gets the composite text
-    density: characters per tag, lowered the more of its text is linked. The element whose children's
-    densities sum highest is the centre; the smallest density on its way up to the body is the
-    threshold. Elements at or above it contribute the highest-sum element below them. If the centre
-    lies in an article or main element, that whole element is the text.
+    With C characters, T tags, LC linked characters and LT links below it, and the page's share of
+    linked characters: C/T * log(C/LC * T/LT + 1) / log(log(C/(C - LC) * LC + share * C + e) + e - 1);
+    zeros among the divisors count as 1. Dropped parts count nowhere.
     """
-    if not html:
-        return ""
-    page = Page(html)
-    out, n = page.dropped(), len(page.tags)
-    parents, tags = page.parents, page.tags
+    n, parents, tags = len(page.tags), page.parents, page.tags
     chars, links, count, linked = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for k in range(1, n):
@@ -159,44 +164,68 @@ def main_text(html: str | None) -> str:
             size = len("".join(text.split()))
             chars[k] += size
             links[k] += size * in_link[k]
-    last = list(range(n))
     for k in range(n - 1, 0, -1):
         p = parents[k]
-        last[p] = max(last[p], last[k])
         if not out[k]:
             chars[p] += chars[k]
             links[p] += links[k]
             count[p] += count[k] + 1
             linked[p] += linked[k] + (tags[k] == "a")
-    if not chars[0]:
-        return ""
-    share, density, total = links[0] / chars[0], [0.0] * n, [0.0] * n
+    share, density = links[0] / max(chars[0], 1), [0.0] * n
     for k in range(n):
-        if out[k] or not chars[k]:
-            continue
-        c, t = chars[k], max(count[k], 1)
-        base = log(log(c / max(c - links[k], 1) * links[k] + share * c + e) + e - 1)
-        density[k] = c / t * log(max(c / max(links[k], 1) * t / max(linked[k], 1), 1) + 1) / base
+        if not out[k] and chars[k]:
+            c, t = chars[k], max(count[k], 1)
+            base = log(log(c / max(c - links[k], 1) * links[k] + share * c + e) + e - 1)
+            density[k] = c / t * log(max(c / max(links[k], 1) * t / max(linked[k], 1), 1) + 1) / base
+    return density
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page: one line for each block.
+
+    Of what is left after the parts named in Page.dropped, each block element gets the composite
+    text density (composite_density). The block whose child blocks' densities sum highest is the
+    centre; the smallest density on its way up to the body is the threshold. Blocks at or above it
+    contribute the highest-sum block below them; on the centre's way up, those that add the main
+    heading or close off the article contribute as a whole.
+    """
+    if not html:
+        return ""
+    page = Page(html)
+    out, n = page.dropped(), len(page.tags)
+    parents, tags = page.parents, page.tags
+    density = composite_density(page, out)
+    if not any(density):
+        return ""
+    total, up = [0.0] * n, list(range(n))
     for k in range(1, n):
-        total[parents[k]] += density[k]
+        p = parents[k]
+        up[k] = p if tags[p] in BLOCK or p == 0 else up[p]
+        if tags[k] in BLOCK:
+            total[up[k]] += density[k]
     best = max(range(n), key=lambda k: (total[k], -k))
     if not total[best]:
         best = 0
-    threshold, k, article = density[best], best, None
+    heads = [t == "h1" and not o for t, o in zip(tags, out, strict=True)]
+    for k in range(n - 1, 0, -1):
+        heads[parents[k]] = heads[parents[k]] or heads[k]
+    way, k = [], best
     while k >= 0:
-        if tags[k] in ("article", "main"):
-            article = k
-        threshold = min(threshold, density[k])
+        way.append(k)
         k = parents[k]
-    if article is not None:
-        chosen = {article}
-    else:
-        top = list(range(n))
-        for k in range(n - 1, 0, -1):
-            p = parents[k]
-            if not out[k] and total[top[k]] > total[top[p]]:
-                top[p] = top[k]
-        chosen = {top[k] for k in range(n) if not out[k] and density[k] > 0 and density[k] >= threshold}
+    threshold = min(density[k] for k in way)
+    whole = best
+    for k in way:
+        if tags[k] in ("body", "html", "#root"):
+            break
+        if tags[k] in ("article", "main") or (heads[k] and not heads[whole]):
+            whole = k
+    top = list(range(n))
+    for k in range(n - 1, 0, -1):
+        p = parents[k]
+        if not out[k] and total[top[k]] > total[top[p]]:
+            top[p] = top[k]
+    chosen = {whole} | {top[k] for k in range(n) if tags[k] in BLOCK and not out[k] and density[k] > 0 and density[k] >= threshold}
     covered = [False] * n
     for k in range(n):
         covered[k] = (k in chosen or (k > 0 and covered[parents[k]])) and not out[k]

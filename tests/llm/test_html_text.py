@@ -1,7 +1,10 @@
+import random
 import re
+import time
 from html import unescape
+from math import e, log
 
-from matchweave.llm.html_text import extract, main_text
+from matchweave.llm.html_text import Page, composite_density, extract, main_text
 
 
 def test_known_template(spark):
@@ -48,3 +51,66 @@ def test_odd_input(spark):
     assert extract(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, None, None, "x", 1), (None, "u", "<p>a", "x", 1), (None, "u", "<p>a", "x", 1)]
     assert sorted((r.page_id or 0, r.text) for r in extract(spark.createDataFrame(rows, schema)).collect()) == [(0, "a"), (0, "a"), (1, "")]
+
+
+def test_density_alone_finds_the_same_text(spark):
+    """With article and main renamed to div, heading and body are chosen by density."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", h) for h in pages]
+    assert pages != plain and [main_text(h) for h in plain] == [main_text(h) for h in pages]
+
+
+def test_density_equals_brute_force():
+    rng = random.Random(3)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return (rng.choice(["div", "p", "a", "b", "section"]), "w" * rng.randrange(30), kids)
+
+    def show(node):
+        tag, text, kids = node
+        return f"<{tag}>{text}{''.join(map(show, kids))}</{tag}>"
+
+    def sums(node, inside):
+        tag, text, kids = node
+        inside = inside or tag == "a"
+        c, t, lc, lt = len(text), 0, len(text) * inside, 0
+        for kid in kids:
+            kc, kt, klc, klt = sums(kid, inside)
+            c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (kid[0] == "a")
+        return c, t, lc, lt
+
+    checked = 0
+    while checked < 30:
+        root = ("div", "x" * 9, [tree(3) for _ in range(3)])
+        page = Page(show(root))
+        if page.tags[1:] != re.findall(r"<([a-z]+)>", show(root)) or "</" not in show(root):
+            continue
+        nodes, stack = [], [(root, False)]
+        while stack:
+            node, inside = stack.pop()
+            nodes.append(sums(node, inside))
+            stack += [(kid, inside or node[0] == "a") for kid in reversed(node[2])]
+        parents = page.parents[2:]
+        flat, todo = [], [(root, -1)]
+        while todo:
+            node, up = todo.pop()
+            flat.append(up)
+            todo += [(kid, len(flat)) for kid in reversed(node[2])]
+        if parents != [x for x in flat[1:]]:
+            continue  # the markup closed something on its own, such as a p before a div
+        c, _, lc, _ = nodes[0]
+        share, want = lc / c, []
+        for c, t, lc, lt in nodes:
+            t = max(t, 1)
+            base = log(log(c / max(c - lc, 1) * lc + share * c + e) + e - 1)
+            want.append(c / t * log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1) / base if c else 0.0)
+        got = composite_density(page, [False] * len(page.tags))[1:]
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got, want, strict=True))
+        checked += 1
+
+
+def test_deep_unclosed_markup_is_linear():
+    began = time.time()
+    assert main_text("<p><b>" * 20_000 + "<i>x</i>" * 20_000 + "<p>end") == "x" * 20_000 + "\nend"
+    assert time.time() - began < 20
