@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -142,6 +144,39 @@ def supported_starts(doc: np.ndarray, first: np.ndarray, last: np.ndarray, neede
     return names[a >> 32], a & 0xFFFFFFFF, b & 0xFFFFFFFF
 
 
+def counted(batches, most: int):
+    """(key, doc_id, run, n) for batches of (key, doc_id, run) sorted by key and document, in batches.
+
+    n is the number of a key's rows, `most` where there are at least as many, and 0 where they are of
+    one document. Rows wait only until that is known, or as long as they are of one document.
+    """
+    held: list[np.ndarray] | None = None
+    going = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            cut = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not len(cut[0]):
+                continue
+            cut = cut if held is None else [np.concatenate(x) for x in zip(held, cut, strict=True)]
+        elif held is None:
+            return
+        else:
+            cut = held
+        key, doc, _ = cut
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        mixed = doc[first] != doc[first + size - 1]
+        full = mixed & (size >= most)
+        if key[0] == going:
+            full[0] = True
+        n = np.repeat(np.where(full, most, np.where(mixed, size, 0)), size)
+        end = len(key) if batch is None or full[-1] else int(first[-1])
+        held = [x[end:] for x in cut] if end < len(key) else None
+        going = key[-1] if full[-1] else None
+        if end:
+            yield key[:end], cut[1][:end], cut[2][:end], n[:end]
+
+
 def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.ndarray, width: int, similarity: float):
     """(shingle, doc, a, b): for runs of passage starts, the shingles by which another such passage is found.
 
@@ -369,7 +404,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 8, needed: int = 4
+    docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 6, needed: int = 3, most: int = 4096
 ) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, class_id, repeats, n_passages, passages, sources.
 
@@ -380,9 +415,9 @@ def repeated_passages(
     Every document lists its compact windows under each hash function. Windows whose minimum no other
     document has are dropped; an interval join within the document finds the passages that lie in
     windows of `needed` functions. Those passages are then joined exactly, by their rarest shingles
-    (rare_shingles): the documents that have one are its members; they are compared in rounds: with the first member, then with the next three, twelve and so on. A pair
-    is left out if both are one class by then and the member's passage has a source already, so that
-    each repeated passage and each class is found, while copies of a passage cost one comparison each.
+    (rare_shingles): the documents that have one are its members; they are compared in rounds: with the first member, then with the next three, twelve and so on, as long
+    as a passage of the member has no source yet; then those of one shingle that are still in different
+    classes. So each repeated passage and each class is found, while copies cost one comparison each.
     Compared are whole documents, every window with every window (alike_passages).
 
     passages is "start:stop:doc:start there" in words, comma-joined, against smaller ids; sources are
@@ -428,14 +463,24 @@ def repeated_passages(
     def listed(ids, texts):
         of, key, l, c, r = windows_of(texts, width, shingle, functions)
         a, b = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(ids, dtype=np.int64)[of]), pa.array(a * width + b - a)], ["key", "doc_id", "run"])
+        # Windows that follow each other with one minimum, as in repeated words, are one.
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (a[1:] != b[:-1] + 1)]) if len(key) else np.zeros(0, dtype=bool)
+        at, end = np.flatnonzero(new), np.append(np.flatnonzero(new), len(key))[1:] - 1
+        columns = [key[at], np.array(ids, dtype=np.int64)[of[at]], a[at] << 32 | b[end]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "run"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = one_each.select("doc_id", F.col("text").cast("binary").alias("text")).join(copies, "doc_id", "left_anti")
-    emitted = source.mapInArrow(emit, "key long, doc_id long, run long").repartition(parts, "key")
-    # Counting `run` reads every column, so that the join below reuses this shuffle.
-    shared = emitted.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("run").alias("n")).where("x < y and n > 0")
-    met = emitted.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").select("doc_id", "run")
+    emitted = source.mapInArrow(emit, "key long, doc_id long, run long")
+
+    def shared(batches):
+        """Rows whose key two documents have: at most one key's rows of one document wait for the next batch."""
+        for key, doc, run, n in counted(batches, 2):
+            at = np.flatnonzero(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(run[at])], ["doc_id", "run"])
+
+    dealt = emitted.repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    met = dealt.mapInArrow(shared, "doc_id long, run long")
 
     def by_document(batches, columns: int, found):
         """found() of the rows of whole documents, which come sorted; a document may be cut between batches."""
@@ -453,8 +498,7 @@ def repeated_passages(
             yield found(*kept)
 
     def spans(doc, run):
-        first, more = np.divmod(run, width)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in supported_starts(doc, first, first + more, needed)], ["doc_id", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in supported_starts(doc, run >> 32, run & 0xFFFFFFFF, needed)], ["doc_id", "a", "b"])
 
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long"))
@@ -471,20 +515,27 @@ def repeated_passages(
                 np.add.at(inside, a, 1)
                 np.add.at(inside, b + width, -1)
                 at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
-                columns = [hashes[at].view(np.int64), np.full(len(at), doc), at]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "pos"])
-
-    dealt = body.select("doc_id", "text", "spans").mapInArrow(shingles, "key long, doc_id long, pos long").repartition(parts, "key")
-    # Counting `pos` reads every column, as above.
-    spread = dealt.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("pos").alias("n"))
-    spread = spread.select("key", F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(0).alias("n"))
-    placed = dealt.join(spread.hint("shuffle_hash"), "key").select("doc_id", "pos", "key", "n")
-
-    def rare(doc, pos, key, n):
-        found = rare_shingles(doc, pos, key, n, width, similarity)
+                kept = hashes[at].view(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (at[1:] != at[:-1] + 1)]))
+                size = np.diff(np.append(first, len(at)))
+                columns = [kept[first], np.full(len(first), doc), at[first] << 32 | size]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "run"])
+
+    def numbered(batches):
+        for key, doc, run, n in counted(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, key, n)], ["doc_id", "run", "key", "n"])
+
+    spread = body.mapInArrow(shingles, "key long, doc_id long, run long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    placed = spread.mapInArrow(numbered, "doc_id long, run long, key long, n long")
+
+    def rare(doc, run, key, n):
+        pos, size = run >> 32, run & 0xFFFFFFFF
+        at = np.repeat(np.arange(len(run)), size)
+        pos = pos[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        found = rare_shingles(doc[at], pos, key[at], n[at], width, similarity)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "a", "b"])
 
-    sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos")
+    sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "run")
     windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long"))
     several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     grouped = (
@@ -493,9 +544,7 @@ def repeated_passages(
         .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     )
     nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    members = written(
-        grouped.select("key", "doc_id", "runs", nth.alias("nth"), F.lit(True).alias("open"), F.col("doc_id").alias("component"))
-    )
+    whole = written(grouped.select("key", "doc_id", "runs", nth.alias("nth")))
     discard(windows)
     body = body.select("doc_id", "text")
 
@@ -511,50 +560,45 @@ def repeated_passages(
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "stop", "there"]).astype("int64")
 
     compared = passages = None
-    first, last = 1, 1
-    while passages is None or not members.isEmpty():
-        heads = members.where(F.col("nth").between(first, last)).select(
-            "key", F.col("doc_id").alias("other_id"), F.col("nth").alias("head"), F.col("component").alias("head_component")
-        )
-        pairs = (
-            members.where(F.col("nth") > first)
-            .join(heads, "key")
-            .where((F.col("nth") > F.col("head")) & (F.col("open") | (F.col("component") != F.col("head_component"))))
-            .select("doc_id", "other_id")
-            .distinct()
-        )
-        if compared is not None:
-            pairs = pairs.join(compared, ["doc_id", "other_id"], "left_anti")
-        pairs = written(pairs)
+
+    def compare(members: DataFrame, first: int, last: int, wanted) -> None:
+        """Verify the wanted pairs of members with the first to last member of their key, once each."""
+        nonlocal compared, passages
+        heads = members.where(F.col("nth").between(first, last)).select("key", *(F.col(c).alias(f"head_{c}") for c in ("doc_id", "nth", "label")))
+        pairs = members.where(F.col("nth") > first).join(heads, "key").where((F.col("nth") > F.col("head_nth")) & wanted)
+        pairs = pairs.select("doc_id", F.col("head_doc_id").alias("other_id")).distinct()
+        pairs = written(pairs if compared is None else pairs.join(compared, ["doc_id", "other_id"], "left_anti"))
         compared = pairs if compared is None else compared.unionAll(pairs)
-        joined = pairs.join(body, "doc_id").join(
-            body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id"
-        )
+        others = body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
+        joined = pairs.join(body, "doc_id").join(others, "other_id")
         seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, start long, stop long, there long"))
         passages = seen if passages is None else passages.unionAll(seen)
+
+    def rest(members: DataFrame, last: int, keep) -> DataFrame:
+        """Members of the keys in which a comparison is still due after the first `last` members were heads."""
+        ahead = members.groupBy("key").agg(F.max("nth").alias("n"), keep.alias("keep")).where((F.col("n") > last + 1) & F.col("keep"))
+        return written(members.join(ahead.select("key"), "key", "left_semi"))
+
+    # First the members whose passages have no source yet.
+    members, first, last = whole.withColumn("label", F.lit(True)), 1, 1
+    while passages is None or not members.isEmpty():
+        compare(members, first, last, F.col("label"))
         cover = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
-        groups = connected_components(passages.select("doc_id", "other_id").distinct(), "doc_id", "other_id")
         held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))
-        flagged = written(
-            members.drop("open", "component")
-            .join(cover, "doc_id", "left")
-            .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select(
-                "key", "doc_id", "runs", "nth",
-                (F.col("cover").isNull() | ~F.forall("runs", held)).alias("open"),
-                F.coalesce("component", "doc_id").alias("component"),
-            )
-        )
-        ahead = flagged.groupBy("key").agg(
-            F.max(F.when(F.col("nth") > last + 1, F.col("open"))).alias("any_open"),
-            F.min("component").alias("x"), F.max("component").alias("y"), F.max("nth").alias("n"),
-        )
-        todo = ahead.where((F.col("n") > last + 1) & (F.col("any_open") | (F.col("x") != F.col("y")))).select("key")
-        discard(members)
-        members = written(flagged.join(todo, "key", "left_semi"))
+        flagged = members.drop("label").join(cover, "doc_id", "left").select("key", "doc_id", "runs", "nth", (F.col("cover").isNull() | ~F.forall("runs", held)).alias("label"))
+        flagged = written(flagged)
+        members = rest(flagged, last, F.max(F.when(F.col("nth") > last + 1, F.col("label"))))
         discard(flagged)
         first, last = last + 1, 4 * last
-    discard(members)
+    # Then the members of one key that are still in different classes.
+    groups = written(connected_components(passages.select("doc_id", "other_id").distinct(), "doc_id", "other_id"))
+    classed = whole.drop("runs").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members, first, last = classed.select("key", "doc_id", "nth", F.coalesce("component", "doc_id").alias("label")), 1, 1
+    members = rest(members, 0, F.min("label") < F.max("label"))
+    while not members.isEmpty():
+        compare(members, first, last, F.col("label") != F.col("head_label"))
+        members = rest(members, last, F.min("label") < F.max("label"))
+        first, last = last + 1, 16 * last
     linked = passages.select("doc_id", "other_id").distinct()
     groups = connected_components(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")), "doc_id", "other_id")
     listed_by = passages.groupBy("doc_id").agg(

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from matchweave.llm import substrings as op
 
@@ -52,6 +53,23 @@ def test_supported_starts_lie_in_enough_windows():
     assert got == {k for k, n in cover.items() if n >= 3} and got
 
 
+def test_counts_do_not_depend_on_batches():
+    rng = random.Random(9)
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 6, 6, 6, 6]), rng.choice([7, 8, 9]), k) for k in range(400))
+    rows = [r for r in rows if r[0] != 4 or r[1] == 7] + [(7, 1, k) for k in range(30)] + [(8, 1, 1), (9, 1, 1), (9, 2, 1)]
+    total = {}
+    for key, doc, _ in rows:
+        total.setdefault(key, []).append(doc)
+    for most in (2, 5, 64, 10_000):
+        want = [(*r, min(len(total[r[0]]), most) if len(set(total[r[0]])) > 1 else 0) for r in rows]
+        for size in (1, 3, 50, 1000):
+            batches = [
+                pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], ["key", "doc_id", "run"]) for k in range(0, len(rows), size)
+            ]
+            got = [x for part in op.counted(batches, most) for x in zip(*(c.tolist() for c in part), strict=True)]
+            assert got == want
+
+
 def test_rare_shingles_are_the_prefix_of_every_window():
     rng, width = np.random.default_rng(2), 9
     doc = np.repeat([2, 3, 7], [60, 40, 8])
