@@ -68,15 +68,33 @@ def poisson_pmf(rate: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.exp(i * F.log(rate) - rate - F.get(lf, i)))
 
 
-def poisson_outcomes(home: Column, away: Column, k: int = 20) -> tuple[Column, Column, Column]:
-    """Home, draw and away probability; what lies beyond k goals counts for the away side."""
-    ph, pa = poisson_pmf(home, k), poisson_pmf(away, k)
-    draw = F.aggregate(F.zip_with(ph, pa, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    below = F.transform(pa, lambda x, i: F.aggregate(F.slice(pa, 1, i + 1), F.lit(0.0), lambda s, y: s + y))
-    win = F.aggregate(
-        F.zip_with(F.slice(ph, 2, k), F.slice(below, 1, k), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
+def score_sums(home: Column, away: Column, k: int) -> Column:
+    """struct(win, draw, loss): the mass of 0..k goals a side in which home leads, nobody, or away.
+
+    One pass over the goal counts carries both pmfs and their running sums. Select it once under a
+    name before its fields are read, as every mention of a lambda expression is worked out anew.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(
+        home.cast("double").alias("x"), away.cast("double").alias("y"), F.exp(-home).alias("p"), F.exp(-away).alias("q"),
+        zero.alias("below_p"), zero.alias("below_q"), zero.alias("win"), zero.alias("draw"), zero.alias("loss"),
+    )
+
+    def step(s, i):
+        return F.struct(
+            s["x"].alias("x"), s["y"].alias("y"), (s["p"] * s["x"] / i).alias("p"), (s["q"] * s["y"] / i).alias("q"),
+            (s["below_p"] + s["p"]).alias("below_p"), (s["below_q"] + s["q"]).alias("below_q"),
+            (s["win"] + s["p"] * s["below_q"]).alias("win"), (s["draw"] + s["p"] * s["q"]).alias("draw"), (s["loss"] + s["q"] * s["below_p"]).alias("loss"),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(k + 1)), start, step, lambda s: F.struct(s["win"].alias("win"), s["draw"].alias("draw"), s["loss"].alias("loss"))
     )
-    return win, draw, 1 - win - draw
+
+
+def poisson_outcomes(sums: Column) -> tuple[Column, Column, Column]:
+    """Home, draw and away probability from score_sums; what lies beyond its k goals counts for the away side."""
+    return sums["win"], sums["draw"], 1 - sums["win"] - sums["draw"]
 
 
 def modal_score(home: Column, away: Column, k: int = 20) -> Column:
@@ -94,20 +112,15 @@ def low_score_factor(i: int, j: int, home: Column, away: Column, rho: Column | f
     return {(0, 0): 1 - home * away * rho, (0, 1): 1 + home * rho, (1, 0): 1 + away * rho, (1, 1): 1 - rho}.get((i, j), F.lit(1.0))
 
 
-def corrected_outcomes(home: Column, away: Column, rho: Column | float, k: int = 15) -> list[Column]:
-    """Home, draw and away probability of the corrected grid of 0..k goals, renormalised."""
-    ph, pa = poisson_pmf(home, k), poisson_pmf(away, k)
-    below = F.transform(pa, lambda x, i: F.aggregate(F.slice(pa, 1, i), F.lit(0.0), lambda s, y: s + y))
-    above = F.transform(ph, lambda x, i: F.aggregate(F.slice(ph, 1, i), F.lit(0.0), lambda s, y: s + y))
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    win = total(F.zip_with(ph, below, lambda x, y: x * y))
-    loss = total(F.zip_with(pa, above, lambda x, y: x * y))
-    draw = total(F.zip_with(ph, pa, lambda x, y: x * y))
+def corrected_outcomes(sums: Column, home: Column, away: Column, rho: Column | float) -> list[Column]:
+    """Home, draw and away probability of the corrected grid, renormalised, from the grid's score_sums."""
+    none = F.exp(-home - away)
 
     def gained(i: int, j: int) -> Column:
-        return F.get(ph, F.lit(i)) * F.get(pa, F.lit(j)) * (F.greatest(low_score_factor(i, j, home, away, rho), F.lit(0.0)) - 1)
+        cell = none * (home if i else F.lit(1.0)) * (away if j else F.lit(1.0))
+        return cell * (F.greatest(low_score_factor(i, j, home, away, rho), F.lit(0.0)) - 1)
 
-    win, draw, loss = win + gained(1, 0), draw + gained(0, 0) + gained(1, 1), loss + gained(0, 1)
+    win, draw, loss = sums["win"] + gained(1, 0), sums["draw"] + gained(0, 0) + gained(1, 1), sums["loss"] + gained(0, 1)
     mass = win + draw + loss
     return [win / mass, draw / mass, loss / mass]
 
@@ -160,27 +173,22 @@ def implied(*odds: Column) -> tuple[list[Column], Column]:
     return [x / total for x in raw], total
 
 
-def power_devig(*odds: Column, steps: int = 60) -> tuple[list[Column], Column]:
-    """Probabilities (1 / odds) ** k with k such that they sum to one, by bisection; null where an odd is not above 1."""
+def power_exponent(*odds: Column, steps: int = 16) -> Column:
+    """The k with which the (1 / odds) ** k sum to one; null where an odd is not above 1.
+
+    Newton's method: the sum is convex and falls in k, so that the steps from zero on never pass the root.
+    """
     valid = odds[0] > 1
     for o in odds[1:]:
         valid = valid & (o > 1)
 
-    def total(k: Column) -> Column:
-        parts = [F.pow(1 / o, k) for o in odds]
-        return sum(parts[1:], parts[0])
+    def step(k, _):
+        parts = [(F.exp(-k * F.log(o)), F.log(o)) for o in odds]
+        over = sum((p for p, _ in parts[1:]), parts[0][0]) - 1
+        slope = sum((p * l for p, l in parts[1:]), parts[0][0] * parts[0][1])
+        return k + over / slope
 
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        high = total(mid) > 1
-        return F.struct(F.when(high, mid).otherwise(acc["lo"]).alias("lo"), F.when(high, acc["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(0.01).alias("lo"), F.lit(20.0).alias("hi"))
-    k = F.when(
-        F.coalesce(valid, F.lit(False)),
-        F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2),
-    )
-    return [F.pow(1 / o, k) for o in odds], k
+    return F.when(F.coalesce(valid, F.lit(False)), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
 
 
 def elo_expected(home: Column, away: Column, advantage: float = 100.0) -> Column:

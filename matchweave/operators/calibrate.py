@@ -46,12 +46,7 @@ def fit_platt(rows: DataFrame, score: Column, label: Column, weight: Column | No
 
 def platt_per_class(train: DataFrame, rows: DataFrame, p: dict[str, str], label: str = "y_true") -> DataFrame:
     """Each class's probability through its own logistic, renormalised: columns cal_H, cal_D, cal_A."""
-    raw = {}
-    for v, c in p.items():
-        a, b = fit_platt(train, logit(F.col(c)), F.col(label) == v)
-        raw[v] = sigmoid(a * logit(F.col(c)) + b)
-    total = sum(list(raw.values())[1:], raw[next(iter(raw))])
-    return rows.withColumns({f"cal_{v}": x / total for v, x in raw.items()})
+    return PlattCalibrator(p, label).fit(train).transform(rows)
 
 
 def isotonic_per_class(train: DataFrame, rows: DataFrame, p: dict[str, str], label: str = "y_true") -> DataFrame:
@@ -117,11 +112,34 @@ def preprocess(train: DataFrame, rows: DataFrame, numeric: list[str], category:
 
 
 def category_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Dense codes in order of the category; unseen ones are -1."""
+    """Dense codes in order of the category; unseen ones are -1. Only the distinct categories are ranked."""
     from pyspark.sql import Window as W
 
     codes = train.select(column).where(F.col(column).isNotNull()).distinct().withColumn("code", F.dense_rank().over(W.orderBy(column)) - 1)
-    return rows.join(F.broadcast(codes), column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+    return rows.join(codes, column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+
+
+class PlattCalibrator:
+    """fit(train) and transform(rows) over the probability columns of a class mapping."""
+
+    def __init__(self, p: dict[str, str], label: str = "y_true"):
+        self.p, self.label, self.curves = p, label, {}
+
+    def fit(self, train: DataFrame) -> PlattCalibrator:
+        self.curves = {v: fit_platt(train, logit(F.col(c)), F.col(self.label) == v) for v, c in self.p.items()}
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        raw = {v: sigmoid(a * logit(F.col(self.p[v])) + b) for v, (a, b) in self.curves.items()}
+        total = sum(list(raw.values())[1:], raw[next(iter(raw))])
+        return rows.withColumns({f"cal_{v}": x / total for v, x in raw.items()})
+
+
+def searched(rows: DataFrame, loss, settings: list[float], groups: list[str]) -> DataFrame:
+    """The setting of least mean loss per group; loss(setting column) gives each row's loss. The first wins ties."""
+    tried = rows.withColumn("setting", F.explode(F.array(*map(F.lit, settings))))
+    curve = tried.groupBy(*groups, "setting").agg(F.avg(loss(F.col("setting"))).alias("loss"))
+    return curve.groupBy(*groups).agg(F.min_by("setting", F.struct(F.round("loss", 12), "setting")).alias("setting"), F.min("loss").alias("loss"))
 
 
 def features(columns: list[str]) -> list:
@@ -136,6 +154,12 @@ def outcome_model(train: DataFrame, columns: list[str], c: float = 1.0, n: int |
     return Pipeline(stages=[*features(columns), LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), maxIter=50)]).fit(labelled)
 
 
+def binary_model(train: DataFrame, columns: list[str], label: str, weight: str, penalty: float = 1e-4):
+    """Weighted logistic regression of a 0/1 label."""
+    logistic = LogisticRegression(family="binomial", labelCol=label, weightCol=weight, regParam=penalty, maxIter=50)
+    return Pipeline(stages=[*features(columns), logistic]).fit(train)
+
+
 def goal_models(train: DataFrame, columns: list[str], penalty: float = 0.01, weight: str | None = None):
     """Two Poisson regressions, home and away goals, optionally weighted."""
     out = []

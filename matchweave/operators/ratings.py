@@ -7,7 +7,6 @@ before any of them writes.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import exp
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchweave.sources.storage import shared_folder
+
 PLAYED = ("FT", "AWARDED")
 
 
@@ -37,7 +38,7 @@ class Elo:
     seasons: set = field(default_factory=set)
     columns = ("home_rating", "away_rating")
 
-    def season(self, key) -> None:
+    def enter(self, key, home, away) -> None:
         if self.gamma and key not in self.seasons:
             if self.seasons:
                 self.rating = {t: self.start + (1 - self.gamma) * (r - self.start) for t, r in self.rating.items()}
@@ -69,7 +70,7 @@ class AttackDefence:
     state: dict = field(default_factory=dict)
     columns = ("home_attack", "home_defence", "away_attack", "away_defence")
 
-    def season(self, key) -> None:
+    def enter(self, key, home, away) -> None:
         pass
 
     def read(self, home, away) -> tuple[float, ...]:
@@ -114,7 +115,7 @@ class DynamicAttackDefence:
         "home_rate", "away_rate", "home_rate_variance", "away_rate_variance",
     )
 
-    def season(self, key) -> None:
+    def enter(self, key, home, away) -> None:
         pass
 
     def _of(self, team) -> tuple[float, ...]:
@@ -149,35 +150,97 @@ class DynamicAttackDefence:
             self.played[team] = self.played.get(team, 0) + 1
 
 
-def replay(pdf: pd.DataFrame, make: Callable, flush: bool = False) -> pd.DataFrame:
-    """Ratings before each contest, for contests of any status, in kickoff order.
+@dataclass
+class DynamicElo:
+    """Elo whose step shrinks with a team's contests, and attack and defence ratings beside it.
+
+    A team that enters a season other than its last one keeps `keep` of its distance to the start.
+    """
+
+    start: float = 1500.0
+    k: float = 20.0
+    decay: float = 1.5
+    keep: float = 0.85
+    advantage: float = 100.0
+    goal_step: float = 5.0
+    venue: float = 0.15
+    rating: dict = field(default_factory=dict)
+    attack: dict = field(default_factory=dict)
+    defence: dict = field(default_factory=dict)
+    played: dict = field(default_factory=dict)
+    last: dict = field(default_factory=dict)
+    columns = ("home_rating", "away_rating", "home_step", "away_step", "home_attack", "home_defence", "away_attack", "away_defence")
+
+    def enter(self, key, home, away) -> None:
+        for team in (home, away):
+            if self.last.setdefault(team, key) != key:
+                self.last[team] = key
+                for table in (self.rating, self.attack, self.defence):
+                    table[team] = self.start + self.keep * (table.get(team, self.start) - self.start)
+
+    def _step(self, team) -> float:
+        return self.k * (1 + self.decay / (self.played.get(team, 0) + 1) ** 0.5)
+
+    def read(self, home, away) -> tuple[float, ...]:
+        of = lambda table, team: table.get(team, self.start)
+        rest = [of(table, team) for team in (home, away) for table in (self.attack, self.defence)]
+        return (of(self.rating, home), of(self.rating, away), self._step(home), self._step(away), *rest)
+
+    def write(self, home, away, goals_home: float, goals_away: float, seen: tuple[float, ...]) -> None:
+        expected = 1 / (1 + 10 ** ((seen[1] - seen[0] - self.advantage) / 400))
+        actual = 1.0 if goals_home > goals_away else 0.5 if goals_home == goals_away else 0.0
+        gap = abs(goals_home - goals_away)
+        times = 1.0 if gap <= 1 else 1.5 if gap == 2 else (11 + gap) / 8
+        miss = (
+            goals_home - exp(self.venue + (seen[4] - seen[7]) / 400),
+            goals_away - exp(-self.venue + (seen[6] - seen[5]) / 400),
+        )
+        for team, sign, mine, theirs in ((home, 1, 0, 1), (away, -1, 1, 0)):
+            self.rating[team] = self.rating.get(team, self.start) + sign * self._step(team) * times * (actual - expected)
+            self.attack[team] = self.attack.get(team, self.start) + self.goal_step * miss[mine]
+            self.defence[team] = self.defence.get(team, self.start) - self.goal_step * miss[theirs]
+            self.played[team] = self.played.get(team, 0) + 1
+
+
+CONTEST = ["fixture_id", "unix", "home_id", "away_id", "home_goals", "away_goals", "status", "season_id"]
+
 
-    flush writes the last kickoff's results too, for a kernel that lives on.
+class Replay:
+    """A kernel on its way through contests in kickoff order, however they are cut into batches.
+
+    The results of one kickoff are written when a later one begins, so that all its contests read
+    before any of them writes. The whole object is the state to keep between batches.
     """
-    pdf = pdf.sort_values(["unix", "fixture_id"], kind="stable")
-    kernel, out, waiting, at = make(), [], [], None
-    rows = pdf[["fixture_id", "unix", "home_id", "away_id", "home_goals", "away_goals", "status", "season_id"]].itertuples(index=False)
-    for fixture, unix, home, away, gh, ga, status, season in rows:
-        if unix != at:
-            for w in waiting:
-                kernel.write(*w)
-            waiting, at = [], unix
-        kernel.season(season)
-        seen = kernel.read(home, away)
-        out.append((fixture, *seen))
-        if status in PLAYED and gh == gh and ga == ga and gh is not None and ga is not None:
-            waiting.append((home, away, float(gh), float(ga), seen))
-    if flush:
-        for w in waiting:
-            kernel.write(*w)
-    return pd.DataFrame(out, columns=["fixture_id", *kernel.columns])
+
+    def __init__(self, kernel):
+        self.kernel, self.waiting, self.at = kernel, [], None
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Ratings before each contest of rows, which are in order, whatever their status."""
+        out = []
+        for fixture, unix, home, away, gh, ga, status, season in rows[CONTEST].itertuples(index=False):
+            if unix != self.at:
+                for w in self.waiting:
+                    self.kernel.write(*w)
+                self.waiting, self.at = [], unix
+            self.kernel.enter(season, home, away)
+            seen = self.kernel.read(home, away)
+            out.append((fixture, *seen))
+            if status in PLAYED and gh == gh and ga == ga and gh is not None and ga is not None:
+                self.waiting.append((home, away, float(gh), float(ga), seen))
+        return pd.DataFrame(out, columns=["fixture_id", *self.kernel.columns])
+
+
+def replay(pdf: pd.DataFrame, make: Callable) -> pd.DataFrame:
+    """Ratings before each contest of one group."""
+    return Replay(make()).feed(pdf.sort_values(["unix", "fixture_id"], kind="stable"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; only where none is set (local runs) in a temporary one."""
+    """A checkpoint in the session's shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -192,34 +255,50 @@ def team_groups(contests: DataFrame, key: str | None = None) -> DataFrame:
     return contests.join(groups, contests.home_id == groups.team, "left").withColumn("team_group", F.coalesce("label", "home_id").cast("long")).drop("team", "label")
 
 
-def group_labels(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(team, label): the smallest team reachable, by spreading minima along pairs until nothing changes."""
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b"), F.col("a"))).distinct().persist()
+def group_labels(pairs: DataFrame) -> DataFrame:
+    """(team, label): the smallest team reachable.
+
+    Minima spread along pairs, and every team then takes over its label's own label, so that a
+    label's reach doubles in a round; rounds go on until none changes, however long a chain is.
+    """
+    both = cut(pairs.select("a", "b").unionAll(pairs.select(F.col("b"), F.col("a"))).where("a is not null and b is not null").distinct())
     labels = both.select(F.col("a").alias("team")).distinct().withColumn("label", F.col("team"))
-    total = None
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         near = both.join(labels, both.b == labels.team).groupBy(F.col("a").alias("near")).agg(F.min("label").alias("least"))
-        labels = labels.join(near, labels.team == near.near).select("team", F.least("label", "least").alias("label"))
-        labels = cut(labels)
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            break
-        total = now
-    both.unpersist()
+        nearer = labels.join(near, labels.team == near.near).select("team", F.least("label", "least").alias("reached"), "label")
+        further = nearer.select(F.col("team").alias("of"), F.col("reached").alias("jump"))
+        moved = cut(
+            nearer.join(further, nearer.reached == further.of).select("team", F.least("reached", "jump").alias("label"), F.col("label").alias("before"))
+        )
+        changed = moved.where("label != before").limit(1).count()
+        labels = moved.select("team", "label")
     return labels
 
 
 def rated(contests: DataFrame, make: Callable = Elo, key: str | None = "competition_id") -> DataFrame:
-    """(fixture_id, team_group, ratings before the contest) for every contest.
+    """(fixture_id, ratings before the contest) for every contest.
 
-    `make` builds a kernel with read, write and season; only the kernel's state is kept in memory
-    besides one group's contests.
+    `make` builds a kernel with enter, read and write. Rows are dealt by group and sorted by kickoff
+    on Spark; a task streams them in batches, one group after the other, and keeps only the
+    kernel's state, however many contests a group has.
     """
     columns = ", ".join(f"{c} double" for c in make().columns)
-    rows = team_groups(contests, key).select(
-        "team_group", "fixture_id", "unix", "home_id", "away_id", "home_goals", "away_goals", "status", "season_id"
-    )
-    return rows.groupBy("team_group").applyInPandas(lambda pdf: replay(pdf, make), f"fixture_id long, {columns}")
+
+    def run(batches):
+        group = going = None
+        for pdf in batches:
+            edges = [0, *(pdf["team_group"].ne(pdf["team_group"].shift()).to_numpy().nonzero()[0][1:]), len(pdf)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = pdf.iloc[a:b]
+                if len(part) and (going is None or part["team_group"].iloc[0] != group):
+                    group, going = part["team_group"].iloc[0], Replay(make())
+                if len(part):
+                    yield going.feed(part)
+
+    rows = team_groups(contests, key).select("team_group", *CONTEST)
+    dealt = rows.repartition("team_group").sortWithinPartitions("team_group", "unix", "fixture_id")
+    return dealt.mapInPandas(run, f"fixture_id long, {columns}")
 
 
 def diagnostics(ratings: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.plans import decisions, history, joins, matchups, metrics, models, probability, ratings, sources, streams
+from matchweave.plans import decisions, evaluation, history, joins, matchups, metrics, models, probability, ratings, sources, streams
 from matchweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decisions", "history", "joins", "matchups", "metrics", "models", "probability", "ratings", "sources", "streams"]
+__all__ = ["ORACLES", "QUERIES", "decisions", "evaluation", "history", "joins", "matchups", "metrics", "models", "probability", "ratings", "sources", "streams"]

@@ -133,7 +133,7 @@ def j12_name_resolution(spark, sf):
 
 @query("SELECT name FROM (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier)")
 def u1_distinct_union(spark, sf):
-    """Distinct union of two name columns."""
+    """Distinct union of two name columns."""
     a, b = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("name")), spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_name").alias("name"))
     return a.unionByName(b).distinct()
 
@@ -186,7 +186,7 @@ def t7_grid_argmin(spark, sf):
 
 @query(f"{SCORED} SELECT fixture_id, {r('greatest(p_home, p_draw, p_away)', 'confidence')}, pick, y_true FROM s WHERE pick <> y_true QUALIFY row_number() OVER (ORDER BY greatest(p_home, p_draw, p_away) DESC, fixture_id) <= 10")
 def t4_worst_misses(spark, sf):
-    """The ten most confident misses."""
+    """T4: the ten most confident misses."""
     rows = predictions(spark, sf).select("fixture_id", F.greatest(*map(F.col, metrics.P)).alias("confidence"), argmax(*map(F.col, metrics.P)).alias("pick"), "y_true")
     return rows.where("pick != y_true").orderBy(F.desc("confidence"), "fixture_id").limit(10)
 
@@ -208,16 +208,9 @@ def t5_active_window(spark, sf):
     return rows.select("fixture_id", "competition_id", "priority", F.row_number().over(order).alias("rank")).where("rank <= 10")
 
 
-_U = "(('0x' || substr(md5(replicate || '|' || {k}), 1, 8))::BIGINT / 4294967296.0)"
+_U = "(('0x' || substr(md5(((replicate - 1) // 4) || '|' || {k}), 1 + 8 * ((replicate - 1) % 4), 8))::BIGINT / 4294967296.0)"
 _W = "(" + " + ".join(f"(u >= {x!r})::INT" for x in resample.STEPS) + ")"
-_CI = f"SELECT count(*) AS replicates, {r('quantile_cont(mean, 0.025)', 'low')}, {r('quantile_cont(mean, 0.975)', 'high')}, {r('avg((mean < 0)::INT)', 'share_below')}, {r('least(2 * avg((mean < 0)::INT), 2 * (1 - avg((mean < 0)::INT)), 1)', 'p_value')} FROM m"
-
-
-def _units(spark, sf, *unit):
-    from matchweave.operators.metrics import log_loss
-
-    p = predictions(spark, sf).withColumn("d", log_loss() - log_loss(("q_home", "q_draw", "q_away")))
-    return p.groupBy(*unit).agg(F.sum("d").alias("total"), F.count("*").alias("size"))
+_CI = f"SELECT count(*) AS replicates, {r('quantile_cont(mean, 0.025)', 'low')}, {r('quantile_cont(mean, 0.975)', 'high')}, {r('avg((mean < 0)::INT)', 'share_below')}, {r('least(2 * avg((mean < 0)::INT), 2 * (1 - avg((mean < 0)::INT)), 1)', 'p_value')}, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS conclusive FROM m"
 
 
 _D = f"{SCORED}, d AS (SELECT *, {LL} + ln(CASE y_true WHEN 'H' THEN q_home WHEN 'D' THEN q_draw ELSE q_away END) AS d FROM s)"
@@ -225,13 +218,15 @@ _D = f"{SCORED}, d AS (SELECT *, {LL} + ln(CASE y_true WHEN 'H' THEN q_home WHEN
 
 @query(f"{_D}, x AS (SELECT replicate, fixture_id, d, {_U.format(k='fixture_id')} AS u FROM d, (SELECT unnest(range(1, 101)) AS replicate)), m AS (SELECT replicate, sum({_W} * d) / sum({_W}) AS mean FROM x GROUP BY replicate) {_CI}")
 def b1_paired_bootstrap(spark, sf):
-    """Paired bootstrap of the mean loss difference of two models."""
-    return resample.interval(resample.means(_units(spark, sf, "fixture_id"), "fixture_id", "total", "size", 100))
+    """B1: paired bootstrap of the mean loss difference of two models."""
+    d = metrics.log_loss() - metrics.log_loss(("q_home", "q_draw", "q_away"))
+    rows = predictions(spark, sf).select("fixture_id", d.alias("total"), F.lit(1).alias("size"))
+    return resample.interval(resample.means(rows, "fixture_id", "total", "size", 100))
 
 
 @query(f"{_D}, k AS (SELECT unix // 604800 AS week, sum(d) AS d, count(*) AS n FROM d GROUP BY 1), x AS (SELECT replicate, week, d, n, {_U.format(k='week')} AS u FROM k, (SELECT unnest(range(1, 501)) AS replicate)), m AS (SELECT replicate, sum({_W} * d) / sum({_W} * n) AS mean FROM x GROUP BY replicate) {_CI}")
 def b2_cluster_bootstrap(spark, sf):
-    """Bootstrap over weeks, combined to one row each before they are drawn."""
+    """B2: bootstrap over weeks, combined to one row each before they are drawn."""
     p = predictions(spark, sf).withColumn("week", F.floor(F.col("unix") / 604800))
     p = p.withColumn("d", metrics.log_loss() - metrics.log_loss(("q_home", "q_draw", "q_away")))
     return resample.interval(resample.means(p.groupBy("week").agg(F.sum("d").alias("total"), F.count("*").alias("size")), "week", "total", "size", 500))
@@ -242,7 +237,7 @@ def b2_cluster_bootstrap(spark, sf):
 SELECT power, {r('ceil(power((1.96 + z) * sd / abs(mu), 2))', 'required')}, n >= 300 AND mu <= -0.001 AS gate FROM g, z"""
 )
 def b7_power(spark, sf):
-    """Rows needed for a power, and a pre-registered gate on the mean difference."""
+    """B7, and two of B6's conditions: rows needed for a power, and a pre-registered gate on the mean difference."""
     d = predictions(spark, sf).select((metrics.log_loss() - metrics.log_loss(("q_home", "q_draw", "q_away"))).alias("d"))
     g = d.agg(F.count("*").alias("n"), F.avg("d").alias("mu"), F.stddev_samp("d").alias("sd"))
     z = F.explode(F.array(*(F.struct(F.lit(p).alias("power"), F.lit(v).alias("z")) for p, v in ((80, 0.8416), (90, 1.2816), (95, 1.6449)))))

@@ -124,8 +124,8 @@ def f34_uncertain_rates(spark, sf):
     rows = rows.select(
         "fixture_id", "w", fn.uncertain_rate(F.col("lambda_home"), F.col("vh"), F.col("x")).alias("lh"), fn.uncertain_rate(F.col("lambda_away"), F.col("va"), F.col("y")).alias("la")
     )
-    h, d, a = fn.corrected_outcomes(F.col("lh"), F.col("la"), -0.08)
-    found = rows.groupBy("fixture_id").agg(F.sum(F.col("w") * h).alias("win"), F.sum(F.col("w") * d).alias("draw"), F.sum(F.col("w") * a).alias("loss"))
+    h, d, a = fn.corrected_outcomes(F.col("sums"), F.col("lh"), F.col("la"), -0.08)
+    found = rows.withColumn("sums", fn.score_sums(F.col("lh"), F.col("la"), 15)).groupBy("fixture_id").agg(F.sum(F.col("w") * h).alias("win"), F.sum(F.col("w") * d).alias("draw"), F.sum(F.col("w") * a).alias("loss"))
     return found.withColumn("entropy", fn.entropy(F.col("win"), F.col("draw"), F.col("loss")))
 
 
@@ -157,11 +157,13 @@ def f41_rates_from_outcomes(spark, sf):
     """the pair of a table of 14 x 14 goal rates whose outcome probabilities lie nearest; the table is one row of fixed size."""
     side = F.array(*(F.lit(k / 4) for k in range(1, 15)))
     pairs = spark.range(1).select(F.explode(side).alias("home")).select("home", F.explode(side).alias("away"))
-    h, d, a = fn.poisson_outcomes(F.col("home"), F.col("away"))
-    table = pairs.select("home", "away", h.alias("h"), d.alias("d"), a.alias("a")).agg(F.collect_list(F.struct("home", "away", "h", "d", "a")).alias("grid"))
+    h, d, a = fn.poisson_outcomes(F.col("sums"))
+    table = pairs.withColumn("sums", fn.score_sums(F.col("home"), F.col("away"), 20)).select("home", "away", h.alias("h"), d.alias("d"), a.alias("a")).agg(F.collect_list(F.struct("home", "away", "h", "d", "a")).alias("grid"))
     near = fn.nearest_rates([F.col(c) for c in P], F.col("grid"))
-    rows = predictions(spark, sf).select("fixture_id", *P).crossJoin(F.broadcast(table)).select("fixture_id", near.alias("b"))
-    return rows.select("fixture_id", F.col("b.home").alias("lambda_home"), F.col("b.away").alias("lambda_away"), F.col("b.gap").alias("gap"))
+    triples = predictions(spark, sf).select(*P).distinct().crossJoin(F.broadcast(table)).select(*P, near.alias("b"))
+    return predictions(spark, sf).select("fixture_id", *P).join(triples, list(P)).select(
+        "fixture_id", F.col("b.home").alias("lambda_home"), F.col("b.away").alias("lambda_away"), F.col("b.gap").alias("gap")
+    )
 
 
 _INNER = [(f"f{f}/i{i}", role, y) for f in (1996, 1997, 1998) for i in (f - 2, f - 1) for y in range(1990, i + 1) for role in (["eval"] if y == i else ["train"])]

@@ -187,7 +187,7 @@ SELECT band, n, hits, {r('c', 'mean_p')}, {r('br', 'brier')}, {r('CASE WHEN n >
  {r('CASE WHEN n > 0 THEN least((hits / n::DOUBLE + 1.9208 / n) / (1 + 3.8416 / n) + 1.96 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 3.8416 / (4 * n * n::DOUBLE)) / (1 + 3.8416 / n), 1) END', 'wilson_high')} FROM j"""
 )
 def m13_confidence_bands(spark, sf):
-    """Confidence bands with Wilson intervals."""
+    """Confidence bands with Wilson intervals."""
     top = F.greatest(*map(F.col, m.P))
     bands = spark.createDataFrame([("40-50",), ("50-60",), ("60-70",), ("70+",)], "band string")
     band = F.when(top >= 0.7, "70+").when(top >= 0.6, "60-70").when(top >= 0.5, "50-60").when(top >= 0.4, "40-50")
@@ -230,7 +230,7 @@ SELECT competition_id, count(*) FILTER (over = y_true AND pick <> y_true) AS gai
  count(*) FILTER (over <> pick AND (over = y_true) = (pick = y_true)) AS neutral, count(*) FILTER (over <> pick) AS overrides, {r('avg((pick = pick_q)::INT)', 'agreement')} FROM d GROUP BY competition_id"""
 )
 def m18_override_economics(spark, sf):
-    """What overriding to a draw gains and costs; agreement of two models."""
+    """What overriding to a draw gains and costs; agreement of two models."""
     y = F.col("y_true")
     rows = predictions(spark, sf).withColumns({"pick": argmax(*map(F.col, m.P)), "pick_q": argmax(*map(F.col, Q))})
     rows = rows.withColumn("over", F.when(F.col("p_draw") >= 0.3, "D").otherwise(F.col("pick")))
@@ -343,7 +343,7 @@ def m30_threshold_layer(spark, sf):
 SELECT {r('coverage', 'coverage')}, count(*) AS n, {r('avg(ll)', 'log_loss')}, {r('avg(rps)', 'rps')}, {r('avg((pick = y_true)::INT)', 'accuracy')} FROM q JOIN e ON risk <= cut GROUP BY coverage"""
 )
 def m31_risk_coverage(spark, sf):
-    """Losses of the rows under risk percentiles."""
+    """Losses of the rows under risk percentiles."""
     from matchweave.functions.probability import entropy
 
     shares = (0.5, 0.75, 0.9, 1.0)
@@ -361,7 +361,7 @@ def m31_risk_coverage(spark, sf):
 SELECT competition_id, CAST(bin AS INT) AS bin, count(*) AS n, {r('avg(ll)', 'mean_ll')} FROM b GROUP BY 1, 2"""
 )
 def w25_quantile_bins(spark, sf):
-    """Exact quantile edges, right-closed."""
+    """Exact quantile edges, right-closed."""
     rows = m.quantile_bins(predictions(spark, sf).withColumn("ll", m.log_loss()), "elo_diff", 10, ["competition_id"])
     return rows.groupBy("competition_id", "bin").agg(F.count("*").alias("n"), F.avg("ll").alias("mean_ll"))
 
@@ -387,12 +387,29 @@ def w22_cumulative_accuracy(spark, sf):
     return rows.where("k % 100 = 0")
 
 
+_CANDIDATES, _EXISTING = ("lambda_home", "lambda_away", "q_home", "q_draw"), ("elo_diff", "p_home", "p_draw", "p_away")
+
+
 @query(
-    f"""{SCORED} SELECT {r('corr(p_home, q_home)', 'p_home__q_home')}, {r('corr(p_home, elo_diff)', 'p_home__elo_diff')}, {r('corr(lambda_home, elo_diff)', 'lambda_home__elo_diff')}, {r('corr(lambda_home, p_home)', 'lambda_home__p_home')} FROM s"""
+    f"{SCORED}, c AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS candidate, '{b}' AS existing, corr({a}, {b}) AS r, corr({a}, home_goals) AS goals, corr({a}, (y_true = 'D')::INT) AS draw FROM s" for a in _CANDIDATES for b in _EXISTING)
+    + f") SELECT candidate, arg_max(existing, (round(abs(r), 9), existing)) AS nearest, {r('max(abs(r))', 'r')}, {r('any_value(goals)', 'r_goals')}, {r('any_value(draw)', 'r_draw')} FROM c GROUP BY candidate"
 )
 def m42_redundancy(spark, sf):
-    pairs = [("p_home", "q_home"), ("p_home", "elo_diff"), ("lambda_home", "elo_diff"), ("lambda_home", "p_home")]
-    return predictions(spark, sf).agg(*(F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs))
+    """For each candidate the existing column of largest correlation, and its correlations with the targets, in one aggregate."""
+    p = predictions(spark, sf).withColumn("draw", (F.col("y_true") == "D").cast("double"))
+    found = p.agg(
+        *(
+            F.struct(
+                F.lit(a).alias("candidate"),
+                F.array_max(F.array(*(F.struct(F.round(F.abs(F.corr(a, b)), 9).alias("rounded"), F.lit(b).alias("existing"), F.abs(F.corr(a, b)).alias("r")) for b in _EXISTING))).alias("top"),
+                F.corr(a, "home_goals").alias("r_goals"),
+                F.corr(a, "draw").alias("r_draw"),
+            ).alias(a)
+            for a in _CANDIDATES
+        )
+    )
+    return found.select(F.explode(F.array(*_CANDIDATES)).alias("c")).select("c.candidate", F.col("c.top.existing").alias("nearest"), F.col("c.top.r").alias("r"), "c.r_goals", "c.r_draw")
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.functions.probability import decay_weight, entropy, poisson_outcomes
+from matchweave.functions.probability import bounded_rate, decay_weight, entropy, logit, poisson_outcomes, score_sums
 from matchweave.operators import calibrate as cal
 from matchweave.operators import metrics
 from matchweave.plans.base import query, r
@@ -83,16 +86,14 @@ def m37_error_targets(spark, sf):
 SELECT competition_id, {r('arg_min(w, (round(loss, 12), w))', 'weight')}, {r('min(loss)', 'loss')} FROM b GROUP BY competition_id"""
 )
 def k17_expert_weights(spark, sf):
-    """The mixture weight of two models of least loss, per regime."""
-    rows = predictions(spark, sf).withColumn("w", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    mix = F.col("w") * metrics.p_true() + (1 - F.col("w")) * metrics.p_true(("q_home", "q_draw", "q_away"))
-    curve = rows.groupBy("competition_id", "w").agg(F.avg(-F.log(mix)).alias("loss"))
-    return curve.groupBy("competition_id").agg(F.min_by("w", F.struct(F.round("loss", 12), "w")).alias("weight"), F.min("loss").alias("loss"))
+    """The mixture weight of two models of least loss, per regime."""
+    mix = lambda w: -F.log(w * metrics.p_true() + (1 - w) * metrics.p_true(("q_home", "q_draw", "q_away")))
+    return cal.searched(predictions(spark, sf), mix, [0.0, 0.25, 0.5, 0.75, 1.0], ["competition_id"]).withColumnRenamed("setting", "weight")
 
 
 @query()
 def k6_platt(spark, sf):
-    """K6, K8, K9: Platt calibration learnt on early seasons, scored on later ones, against no calibration."""
+    """K6: Platt calibration learnt on early seasons, scored on later ones, against no calibration."""
     train, test = split(spark, sf)
     done = cal.platt_per_class(train, test, CLASSES)
     before = metrics.scorecard(test).select(F.lit("raw").alias("method"), "n", "log_loss", "brier", "rps")
@@ -107,7 +108,7 @@ def k7_isotonic(spark, sf):
 
 @query()
 def k3_outcome_regression(spark, sf):
-    """Multinomial logistic regression and its scores."""
+    """K3: multinomial logistic regression and its scores."""
     train, test = split(spark, sf)
     out = cal.outcome_model(train, COLUMNS).transform(test).withColumn("p", vector_to_array("probability"))
     rows = out.select("y_true", *(F.get("p", F.lit(k)).alias(f"m_{v}") for k, v in enumerate("HDA")))
@@ -116,18 +117,18 @@ def k3_outcome_regression(spark, sf):
 
 @query()
 def k4_goal_regression(spark, sf):
-    """Time-weighted Poisson regressions, batch scoring, outcome table."""
+    """Time-weighted Poisson regressions, batch scoring, outcome table."""
     train, test = split(spark, sf)
     weighted = train.withColumn("w", decay_weight(F.col("unix"), 883612800, cal.decay_from_half_life(365.0)))
-    scored = cal.score_goals(cal.goal_models(weighted, COLUMNS, weight="w"), test)
-    h, d, a = poisson_outcomes(F.col("fit_home"), F.col("fit_away"))
+    scored = cal.score_goals(cal.goal_models(weighted, COLUMNS, weight="w"), test).withColumn("sums", score_sums(F.col("fit_home"), F.col("fit_away"), 20))
+    h, d, a = poisson_outcomes(F.col("sums"))
     rows = scored.select("y_true", h.alias("m_H"), d.alias("m_D"), a.alias("m_A"))
     return metrics.scorecard(rows, p=("m_H", "m_D", "m_A")).select("n", "log_loss", "brier", "rps", "accuracy")
 
 
 @query()
 def k5_boosted_goals(spark, sf):
-    """Boosted trees for home goals; error on both sides of the split."""
+    """K5: boosted trees for home goals; error on both sides of the split."""
     train, test = split(spark, sf)
     model = cal.boosted_goals(train, COLUMNS)
     err = F.sqrt(F.avg(F.pow(F.col("gbt_home") - F.col("home_goals"), F.lit(2))))
@@ -178,3 +179,72 @@ def m24_grid_robustness(spark, sf):
     loss = -F.log(F.when(F.col("y_true") == "H", h).when(F.col("y_true") == "D", d).otherwise(a))
     curve = rows.groupBy("competition_id", "setting").agg(F.avg(loss).alias("loss"))
     return cal.robustness(curve, "competition_id", "setting", 1.0)
+
+
+@query()
+def k8_nested_calibration(spark, sf):
+    """K8: no calibration, Platt and isotonic (with at least 50 rows of each class), learnt on the seasons before each assessed one."""
+    p, parts = predictions(spark, sf), []
+    for year in (1995, 1996, 1997):
+        train, test = p.where(F.col("season_year") < year), p.where(F.col("season_year") == year)
+        fits = {"uncalibrated": (test, metrics.P), "platt": (cal.platt_per_class(train, test, CLASSES), ("cal_H", "cal_D", "cal_A"))}
+        if min(train.groupBy("y_true").count().agg(F.min("count")).first()[0] or 0, 50) >= 50:
+            fits["isotonic"] = (cal.isotonic_per_class(train, test, CLASSES), ("cal_H", "cal_D", "cal_A"))
+        parts += [metrics.scorecard(rows, p=names).select(F.lit(year).alias("season_year"), F.lit(n).alias("method"), "n", "log_loss", "brier") for n, (rows, names) in fits.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def k14_draw_stackers(spark, sf):
+    """Weighted logistic fits for the draw: two models' logits stacked, the draw's logit alone, and a beta curve."""
+    weighted = lambda rows: rows.withColumns({"y": (F.col("y_true") == "D").cast("double"), "w": decay_weight(F.col("unix"), 883612800, cal.decay_from_half_life(730.0))})
+    train, test = map(weighted, split(spark, sf))
+    shapes = {
+        "stacked": {"a": logit(F.col("p_draw")), "b": logit(F.col("q_draw"))},
+        "draw_only": {"a": logit(F.col("p_draw"))},
+        "beta": {"a": F.log("p_draw"), "b": -F.log(1 - F.col("p_draw"))},
+    }
+    parts = []
+    for name, columns in shapes.items():
+        model = cal.binary_model(train.withColumns(columns), list(columns), "y", "w")
+        p = F.get(vector_to_array("probability"), F.lit(1))
+        done = model.transform(test.withColumns(columns)).select("y", p.alias("p"))
+        loss = -F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
+        parts.append(done.agg(F.lit(name).alias("shape"), F.count("*").alias("n"), F.avg(loss).alias("log_loss"), F.avg("p").alias("mean_p"), F.avg("y").alias("share")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def k19_residual_regression(spark, sf):
+    """Elastic net on the log of goals over the goal rate; the correction is held within 0.15."""
+    residual = F.log((F.col("home_goals") + 0.5) / (F.col("lambda_home") + 0.5))
+    train, test = (x.withColumn("residual", residual) for x in split(spark, sf))
+    out = cal.residual_model(train, ["elo_diff", "p_draw"], "residual").transform(test)
+    fixed = bounded_rate(F.col("lambda_home"), F.col("residual_fit"), 0.15)
+    return out.agg(
+        F.count("*").alias("n"),
+        *(F.sqrt(F.avg(F.pow(c - F.col("home_goals"), F.lit(2)))).alias(n) for n, c in (("rmse_base", F.col("lambda_home")), ("rmse_fixed", fixed))),
+        F.avg("residual_fit").alias("mean_fit"),
+    )
+
+
+@query()
+def k22_importances(spark, sf):
+    """Importances of the boosted trees, with the gap between held-out and training error."""
+    train, test = split(spark, sf)
+    model = cal.boosted_goals(train, COLUMNS)
+    err = F.sqrt(F.avg(F.pow(F.col("gbt_home") - F.col("home_goals"), F.lit(2))))
+    gap = model.transform(test).agg(err.alias("test")).crossJoin(model.transform(train).agg(err.alias("train"))).select((F.col("test") - F.col("train")).alias("gap"))
+    found = spark.createDataFrame([(c, float(x)) for c, x in zip(COLUMNS, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double")
+    return found.crossJoin(F.broadcast(gap))
+
+
+@query()
+def k23_rating_head(spark, sf):
+    """Outcome probabilities from the standardised rating difference and its size."""
+    train, test = (x.withColumn("gap", F.abs("elo_diff")) for x in split(spark, sf))
+    moments = train.agg(*(f(c).alias(f"{n}_{c}") for c in ("elo_diff", "gap") for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    scaled = lambda rows: rows.withColumns({f"z_{c}": (F.col(c) - moments[f"m_{c}"]) / (moments[f"s_{c}"] or 1.0) for c in ("elo_diff", "gap")})
+    out = cal.outcome_model(scaled(train), ["z_elo_diff", "z_gap"]).transform(scaled(test)).withColumn("p", vector_to_array("probability"))
+    rows = out.select("y_true", *(F.get("p", F.lit(k)).alias(f"m_{v}") for k, v in enumerate("HDA")))
+    return metrics.scorecard(rows, p=("m_H", "m_D", "m_A")).select("n", "log_loss", "brier", "rps", "accuracy")

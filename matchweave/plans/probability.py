@@ -69,8 +69,8 @@ SELECT fixture_id, {r('w', 'win')}, {r('d', 'draw')}, {r('1 - w - d', 'loss')},
 )
 def f15_poisson_table(spark, sf):
     """Poisson outcome table and modal scoreline."""
-    w, d, x = fn.poisson_outcomes(F.col("lambda_home"), F.col("lambda_away"))
-    return predictions(spark, sf).select(
+    w, d, x = fn.poisson_outcomes(F.col("sums"))
+    return predictions(spark, sf).withColumn("sums", fn.score_sums(F.col("lambda_home"), F.col("lambda_away"), 20)).select(
         "fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"), fn.modal_score(F.col("lambda_home"), F.col("lambda_away")).alias("modal")
     )
 
@@ -86,8 +86,9 @@ SELECT fixture_id, {r('sum(CASE WHEN i > j THEN p END) / sum(p)', 'win')}, {r('s
 )
 def f20_corrected_grid(spark, sf):
     """Low-score corrected outcome probabilities, in closed form."""
-    w, d, x = fn.corrected_outcomes(F.col("lambda_home"), F.col("lambda_away"), -0.08)
-    return predictions(spark, sf).select("fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"))
+    rates = F.col("lambda_home"), F.col("lambda_away")
+    w, d, x = fn.corrected_outcomes(F.col("sums"), *rates, -0.08)
+    return predictions(spark, sf).withColumn("sums", fn.score_sums(*rates, 15)).select("fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"))
 
 
 @query(
@@ -168,8 +169,9 @@ SELECT v.fixture_id, {r('(s[1] + s[2]) / 2', 'k')}, {r('power(1/b.h, (s[1] + s[2
  {r('power(1/b.a, (s[1] + s[2]) / 2)', 'd_away')} FROM v LEFT JOIN b ON b.fixture_id = v.fixture_id"""
 )
 def f31_power_devig(spark, sf):
-    p, k = fn.power_devig(F.col("home"), F.col("draw"), F.col("away"))
-    return wide_odds(spark, sf).select("fixture_id", k.alias("k"), *(x.alias(n) for x, n in zip(p, ("d_home", "d_draw", "d_away"), strict=True)))
+    sides = ("home", "draw", "away")
+    found = wide_odds(spark, sf).withColumn("k", fn.power_exponent(*(F.col(c) for c in sides)))
+    return found.select("fixture_id", "k", *(F.pow(1 / F.col(c), F.col("k")).alias(f"d_{c}") for c in sides))
 
 
 @query(
@@ -224,9 +226,9 @@ SELECT fixture_id, {r('0.94e0 * w', 'win')}, {r('0.94e0 * d + 0.06e0', 'draw')},
 )
 def f23_diagonal_inflation(spark, sf):
     """a share of the mass moved onto the draws of the 0..10 goal grid."""
-    w, d, x = fn.corrected_outcomes(F.col("lambda_home"), F.col("lambda_away"), 0.0, k=10)
-    w, d, x = fn.inflated(w, d, x, 0.06)
-    return predictions(spark, sf).select("fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"))
+    rates = F.col("lambda_home"), F.col("lambda_away")
+    w, d, x = fn.inflated(*fn.corrected_outcomes(F.col("sums"), *rates, 0.0), 0.06)
+    return predictions(spark, sf).withColumn("sums", fn.score_sums(*rates, 10)).select("fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"))
 
 
 @query(f"WITH {PREDS} SELECT fixture_id, {r('lambda_home * exp(greatest(least(elo_diff / 1000, 0.15), -0.15))', 'home')}, {r('lambda_away * exp(greatest(least(-elo_diff / 1000, 0.15), -0.15))', 'away')} FROM preds")

@@ -52,7 +52,7 @@ def s8_pruned_scan(spark, sf):
 
 @query(f"WITH {PREDS} SELECT y_true, count(*) AS n, 1 AS version FROM preds WHERE y_true IN ('H', 'D', 'A') GROUP BY y_true")
 def s9_single_version(spark, sf):
-    """Labelled scan that fails on mixed versions."""
+    """Labelled scan that fails on mixed versions."""
     rows = ledger.one_version(predictions(spark, sf).withColumn("version", F.lit(1)), "version")
     return rows.where(F.col("y_true").isin("H", "D", "A")).groupBy("y_true").agg(F.count("*").alias("n"), F.max("version").alias("version"))
 
@@ -60,7 +60,7 @@ def s9_single_version(spark, sf):
 @query("""WITH l AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'view'), seen AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id % 2 = 0)
 SELECT user_id, min(event_id) AS event_id FROM l WHERE user_id NOT IN (SELECT user_id FROM seen) GROUP BY user_id""")
 def s13_first_write_wins(spark, sf):
-    """The first row of every key that the ledger doesn't hold yet."""
+    """The first row of every key that the ledger doesn't hold yet."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     seen = e.where("event_type = 'error' and user_id % 2 = 0").select("user_id").distinct()
     return ledger.append_new(seen, e.where("event_type = 'view'").select("user_id", "event_id"), "user_id", "event_id")
@@ -103,7 +103,7 @@ def s17_xg_backfill(spark, sf):
 SELECT broken, count(*) AS n, count(*) FILTER (abs(s + broken::INT * 0.1 - 1) > 1e-6) AS bad_sum, count(*) FILTER (p_home < 0.1) AS low FROM f GROUP BY broken"""
 )
 def p13_probability_validity(spark, sf):
-    """Row flags on probabilities, counted."""
+    """Row flags on probabilities, counted."""
     rows = predictions(spark, sf).withColumn("broken", F.col("fixture_id") % 97 == 0)
     total = F.col("p_home") + F.col("p_draw") + F.col("p_away") + F.col("broken").cast("int") * 0.1
     return rows.groupBy("broken").agg(F.count("*").alias("n"), F.count_if(F.abs(total - 1) > 1e-6).alias("bad_sum"), F.count_if(F.col("p_home") < 0.1).alias("low"))
@@ -114,7 +114,7 @@ def p13_probability_validity(spark, sf):
 SELECT event_id, k, CASE WHEN k % 4 = 0 THEN k % 7 END AS home, CASE WHEN k % 4 = 0 THEN k % 3 END AS away, t, CASE k % 5 WHEN 0 THEN 'FT' WHEN 1 THEN 'LIVE' WHEN 2 THEN 'POSTPONED' ELSE 'OTHER' END AS state FROM e"""
 )
 def f2_parse_events(spark, sf):
-    """JSON fields, scores, timestamps and status names from text."""
+    """JSON fields, scores, timestamps and status names from text."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     k = text.safe_number(F.get_json_object("props", "$.k")).cast("long")
     rows = e.select("event_id", "ts", k.alias("k"))
@@ -128,7 +128,7 @@ def f2_parse_events(spark, sf):
 
 @query("WITH " + CONTESTS + """ SELECT fixture_id, sha256('away_id=' || away_id || ';fixture_id=' || fixture_id || ';home_goals=' || coalesce(home_goals::VARCHAR, 'null')) AS hash FROM contests""")
 def f7_record_hash(spark, sf):
-    """Canonical hash of a record."""
+    """canonical hash of a record."""
     return contests(spark, sf).select("fixture_id", text.record_hash("home_goals", "fixture_id", "away_id").alias("hash"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchweave.plans.base import query, r
+from matchweave.plans.ratings import Q1_SQL, four_digits
 from matchweave.sources import bindings
 from matchweave.sources.bindings import CONTESTS, contests
 from matchweave.streaming import prospective as st
@@ -81,9 +82,9 @@ def r9_eligibility_funnel(spark, sf):
     return st.funnel(c, c.where("fixture_id % 10 = 3"), c.where("season_year < 1994"), 820454400).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(Q1_SQL)
 def r5_online_ratings(spark, sf):
     """Ratings from a stream of contests; equal to q1_elo."""
     columns = bindings._contest_columns("unix_timestamp(o_orderdate)")
     stream = st.read_stream(spark, f"{sf}/orders.parquet").select(*(F.expr(e).alias(c) for c, e in columns.items()))
-    return st.drained(st.online_ratings(stream, "competition_id"))
+    return four_digits(st.drained(st.online_ratings(stream, "competition_id")))

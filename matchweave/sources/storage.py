@@ -11,8 +11,11 @@ _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; under a temporary one only where that is unset."""
+    """A new folder name under spark.checkpoint.dir; in local mode a temporary one stands in where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        root = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

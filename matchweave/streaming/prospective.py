@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from matchweave.operators.ratings import Elo, replay
+from matchweave.operators.ratings import CONTEST, Elo, Replay
 from matchweave.sources.storage import shared_folder
 
 
@@ -101,21 +101,20 @@ def sticky_states(stream: DataFrame, key: str, state: str, stamp: str, final: tu
 def online_ratings(stream: DataFrame, group: str, make: Callable = Elo) -> DataFrame:
     """Ratings before each contest of a stream that comes in kickoff order, per group of teams.
 
-    The kernel's ratings are the state. Contests at one kickoff must come in one batch.
+    The state is the whole replay: every table of the kernel and the results that wait for the next kickoff,
+    so that a kickoff may be cut between batches and any kernel can be used.
     """
 
     def step(name, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        kernel = make()
-        if kept.exists:
-            kernel.rating = {int(k): v for k, v in json.loads(kept.get[0]).items()}
-        rows = pd.concat(list(batches))
-        out = replay(rows, lambda: kernel, flush=True)
-        kept.update((json.dumps(kernel.rating),))
+        going = pickle.loads(kept.get[0]) if kept.exists else Replay(make())
+        rows = pd.concat(list(batches)).sort_values(["unix", "fixture_id"], kind="stable")
+        out = going.feed(rows)
+        kept.update((pickle.dumps(going),))
         yield out
 
     columns = ", ".join(f"{c} double" for c in make().columns)
-    rows = stream.select(F.col(group).alias("team_group"), "fixture_id", "unix", "home_id", "away_id", "home_goals", "away_goals", "status", "season_id")
-    return rows.groupBy("team_group").applyInPandasWithState(step, f"fixture_id long, {columns}", "ratings string", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(group).alias("team_group"), *CONTEST)
+    return rows.groupBy("team_group").applyInPandasWithState(step, f"fixture_id long, {columns}", "replay binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def funnel(batch: DataFrame, locked: DataFrame, history: DataFrame, now: int, buffer: int = 900) -> DataFrame:

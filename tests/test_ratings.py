@@ -1,9 +1,15 @@
+import pickle
+from functools import partial
+
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from matchweave.operators import ratings
 from matchweave.plans import catalog
 from matchweave.sources.bindings import contests
+from matchweave.streaming import prospective
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +62,45 @@ def test_groups_and_competitions_agree(spark):
 def test_stream_equals_batch(spark):
     show = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect()))
     assert show("r5_online_ratings") == show("q1_elo")
+
+
+KERNELS = [ratings.Elo, partial(ratings.Elo, gamma=0.3, decay=1.0), ratings.DynamicElo, ratings.AttackDefence, ratings.DynamicAttackDefence]
+
+
+@pytest.mark.parametrize("make", KERNELS)
+def test_batches_carry_the_whole_state(make):
+    rng = np.random.default_rng(5)
+    rows = [(k, k // 3, int(a), int(b), int(g), int(h), "FT" if g else "NS", 1 + k // 100) for k, (a, b, g, h) in enumerate(rng.integers(0, 6, (300, 4))) if a != b]
+    whole = ratings.replay(frame(rows), make)
+    going, parts = ratings.Replay(make()), []
+    for k in range(0, len(rows), 7):
+        parts.append(going.feed(frame(rows[k : k + 7])))
+        going = pickle.loads(pickle.dumps(going))
+    assert pd.concat(parts, ignore_index=True).equals(whole)
+
+
+@pytest.mark.parametrize("make", [ratings.DynamicElo, ratings.AttackDefence, ratings.DynamicAttackDefence])
+def test_stream_batches_equal_one_batch(spark, make, tmp_path):
+    c = contests(spark, SF)
+    edges = [0, 760000000, 830000000, 2**40]
+    for k in range(3):
+        c.where(F.col("unix").between(edges[k], edges[k + 1] - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    show = lambda df: sorted(map(tuple, df.collect()))
+    assert show(prospective.drained(prospective.online_ratings(stream, "competition_id", make))) == show(ratings.rated(c, make))
+
+
+def test_long_chains_are_one_group(spark):
+    pairs = [(k, k + 1) for k in range(500)] + [(k, k + 1) for k in range(1000, 1003)] + [(7, 7), (None, 3)]
+    got = dict(map(tuple, ratings.group_labels(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(1000, 1004), 1000)}
+
+
+def test_dynamic_elo_by_hand():
+    rows = [(1, 10, 1, 2, 3, 0, "FT", 1), (2, 20, 2, 1, 1, 1, "FT", 1), (3, 30, 1, 2, None, None, "NS", 2)]
+    out = ratings.replay(frame(rows), ratings.DynamicElo)
+    step = 20 * 2.5
+    gain = step * 14 / 8 * (1 - 1 / (1 + 10 ** (-100 / 400)))
+    assert out.home_step[0] == step and out.away_rating[1] == pytest.approx(1500 + gain) and out.away_attack[1] == pytest.approx(1500 + 5 * (3 - np.exp(0.15)))
+    after = out.away_rating[1] + 20 * (1 + 1.5 / 2**0.5) * -(0.5 - 1 / (1 + 10 ** ((out.away_rating[1] - out.home_rating[1] - 100) / 400)))
+    assert out.home_rating[2] == pytest.approx(1500 + 0.85 * (after - 1500)) and out.home_step[2] == pytest.approx(20 * (1 + 1.5 / 3**0.5))
