@@ -33,22 +33,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     )
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The written columns of documents with row_key: a row's own key, whatever its id."""
+    return written(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates, the document with the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return (
-        docs.select(*COLUMNS)
-        .join(keep, "doc_id", "left_semi")
-        .unionAll(docs.select(*COLUMNS).where("doc_id is null"))
-    )
+    """Of each group of SimHash near-duplicates one row stays: that with the smallest id, one without an id last.
+
+    Rows are told apart by a key of their own, so that repeated rows and rows without an id are judged as well.
+    """
+    rows = with_row_key(docs)
+    groups = simhash.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    ids = rows.select("row_key", "doc_id").join(groups.select(F.col("doc_id").alias("row_key"), "component_id"), "row_key")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    keep = ids.groupBy("component_id").agg(F.min(first).alias("first")).select("first.row_key")
+    return rows.join(keep, "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    """Rows whose own text is not contaminated with benchmark items, whatever their ids."""
+    rows = with_row_key(docs)
+    found = decontaminate.contamination(rows.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("row_key"))
+    return rows.join(bad, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

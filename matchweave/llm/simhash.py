@@ -139,7 +139,7 @@ def link_forest(nodes: np.ndarray, fps: np.ndarray, order: list[int], exact: int
 
 
 def near_duplicates(
-    docs: DataFrame, budget: int = 4, blocks: int = 5, shingle: int = 4, seed: int = 42, group_rows: int = 20_000
+    docs: DataFrame, budget: int = 4, blocks: int | None = None, shingle: int = 4, seed: int = 42, group_rows: int = 20_000
 ) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp, component_id): documents linked at <= budget differing bits.
 
@@ -148,15 +148,17 @@ def near_duplicates(
     over group_rows fingerprints is split into sub-blocks, and one task takes each pair of them, so
     a task never holds more than two sub-blocks. Tasks return spanning forests instead of pairs.
     `blocks` sets the number of exact leading bits (budget + 1: one block of five); more blocks mean
-    more copies and smaller subtrees, and never change the result.
+    more copies and smaller subtrees, and never change the result. By default they follow the number
+    of fingerprints, so that units of about group_rows suffice for all.
 
     Null and wordless texts have fingerprint 0 and link like any other; rows without an id get their
     fingerprint and no component; rows that share an id are one document for the links.
     """
     rows = written(fingerprints(docs, shingle, seed))
     nodes = written(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    plans = layouts(budget, blocks)
     n = nodes.count()
+    blocks = blocks or next(b for b in range(budget + 1, 64) if b == 12 or n <= group_rows << (64 * (b - budget) // b))
+    plans = layouts(budget, blocks)
     units = max(16, 1 << max(0, (n // 4096)).bit_length())
 
     def exact_hash(exact_bits: list[int]):

@@ -30,6 +30,13 @@ def test_shuffled_path_and_odd_texts(spark):
     assert sorted(r.n_hit for r in sevens) == [0, 2]
 
 
+def test_both_ways_agree_on_a_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    narrow, wide = (table_rows(decontaminate.contamination(docs, items, broadcast_windows=n)) for n in (50_000, 0))
+    assert narrow == wide and len(narrow) == docs.count()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "a")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")

@@ -51,7 +51,7 @@ def test_stages_and_run(spark):
     for d in plain[-1].values():
         sizes[f"s:{d['source']}"] = sizes.get(f"s:{d['source']}", 0) + 1
     slots = mixing.shares(dict(sorted(sizes.items())), 1000)
-    where = {(s, j): slot for s, j, slot in mixing.pfair_period(slots)}
+    where = {(s, j): slot for s, j, slot in mixing.pfair_slots(slots)}
     for r in got:
         n = slots[f"s:{r.source}"]
         assert r.mix_slot == r.mix_block // n * 1000 + where[f"s:{r.source}", r.mix_block % n]
@@ -63,3 +63,15 @@ def test_empty_documents(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{source}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows_are_judged(spark, tmp_path):
+    item = " ".join(f"alpha{k}" for k in range(13))
+    clean = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, clean[0]), (1, clean[0]), (None, clean[0]), (None, clean[1]), (None, clean[1]), (2, clean[2]), (None, item), (2, item)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, clean[0]), (0, clean[1]), (2, clean[2]), (2, item)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in left) == sorted(t for _, t in rows if t != item)
