@@ -42,20 +42,35 @@ def best_name_match(left: DataFrame, right: DataFrame, day: str) -> DataFrame:
     """Pairs of one day by normalised names: exact first, else one name inside the other (four letters at least).
 
     left(l_id, day, l_home, l_away), right(r_id, day, r_home, r_away) -> l_id, r_id, method, confidence.
+    Exact names are an equi-join. For the others, a home name inside another has all its runs of four
+    letters there: its rarest one is joined with all runs of the other side, and only such pairs are compared.
     """
-    exact = (F.col("l_home") == F.col("r_home")) & (F.col("l_away") == F.col("r_away"))
+    same = left.join(right, (left[day] == right[day]) & (left.l_home == right.r_home) & (left.l_away == right.r_away))
+    exact = same.groupBy("l_id").agg(F.min("r_id").alias("r_id")).select("l_id", "r_id", F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
 
     def inside(a: str, b: str) -> Column:
         long_enough = (F.length(a) >= 4) & (F.length(b) >= 4)
         return long_enough & (F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
 
-    both = left.join(right, day).withColumn(
-        "rank", F.when(exact, 0).when(inside("l_home", "r_home") & inside("l_away", "r_away"), 1)
-    )
-    best = both.where("rank is not null").groupBy("l_id").agg(F.min(F.struct("rank", "r_id")).alias("b"))
-    return best.select(
-        "l_id", "b.r_id", F.when(F.col("b.rank") == 0, "exact").otherwise("substring").alias("method"), F.when(F.col("b.rank") == 0, 1.0).otherwise(0.8).alias("confidence")
-    )
+    def runs(rows: DataFrame, name: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.length(name) - 3)
+        return rows.where(F.length(name) >= 4).withColumn("gram", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring(name, k, F.lit(4))))))
+
+    open_rows = left.join(exact.select("l_id"), "l_id", "left_anti")
+    l, r = runs(open_rows, "l_home"), runs(right, "r_home")
+    spread = l.select(day, "gram").unionAll(r.select(day, "gram")).groupBy(day, "gram").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(spread, [day, "gram"]).groupBy(key).agg(F.min(F.struct("n", "gram")).alias("g")).select(key, F.col("g.gram").alias("gram"))
+
+    pairs = [
+        rarest(l, "l_id").join(open_rows, "l_id").join(r, [day, "gram"]),
+        rarest(r, "r_id").join(right, "r_id").join(l, [day, "gram"]),
+    ]
+    names = ["l_id", "r_id", "l_home", "l_away", "r_home", "r_away"]
+    found = pairs[0].select(*names).unionByName(pairs[1].select(*names)).where(inside("l_home", "r_home") & inside("l_away", "r_away"))
+    partly = found.groupBy("l_id").agg(F.min("r_id").alias("r_id")).select("l_id", "r_id", F.lit("substring").alias("method"), F.lit(0.8).alias("confidence"))
+    return exact.unionByName(partly)
 
 
 VECTOR = ("p_home", "p_draw", "p_away", "lambda_home", "lambda_away")

@@ -151,3 +151,35 @@ def quantile_bins(rows: DataFrame, value: str, q: int, groups: list[str]) -> Dat
     points = [k / q for k in range(1, q)]
     edges = rows.groupBy(*groups).agg(F.array_distinct(F.percentile(F.col(value), F.array(*map(F.lit, points)))).alias("edges"))
     return rows.join(edges, groups).withColumn("bin", F.size(F.filter("edges", lambda e: F.col(value) > e))).drop("edges")
+
+
+def carried(rows: DataFrame, group: str, bucket: Column, order: list[str], value: Column) -> DataFrame:
+    """rows with bucket, value, place (from 1) and upto, the running sum of value, in order within the group.
+
+    Windows run within a bucket, such as a month, and carry on from the sums of the buckets before it, so
+    that no task sorts a whole group. The order must not leave that of the buckets.
+    """
+    keyed = rows.withColumns({"bucket": bucket, "value": value.cast("double")})
+    sums = keyed.groupBy(group, "bucket").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    earlier = W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(group, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("sum_before"))
+    within = W.partitionBy(group, "bucket").orderBy(*order)
+    placed = keyed.withColumns({"place": F.row_number().over(within), "upto": F.sum("value").over(within.rowsBetween(W.unboundedPreceding, 0))})
+    joined = placed.join(before, [group, "bucket"])
+    return joined.withColumns({"place": F.col("place") + F.col("n_before"), "upto": F.col("upto") + F.col("sum_before")}).drop("n_before", "sum_before")
+
+
+def drawdowns(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """carried rows -> per group: n, won, profit and max_drawdown, the largest fall of the running sum from its peak.
+
+    A fall lies within a bucket, or between the highest peak before the bucket and its lowest point.
+    """
+    within = W.partitionBy(group, "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    peaks = rows.withColumn("peak", F.max("upto").over(within))
+    buckets = peaks.groupBy(group, "bucket").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("won"), F.sum("value").alias("profit"),
+        F.max(F.col("peak") - F.col("upto")).alias("own"), F.max("upto").alias("high"), F.min("upto").alias("low"),
+    )
+    earlier = W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    fall = F.greatest("own", F.max("high").over(earlier) - F.col("low"))
+    return buckets.withColumn("fall", fall).groupBy(group).agg(F.sum("n").alias("n"), F.sum("won").alias("won"), F.sum("profit").alias("profit"), F.max("fall").alias("max_drawdown"))

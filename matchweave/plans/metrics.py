@@ -11,6 +11,7 @@ from matchweave.plans.base import query, r
 from matchweave.sources.bindings import CONTESTS, ODDS, PREDS, contests, odds, predictions
 
 Q = ("q_home", "q_draw", "q_away")
+ORDER, MONTH = ["unix", "fixture_id"], "floor(unix / 2592000)"
 PICK = "CASE WHEN {h} >= {d} AND {h} >= {a} THEN 'H' WHEN {d} >= {a} THEN 'D' ELSE 'A' END"
 PICK_P, PICK_Q = PICK.format(h="p_home", d="p_draw", a="p_away"), PICK.format(h="q_home", d="q_draw", a="q_away")
 TRUE_P = "CASE y_true WHEN 'H' THEN p_home WHEN 'D' THEN p_draw ELSE p_away END"
@@ -314,12 +315,10 @@ def m29_betting(spark, sf):
     pick = argmax(*map(F.col, Q))
     of = lambda cols: F.when(F.col("k") == "H", F.col(cols[0])).when(F.col("k") == "D", F.col(cols[1])).otherwise(F.col(cols[2]))
     bets = predictions(spark, sf).withColumn("k", pick).where(of(Q) - of(m.P) >= -0.03)
-    order = W.partitionBy("competition_id").orderBy("unix", "fixture_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = bets.select("competition_id", "unix", "fixture_id", F.when(F.col("k") == F.col("y_true"), 1 / (1.05 * of(m.P)) - 1).otherwise(-1.0).alias("pnl"))
-    run = rows.withColumn("c", F.sum("pnl").over(order)).withColumn("d", F.max("c").over(order) - F.col("c"))
-    return run.groupBy("competition_id").agg(
-        F.count("*").alias("bets"), F.count_if(F.col("pnl") > 0).alias("won"), F.sum("pnl").alias("profit"), F.avg("pnl").alias("roi"), F.max("d").alias("max_drawdown")
-    )
+    pnl = F.when(F.col("k") == F.col("y_true"), 1 / (1.05 * of(m.P)) - 1).otherwise(-1.0)
+    run = m.carried(bets.select("competition_id", "unix", "fixture_id", pnl.alias("pnl")), "competition_id", F.expr(MONTH), ORDER, F.col("pnl"))
+    found = m.drawdowns(run, "competition_id", ORDER)
+    return found.select("competition_id", F.col("n").alias("bets"), "won", "profit", (F.col("profit") / F.col("n")).alias("roi"), "max_drawdown")
 
 
 _T = (0.2, 0.25, 0.3, 0.35, 0.4)
@@ -371,9 +370,10 @@ def w25_quantile_bins(spark, sf):
 SELECT competition_id, CAST((k - 1) // 50 AS BIGINT) AS block, count(*) AS n, {r('avg(ll)', 'log_loss')}, {r('avg((pick = y_true)::INT)', 'accuracy')} FROM n GROUP BY 1, 2"""
 )
 def w21_chronological_blocks(spark, sf):
-    order = W.partitionBy("competition_id").orderBy("unix", "fixture_id")
-    rows = predictions(spark, sf).withColumn("block", F.floor((F.row_number().over(order) - 1) / 50))
-    return rows.groupBy("competition_id", "block").agg(F.count("*").alias("n"), F.avg(m.log_loss()).alias("log_loss"), F.avg((F.col("y_true") == argmax(*map(F.col, m.P))).cast("double")).alias("accuracy"))
+    """Blocks of 50 contests in order of kickoff."""
+    hit = (F.col("y_true") == argmax(*map(F.col, m.P))).cast("double")
+    rows = m.carried(predictions(spark, sf), "competition_id", F.expr(MONTH), ORDER, hit).withColumn("block", F.floor((F.col("place") - 1) / 50))
+    return rows.groupBy("competition_id", "block").agg(F.count("*").alias("n"), F.avg(m.log_loss()).alias("log_loss"), F.avg("value").alias("accuracy"))
 
 
 @query(
@@ -381,10 +381,10 @@ def w21_chronological_blocks(spark, sf):
 SELECT competition_id, k, {r('acc', 'accuracy')} FROM n WHERE k % 100 = 0"""
 )
 def w22_cumulative_accuracy(spark, sf):
-    order = W.partitionBy("competition_id").orderBy("unix", "fixture_id")
+    """Accuracy up to every hundredth contest."""
     hit = (F.col("y_true") == argmax(*map(F.col, m.P))).cast("double")
-    rows = predictions(spark, sf).select("competition_id", F.row_number().over(order).cast("long").alias("k"), F.avg(hit).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("accuracy"))
-    return rows.where("k % 100 = 0")
+    rows = m.carried(predictions(spark, sf).select("competition_id", *ORDER, *m.P, "y_true"), "competition_id", F.expr(MONTH), ORDER, hit)
+    return rows.where("place % 100 = 0").select("competition_id", F.col("place").cast("long").alias("k"), (F.col("upto") / F.col("place")).alias("accuracy"))
 
 
 _CANDIDATES, _EXISTING = ("lambda_home", "lambda_away", "q_home", "q_draw"), ("elo_diff", "p_home", "p_draw", "p_away")
