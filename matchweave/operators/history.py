@@ -214,6 +214,24 @@ def trends(contests: DataFrame) -> DataFrame:
     ).withColumn("momentum", F.col("xg_short") - F.col("xg_long"))
 
 
+def matchup_trends(contests: DataFrame) -> DataFrame:
+    """Per contest, home less away: finishing, defensive and net residuals, and momentum of xG for less against.
+
+    Residuals are weighted means of goals less xG, for and against, over the last ten; a trend is the short
+    weighted mean less the long one. Missing goals count 0, missing xG 1.25, as in trends.
+    """
+    fill = lambda c, v: F.coalesce(F.col(c).cast("double"), F.lit(v))
+    rows = team_rows(contests).withColumns({"x": fill("xg_for", 1.25), "y": fill("xg_against", 1.25), "g": fill("goals_for", 0.0), "h": fill("goals_against", 0.0)})
+    order = W.partitionBy("team_id").orderBy("unix", "fixture_id")
+    finishing, defensive = (ewma(F.col(a) - F.col(b), 5, 10, 0.0, order) for a, b in (("g", "x"), ("h", "y")))
+    trend, against = (ewma(F.col(c), 3, 5, 1.25, order) - ewma(F.col(c), 10, 20, 1.25, order) for c in "xy")
+    values = rows.select(
+        "fixture_id", "is_home", finishing.alias("finishing"), defensive.alias("defensive"), (finishing - defensive).alias("net_luck"), (trend - against).alias("momentum")
+    )
+    side = lambda c, here: F.max(F.when(F.col("is_home") == here, F.col(c)))
+    return values.groupBy("fixture_id").agg(*((side(c, True) - side(c, False)).alias(f"{c}_gap") for c in ("finishing", "defensive", "net_luck", "momentum")))
+
+
 def rest(contests: DataFrame) -> DataFrame:
     """Days since the team's last contest in [2, 21] (14 without one), and contests in the last 7 and 14 days."""
     rows = team_rows(contests)

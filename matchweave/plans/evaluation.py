@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import reduce
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchweave.functions import probability as fn
+from matchweave.operators import calibrate as cal
 from matchweave.operators import contracts as con
 from matchweave.operators import metrics as m
 from matchweave.operators import resample
@@ -314,3 +318,35 @@ def m36_correlation_clusters(spark, sf):
                 label[a] = label[b] = min(label[a], label[b])
     sizes = {c: sum(label[d] == label[c] for d in _PAIRED) for c in _PAIRED}
     return spark.createDataFrame([(c, label[c], sizes[c]) for c in _PAIRED], "feature string, cluster string, size long")
+
+
+@query()
+def m36_collinearity(spark, sf):
+    """Variance inflation of each feature and the condition number, from one aggregate of all correlations."""
+    names = ["elo_diff", "lambda_home", "lambda_away", "p_home", "q_draw"]
+    found = predictions(spark, sf).agg(*(F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names[:i]))).first()
+    r_ = np.eye(len(names))
+    for i in range(len(names)):
+        for j in range(i):
+            r_[i, j] = r_[j, i] = found[f"r{i}_{j}"]
+    rows = [(c, float(v), float(np.linalg.cond(r_))) for c, v in zip(names, np.diag(np.linalg.inv(r_)), strict=True)]
+    return spark.createDataFrame(rows, "feature string, vif double, condition double")
+
+
+_ARMS = {"all": ["elo_diff", "lambda_home", "lambda_away"], "ratings": ["elo_diff"], "rates": ["lambda_home", "lambda_away"]}
+
+
+@query()
+def k21_ablation(spark, sf):
+    """The outcome regression with each set of features, on every fold, and its loss against all features."""
+    p, parts = predictions(spark, sf), []
+    for year in (1996, 1997):
+        train, test = p.where(F.col("season_year") < year), p.where(F.col("season_year") == year)
+        for arm, columns in _ARMS.items():
+            out = cal.outcome_model(train, columns).transform(test).withColumn("p", vector_to_array("probability"))
+            rows = out.select("y_true", *(F.get("p", F.lit(k)).alias(f"m_{v}") for k, v in enumerate("HDA")))
+            scored = m.scorecard(rows, p=("m_H", "m_D", "m_A")).select("n", "log_loss", "brier")
+            parts.append(scored.select(F.lit(year).alias("fold"), F.lit(arm).alias("arm"), "n", "log_loss", "brier"))
+    table = reduce(DataFrame.unionByName, parts)
+    base = F.max(F.when(F.col("arm") == "all", F.col("log_loss"))).over(W.partitionBy("fold"))
+    return table.withColumn("delta", F.col("log_loss") - base)

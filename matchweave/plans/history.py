@@ -202,6 +202,18 @@ def w13_trends(spark, sf):
     return op.trends(contests(spark, sf))
 
 
+@query(
+    TEAMS
+    + f""", v AS (SELECT *, coalesce(xg_for, 1.25) AS x, coalesce(xg_against, 1.25) AS y, coalesce(CAST(goals_for AS DOUBLE), 0) - coalesce(xg_for, 1.25) AS l, coalesce(CAST(goals_against AS DOUBLE), 0) - coalesce(xg_against, 1.25) AS q FROM teams), e AS (
+ SELECT fixture_id, is_home, {_ewma('l', 5, 10, '0e0')} AS f, {_ewma('q', 5, 10, '0e0')} AS d, {_ewma('x', 3, 5, '1.25e0')} - ({_ewma('x', 10, 20, '1.25e0')}) AS t, {_ewma('y', 3, 5, '1.25e0')} - ({_ewma('y', 10, 20, '1.25e0')}) AS u
+ FROM v WINDOW w_0 AS (PARTITION BY team_id ORDER BY unix, fixture_id))
+SELECT h.fixture_id, {r('h.f - a.f', 'finishing_gap')}, {r('h.d - a.d', 'defensive_gap')}, {r('h.f - h.d - (a.f - a.d)', 'net_luck_gap')}, {r('h.t - h.u - (a.t - a.u)', 'momentum_gap')} FROM e h JOIN e a ON a.fixture_id = h.fixture_id AND h.is_home AND NOT a.is_home"""
+)
+def w18_matchup_trends(spark, sf):
+    """Residuals and momentum of both sides, for and against, as differences of a pairing."""
+    return op.matchup_trends(contests(spark, sf))
+
+
 @query(
     TEAMS
     + f""" SELECT fixture_id, team_id,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchweave.operators import calibrate as cal
 from matchweave.operators import contracts as con
 from matchweave.operators import resample
+from matchweave.plans import catalog
 from matchweave.plans.models import CLASSES, COLUMNS, split
 from matchweave.sources.bindings import predictions
 
@@ -109,3 +110,14 @@ def test_moving_blocks_are_the_sums_of_runs(spark):
     got = sorted(map(tuple, resample.moving_blocks(rows, ["unix", "fixture_id"], F.floor(F.col("unix") / 86400), "d", 5).collect()))
     d = [r.d for r in rows.orderBy("unix", "fixture_id").collect()]
     assert [s for s, _, _ in got] == list(range(len(d) - 4)) and all(abs(t - sum(d[s : s + 5])) < 1e-6 and n == 5 for s, t, n in got)
+
+
+def test_variance_inflation_equals_regressions(spark):
+    got = {r.feature: r for r in catalog.QUERIES["m36_collinearity"](spark, SF).collect()}
+    rows = predictions(spark, SF).select(*got).toPandas()
+    for c, r in got.items():
+        x = np.column_stack([rows.drop(columns=c).to_numpy(float), np.ones(len(rows))])
+        y = rows[c].to_numpy(float)
+        rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert r.vif == pytest.approx(((y - y.mean()) ** 2).sum() / (rest**2).sum(), rel=1e-4)
+    assert got["p_home"].condition == pytest.approx(np.linalg.cond(np.corrcoef(rows.to_numpy(float).T)), rel=1e-4)
