@@ -64,7 +64,7 @@ def bucket_links(pdf: pd.DataFrame, threshold: float, chunk: int = 1024):
     A pair is counted where the filter is the smallest that both vectors share. Returns per vector
     the copies it links with and the root of its class within this bucket.
     """
-    ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy().astype(np.float64)
+    ids, copies = pdf["key"].to_numpy(), pdf["copies"].to_numpy().astype(np.float64)
     side, p, q, own = pdf["part"].to_numpy(), pdf["p"].iat[0], pdf["q"].iat[0], pdf["filter"].iat[0]
     order = np.argsort(ids, kind="stable")
     ids, copies, side = ids[order], copies[order], side[order]
@@ -95,7 +95,7 @@ def bucket_links(pdf: pd.DataFrame, threshold: float, chunk: int = 1024):
             near &= earlier[here] @ earlier.T < 0.5
         linked[here] += near @ copies
     some = (linked > 0) | (label != np.arange(len(ids)))
-    return pd.DataFrame({"rep": ids[some], "linked": linked[some].astype(np.int64), "root": ids[label[some]]})
+    return pd.DataFrame({"key": ids[some], "linked": linked[some].astype(np.int64), "root": ids[label[some]]})
 
 
 def near_duplicates(
@@ -118,7 +118,8 @@ def near_duplicates(
     filter with a probability of about exp(-per_vector * P(cap | cap)).
 
     Null, empty, zero and non-finite vectors, and rows without an id, link with nothing. Vectors of
-    different lengths never link. Rows sharing an id are one vertex.
+    different lengths never link. Rows sharing an id are one vertex of the classes; for n_links each row is
+    a vector of its own.
     """
     numbered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -127,7 +128,7 @@ def near_duplicates(
         numbered.where(valid)
         .groupBy("embedding")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("dim", F.size("embedding"))
+        .withColumns({"dim": F.size("embedding"), "key": F.monotonically_increasing_id()})
     )
     n = folded.count()
     size = max(4, round((n / bucket_rows) ** (1 / blocks)))
@@ -147,8 +148,8 @@ def near_duplicates(
             pdf["filters"] = found
             yield pdf
 
-    schema = "embedding array<double>, rep long, copies long, dim int, filters array<long>"
-    capped = written(folded.mapInPandas(listed, schema))
+    schema = "embedding array<double>, key long, copies long, dim int, filters array<long>"
+    capped = written(folded.select("embedding", "key", "copies", "dim").mapInPandas(listed, schema))
     spread = capped.withColumn("filter", F.explode("filters"))
     full = (
         capped.select("dim", F.explode("filters").alias("filter"))
@@ -158,20 +159,22 @@ def near_duplicates(
         .select("dim", "filter", F.ceil(F.col("rows") / part_rows).cast("int").alias("parts"))
     )
     spread = spread.join(full, ["dim", "filter"]).withColumn(
-        "part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
+        "part", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
     )
     tasks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
         {"p": F.least("part", "other"), "q": F.greatest("part", "other")}
     )
     found = written(
         tasks.groupBy("dim", "filter", "p", "q").applyInPandas(
-            lambda pdf: bucket_links(pdf, threshold), "rep long, linked long, root long"
+            lambda pdf: bucket_links(pdf, threshold), "key long, linked long, root long"
         )
     )
-    groups = connected_components(found, "rep", "root")
-    totals = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    ids = folded.select("key", "rep")
+    edges = found.where("key != root").join(ids, "key").join(ids.select(F.col("key").alias("root"), F.col("rep").alias("root_rep")), "root")
+    groups = connected_components(edges, "rep", "root_rep")
+    totals = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     named = (
-        folded.join(totals, "rep", "left")
+        folded.join(totals, "key", "left")
         .join(groups, F.col("rep") == F.col("node"), "left")
         .select(
             F.col("embedding").alias("same"),

@@ -66,3 +66,9 @@ def test_edge_rows(spark):
     assert {i for i, r in got.items() if r.n_links} == {7, 8}
     assert got[8].component_id == 7 and not got[8].kept and got[7].kept and got[1].kept
     assert op.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (1, [0.0, 5.0]), (4, [1.0, 1.0])]
+    got = op.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_vector=64.0).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
