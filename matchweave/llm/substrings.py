@@ -556,8 +556,9 @@ def repeated_passages(
                 if r.other_id != other_id:
                     other_id, side = r.other_id, prepared(text_shingles(r.other_text, shingle), width)
                 found = alike_passages(text_shingles(r.text, shingle), side, width, similarity)
-                out += [(r.doc_id, r.other_id, s, e + shingle - 1, t) for s, e, t in found]
-            yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "stop", "there"]).astype("int64")
+                if found:
+                    out.append((r.doc_id, r.other_id, [{"start": s, "stop": e + shingle - 1, "there": t} for s, e, t in sorted(found)]))
+            yield pd.DataFrame(out, columns=["doc_id", "other_id", "found"])
 
     compared = passages = None
 
@@ -569,9 +570,9 @@ def repeated_passages(
         pairs = pairs.select("doc_id", F.col("head_doc_id").alias("other_id")).distinct()
         pairs = written(pairs if compared is None else pairs.join(compared, ["doc_id", "other_id"], "left_anti"))
         compared = pairs if compared is None else compared.unionAll(pairs)
-        others = body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
+        others = body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).join(pairs.select("other_id"), "other_id", "left_semi")
         joined = pairs.join(body, "doc_id").join(others, "other_id")
-        seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, start long, stop long, there long"))
+        seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, found array<struct<start:long,stop:long,there:long>>"))
         passages = seen if passages is None else passages.unionAll(seen)
 
     def rest(members: DataFrame, last: int, keep) -> DataFrame:
@@ -583,7 +584,7 @@ def repeated_passages(
     members, first, last = whole.withColumn("label", F.lit(True)), 1, 1
     while passages is None or not members.isEmpty():
         compare(members, first, last, F.col("label"))
-        cover = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
+        cover = passages.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("cover"))
         held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))
         flagged = members.drop("label").join(cover, "doc_id", "left").select("key", "doc_id", "runs", "nth", (F.col("cover").isNull() | ~F.forall("runs", held)).alias("label"))
         flagged = written(flagged)
@@ -591,7 +592,7 @@ def repeated_passages(
         discard(flagged)
         first, last = last + 1, 4 * last
     # Then the members of one key that are still in different classes.
-    groups = written(connected_components(passages.select("doc_id", "other_id").distinct(), "doc_id", "other_id"))
+    groups = written(connected_components(passages.select("doc_id", "other_id"), "doc_id", "other_id"))
     classed = whole.drop("runs").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members, first, last = classed.select("key", "doc_id", "nth", F.coalesce("component", "doc_id").alias("label")), 1, 1
     members = rest(members, 0, F.min("label") < F.max("label"))
@@ -599,10 +600,11 @@ def repeated_passages(
         compare(members, first, last, F.col("label") != F.col("head_label"))
         members = rest(members, last, F.min("label") < F.max("label"))
         first, last = last + 1, 16 * last
-    linked = passages.select("doc_id", "other_id").distinct()
+    linked = passages.select("doc_id", "other_id")
     groups = connected_components(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")), "doc_id", "other_id")
+    placed_in = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.col("other_id").alias("other_id"), x["there"].alias("there")))
     listed_by = passages.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", "stop", "other_id", "there"))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
+        F.array_sort(F.flatten(F.collect_list(placed_in))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
     )
     text_of = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"], x["stop"], x["other_id"], x["there"])), ",")
     found = (
