@@ -191,6 +191,15 @@ def power_exponent(*odds: Column, steps: int = 16) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
 
 
+def power_devig(*odds: Column) -> tuple[list[Column], Column]:
+    """Probabilities (1 / odds) ** k that sum to one, and k; null where an odd is not above 1.
+
+    Select power_exponent under a name first where many rows are worked on.
+    """
+    k = power_exponent(*odds)
+    return [F.pow(1 / o, k) for o in odds], k
+
+
 def elo_expected(home: Column, away: Column, advantage: float = 100.0) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (away - home - advantage) / 400))
 
