@@ -403,6 +403,19 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def link_classes(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges(doc_id, other_id): components of each document's smallest link first, then of
+    what other links there are between those, so that many links inside a class are looked at once."""
+    near = written(connected_components(edges.groupBy("doc_id").agg(F.min("other_id").alias("other_id")), "doc_id", "other_id"))
+    mine, other = (near.select(F.col("node").alias(k), F.col("component").alias(f"class_{k}")) for k in ("doc_id", "other_id"))
+    named = edges.join(mine, "doc_id", "left").join(other, "other_id", "left")
+    between = named.select(F.coalesce("class_doc_id", "doc_id").alias("a"), F.coalesce("class_other_id", "other_id").alias("b")).where("a != b").distinct()
+    upper = written(connected_components(between, "a", "b"))
+    over = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    inner = near.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return inner.unionByName(upper.join(near.select("node"), "node", "left_anti"))
+
+
 def repeated_passages(
     docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 6, needed: int = 3, most: int = 4096
 ) -> DataFrame:
@@ -592,7 +605,7 @@ def repeated_passages(
         discard(flagged)
         first, last = last + 1, 4 * last
     # Then the members of one key that are still in different classes.
-    groups = written(connected_components(passages.select("doc_id", "other_id"), "doc_id", "other_id"))
+    groups = written(link_classes(passages.select("doc_id", "other_id")))
     classed = whole.drop("runs").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members, first, last = classed.select("key", "doc_id", "nth", F.coalesce("component", "doc_id").alias("label")), 1, 1
     members = rest(members, 0, F.min("label") < F.max("label"))
@@ -601,7 +614,7 @@ def repeated_passages(
         members = rest(members, last, F.min("label") < F.max("label"))
         first, last = last + 1, 16 * last
     linked = passages.select("doc_id", "other_id")
-    groups = connected_components(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")), "doc_id", "other_id")
+    groups = link_classes(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")))
     placed_in = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.col("other_id").alias("other_id"), x["there"].alias("there")))
     listed_by = passages.groupBy("doc_id").agg(
         F.array_sort(F.flatten(F.collect_list(placed_in))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")
