@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 
@@ -45,6 +48,28 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_bytes(batches, column: str, limit: int = 4 << 20):
+    """Arrow batches cut so that a string column holds about limit bytes in each; a longer row stands alone."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            seen = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, seen + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def extended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with further columns."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def schema_with(df: DataFrame, ddl: str) -> StructType:
+    """The frame's schema with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is its smallest node.
 

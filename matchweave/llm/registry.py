@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pii, simhash, substrings, toxicity, url_rules
+from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pieces, pii, simhash, substrings, toxicity, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.OP5_SQL,
