@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, html_text, line_dedup, mixing, pieces, pii, simhash, substrings, toxicity, url_rules
+from matchweave.llm import decontaminate, embedding_dedup, html_text, lexical, line_dedup, mixing, pieces, pii, simhash, substrings, toxicity, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_lexical_search": lexical.op12_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.OP5_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
