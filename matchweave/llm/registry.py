@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchweave.llm import decontaminate, embedding_dedup, html_text, lexical, line_dedup, mixing, pieces, pii, simhash, substrings, toxicity, url_rules
+from matchweave.llm import alignment, decontaminate, embedding_dedup, html_text, lexical, line_dedup, mixing, pieces, pii, simhash, substrings, toxicity, url_rules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_url_rules": url_rules.OP5_SQL,
