@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from math import lgamma
 
+import numpy as np
+import pandas as pd
 from numpy.polynomial.hermite import hermgauss
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,13 +98,76 @@ def poisson_outcomes(sums: Column) -> tuple[Column, Column, Column]:
     return sums["win"], sums["draw"], 1 - sums["win"] - sums["draw"]
 
 
-def modal_score(home: Column, away: Column, k: int = 20) -> Column:
-    """The pair of the likeliest goal counts, as "h-a"."""
+def tail_safe_sums(home: Column, away: Column, tail: float = 1e-15) -> Column:
+    """struct(goals, win, draw, loss, seen_home, seen_away, top_home, top_away) over 0..goals, a length of each row's own.
+
+    goals is the smallest number at which less than `tail` of either side's goals is left, by its forward CDF; the grid
+    stops growing there. A bound from the larger rate (its deviation taken ten times, and 30 more) ends the sequence
+    where rounding keeps the CDF below 1 - tail. Each term follows from the one before; above a rate of 600, where the
+    first would underflow, terms are taken in log space. seen_* are the sides' masses, top_* their largest
+    terms. Null where a rate is null, not finite or not above zero. Select it once under a name before its fields are
+    read.
+    """
+    x, y = home.cast("double"), away.cast("double")
+    larger, zero = F.greatest(x, y), F.lit(0.0)
+    open_until = F.lit(1 - tail)
+    bound = F.ceil(larger + 10 * F.sqrt(larger) + 30).cast("int")
+
+    def added(s, i, p, q, *more):
+        return F.struct(
+            i.alias("goals"), p.alias("p"), q.alias("q"), (s["seen_p"] + p).alias("seen_p"), (s["seen_q"] + q).alias("seen_q"),
+            (s["win"] + p * s["seen_q"]).alias("win"), (s["draw"] + p * q).alias("draw"), (s["loss"] + q * s["seen_p"]).alias("loss"),
+            F.greatest(s["top_p"], p).alias("top_p"), F.greatest(s["top_q"], q).alias("top_q"), *more,
+        )
+
+    def grown(start, term):
+        fields = ("goals", "win", "draw", "loss")
+        return F.aggregate(
+            F.sequence(F.lit(1), bound), start,
+            lambda s, i: F.when((s["seen_p"] < open_until) | (s["seen_q"] < open_until), term(s, i)).otherwise(s),
+            lambda s: F.struct(*(s[f].alias(f) for f in fields), s["seen_p"].alias("seen_home"), s["seen_q"].alias("seen_away"), s["top_p"].alias("top_home"), s["top_q"].alias("top_away")),
+        )
+
+    none = {k: zero for k in ("seen_p", "seen_q", "win", "draw", "loss", "top_p", "top_q")}
+    first = added(none, F.lit(0), F.exp(-x), F.exp(-y))
+    plain = grown(first, lambda s, i: added(s, i, s["p"] * x / i, s["q"] * y / i))
+    logs = F.lit(0.0).alias("logs")
+    high = grown(
+        added(none, F.lit(0), F.exp(-x), F.exp(-y), logs),
+        lambda s, i: added(s, i, F.exp(i * F.log(x) - x - s["logs"] - F.log(i)), F.exp(i * F.log(y) - y - s["logs"] - F.log(i)), (s["logs"] + F.log(i)).alias("logs")),
+    )
+    valid = (x > 0) & (y > 0) & (larger < float("inf")) & ~F.isnan(larger)
+    return F.when(valid & (larger <= 600), plain).when(valid, high)
+
+
+def poisson_table(sums: Column, home: Column, away: Column) -> dict[str, Column]:
+    """The whole prediction of a contest from tail_safe_sums: probabilities, likeliest score, and the grid's controls.
+
+    win and draw are summed, loss is their complement. residual is the larger mass that a side's grid leaves out, control
+    the gap between the complement and the summed loss. safe tells whether residual <= 1e-12, control <= 1e-10, the
+    probabilities sum to one within 1e-9 and each lies in 0..1; false for rates that give no table.
+    """
+    win, draw = sums["win"], sums["draw"]
+    loss = 1 - win - draw
+    residual = F.greatest(F.abs(1 - sums["seen_home"]), F.abs(1 - sums["seen_away"]))
+    control = F.abs(loss - sums["loss"])
+    inside = win.between(0, 1) & draw.between(0, 1) & loss.between(0, 1)
+    safe = (residual <= 1e-12) & (control <= 1e-10) & (F.abs(win + draw + loss - 1) <= 1e-9) & inside
+    return {
+        "goals": sums["goals"], "win": win, "draw": draw, "loss": loss, "pick": argmax(win, draw, loss), "modal": modal_score(home, away),
+        "modal_p": sums["top_home"] * sums["top_away"], "residual": residual, "control": control, "safe": F.coalesce(safe, F.lit(False)),
+    }
+
+
+def modal_score(home: Column, away: Column) -> Column:
+    """The pair of the likeliest goal counts, as "h-a"; the lower one where two are equally likely.
+
+    A count k is likelier than k - 1 exactly if k is below the rate.
+    """
     def mode(rate: Column) -> Column:
-        pmf = poisson_pmf(rate, k)
-        return (F.array_position(pmf, F.array_max(pmf)) - 1).cast("string")
+        return F.greatest(F.ceil(rate) - 1, F.lit(0)).cast("string")
 
-    return F.concat_ws("-", mode(home), mode(away))
+    return F.when(home.isNotNull() & away.isNotNull(), F.concat_ws("-", mode(home), mode(away)))
 
 
 def low_score_factor(i: int, j: int, home: Column, away: Column, rho: Column | float) -> Column:
@@ -125,6 +189,42 @@ def corrected_outcomes(sums: Column, home: Column, away: Column, rho: Column | f
     return [win / mass, draw / mass, loss / mass]
 
 
+def uncertain_outcomes(home: Column, away: Column, var_home: Column, var_away: Column, rho: float, k: int = 15) -> Column:
+    """struct(win, draw, loss): corrected outcomes averaged over log-normal rates at 5 x 5 quadrature nodes.
+
+    A pandas UDF: a row's 25 grids of k + 1 goals a side are products of its ten marginals, which array functions would
+    interpret cell by cell (ten times slower). Deviations are held to 0.01..0.35. Null where an input is null.
+    """
+    nodes = quadrature()
+    at, weight = np.array([x for x, _ in nodes]), np.array([w for _, w in nodes])
+
+    def marginals(rate, variance):
+        sd = np.clip(np.sqrt(np.maximum(variance, 1e-4)), 0.01, 0.35)[:, None]
+        rates = rate[:, None] * np.exp(sd * at - sd * sd / 2)
+        terms = np.empty((*rates.shape, k + 1))
+        terms[:, :, 0] = np.exp(-rates)
+        for i in range(1, k + 1):
+            terms[:, :, i] = terms[:, :, i - 1] * rates / i
+        return rates, terms, terms.cumsum(axis=2)
+
+    @F.pandas_udf("win double, draw double, loss double")
+    def averaged(h: pd.Series, a: pd.Series, vh: pd.Series, va: pd.Series) -> pd.DataFrame:
+        x, p, p_upto = marginals(h.to_numpy(float), vh.to_numpy(float))
+        y, q, q_upto = marginals(a.to_numpy(float), va.to_numpy(float))
+        win, draw = p[:, :, 1:] @ q_upto[:, :, :-1].transpose(0, 2, 1), p @ q.transpose(0, 2, 1)
+        loss = p_upto[:, :, :-1] @ q[:, :, 1:].transpose(0, 2, 1)
+        x, y = x[:, :, None], y[:, None, :]
+        none = np.exp(-x - y)
+        win = win + none * x * (np.maximum(1 + y * rho, 0) - 1)
+        draw = draw + none * (np.maximum(1 - x * y * rho, 0) - 1) + none * x * y * (max(1 - rho, 0) - 1)
+        loss = loss + none * y * (np.maximum(1 + x * rho, 0) - 1)
+        w = np.outer(weight, weight) / (win + draw + loss)
+        return pd.DataFrame({c: (w * v).sum(axis=(1, 2)) for c, v in (("win", win), ("draw", draw), ("loss", loss))})
+
+    found = averaged(*(c.cast("double") for c in (home, away, var_home, var_away)))
+    return F.when(home.isNotNull() & away.isNotNull() & var_home.isNotNull() & var_away.isNotNull(), found)
+
+
 def draw_with_dependence(home: Column, away: Column, rho: float, k: int = 15) -> Column:
     """Draw probability alone: independent draws plus the corrections of 0-0 and 1-1, clipped."""
     ph, pa = poisson_pmf(home, k), poisson_pmf(away, k)
@@ -249,12 +349,6 @@ def quadrature(points: int = 5) -> list[tuple[float, float]]:
     return [(float(x * 2**0.5), float(w / weights.sum())) for x, w in zip(nodes, weights, strict=True)]
 
 
-def uncertain_rate(rate: Column, variance: Column, node: Column) -> Column:
-    """The log-normal rate at a standard normal node; the deviation is held in [0.01, 0.35]."""
-    sd = F.least(F.greatest(F.sqrt(F.greatest(variance, F.lit(1e-4))), F.lit(0.01)), F.lit(0.35))
-    return rate * F.exp(sd * node - sd * sd / 2)
-
-
 def vector_scaled(p: list[Column], scale: list[float], shift: list[float], eps: float = 1e-15) -> list[Column]:
     """softmax(scale * ln p + shift), class by class."""
     return softmax(*(s * F.log(F.greatest(x, F.lit(eps))) + b for x, s, b in zip(p, scale, shift, strict=True)))

@@ -115,18 +115,11 @@ _VH, _VA = "(0.02e0 + (fixture_id % 5) / 50e0)", "(0.02e0 + (fixture_id % 7) / 7
 SELECT fixture_id, {r('h', 'win')}, {r('d', 'draw')}, {r('a', 'loss')}, {r('-h * ln(h) - d * ln(d) - a * ln(a)', 'entropy')} FROM m"""
 )
 def f34_uncertain_rates(spark, sf):
-    """outcome probabilities over log-normal rates at 5 x 5 nodes; a row's nodes are summed before they travel."""
-    nodes = fn.quadrature()
-    grid = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(u * v).alias("w")) for x, u in nodes for y, v in nodes))
-    rows = predictions(spark, sf).select(
-        "fixture_id", "lambda_home", "lambda_away", (0.02 + (F.col("fixture_id") % 5) / 50).alias("vh"), (0.02 + (F.col("fixture_id") % 7) / 70).alias("va"), F.inline(grid)
-    )
-    rows = rows.select(
-        "fixture_id", "w", fn.uncertain_rate(F.col("lambda_home"), F.col("vh"), F.col("x")).alias("lh"), fn.uncertain_rate(F.col("lambda_away"), F.col("va"), F.col("y")).alias("la")
-    )
-    h, d, a = fn.corrected_outcomes(F.col("sums"), F.col("lh"), F.col("la"), -0.08)
-    found = rows.withColumn("sums", fn.score_sums(F.col("lh"), F.col("la"), 15)).groupBy("fixture_id").agg(F.sum(F.col("w") * h).alias("win"), F.sum(F.col("w") * d).alias("draw"), F.sum(F.col("w") * a).alias("loss"))
-    return found.withColumn("entropy", fn.entropy(F.col("win"), F.col("draw"), F.col("loss")))
+    """outcome probabilities over log-normal rates at 5 x 5 nodes, all within the row."""
+    variances = (0.02 + (F.col("fixture_id") % 5) / 50), (0.02 + (F.col("fixture_id") % 7) / 70)
+    found = fn.uncertain_outcomes(F.col("lambda_home"), F.col("lambda_away"), *variances, -0.08)
+    rows = predictions(spark, sf).select("fixture_id", found.alias("o")).select("fixture_id", "o.win", "o.draw", "o.loss")
+    return rows.withColumn("entropy", fn.entropy(F.col("win"), F.col("draw"), F.col("loss")))
 
 
 def _rest(draw: str, name: str) -> str:

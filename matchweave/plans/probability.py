@@ -62,16 +62,41 @@ def _grid(k: int) -> str:
  FROM preds, lf h, lf a)"""
 
 
+_WIDE = """cells AS (SELECT k, unnest(range(0, (SELECT 60 + ceil(max(greatest(lh, la)) * 3)::INT FROM rates))) AS i),
+ terms AS (SELECT k, i, exp(i * ln(lh) - lh - lgamma(i + 1)) AS p, exp(i * ln(la) - la - lgamma(i + 1)) AS q FROM rates JOIN cells USING (k)),
+ upto AS (SELECT *, coalesce(sum(p) OVER before, 0) AS below_p, coalesce(sum(q) OVER before, 0) AS below_q FROM terms
+  WINDOW before AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ s AS (SELECT k, sum(p * below_q) AS w, sum(p * q) AS d, sum(q * below_p) AS l, max(p) * max(q) AS top, arg_min(i, (-p, i)) AS mh, arg_min(i, (-q, i)) AS ma FROM upto GROUP BY k)"""
+
+
 @query(
-    f"""WITH {PREDS}, {_grid(20)}, s AS (SELECT fixture_id, sum(CASE WHEN i > j THEN ph * pa END) AS w, sum(CASE WHEN i = j THEN ph * pa END) AS d FROM grid GROUP BY fixture_id),
- m AS (SELECT fixture_id, arg_min(i, (-ph, i)) AS mh, arg_min(j, (-pa, j)) AS ma FROM grid GROUP BY fixture_id)
-SELECT fixture_id, {r('w', 'win')}, {r('d', 'draw')}, {r('1 - w - d', 'loss')}, mh || '-' || ma AS modal FROM s JOIN m USING (fixture_id)"""
+    f"""WITH {PREDS}, rates AS (SELECT fixture_id AS k, lambda_home AS lh, lambda_away AS la FROM preds), {_WIDE.replace('SELECT k, unnest', 'SELECT fixture_id AS k, unnest').replace(') AS i),', ') AS i FROM preds),', 1)}
+SELECT k AS fixture_id, {r('w', 'win')}, {r('d', 'draw')}, {r('l', 'loss')}, CASE WHEN w >= d AND w >= l THEN 'H' WHEN d >= l THEN 'D' ELSE 'A' END AS pick,
+ mh || '-' || ma AS modal, {r('top', 'modal_p')}, true AS safe FROM s"""
 )
 def f15_poisson_table(spark, sf):
-    """Poisson outcome table and modal scoreline."""
-    w, d, x = fn.poisson_outcomes(F.col("sums"))
-    return predictions(spark, sf).withColumn("sums", fn.score_sums(F.col("lambda_home"), F.col("lambda_away"), 20)).select(
-        "fixture_id", w.alias("win"), d.alias("draw"), x.alias("loss"), fn.modal_score(F.col("lambda_home"), F.col("lambda_away")).alias("modal")
+    """The tail-safe Poisson table with a grid length of each row's own, likeliest score and safety gates."""
+    rates = F.col("lambda_home"), F.col("lambda_away")
+    table = fn.poisson_table(F.col("sums"), *rates)
+    return predictions(spark, sf).withColumn("sums", fn.tail_safe_sums(*rates)).select(
+        "fixture_id", *(table[k].alias(k) for k in ("win", "draw", "loss", "pick", "modal", "modal_p", "safe"))
+    )
+
+
+@query(
+    f"""WITH {PREDS}, legs AS (SELECT competition_id, n, lh, la, row_number() OVER (ORDER BY competition_id, n) AS k FROM (
+  SELECT competition_id, fixture_id % 30 + 1 AS n, sum(lambda_home) AS lh, sum(lambda_away) AS la FROM preds WHERE fixture_id // 30 < (SELECT min(fixture_id) // 30 + 12 FROM preds) GROUP BY ALL)),
+ rates AS (SELECT k, lh, la FROM legs), {_WIDE.replace('SELECT k, unnest', 'SELECT k, unnest').replace(') AS i),', ') AS i FROM rates),', 1)}
+SELECT competition_id, n, {r('lh', 'rate_home')}, {r('la', 'rate_away')}, {r('w', 'win')}, {r('d', 'draw')}, {r('l', 'loss')}, {r('top', 'modal_p')}, true AS safe FROM legs JOIN s USING (k)"""
+)
+def f15_series_totals(spark, sf):
+    """F15 to F18 at high rates: who scores more over a series of contests, from the sums of their rates."""
+    first = F.broadcast(predictions(spark, sf).agg(F.floor(F.min("fixture_id") / 30).alias("first")))
+    legs = predictions(spark, sf).crossJoin(first).where(F.floor(F.col("fixture_id") / 30) < F.col("first") + 12)
+    rates = legs.groupBy("competition_id", (F.col("fixture_id") % 30 + 1).alias("n")).agg(F.sum("lambda_home").alias("rate_home"), F.sum("lambda_away").alias("rate_away"))
+    table = fn.poisson_table(F.col("sums"), F.col("rate_home"), F.col("rate_away"))
+    return rates.withColumn("sums", fn.tail_safe_sums(F.col("rate_home"), F.col("rate_away"))).select(
+        "competition_id", "n", "rate_home", "rate_away", *(table[k].alias(k) for k in ("win", "draw", "loss", "modal_p", "safe"))
     )
 
 
