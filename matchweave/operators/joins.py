@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchweave.sources.storage import stored
+
 
 def latest_state(rows: DataFrame, entity: str, state: str, order: list[str]) -> DataFrame:
     """Each entity's last state in the given order."""
@@ -108,27 +110,78 @@ def _block_top(q: pd.DataFrame, c: pd.DataFrame, k: int, least: float, q_rows: i
     return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
 
 
-def nearest_past(rows: DataFrame, queries: DataFrame, k: int = 8, least: float = 60.0, group: str = "competition_id", slices: int = 32) -> DataFrame:
-    """The k most similar earlier rows of the same group for each query of a stated query set.
+#: Widths of the index's cells in probability and in rate, and the number of cells of a rate.
+CELLS = (0.1, 0.75, 8)
+
+
+def _cell(row: dict[str, Column], group: Column) -> Column:
+    """Name of a row's cell: its group and the bins of two probabilities and both rates; ends are open."""
+    wide, tall, top = CELLS
+    bins = [F.floor(row[n] / wide) for n in ("p_home", "p_draw")] + [F.floor(row[n] / tall) for n in ("lambda_home", "lambda_away")]
+    held = [F.least(F.greatest(b, F.lit(0)), F.lit(round(1 / wide) - 1 if k < 2 else top - 1)) for k, b in enumerate(bins)]
+    return F.concat_ws("/", group.cast("string"), *(b.cast("string") for b in held))
+
 
-    Rows are dealt into slices of their group and queries to every slice; a task compares them in
-    blocks and keeps its own k best per query, so that pairs never leave it. The final ranking is
-    over at most k * slices rows per query.
+def _compared(asked: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, least: float, slice_rows: int) -> DataFrame:
+    """The k best rows of a cell for each query that is to search it, by task.
+
+    asked holds queries with a `cell` to search, rows have their own `cell`, sizes their number by cell. Both sides of
+    a cell are dealt into slices of about slice_rows rows and a task compares one slice of each.
     """
-    names = ["fixture_id", "unix", group, *VECTOR, "pick"]
-    c = rows.select(*(F.col(n).alias(f"c_{n}") for n in names), F.col("outcome").alias("c_outcome"), F.pmod(F.xxhash64("fixture_id"), F.lit(slices)).cast("int").alias("c_slice"))
-    q = queries.select(*(F.col(n).alias(f"q_{n}") for n in names), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("q_slice"))
+    slices = asked.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("q_slices")).join(
+        sizes.select("cell", F.ceil(F.col("n") / slice_rows).cast("int").alias("c_slices")), "cell"
+    )
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("fixture_id"), F.col(f"{own}_slices")).cast("int")
+        return df.join(slices, "cell").select(*df.columns, mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{other}_slices") - 1)).alias(other))
 
-    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return _block_top(pd.DataFrame(), pd.DataFrame(), k, least)
-        return _block_top(left.rename(columns=lambda n: n[2:]), right.rename(columns=lambda n: n[2:]), k, least)
+    def named(df: DataFrame, side: str):
+        return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)).groupBy(*(f"{side}_{c}" for c in ("cell", "q", "c")))
 
-    best = q.groupBy(f"q_{group}", "q_slice").cogroup(c.groupBy(f"c_{group}", "c_slice")).applyInPandas(
+    def top(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        q, c = (x.rename(columns=lambda n: n.split("_", 1)[1]) for x in (q, c))
+        return _block_top(q if len(c) else q.iloc[:0], c, k, least)
+
+    return named(dealt(asked, "q", "c"), "asked").cogroup(named(dealt(rows, "c", "q"), "row")).applyInPandas(
         top, "query_id long, match_id long, similarity double, unix long, pick string, outcome string"
     )
+
+
+def nearest_past(rows: DataFrame, queries: DataFrame, k: int = 8, least: float = 60.0, group: str = "competition_id", slice_rows: int = 20_000) -> DataFrame:
+    """The k most similar earlier rows of the same group for each query of a stated query set, exactly.
+
+    Rows lie in cells of a grid over probabilities and rates; the number of cells follows from the grid, not from the
+    rows. A query first searches its own cell, which gives the similarity that k rows reach. It then searches
+    those other cells whose bounding box lets a row reach it as well and that hold earlier rows; far cells are never paired.
+    In either round a task compares a slice of a cell's queries with a slice of its rows, each of about slice_rows,
+    and keeps its own k best, so that pairs never leave it. Rows and queries with a null among the compared columns
+    have no neighbours.
+    """
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("unix"), "match_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("unix")
+    names = ["fixture_id", "unix", *VECTOR, "pick"]
+
+    def prepared(df: DataFrame, *more: str) -> DataFrame:
+        cell = _cell({n: F.col(n) for n in VECTOR}, F.col(group))
+        return df.select(*names, F.col(group).alias("held"), cell.alias("cell"), *more).dropna(subset=["fixture_id", "unix", "held", *VECTOR])
+
+    c, q = prepared(rows, "outcome"), prepared(queries)
+    boxes = stored(c.groupBy("cell", "held").agg(F.count("*").alias("n"), F.min("unix").alias("first"), *(f(n).alias(f"{f.__name__}_{n}") for n in VECTOR for f in (F.min, F.max))))
+    own = stored(_compared(q, c.drop("held"), boxes, k, least, slice_rows))
+    reached = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("fixture_id"), F.col("similarity").alias("reached"))
+    gap = {n: F.greatest(F.col(f"min_{n}") - F.col(n), F.col(n) - F.col(f"max_{n}"), F.lit(0.0)) for n in VECTOR}
+    squares = [gap[n] * gap[n] for n in VECTOR]
+    nearest = 0.7 * F.sqrt(squares[0] + squares[1] + squares[2]) + 0.3 * F.sqrt(squares[3] + squares[4]) / 5
+    best = 100 * (1 - nearest / 2**0.5) + 0.05 + 1e-9
+    others = boxes.withColumnRenamed("cell", "other")
+    asked = (
+        q.join(reached, "fixture_id", "left")
+        .join(others, "held")
+        .where((F.col("other") != F.col("cell")) & (F.col("first") < F.col("unix")) & (best >= F.coalesce("reached", F.lit(least))))
+        .select(*names, F.col("other").alias("cell"))
+    )
+    found = own.unionByName(_compared(stored(asked), c.drop("held"), boxes, k, least, slice_rows))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("unix")
 
 
 def evidence(neighbours: DataFrame, least: int = 3) -> DataFrame:

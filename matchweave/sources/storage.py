@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -19,3 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         root = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written under the shared folder and read back: cuts lineage and survives executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
