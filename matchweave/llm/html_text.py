@@ -15,7 +15,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -28,7 +29,7 @@ CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption legend".spl
 #: Elements whose start ends an open element of the same set.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROPPED = set(
-    "aside audio button canvas datalist dialog footer form head iframe input menu nav noscript object script select style"
+    "aside audio button canvas datalist dialog footer head iframe input menu nav noscript object script select style"
     " svg template textarea title video".split()
 )
 MARKS = set(
@@ -37,6 +38,13 @@ MARKS = set(
     " navigation newsletter notice notices pager pagination popup promo promos promotion related reply replies respond"
     " search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Marks of reader comments, which go however long they are.
+COMMENTS = set("comment comments discussion reply replies respond".split())
+#: What may follow a mark within a class name: "sidebar-left" is a sidebar, "social-policy" is not social.
+PLACES = set("area bar block body bottom box column container content group inner item items left link links list main outer panel primary right section secondary top wrap wrapper".split())
+#: What turns a mark within a class name into a remark about the layout: "has-sidebar".
+REMARKS = set("has is no non not with without".split())
+CONTROLS = set("button input select textarea".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 KEPT = {"html", "body", "article", "main"}
 
@@ -45,27 +53,35 @@ class Page:
     """A page's elements in document order, with its text as (element, text or None for a block edge)."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.marked = ["#root"], [-1], [False]
+        self.tags, self.parents, self.marked = ["#root"], [-1], [None]
         self.events: list[tuple[int, str | None]] = []
         self._parse(html)
 
     def _open(self, tag: str, parent: int, attributes: str) -> int:
         self.tags.append(tag)
         self.parents.append(parent)
-        self.marked.append(bool(attributes) and tag not in KEPT and self._is_marked(attributes))
+        self.marked.append(self._mark(attributes) if attributes and tag not in KEPT else None)
         return len(self.tags) - 1
 
     @staticmethod
-    def _is_marked(attributes: str) -> bool:
+    def _mark(attributes: str) -> str | None:
+        """What an element's attributes, each read by its own name, tell: hidden, comment, mark or nothing."""
+        found = None
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
+                return "hidden"
             if name == "role" and value.lower() in ROLES:
-                return True
-            if name in ("class", "id") and any(p.lower() in MARKS for p in PARTS.findall(value)):
-                return True
-        return False
+                found = found or "mark"
+            if name in ("class", "id"):
+                for token in value.split():
+                    parts = [p.lower() for p in PARTS.findall(token)]
+                    if not parts or parts[0] in REMARKS:
+                        continue
+                    named = parts[-1] if parts[-1] in MARKS else parts[0] if parts[0] in MARKS and PLACES.issuperset(parts[1:]) else None
+                    if named:
+                        found = "comment" if named in COMMENTS else found or "mark"
+        return found
 
     def _parse(self, html: str) -> None:
         """One pass; open elements are found by tag, so that deep and unclosed markup costs no search."""
@@ -132,18 +148,33 @@ class Page:
     def dropped(self) -> list[bool]:
         """Elements outside the article by kind: by their tag, or by a telling class, id or role.
 
-        An element that holds a main heading, an article or a main element is not dropped for its
-        class; a header is dropped unless it lies inside an article or main element.
+        Hidden elements go, and reader comments unless they hold a main heading, an article or a main element. Another marked element goes only if it is a lesser part of the page:
+        one that holds a main heading, an article or a main element, or over half of the unlinked text outside
+        dropped tags, stays. A form goes unless it holds one of these or at least 200 such characters for each of its
+        controls, as a form around a whole page does. A header goes unless it lies inside an article or main element.
         """
-        n = len(self.tags)
-        holds = [t in ("h1", "article", "main") for t in self.tags]
+        n, tags, parents, marked = len(self.tags), self.tags, self.parents, self.marked
+        holds = [t in ("h1", "article", "main") for t in tags]
+        plain, controls, aside = [0] * n, [t in CONTROLS for t in tags], [False] * n
+        for k in range(1, n):
+            aside[k] = aside[parents[k]] or tags[k] in DROPPED or tags[k] == "a" or marked[k] in ("hidden", "comment")
+        for k, text in self.events:
+            if text and not aside[k]:
+                plain[k] += len("".join(text.split()))
         for k in range(n - 1, 0, -1):
-            holds[self.parents[k]] = holds[self.parents[k]] or holds[k]
+            p = parents[k]
+            holds[p] = holds[p] or holds[k]
+            plain[p] += plain[k]
+            controls[p] += controls[k]
         inside, out = [False] * n, [False] * n
         for k in range(1, n):
-            p, tag = self.parents[k], self.tags[k]
+            p, tag = parents[k], tags[k]
             inside[k] = inside[p] or tag in ("article", "main")
-            out[k] = out[p] or tag in DROPPED or (tag == "header" and not inside[k]) or (self.marked[k] and not holds[k])
+            lesser = not holds[k] and 2 * plain[k] <= plain[0]
+            out[k] = (
+                out[p] or tag in DROPPED or (tag == "header" and not inside[k]) or marked[k] == "hidden"
+                or (marked[k] == "comment" and not holds[k]) or (marked[k] == "mark" and lesser) or (tag == "form" and not holds[k] and plain[k] < 200 * (controls[k] + 1))
+            )
         return out
 
 

@@ -31,6 +31,27 @@ def test_boilerplate_without_article_element():
     assert main_text(html) == "\n".join(["Head & line", p, p, "one", "two <b>", p])
 
 
+def test_attributes_are_read_by_their_names(spark):
+    """Style values, data attributes and remarks about the layout take nothing from the template's pages."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    whole = [main_text(h) for h in pages]
+    for attribute in ('style="overflow:hidden"', 'data-id="share"', 'data-class="ad" data-role=menu', 'class="has-sidebar no-ads"', 'class="social-policy"', "title='hidden class=ad'"):
+        assert [main_text(re.sub(r"<p\b", f"<p {attribute}", h)) for h in pages] == whole
+
+
+def test_marks_that_hold_the_page_stay():
+    para = "A sentence of the story that goes on for a while without any link. " * 6
+    p = para.strip()
+    assert main_text(f'<body><form id="aspnetForm"><input type=hidden name=v><div><p>{para}<p>{para}</div></form>') == f"{p}\n{p}"
+    assert main_text(f'<body><div class="layout has-sidebar"><p>{para}<p>{para}</div>') == f"{p}\n{p}"
+    assert main_text(f'<body><div class="page menu"><div><p>{para}<p>{para}</div></div><div class=menu>few words</div>') == f"{p}\n{p}"
+    assert main_text(f'<article><h1>T</h1><p>{para}</p><section class="social-policy"><p>{para}</p></section></article>') == f"T\n{p}\n{p}"
+    boxes = "".join(f"<div class='{c}'><p>Short words beside the story.</div>" for c in ("cookie-notice", "top-menu", "siteFooter", "sidebar-left", "ad", "newsletter-box", "related-links"))
+    form = "<form><label>Your name</label><input><textarea></textarea><button>Send</button></form>"
+    assert main_text(f"<body>{boxes}<div><p>{para}<p>{para}</div>{form}<div style='display: none'>{para * 9}</div>") == f"{p}\n{p}"
+    assert main_text(f"<body><div><p>{para}<p>{para}</div><div class='comments'><p>{para * 9}</div><div id=comment-list><p>{para * 9}</div>") == f"{p}\n{p}"
+
+
 def test_link_lists_lose_to_text():
     links = "".join(f"<li><a href='/{k}'>A linked headline number {k}</a></li>" for k in range(40))
     text = "Plain sentence with several words in a row. " * 8
