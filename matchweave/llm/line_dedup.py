@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,11 +12,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start, stop, content, mark, mark_at): for every line, the shortest runs of lines with
+    """docs(doc, text) -> (doc, start, stop, content, mark, mark_at): for every line, the shortest runs of lines with
     min_words words that begin with it and that end with it.
 
-    Lines are compared without white space at their ends; blank lines are skipped. `content` hashes
-    the run's lines in the order they were taken, `mark` is the smallest line hash within it, the window minimum, and
+    Lines are compared without white space at their ends; blank lines are skipped. `content` holds
+    two chains of independent hashes of the run's lines in the order they were taken (96 bits of each line), `mark` is the smallest line hash within it, the window minimum, and
     mark_at the position of its first line with it. A run holds at most min_words lines, as each
     line has a word at least.
     """
@@ -27,14 +27,14 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
     hashed = F.transform(
         F.filter("lines", lambda x: x["line"] != ""),
         lambda x: F.struct(
-            x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h"), F.size(F.split(x["line"], BLANKS, -1)).alias("w")
+            x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h"), F.hash(x["line"]).alias("g"), F.size(F.split(x["line"], BLANKS, -1)).alias("w")
         ),
     )
 
     def empty(way: int):
         return F.struct(
             F.lit(0).alias("words"),
-            F.lit(way).cast("long").alias("content"),
+            F.struct(F.lit(way).cast("long").alias("h"), F.lit(way).cast("long").alias("g")).alias("content"),
             F.struct(F.lit(2**63 - 1).alias("h"), F.lit(-1).alias("pos")).alias("least"),
             F.lit(-1).alias("end"),
         )
@@ -42,7 +42,7 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
     def take(acc, x):
         more = F.struct(
             (acc["words"] + x["w"]).alias("words"),
-            F.xxhash64(acc["content"], x["h"]).alias("content"),
+            F.struct(F.xxhash64(acc["content"]["h"], x["h"]).alias("h"), F.xxhash64(acc["content"]["g"], x["g"]).alias("g")).alias("content"),
             F.least(acc["least"], F.struct(x["h"].alias("h"), x["pos"].alias("pos"))).alias("least"),
             x["pos"].alias("end"),
         )
@@ -58,13 +58,12 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
         )
 
     return (
-        docs.where("doc_id is not null")
-        .select("doc_id", lines.alias("lines"))
-        .select("doc_id", hashed.alias("hashed"))
-        .select("doc_id", F.explode(F.flatten(F.transform("hashed", window))).alias("x"))
+        docs.select("doc", lines.alias("lines"))
+        .select("doc", hashed.alias("hashed"))
+        .select("doc", F.explode(F.flatten(F.transform("hashed", window))).alias("x"))
         .where(F.col("x.run.words") >= min_words)
         .select(
-            "doc_id",
+            "doc",
             F.least("x.pos", "x.run.end").alias("start"),
             F.greatest("x.pos", "x.run.end").alias("stop"),
             F.col("x.run.content").alias("content"),
@@ -74,6 +73,11 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart and orders them: the id, rows without one last, then the text's hash."""
+    return F.struct(doc_id.isNull().alias("without"), doc_id.alias("id"), F.xxhash64(text).alias("text"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 50, salts: int = 8) -> DataFrame:
     """docs(doc_id, text, ...) -> the same rows with deduplicated text, n_lines and n_removed.
 
@@ -86,35 +90,37 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, salts: int = 8) -> DataFra
     ones. Every line of a repeated run lies in such a window that the run holds; overlapping ones
     form the runs to delete.
 
-    Null texts stay null with no lines. Rows without an id stay as they are and are no source; rows
-    sharing an id are one document: what goes, goes in each of them. Blank lines inside a deleted
+    Null texts stay null with no lines. Rows that share an id but not their text are documents of their own, in the
+    order of their texts' hashes; rows without an id come after all others. Rows equal in id and text are one document:
+    what goes, goes in each of them. Blank lines inside a deleted
     run go with it. An empty text is one empty line. Extra columns are kept, whatever their names;
     text, n_lines and n_removed are replaced.
     """
-    windows = written(line_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_words))
+    key = document_key(F.col("doc_id"), F.col("text").cast("string"))
+    windows = written(line_windows(docs.select(key.alias("doc"), F.col("text").cast("string").alias("text")), min_words))
     marks = (
-        windows.select("doc_id", "mark_at", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+        windows.select("doc", "mark_at", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
         .select("mark", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    shared = windows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(marks, ["mark", "salt"], "left_semi")
+    shared = windows.withColumn("salt", F.pmod(F.hash("doc"), F.lit(salts))).join(marks, ["mark", "salt"], "left_semi")
     first = (
         shared.groupBy("content")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+        .agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last"))
         .where("first < last")
         .select("content", "first")
     )
-    later = shared.join(first, "content").where(F.struct("doc_id", "start") > F.col("first"))
-    upto = F.max("stop").over(W.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
+    later = shared.join(first, "content").where(F.struct("doc", "start") > F.col("first"))
+    upto = F.max("stop").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
     pieces = (
-        later.select("doc_id", "start", "stop").distinct()
-        .select("doc_id", F.greatest("start", F.coalesce(upto + 1, F.lit(0))).alias("start"), "stop")
+        later.select("doc", "start", "stop").distinct()
+        .select("doc", F.greatest("start", F.coalesce(upto + 1, F.lit(0))).alias("start"), "stop")
         .where("start <= stop")
     )
-    gone = pieces.groupBy(F.col("doc_id").alias("gone_id")).agg(F.flatten(F.collect_list(F.sequence("start", "stop"))).alias("gone"))
+    gone = pieces.groupBy(F.col("doc").alias("gone_doc")).agg(F.flatten(F.collect_list(F.sequence("start", "stop"))).alias("gone"))
     new = ["text", "n_lines", "n_removed"]
     others = {c: f"given_{k}" for k, c in enumerate(docs.columns) if c not in new}
-    given = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in others.items()))
-    found = given.join(gone, F.expr("id = gone_id"), "left").select("text", *others.values(), "gone", F.split("text", "\n", -1).alias("split"))
+    given = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in others.items()))
+    found = given.join(gone, F.expr("doc = gone_doc"), "left").select("text", *others.values(), "gone", F.split("text", "\n", -1).alias("split"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
     text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("split", i)), "\n")

@@ -41,6 +41,14 @@ def brute(docs, min_words=50):
     return sorted(out, key=repr)
 
 
+def test_rows_sharing_an_id_keep_their_own_lines(spark):
+    run = "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "rs")
+    own = "a wholly different text\nsecond own line"
+    rows = [(1, run), (2, run), (2, own), (2, own + "\n" + run), (None, run), (None, own), (3, run), (3, run)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 99, r.text) for r in got) == sorted([(1, run), (2, ""), (2, own), (2, own), (99, ""), (99, own), (3, ""), (3, "")])
+
+
 def test_runs_and_odd_texts(spark):
     line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
     run = [line("r", 20), "  ", line("s", 20), line("t", 15)]
@@ -49,7 +57,7 @@ def test_runs_and_odd_texts(spark):
         (2, "\n".join(["other", *(x + " " for x in run), "tail"])),
         (3, "\n".join(run[:3])),
         (4, line("z", 60)), (5, line("z", 60)), (6, "head\n" + line("z", 60) + "\n\nfoot"),
-        (7, None), (8, ""), (9, "\n\n"), (None, line("z", 60)), (10, "\n".join(["x"] * 300)), (11, "\n".join(["x"] * 49)),
+        (7, None), (8, ""), (9, "\n\n"), (10, "\n".join(["x"] * 300)), (11, "\n".join(["x"] * 49)),
         (12, line("z", 49)), (13, "\r\n".join(run)), (14, "q " * 100_000 + "\n" + "p"),
         (15, "\n".join([line("u", 30), line("v", 30), line("last", 5), "own"])), (16, "\n".join(["x y", line("u", 30), line("v", 30), line("last", 5), "else"])),
     ]
