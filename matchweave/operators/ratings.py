@@ -7,6 +7,7 @@ before any of them writes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import exp
@@ -24,7 +25,9 @@ PLAYED = ("FT", "AWARDED")
 class Elo:
     """Elo with home advantage and margin multiplier; gamma pulls all known ratings to the start on a new season.
 
-    decay > 0 lets the step shrink with a team's number of contests: k * (1 + decay / sqrt(n + 1)).
+    `openings` are the kickoffs at which seasons begin anywhere, in order: every one pulls every team. A team's pulls
+    are made up for when it is met again, as its distance to the start times (1 - gamma) for each opening since, so that
+    groups of teams need no state in common. decay > 0 lets the step shrink with a team's number of contests: k * (1 + decay / sqrt(n + 1)).
     """
 
     start: float = 1500.0
@@ -33,16 +36,23 @@ class Elo:
     margin: bool = True
     gamma: float = 0.0
     decay: float = 0.0
+    openings: tuple = ()
     rating: dict = field(default_factory=dict)
     played: dict = field(default_factory=dict)
-    seasons: set = field(default_factory=set)
+    pulled: dict = field(default_factory=dict)
     columns = ("home_rating", "away_rating")
+    #: What the kernel knows of each team.
+    tables = ("rating", "played", "pulled")
 
-    def enter(self, key, home, away) -> None:
-        if self.gamma and key not in self.seasons:
-            if self.seasons:
-                self.rating = {t: self.start + (1 - self.gamma) * (r - self.start) for t, r in self.rating.items()}
-            self.seasons.add(key)
+    def enter(self, key, home, away, unix) -> None:
+        if not self.gamma:
+            return
+        opened = bisect_right(self.openings, unix)
+        for team in (home, away):
+            before = self.pulled.get(team, opened)
+            if team in self.rating and opened > before:
+                self.rating[team] = self.start + (1 - self.gamma) ** (opened - before) * (self.rating[team] - self.start)
+            self.pulled[team] = opened
 
     def read(self, home, away) -> tuple[float, ...]:
         return self.rating.get(home, self.start), self.rating.get(away, self.start)
@@ -70,7 +80,7 @@ class AttackDefence:
     state: dict = field(default_factory=dict)
     columns = ("home_attack", "home_defence", "away_attack", "away_defence")
 
-    def enter(self, key, home, away) -> None:
+    def enter(self, key, home, away, unix) -> None:
         pass
 
     def read(self, home, away) -> tuple[float, ...]:
@@ -115,7 +125,7 @@ class DynamicAttackDefence:
         "home_rate", "away_rate", "home_rate_variance", "away_rate_variance",
     )
 
-    def enter(self, key, home, away) -> None:
+    def enter(self, key, home, away, unix) -> None:
         pass
 
     def _of(self, team) -> tuple[float, ...]:
@@ -171,7 +181,7 @@ class DynamicElo:
     last: dict = field(default_factory=dict)
     columns = ("home_rating", "away_rating", "home_step", "away_step", "home_attack", "home_defence", "away_attack", "away_defence")
 
-    def enter(self, key, home, away) -> None:
+    def enter(self, key, home, away, unix) -> None:
         for team in (home, away):
             if self.last.setdefault(team, key) != key:
                 self.last[team] = key
@@ -223,7 +233,7 @@ class Replay:
                 for w in self.waiting:
                     self.kernel.write(*w)
                 self.waiting, self.at = [], unix
-            self.kernel.enter(season, home, away)
+            self.kernel.enter(season, home, away, unix)
             seen = self.kernel.read(home, away)
             out.append((fixture, *seen))
             if status in PLAYED and gh == gh and ga == ga and gh is not None and ga is not None:
@@ -301,6 +311,11 @@ def rated(contests: DataFrame, make: Callable = Elo, key: str | None = "competit
     return dealt.mapInPandas(run, f"fixture_id long, {columns}")
 
 
+def season_openings(contests: DataFrame, season: str = "season_id") -> tuple[int, ...]:
+    """The first kickoff of every season, in order; a short list, as long as there are seasons."""
+    return tuple(r.first for r in contests.groupBy(season).agg(F.min("unix").alias("first")).where("first is not null").orderBy("first").collect())
+
+
 def diagnostics(ratings: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, population deviation, range and finiteness of every rating column."""
     parts = [

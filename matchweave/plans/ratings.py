@@ -47,7 +47,6 @@ def _elo_sql(step: str, pulled: str) -> str:
 )"""
 
 
-_PULL_GROUP = "EXISTS (SELECT 1 FROM opened n WHERE n.c = t.c AND n.d = t.d + 1 AND n.season <> n.before)"
 _PULL_TEAM = "EXISTS (SELECT 1 FROM entered n WHERE n.c = t.c AND n.team = t.team AND n.d = t.d + 1 AND n.season <> n.before)"
 _READ = """SELECT m.fixture_id, round(h.r, 4) + 0e0 AS home_rating, round(a.r, 4) + 0e0 AS away_rating FROM days m
 JOIN st h ON h.c = m.competition_id AND h.d = m.d AND h.team = m.home_id JOIN st a ON a.c = m.competition_id AND a.d = m.d AND a.team = m.away_id"""
@@ -84,10 +83,25 @@ def q1_elo(spark, sf):
     return four_digits(ratings.rated(contests(spark, sf)))
 
 
-@query("WITH RECURSIVE " + _elo_sql("24e0", _PULL_GROUP).replace("keep", "0.8e0") + _READ)
+_ONE = _SIDES.replace("PARTITION BY competition_id ORDER BY unix", "ORDER BY unix").replace("SELECT competition_id AS c", "SELECT 0 AS c").replace("SELECT competition_id, d", "SELECT 0, d")
+_EVERY_TEAM = f"""WITH RECURSIVE {_ONE}, openings AS (SELECT d, count(*) AS times FROM (SELECT min(d) AS d FROM days GROUP BY season_id) GROUP BY d), st AS (
+  SELECT DISTINCT c, 1::BIGINT AS d, team, 1500e0 AS r FROM sides
+  UNION ALL
+  SELECT c, d + 1, team, 1500 + power(0.8e0, coalesce((SELECT times FROM openings o WHERE o.d = t.d + 1), 0)) * (r - 1500) FROM (
+    SELECT s.c, s.d, s.team, s.r + coalesce(sum(24 * x.times * (x.actual - 1 / (1 + power(10e0, (o.r - s.r - x.way * 100) / 400e0)))), 0) AS r
+    FROM st s LEFT JOIN steps x ON x.c = s.c AND x.d = s.d AND x.team = s.team
+    LEFT JOIN st o ON o.c = x.c AND o.team = x.opp GROUP BY s.c, s.d, s.team, s.r) t
+  WHERE EXISTS (SELECT 1 FROM opened n WHERE n.c = t.c AND n.d = t.d + 1)
+)
+SELECT m.fixture_id, round(h.r, 4) + 0e0 AS home_rating, round(a.r, 4) + 0e0 AS away_rating FROM days m
+JOIN st h ON h.d = m.d AND h.team = m.home_id JOIN st a ON a.d = m.d AND a.team = m.away_id"""
+
+
+@query(_EVERY_TEAM)
 def q2_elo_mean_reversion(spark, sf):
-    """Q2: ratings of a group go part of the way back to the start on its new season."""
-    return four_digits(ratings.rated(contests(spark, sf), partial(ratings.Elo, k=24.0, gamma=0.2)))
+    """Q2: all ratings go part of the way back to the start whenever a season begins in any competition."""
+    c = contests(spark, sf)
+    return four_digits(ratings.rated(c, partial(ratings.Elo, k=24.0, gamma=0.2, openings=ratings.season_openings(c))))
 
 
 @query(_DYNAMIC)
