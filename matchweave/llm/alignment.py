@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections import Counter
 from heapq import merge
 from itertools import chain
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
+from tiktoken import Encoding
 from tokenizers import Tokenizer
 from zstandard import ZstdCompressor, ZstdDecompressor
 
@@ -23,6 +24,8 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: A single space between two other characters: both tokenizers begin a token with it, whatever stands around.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Spaces at which a text may not be cut: beside other white space, or at an end.
+UNCUT = re.compile(r"\s | \s|\A | \Z")
 SHIFT = 26
 #: Radix classes of the first tokenizer's ids.
 RADIX = 64
@@ -37,6 +40,22 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: Characters whose classes all versions of Unicode agree on.
+LATIN = re.compile(r"[ -~\n\t\u00a1-\u00ac\u00ae-\u024f]*")
+
+
+def ranked(tool: Tokenizer, ids: dict[bytes, int]) -> Encoding | None:
+    """The tokenizer's merges as ranks, if it is byte-level with the usual pattern and ids in the order of merges."""
+    spec = json.loads(tool.to_str())
+    before, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+    value = byte_values()
+    merged = [bytes(value[c] for c in "".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+    if not plain or model.get("ignore_merges") or [ids.get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
+
+
 class Aligner:
     """Cuts texts with both tokenizers and groups their tokens by common ends.
 
@@ -44,52 +63,97 @@ class Aligner:
     across; a part's groups are kept for the next one, about `remembered` parts of at most 48 characters.
     """
 
-    def __init__(self, first: str = BYTES, second: str = PIECES, remembered: int = 150_000):
+    def __init__(self, first: str = BYTES, second: str = PIECES, remembered: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=second)
         value = byte_values()
         self.a_bytes = {k: bytes(value[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items()}
+        self.ranked = ranked(self.a, {v: k for k, v in self.a_bytes.items()})
         n = self.b.vocab_size()
         names = [self.b.id_to_piece(k) for k in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+        self.a_size = np.array([len(self.a_bytes.get(k, b"")) for k in range(max(self.a_bytes) + 1)], dtype=np.int64)
+        self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
         self.known: dict[str, tuple | None] = {}
         self.remembered = remembered
 
-    def groups(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """Numbers of tokens, groups and links, the groups as text, and the linked pairs with how often.
+    def groups(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """For each part: numbers of tokens, groups and links, the groups as text, linked pairs as int64 bytes, and how
+        often each is linked where one is more than once.
 
-        None where the joined tokens differ from the part.
+        None where the joined tokens differ from the part. Ends of all parts are compared at once, as offsets in their
+        concatenation; a group's links are listed, or counted by their ids where there are over 4,096.
         """
-        sizes_a, sizes_b = [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b]
-        plain = part.encode()
-        if b"".join(sizes_a) != plain or b"".join(sizes_b) != plain:
-            return None
-        cuts, j, end_a, end_b, from_a, from_b = [], 0, 0, 0, 0, 0
-        for i, x in enumerate(sizes_a, 1):
-            end_a += len(x)
-            while end_b < end_a:
-                end_b += len(sizes_b[j])
-                j += 1
-            if end_b == end_a:
-                cuts.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
-        links: dict[int, int] = {}
-        n_links = 0
-        for left, right in cuts:
-            n_links += len(left) * len(right)
-            if len(left) * len(right) == 1:
-                key = left[0] << SHIFT | right[0]
-                links[key] = links.get(key, 0) + 1
-            else:
-                right_counts = Counter(right).items()
-                for x, p in Counter(left).items():
-                    for y, q in right_counts:
-                        key = x << SHIFT | y
-                        links[key] = links.get(key, 0) + p * q
-        text = ";".join(f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in cuts)
-        return len(a), len(b), len(cuts), n_links, text, tuple(links), tuple(links.values())
+        def joined(names: dict | list, ids: list[list[int]]) -> list[bytes]:
+            return [b"".join(map(names.__getitem__, x)) for x in ids]
+
+        good = [k for k, (p, x, y) in enumerate(zip(parts, joined(self.a_bytes, a), joined(self.b_bytes, b), strict=True)) if x == y == p.encode()]
+        out: list[tuple | None] = [None] * len(parts)
+        if not good:
+            return out
+        n_a, n_b = (np.array([len(x[k]) for k in good], dtype=np.int64) for x in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for k in good), dtype=np.int64) for x in (a, b))
+        end_a, end_b = self.a_size[flat_a].cumsum(), self.b_size[flat_b].cumsum()
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        held_a, held_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        start_a, start_b = held_a.cumsum() - held_a, held_b.cumsum() - held_b
+        owner = np.searchsorted(end_a[n_a.cumsum() - 1], common)
+        links = held_a * held_b
+        width = np.where(links <= 4096, held_b, 0)[group_a]
+        left = np.repeat(np.arange(len(flat_a)), width)
+        nth = np.arange(len(left)) - np.repeat(width.cumsum() - width, width)
+        pair = flat_a[left] << SHIFT | flat_b[start_b[group_a[left]] + nth]
+        of, times = owner[group_a[left]], np.ones(len(pair), dtype=np.int64)
+        for g in np.flatnonzero(links > 4096):
+            x, p = np.unique(flat_a[start_a[g] : start_a[g] + held_a[g]], return_counts=True)
+            y, q = np.unique(flat_b[start_b[g] : start_b[g] + held_b[g]], return_counts=True)
+            pair = np.concatenate([pair, (x[:, None] << SHIFT | y).ravel()])
+            times, of = np.concatenate([times, np.outer(p, q).ravel()]), np.concatenate([of, np.full(len(x) * len(y), owner[g])])
+        order = np.argsort(of, kind="stable")
+        pairs, often = pair[order].tobytes(), times[order]
+        several = np.zeros(len(good), dtype=bool)
+        several[of[times > 1]] = True
+        to = np.bincount(of, minlength=len(good)).cumsum().tolist()
+        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        texts = [
+            f"{text_a[i]}|{text_b[j]}" if p == q == 1 else f"{','.join(text_a[i : i + p])}|{','.join(text_b[j : j + q])}"
+            for i, p, j, q in zip(start_a.tolist(), held_a.tolist(), start_b.tolist(), held_b.tolist(), strict=True)
+        ]
+        n_groups = np.bincount(owner, minlength=len(good))
+        n_links = np.zeros(len(good), dtype=np.int64)
+        np.add.at(n_links, owner, links)
+        ends = n_groups.cumsum().tolist()
+        from_pair = from_group = 0
+        for k, x, y, g, n, end, upto, some in zip(good, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), ends, to, several.tolist(), strict=True):
+            out[k] = (x, y, g, n, ";".join(texts[from_group:end]), pairs[8 * from_pair : 8 * upto], often[from_pair:upto].copy() if some else None)
+            from_group, from_pair = end, upto
+        return out
+
+    def cut(self, text: str | None) -> list[str]:
+        """Parts of a space and the text, each without the space it begins with; none where no tokens are to be."""
+        if not text or "▁" in text:
+            return []
+        return [p[1:] for p in CUT.split(" " + text)] if UNCUT.search(text) else text.split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        """Keep the groups of new parts."""
+        for k in range(0, len(new), 8192):
+            some = new[k : k + 8192]
+            whole = [" " + p for p in some]
+            self.known.update(zip(some, self.groups(whole, self.first_ids(whole), self.b.encode(some, num_threads=1)), strict=True))
+
+    def first_ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of the first tokenizer. Parts of Latin letters and signs go through its merges as ranks, which is faster."""
+        if self.ranked is None:
+            return [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        out = [self.ranked.encode_ordinary(p) if p.isascii() or LATIN.fullmatch(p) else None for p in parts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, x in zip(rest, self.a.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
 
     def align(self, texts: list[str | None]):
         """Per text its numbers and groups; and per text and linked pair, in order of texts, how often.
@@ -98,37 +162,35 @@ class Aligner:
         """
         if len(self.known) > self.remembered:
             self.known.clear()
-        known = self.known
-        cut = [CUT.split(" " + t) if t and "▁" not in t else [] for t in texts]
+        known, cut = self.known, [self.cut(t) for t in texts]
         parts = list(set(chain.from_iterable(cut)))
         new = [p for p in parts if p not in known]
-        if new:
-            a = self.a.encode_batch_fast(new, add_special_tokens=False)
-            b = self.b.encode([p[1:] for p in new], num_threads=1)
-            known.update((p, self.groups(p, x.ids, y)) for p, x, y in zip(new, a, b, strict=True))
+        self.learn(new)
         bad = {p for p in parts if known[p] is None}
         if bad:
             cut = [row if bad.isdisjoint(row) else [] for row in cut]
-        place = {p: k for k, p in enumerate(parts)}
+            parts = [p for p in parts if p not in bad]
+        place = dict(zip(parts, range(len(parts)), strict=True))
         sizes = np.array([len(row) for row in cut], dtype=np.int64)
-        text = np.repeat(np.arange(len(cut)), sizes)
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
-        found = [known[p] or (0, 0, 0, 0, "", (), ()) for p in parts]
+        found = [known[p] for p in parts]
+        groups = [";".join([found[k][4] for k in row]) for row in np.split(at, sizes.cumsum()[:-1])]
+        both, often = np.unique(np.repeat(np.arange(len(cut)) * max(len(parts), 1), sizes) + at, return_counts=True)
+        text, at = both // max(len(parts), 1), both % max(len(parts), 1)
         table = np.array([f[:4] for f in found], dtype=np.int64).reshape(-1, 4)
         numbers = np.zeros((len(cut), 4), dtype=np.int64)
-        np.add.at(numbers, text, table[at])
-        groups = [";".join([known[p][4] for p in row]) for row in cut]
-        both, often = np.unique(text * max(len(parts), 1) + at, return_counts=True)
-        text, at = both // max(len(parts), 1), both % max(len(parts), 1)
-        width = np.array([len(f[5]) for f in found], dtype=np.int64)
-        starts = np.cumsum(width) - width
-        keys = np.fromiter(chain.from_iterable(f[5] for f in found), dtype=np.int64)
-        times = np.fromiter(chain.from_iterable(f[6] for f in found), dtype=np.int64)
+        np.add.at(numbers, text, table[at] * often[:, None])
+        width = np.array([len(f[5]) for f in found], dtype=np.int64) // 8
+        starts = width.cumsum() - width
+        keys = np.frombuffer(b"".join([f[5] for f in found]), dtype=np.int64)
+        times = np.ones(len(keys), dtype=np.int64)
+        for k, f in enumerate(found):
+            if f[6] is not None:
+                times[starts[k] : starts[k] + width[k]] = f[6]
         per = width[at]
-        nth = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-        where = np.repeat(starts[at], per) + nth
+        where = np.repeat(starts[at] - (per.cumsum() - per), per) + np.arange(int(per.sum()))
         text, pair, times = np.repeat(text, per), keys[where], times[where] * np.repeat(often, per)
-        order = np.lexsort((pair, text))
+        order = np.argsort(text << 2 * SHIFT | pair) if len(cut) < 1 << 11 else np.lexsort((pair, text))
         text, pair, times = text[order], pair[order], times[order]
         first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(text) else np.empty(0, dtype=np.int64)
         if len(first):
@@ -184,12 +246,12 @@ def runs(row: np.ndarray, pair: np.ndarray, times: np.ndarray):
         yield int(radix[part[0]]), int(held[0]), len(part), packed(np.diff(keys, prepend=0), counts), packed(np.diff(held, prepend=0), local, times[part])
 
 
-def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES, run_records: int = 2_000_000) -> DataFrame:
+def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES, run_records: int = 1_000_000) -> DataFrame:
     """docs(text, ...) -> a row of its numbers and groups for each document, and rows of its task's runs.
 
     Rows with a null radix are documents: all columns but text, row_key, n_a, n_b, n_groups, n_links and groups. Others
     are runs: the task's (pair, document, times) records, spilled every run_records as zstd frames by radix class.
-    A task holds the records of one run and one batch of about 4 MB of text.
+    A task holds the records of one run and one batch of about 2 MB of text.
     """
     given = {c: f"given_{k}" for k, c in enumerate(c for c in docs.columns if c != "text")}
     kept = docs.select(
@@ -208,7 +270,7 @@ def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES, run_recor
             columns = dict(zip(("radix", "run", "records", "pairs", "rows"), zip(*rows, strict=True), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in names], schema=names)
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             numbers, groups, text, pair, times = tool.align(batch.column("text").to_pylist())
             keys = batch.column("row_key").to_numpy()
             found = {k: pa.array(numbers[:, j]) for j, k in enumerate(("n_a", "n_b", "n_groups", "n_links"))} | {"groups": pa.array(groups, pa.string())}

@@ -89,11 +89,21 @@ def test_query_equals_brute_force(spark, tools):
 def test_large_groups_are_counted_without_listing_links():
     tool = op.Aligner()
     tool.a_bytes, tool.b_bytes = {1: b"ab", 2: b" "}, [b"a", b"ba", b" ", b"b"]
+    tool.a_size, tool.b_size = np.array([0, 2, 1]), np.array([1, 2, 1, 1])
     n = 20_000
     part = " " + "ab" * n
-    found = tool.groups(part, [2] + [1] * n, [2, 0] + [1] * (n - 1) + [3])
+    wrong, found = tool.groups([" ba", part], [[2, 1], [2] + [1] * n], [[2, 1], [2, 0] + [1] * (n - 1) + [3]])
+    assert wrong is None
     assert found[:4] == (n + 1, n + 2, 2, 1 + n * (n + 1))
-    assert dict(zip(found[5], found[6])) == {2 << op.SHIFT | 2: 1, 1 << op.SHIFT: n, 1 << op.SHIFT | 1: n * (n - 1), 1 << op.SHIFT | 3: n}
+    assert dict(zip(np.frombuffer(found[5], dtype=np.int64).tolist(), found[6].tolist())) == {2 << op.SHIFT | 2: 1, 1 << op.SHIFT: n, 1 << op.SHIFT | 1: n * (n - 1), 1 << op.SHIFT | 3: n}
+
+
+def test_ranks_give_the_same_ids(tools):
+    tool = op.Aligner()
+    rng = random.Random(8)
+    parts = [" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABC'sdtmé.,$1234-ñößñ\n\t ½²ªº", k=rng.randint(1, 20))) for _ in range(20_000)]
+    assert tool.ranked is not None and any(map(op.LATIN.fullmatch, parts))
+    assert tool.first_ids(parts) == [x.ids for x in tools[0].encode_batch(parts, add_special_tokens=False)]
 
 
 def test_packed_arrays_come_back():
