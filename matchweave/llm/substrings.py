@@ -194,7 +194,7 @@ def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.n
     back = np.full(len(doc), width)
     back[order[1:][again]] = np.minimum((order[1:] - order[:-1])[again], width)
     size, alone = distinct_counts(back, width), distinct_counts(back, width, n == 0)
-    spare = np.floor(size * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+    spare = np.floor(size * (1 - similarity) + 1e-9).astype(np.int64)
     place = pos - at
     whole = (doc[width - 1 :] == doc[: len(doc) - width + 1]) & (place[width - 1 :] == place[: len(doc) - width + 1])
     start = np.flatnonzero(whole & (alone <= spare))
