@@ -41,8 +41,6 @@ class Elo:
     played: dict = field(default_factory=dict)
     pulled: dict = field(default_factory=dict)
     columns = ("home_rating", "away_rating")
-    #: What the kernel knows of each team.
-    tables = ("rating", "played", "pulled")
 
     def enter(self, key, home, away, unix) -> None:
         if not self.gamma:
@@ -230,9 +228,8 @@ class Replay:
         out = []
         for fixture, unix, home, away, gh, ga, status, season in rows[CONTEST].itertuples(index=False):
             if unix != self.at:
-                for w in self.waiting:
-                    self.kernel.write(*w)
-                self.waiting, self.at = [], unix
+                self.settle()
+                self.at = unix
             self.kernel.enter(season, home, away, unix)
             seen = self.kernel.read(home, away)
             out.append((fixture, *seen))
@@ -240,6 +237,12 @@ class Replay:
                 self.waiting.append((home, away, float(gh), float(ga), seen))
         return pd.DataFrame(out, columns=["fixture_id", *self.kernel.columns])
 
+    def settle(self) -> None:
+        """Write the results that wait."""
+        for w in self.waiting:
+            self.kernel.write(*w)
+        self.waiting = []
+
 
 def replay(pdf: pd.DataFrame, make: Callable) -> pd.DataFrame:
     """Ratings before each contest of one group."""

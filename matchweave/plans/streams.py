@@ -84,7 +84,8 @@ def r9_eligibility_funnel(spark, sf):
 
 @query(Q1_SQL)
 def r5_online_ratings(spark, sf):
-    """Ratings from a stream of contests; equal to q1_elo."""
+    """Ratings from a stream of contests, kickoffs released by event-time timers; equal to q1_elo."""
     columns = bindings._contest_columns("unix_timestamp(o_orderdate)")
     stream = st.read_stream(spark, f"{sf}/orders.parquet").select(*(F.expr(e).alias(c) for c, e in columns.items()))
-    return four_digits(st.drained(st.online_ratings(stream, "competition_id")))
+    last = contests(spark, sf).agg(F.max("unix").alias("last")).first()["last"]
+    return four_digits(st.drained(st.online_ratings(stream, "competition_id", closed_at=last)))

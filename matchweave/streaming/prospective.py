@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from matchweave.operators.ratings import CONTEST, Elo, Replay
 from matchweave.sources.storage import shared_folder
@@ -98,23 +100,99 @@ def sticky_states(stream: DataFrame, key: str, state: str, stamp: str, final: tu
     )
 
 
-def online_ratings(stream: DataFrame, group: str, make: Callable = Elo) -> DataFrame:
-    """Ratings before each contest of a stream that comes in kickoff order, per group of teams.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state is the whole replay: every table of the kernel and the results that wait for the next kickoff,
-    so that a kickoff may be cut between batches and any kernel can be used.
-    """
 
-    def step(name, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        going = pickle.loads(kept.get[0]) if kept.exists else Replay(make())
-        rows = pd.concat(list(batches)).sort_values(["unix", "fixture_id"], kind="stable")
-        out = going.feed(rows)
-        kept.update((pickle.dumps(going),))
-        yield out
+class KickoffRatings(StatefulProcessor):
+    """Rates one group's contests kickoff by kickoff, once the watermark has passed a kickoff.
+
+    State is a map of waiting kickoffs with their contests, and a map of teams with what the kernel knows of each;
+    a released kickoff reads and writes its own teams only. All contests of a kickoff read before any of them writes.
+    """
 
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def init(self, handle) -> None:
+        self.handle, self.kernel = handle, self.make()
+        self.tables = [f.name for f in fields(self.kernel) if isinstance(getattr(self.kernel, f.name), dict)]
+        self.waiting = handle.getMapState("waiting", "unix long", "contests binary")
+        self.teams = handle.getMapState("teams", "team long", "known binary")
+        self.released = handle.getValueState("released", "unix long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held: dict[int, list] = {}
+        released = self.released.get()[0] if self.released.exists() else None
+        for pdf in rows:
+            for contest in pdf[CONTEST].itertuples(index=False, name=None):
+                if released is None or contest[1] > released:
+                    held.setdefault(int(contest[1]), []).append(contest)
+        for unix, contests in held.items():
+            if self.waiting.containsKey((unix,)):
+                contests = pickle.loads(self.waiting.getValue((unix,))[0]) + contests
+            else:
+                self.handle.registerTimer(unix * 1000)
+            self.waiting.updateValue((unix,), (pickle.dumps(contests),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        known: set[int] = set()
+        out = []
+        for unix in sorted(k[0] for k in list(self.waiting.keys()) if k[0] <= now):
+            contests = sorted(pickle.loads(self.waiting.getValue((unix,))[0]))
+            self.waiting.removeKey((unix,))
+            self.released.update((unix,))
+            for team in {c[k] for c in contests for k in (2, 3)} - known:
+                self._load(team)
+                known.add(team)
+            rows = pd.DataFrame(contests, columns=CONTEST)
+            going = Replay(self.kernel)
+            out.append(going.feed(rows))
+            going.settle()
+        for team in known:
+            self._keep(team)
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def _load(self, team: int) -> None:
+        if self.teams.containsKey((team,)):
+            for table, k, value in pickle.loads(self.teams.getValue((team,))[0]):
+                getattr(self.kernel, table)[k] = value
+
+    def _keep(self, team: int) -> None:
+        """Store and forget what the kernel knows of a team, under its id or a tuple that begins with it."""
+        found = []
+        for name in self.tables:
+            table = getattr(self.kernel, name)
+            for k in [k for k in (team, (team, "home"), (team, "away")) if k in table]:
+                found.append((name, k, table.pop(k)))
+        self.teams.updateValue((team,), (pickle.dumps(found),))
+
+    def close(self) -> None:
+        pass
+
+
+def online_ratings(stream: DataFrame, group: str, make: Callable = Elo, delay: str = "7 days", closed_at: int | None = None) -> DataFrame:
+    """Ratings before each contest of a stream, per group of teams, for contests that arrive in any order within the delay.
+
+    Event-time timers release a kickoff when the watermark, the latest kickoff seen less the delay, has passed it: its
+    contests are complete then. A contest that comes after its kickoff or a later one of its group was released is
+    dropped, as its ratings would no longer be those of its kickoff. closed_at is the last kickoff of a bounded backlog: a marker behind it closes the stream, so
+    that its last kickoffs are released as well. State lives in RocksDB, one entry for each team and waiting kickoff;
+    the session is set to it.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = stream.select(F.col(group).cast("long").alias("team_group"), *CONTEST)
+    if closed_at is not None:
+        marker = F.struct(F.lit(None).cast("long").alias("team_group"), *(F.lit(closed_at + 4_000_000_000 if c == "unix" else None).cast(rows.schema[c].dataType).alias(c) for c in CONTEST))
+        same = F.struct("team_group", *CONTEST)
+        rows = rows.select(F.explode(F.when(F.col("unix") == closed_at, F.array(same, marker)).otherwise(F.array(same))).alias("c")).select("c.*")
     columns = ", ".join(f"{c} double" for c in make().columns)
-    rows = stream.select(F.col(group).alias("team_group"), *CONTEST)
-    return rows.groupBy("team_group").applyInPandasWithState(step, f"fixture_id long, {columns}", "replay binary", "append", GroupStateTimeout.NoTimeout)
+    timed = rows.withColumn("kickoff", F.timestamp_seconds("unix")).withWatermark("kickoff", delay)
+    found = timed.groupBy("team_group").transformWithStateInPandas(KickoffRatings(make), f"fixture_id long, {columns}", "append", "eventTime")
+    return found.where("fixture_id is not null")
 
 
 def funnel(batch: DataFrame, locked: DataFrame, history: DataFrame, now: int, buffer: int = 900) -> DataFrame:

@@ -79,15 +79,33 @@ def test_batches_carry_the_whole_state(make):
     assert pd.concat(parts, ignore_index=True).equals(whole)
 
 
-@pytest.mark.parametrize("make", [ratings.DynamicElo, ratings.AttackDefence, ratings.DynamicAttackDefence])
-def test_stream_batches_equal_one_batch(spark, make, tmp_path):
+@pytest.mark.parametrize("make", [partial(ratings.Elo, gamma=0.3, openings=(760000000, 800000000)), ratings.DynamicElo, ratings.AttackDefence, ratings.DynamicAttackDefence])
+def test_shuffled_arrival_within_the_watermark_equals_one_batch(spark, make, tmp_path):
+    """Contests arrive up to 300 days out of order, in four batches."""
     c = contests(spark, SF)
-    edges = [0, 760000000, 830000000, 2**40]
-    for k in range(3):
-        c.where(F.col("unix").between(edges[k], edges[k + 1] - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arrival = F.col("unix") + F.pmod(F.xxhash64("fixture_id"), F.lit(300 * 86400))
+    edges = [0, 740000000, 800000000, 860000000, 2**40]
+    for k in range(4):
+        c.where(arrival.between(edges[k], edges[k + 1] - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last = c.agg(F.max("unix").alias("last")).first()["last"]
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    show = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    found = prospective.drained(prospective.online_ratings(stream, "competition_id", make, delay="300 days", closed_at=last))
+    assert show(found) == show(ratings.rated(c, make))
+
+
+def test_rows_behind_the_watermark_are_dropped_not_replayed(spark, tmp_path):
+    c = contests(spark, SF).where("competition_id = 1")
+    late = c.orderBy("unix", "fixture_id").limit(5).select("fixture_id")
+    late = [r.fixture_id for r in late.collect()]
+    last = c.agg(F.max("unix").alias("last")).first()["last"]
+    late_rows = F.col("fixture_id").isin(late)
+    for rows in (c.where(~late_rows & (F.col("unix") < last - 30 * 86400)), c.where(~late_rows & F.col("unix").between(last - 30 * 86400, last - 1)), c.where(late_rows), c.where(F.col("unix") == last)):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     show = lambda df: sorted(map(tuple, df.collect()))
-    assert show(prospective.drained(prospective.online_ratings(stream, "competition_id", make))) == show(ratings.rated(c, make))
+    found = prospective.drained(prospective.online_ratings(stream, "competition_id", closed_at=last))
+    assert show(found) == show(ratings.rated(c.where(~F.col("fixture_id").isin(late))))
 
 
 def test_long_chains_are_one_group(spark):
