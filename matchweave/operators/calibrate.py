@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.probability import logit, poisson_pmf, sigmoid
+from matchweave.operators.metrics import quantiles
 
 LABELS = ("H", "D", "A")
 
@@ -93,9 +94,9 @@ def binned_curve(rows: DataFrame, value: str, width: float, happened: Column, le
 
 def preprocess(train: DataFrame, rows: DataFrame, numeric: list[str], category: str | None = None) -> DataFrame:
     """Median-filled, standardised by population deviation, and one-hot columns, all learnt on train alone."""
-    stats = train.agg(
-        *(F.percentile(c, 0.5).alias(f"m_{c}") for c in numeric),
-    )
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in numeric))).alias("c")
+    medians = quantiles(train.select(cells).select("c.*"), "x", [0.5], ["column"])
+    stats = medians.agg(*(F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"m_{c}") for c in numeric))
     filled = train.crossJoin(F.broadcast(stats)).agg(
         *(F.first(f"m_{c}").alias(f"m_{c}") for c in numeric),
         *(F.avg(F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}"))).alias(f"a_{c}") for c in numeric),
@@ -199,7 +200,7 @@ def regimes(train: DataFrame, columns: list[str], k: int = 3):
 def bands(train: DataFrame, rows: DataFrame, value: str, cuts: dict[str, float]) -> DataFrame:
     """Bands by percentiles of train, highest first: the first name whose percentile is reached."""
     names = list(cuts)
-    edges = train.agg(*(F.percentile(value, q).alias(f"__{n}") for n, q in cuts.items()))
+    edges = quantiles(train, value, list(cuts.values())).select(*(F.get("q", F.lit(k)).alias(f"__{n}") for k, n in enumerate(cuts)))
     expr = F.when(F.col(value) >= F.col(f"__{names[0]}"), names[0])
     for n in names[1:]:
         expr = expr.when(F.col(value) >= F.col(f"__{n}"), n)

@@ -248,10 +248,27 @@ def rest(contests: DataFrame) -> DataFrame:
 
 
 def recent_league_mean(contests: DataFrame, last: int = 200, floor: float = 0.5) -> DataFrame:
-    """Mean goals of the competition's last contests, not under a floor."""
-    frame = W.partitionBy("competition_id").orderBy("unix", "fixture_id").rowsBetween(-last, -1)
-    goals = F.col("home_goals") + F.col("away_goals")
-    return contests.select("fixture_id", F.greatest(F.coalesce(F.avg(goals).over(frame), F.lit(floor)), F.lit(floor)).alias("league_recent"))
+    """Mean goals of the competition's last contests, not under a floor.
+
+    Contests are summed by month and the months' sums carried on, so that each contest knows its place and the sums
+    before it; the contest `last` places back tells what to take off again. No task sorts a competition.
+    """
+    goals, group = F.col("home_goals") + F.col("away_goals"), "competition_id"
+    rows = contests.select("fixture_id", group, "unix", goals.cast("long").alias("goals"), F.date_format(F.timestamp_seconds("unix"), "yyyy-MM").alias("month"))
+    months = rows.groupBy(group, "month").agg(F.count("*").alias("n"), F.sum("goals").alias("total"), F.count("goals").alias("known"))
+    earlier = W.partitionBy(group).orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+    before = months.select(group, "month", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "total", "known")))
+    inside = W.partitionBy(group, "month").orderBy("unix", "fixture_id")
+    past = inside.rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(before, [group, "month"]).select(
+        "fixture_id", group, (F.col("n_before") + F.row_number().over(inside)).alias("place"),
+        (F.col("total_before") + F.coalesce(F.sum("goals").over(past), F.lit(0))).alias("total"), (F.col("known_before") + F.count("goals").over(past)).alias("known"),
+    )
+    back = placed.select(F.col(group).alias("of"), (F.col("place") + last).alias("at"), F.col("total").alias("total_back"), F.col("known").alias("known_back"))
+    found = placed.join(back, (F.col(group) == F.col("of")) & (F.col("place") == F.col("at")), "left")
+    total, known = (F.col(c) - F.coalesce(f"{c}_back", F.lit(0)) for c in ("total", "known"))
+    mean = F.when(known > 0, total / known)
+    return found.select("fixture_id", F.greatest(F.coalesce(mean, F.lit(floor)), F.lit(floor)).alias("league_recent"))
 
 
 def tie_leakage(contests: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchweave.sources.storage import stored
+
 from matchweave.functions.probability import argmax
 
 LABELS = ("H", "D", "A")
@@ -146,10 +148,44 @@ def effect_size(rows: DataFrame, value: Column, positive: Column, groups: list[s
     )
 
 
+def quantiles(rows: DataFrame, value: Column | str, points: list[float], groups: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(groups, q): exact quantiles of each group at the points, interpolated between neighbouring ranks; nulls don't count.
+
+    Equal values are counted first. Values are dealt out in ranges, so that a task ranks its own range only, and the ranges'
+    totals tell where its ranks begin; the two ranks of each point are then looked up in the range that holds them.
+    No task sees a whole group, however large. A table without groups gives one row, of nulls where it is empty.
+    """
+    keys, ranges = list(groups), ["__range", *groups]
+    counted = rows.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("__v")).where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    dealt = stored(counted.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy(*ranges).agg(F.sum("__n").alias("__held"))
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.withColumn("__start", F.coalesce(F.sum("__held").over(earlier), F.lit(0)))
+    spots = F.array(*(F.struct(F.lit(k).alias("__k"), F.lit(float(q)).alias("__q")) for k, q in enumerate(points)))
+    wanted = (
+        (totals.groupBy(*keys) if keys else totals.groupBy()).agg((F.sum("__held") - 1).alias("__last")).where("__last is not null")
+        .select(*keys, "__last", F.explode(spots).alias("__p")).select(*keys, "__p.*", (F.col("__p.__q") * F.col("__last")).alias("__at"))
+        .select(*keys, "__k", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__rank"))
+    )
+    inside = (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__held"))
+    sought = (wanted.join(starts, keys) if keys else wanted.crossJoin(starts)).where(inside)
+    upto = F.sum("__n").over(W.partitionBy(*ranges).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = dealt.withColumn("__upto", upto)
+    at = F.col("__rank") - F.col("__start")
+    found = sought.join(ranked, ranges).where((at >= F.col("__upto") - F.col("__n")) & (at < F.col("__upto")))
+    # between two ranks, each weighs by its nearness
+    share = F.when(F.ceil("__at") == F.floor("__at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("__at") - F.col("__rank")))
+    values = found.groupBy(*keys, "__k").agg(F.sum(share * F.col("__v")).alias("__x"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x"))), lambda x: x["__x"]).alias("q")
+    if keys:
+        return values.groupBy(*keys).agg(ordered)
+    one = values.agg(ordered)
+    return one.select(F.when(F.size("q") > 0, F.col("q")).otherwise(F.array(*(F.lit(None).cast("double") for _ in points))).alias("q"))
+
+
 def quantile_bins(rows: DataFrame, value: str, q: int, groups: list[str]) -> DataFrame:
     """Adds decile-like bins by exact quantile edges of each group; right-closed, duplicate edges merged."""
-    points = [k / q for k in range(1, q)]
-    edges = rows.groupBy(*groups).agg(F.array_distinct(F.percentile(F.col(value), F.array(*map(F.lit, points)))).alias("edges"))
+    edges = quantiles(rows, value, [k / q for k in range(1, q)], groups).select(*groups, F.array_distinct("q").alias("edges"))
     return rows.join(edges, groups).withColumn("bin", F.size(F.filter("edges", lambda e: F.col(value) > e))).drop("edges")
 
 

@@ -161,7 +161,7 @@ SELECT policy, CAST(routed AS BIGINT) AS routed, {r('rps', 'rps')}, {r("rps - (S
 def m32_routing(spark, sf):
     """One model alone, high-risk rows sent to the other, and early high-risk rows sent to a blend."""
     p = predictions(spark, sf)
-    cut = p.where("season_year < 1997").agg(F.percentile("p_draw", 0.9).alias("cut"))
+    cut = m.quantiles(p.where("season_year < 1997"), "p_draw", [0.9]).select(F.get("q", F.lit(0)).alias("cut"))
     t = p.where("season_year >= 1997").crossJoin(F.broadcast(cut)).withColumn("risky", F.col("p_draw") >= F.col("cut"))
     t = t.withColumn("early", F.col("risky") & (F.month(F.timestamp_seconds("unix")) <= 3))
     modes = {"base": (F.lit(False), 0.0), "high_risk": (F.col("risky"), 1.0), "early_high_risk": (F.col("early"), 0.7)}
@@ -194,7 +194,7 @@ def m34_extreme_bins(spark, sf):
     long = p.select("season_year", "ll", cells.alias("c")).select("season_year", "ll", "c.*")
     plan = spark.createDataFrame([(y,) for y in _YEARS], "fold long")
     train = long.join(F.broadcast(plan), F.col("season_year") < F.col("fold"))
-    edges = train.groupBy("fold", "feature").agg(F.percentile("x", 0.2).alias("low"), F.percentile("x", 0.8).alias("high"))
+    edges = m.quantiles(train, "x", [0.2, 0.8], ["fold", "feature"]).select("fold", "feature", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
     tested = long.withColumnRenamed("season_year", "fold").join(edges, ["fold", "feature"])
     d = F.avg(F.when(F.col("x") > F.col("high"), F.col("ll"))) - F.avg(F.when(F.col("x") <= F.col("low"), F.col("ll")))
     found = tested.groupBy("fold", "feature").agg(d.alias("d")).where("d is not null")

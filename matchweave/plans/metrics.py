@@ -220,9 +220,9 @@ def m14_probability_diagnostics(spark, sf):
 @query(f"""{SCORED}, c AS (SELECT greatest(p_home, p_draw, p_away) AS t FROM s) SELECT {r('avg(t)', 'mean')}, {r('min(t)', 'low')}, {r('max(t)', 'high')}, {r('quantile_cont(t, 0.1)', 'p10')}, {r('quantile_cont(t, 0.5)', 'p50')}, {r('quantile_cont(t, 0.9)', 'p90')} FROM c""")
 def m16_confidence_profile(spark, sf):
     t = F.greatest(*map(F.col, m.P))
-    return predictions(spark, sf).agg(
-        F.avg(t).alias("mean"), F.min(t).alias("low"), F.max(t).alias("high"), *(F.percentile(t, q).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90")))
-    )
+    p = predictions(spark, sf)
+    cuts = m.quantiles(p, t, [0.1, 0.5, 0.9]).select(*(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
+    return p.agg(F.avg(t).alias("mean"), F.min(t).alias("low"), F.max(t).alias("high")).crossJoin(F.broadcast(cuts))
 
 
 @query(
@@ -347,7 +347,7 @@ def m31_risk_coverage(spark, sf):
 
     shares = (0.5, 0.75, 0.9, 1.0)
     rows = predictions(spark, sf).withColumn("risk", entropy(*map(F.col, m.P)))
-    cuts = rows.agg(F.percentile("risk", F.array(*map(F.lit, shares))).alias("cut"))
+    cuts = m.quantiles(rows, "risk", list(shares)).withColumnRenamed("q", "cut")
     spread = rows.crossJoin(F.broadcast(cuts)).select("*", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("coverage"), F.col("cut"))).alias("x"))
     return spread.where(F.col("risk") <= F.col("x.cut")).groupBy(F.col("x.coverage").alias("coverage")).agg(
         F.count("*").alias("n"), F.avg(m.log_loss()).alias("log_loss"), F.avg(m.rps()).alias("rps"), F.avg((F.col("y_true") == argmax(*map(F.col, m.P))).cast("double")).alias("accuracy")

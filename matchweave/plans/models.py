@@ -74,7 +74,7 @@ SELECT fixture_id, {r('rps', 'rps')}, {r('ll', 'log_loss')}, rps >= a - 1e-12 AS
 )
 def m37_error_targets(spark, sf):
     train, test = split(spark, sf)
-    cuts = train.agg(F.percentile(metrics.rps(), 0.9).alias("a"), F.percentile(metrics.rps(), 0.8).alias("b"))
+    cuts = metrics.quantiles(train, metrics.rps(), [0.9, 0.8]).select(F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
     x = metrics.rps()
     return test.crossJoin(F.broadcast(cuts)).select(
         "fixture_id", x.alias("rps"), metrics.log_loss().alias("log_loss"), (x >= F.col("a") - 1e-12).alias("top10"), (x >= F.col("b") - 1e-12).alias("top20"), F.least(F.greatest(1 - x, F.lit(0.0)), F.lit(1.0)).alias("reliability")
