@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from math import exp, log, sqrt
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.functions.probability import logit, poisson_pmf, sigmoid
-from matchweave.operators.metrics import quantiles
+from matchweave.functions.probability import entropy, logit, poisson_pmf, poisson_table, sigmoid, tail_safe_sums
+from matchweave.operators.metrics import p_true, quantiles
 
 LABELS = ("H", "D", "A")
 
@@ -181,6 +182,52 @@ def score_goals(models, rows: DataFrame) -> DataFrame:
     return out.withColumns({"fit_home": bound("fit_home"), "fit_away": bound("fit_away")})
 
 
+def save_goal_models(models, path: str) -> None:
+    """Write both fitted pipelines under a folder that all nodes share."""
+    for side, model in zip(("home", "away"), models, strict=True):
+        model.write().overwrite().save(f"{path}/{side}")
+
+
+def load_goal_models(path: str) -> list[PipelineModel]:
+    return [PipelineModel.load(f"{path}/{side}") for side in ("home", "away")]
+
+
+def score_batch(models, rows: DataFrame) -> DataFrame:
+    """rows with fit_home, fit_away, fit_win, fit_draw, fit_loss, fit_pick and fit_safe: rates and their Poisson table."""
+    scored = score_goals(models, rows).withColumn("fit_sums", tail_safe_sums(F.col("fit_home"), F.col("fit_away")))
+    table = poisson_table(F.col("fit_sums"), F.col("fit_home"), F.col("fit_away"))
+    return scored.select(*(c for c in scored.columns if c != "fit_sums"), *(table[k].alias(f"fit_{k}") for k in ("win", "draw", "loss", "pick", "safe")))
+
+
+STACKED = ("ln_home", "ln_draw", "ln_away", "risk", "rate_gap", "rate_total")
+
+
+def score_space(rows: DataFrame, p: tuple[str, ...] = ("p_home", "p_draw", "p_away"), eps: float = 1e-15) -> DataFrame:
+    """rows with STACKED: log-probabilities, entropy, and the gap and total of both rates."""
+    logs = [F.log(F.greatest(F.col(c), F.lit(eps))) for c in p]
+    gap, total = F.col("lambda_home") - F.col("lambda_away"), F.col("lambda_home") + F.col("lambda_away")
+    return rows.withColumns(dict(zip(STACKED, (*logs, entropy(*map(F.col, p)), gap, total), strict=True)))
+
+
+def joint_stack(train: DataFrame, valid: DataFrame, rows: DataFrame, weights: list[float]) -> tuple[float, DataFrame]:
+    """A multinomial fit in score space on train, blended with the given probabilities by the weight of least loss on valid.
+
+    Returns (weight of the stack, rows with stack_H, stack_D, stack_A and joint_H, joint_D, joint_A).
+    """
+    p = ("p_home", "p_draw", "p_away")
+    model = outcome_model(score_space(train), list(STACKED))
+
+    def stacked(df: DataFrame) -> DataFrame:
+        out = model.transform(score_space(df)).withColumn("stack_p", vector_to_array("probability"))
+        return out.select(*df.columns, *(F.get("stack_p", F.lit(k)).alias(f"stack_{v}") for k, v in enumerate("HDA")))
+
+    names = [f"stack_{v}" for v in "HDA"]
+    mix = lambda w: -F.log(F.greatest(w * p_true(names) + (1 - w) * p_true(p), F.lit(1e-15)))
+    weight = searched(stacked(valid), mix, weights, []).first()["setting"]
+    done = stacked(rows)
+    return weight, done.withColumns({f"joint_{v}": weight * F.col(s) + (1 - weight) * F.col(c) for v, s, c in zip("HDA", names, p, strict=True)})
+
+
 def boosted_goals(train: DataFrame, columns: list[str], side: str = "home"):
     return Pipeline(stages=[*features(columns), GBTRegressor(labelCol=f"{side}_goals", predictionCol=f"gbt_{side}", maxIter=10, maxDepth=3, seed=42)]).fit(train)
 

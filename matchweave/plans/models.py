@@ -15,6 +15,7 @@ from matchweave.plans.base import query, r
 from matchweave.plans.metrics import SCORED
 from matchweave.plans.probability import _grid
 from matchweave.sources.bindings import CONTESTS, PREDS, contests, predictions
+from matchweave.sources.storage import shared_folder
 
 CLASSES = {"H": "p_home", "D": "p_draw", "A": "p_away"}
 COLUMNS = ["elo_diff", "lambda_home", "lambda_away"]
@@ -126,6 +127,26 @@ def k4_goal_regression(spark, sf):
     return metrics.scorecard(rows, p=("m_H", "m_D", "m_A")).select("n", "log_loss", "brier", "rps", "accuracy")
 
 
+@query()
+def k20_batch_scoring(spark, sf):
+    """Goal models saved to shared storage, loaded again and applied to every later contest."""
+    train, test = split(spark, sf)
+    path = shared_folder(spark)
+    cal.save_goal_models(cal.goal_models(train, COLUMNS), path)
+    scored = cal.score_batch(cal.load_goal_models(path), test)
+    return scored.select("fixture_id", "fit_home", "fit_away", "fit_win", "fit_draw", "fit_loss", "fit_pick", "fit_safe")
+
+
+@query()
+def k24_joint_stack(spark, sf):
+    """A stack in score space and its weight beside the given probabilities, with the losses of all three."""
+    p = predictions(spark, sf)
+    weight, rows = cal.joint_stack(p.where("season_year < 1996"), p.where("season_year = 1996"), p.where("season_year >= 1997"), [k / 20 for k in range(21)])
+    sides = {"given": metrics.P, "stack": ("stack_H", "stack_D", "stack_A"), "joint": ("joint_H", "joint_D", "joint_A")}
+    cards = [metrics.scorecard(rows, p=c).select(F.lit(n).alias("model"), F.lit(weight).alias("weight"), "n", "log_loss", "brier", "rps") for n, c in sides.items()]
+    return reduce(DataFrame.unionByName, cards)
+
+
 @query()
 def k5_boosted_goals(spark, sf):
     """K5: boosted trees for home goals; error on both sides of the split."""

@@ -44,6 +44,25 @@ def r3_rolling_signal(spark, sf):
     return out.withColumn("start", F.unix_timestamp("start"))
 
 
+@query(
+    f"""SELECT CAST(floor(epoch(ts)) AS BIGINT) // 21600 * 21600 AS bucket, event_type, count(*) AS n, {r('avg(value)', 'mean')} FROM events GROUP BY 1, 2"""
+)
+def r6_tumbling_buckets(spark, sf):
+    """Tumbling six-hour buckets, kept by batch so that a replayed batch changes nothing."""
+    keep = lambda table, batch, k: table.tumbling(batch, k, "ts", 21600, ["event_type"], "value")
+    return st.bucketed(events(spark, sf), st.shared_folder(spark), keep).table(spark, ["event_type"])
+
+
+@query(
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events)
+SELECT CAST(place // 5 AS BIGINT) AS bucket, user_id, count(*) AS n, {r('avg(value)', 'mean')} FROM k GROUP BY 1, 2"""
+)
+def r6_count_buckets(spark, sf):
+    """Buckets of five results of each user, in order."""
+    keep = lambda table, batch, k: table.counted(batch, k, 5, ["user_id"], ["ts", "event_id"], "value")
+    return st.bucketed(events(spark, sf), st.shared_folder(spark), keep).table(spark, ["user_id"])
+
+
 @query(
     """SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'error' ELSE arg_max(event_type, ts) END AS event_type FROM events GROUP BY user_id"""
 )

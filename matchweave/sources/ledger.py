@@ -11,11 +11,31 @@ from matchweave.functions.text import redact
 
 
 def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """Raw JSON pages {data: [...], info: {...}} with their file name; secrets in *_url fields are redacted."""
+    """Raw JSON pages {data: [...], info: {...}} with their file name; secrets in *_url fields are redacted.
+
+    Each file is one page, on as many lines as it likes. `broken` tells of a page that doesn't parse: it has no data,
+    and its text is kept in `raw`, with secrets redacted in it as well.
+    """
     info = T.StructType([T.StructField("page", T.LongType()), T.StructField("next_page_url", T.StringType())])
-    schema = T.StructType([T.StructField("data", T.ArrayType(record)), T.StructField("info", info)])
-    pages = spark.read.schema(schema).json(path, multiLine=True)
-    return pages.select("data", "info.page", redact(F.col("info.next_page_url")).alias("next_page_url"), F.input_file_name().alias("file"))
+    schema = T.StructType([T.StructField("data", T.ArrayType(record)), T.StructField("info", info), T.StructField("_raw", T.StringType())])
+    pages = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_raw").option("recursiveFileLookup", True).json(path, multiLine=True)
+    broken = F.col("_raw").isNotNull()
+    kept = {"data": F.col("data"), "page": F.col("info.page"), "next_page_url": redact(F.col("info.next_page_url"))}
+    return pages.select(
+        *(F.when(~broken, c).alias(n) for n, c in kept.items()), F.input_file_name().alias("file"), broken.alias("broken"), redact(F.col("_raw")).alias("raw")
+    )
+
+
+def page_texts(rows: DataFrame, page: Column, order: str) -> DataFrame:
+    """(page, value): rows as the JSON texts of raw pages, each page's records in order."""
+    cells = F.array_sort(F.collect_list(F.struct(order, *(c for c in rows.columns if c != order))))
+    pages = rows.groupBy(page.alias("page")).agg(cells.alias("data"))
+    return pages.select("page", F.to_json(F.struct("data", F.struct("page").alias("info"))).alias("value"))
+
+
+def write_pages(texts: DataFrame, path: str) -> None:
+    """Write page_texts, one file for each page."""
+    texts.repartition("page").write.partitionBy("page").text(path)
 
 
 def records(pages: DataFrame) -> DataFrame:

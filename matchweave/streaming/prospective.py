@@ -8,6 +8,7 @@ from dataclasses import fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -35,6 +36,56 @@ def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = No
     return spark.read.schema(schema).parquet(target)
 
 
+class BucketTable:
+    """Sums by bucket of a stream's batches, in a folder for each batch id.
+
+    A batch that is run again overwrites its own folder only, so that replays change nothing. `tumbling` buckets are
+    lengths of event time; `counted` ones are so many results of a group each, in the order of batches and, within
+    one, of the given columns.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _write(self, rows: DataFrame, batch_id: int, keys: list[str], value: str) -> None:
+        sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.count(value).alias("known"))
+        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def _batches(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The sums of all batches, or of those before one."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            return None
+        table = spark.read.parquet(self.path)
+        return table if before is None else table.where(F.col("batch") < before)
+
+    def tumbling(self, batch: DataFrame, batch_id: int, stamp: str, seconds: int, groups: list[str], value: str) -> None:
+        start = F.floor(F.unix_micros(stamp) / (seconds * 1_000_000)) * seconds
+        self._write(batch.withColumn("bucket", start), batch_id, ["bucket", *groups], value)
+
+    def counted(self, batch: DataFrame, batch_id: int, size: int, groups: list[str], order: list[str], value: str) -> None:
+        earlier = self._batches(batch.sparkSession, batch_id)
+        place = F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1
+        rows = batch.withColumn("place", place)
+        if earlier is not None:
+            seen = earlier.groupBy(*groups).agg(F.sum("n").alias("seen"))
+            rows = rows.join(seen, groups, "left").withColumn("place", F.col("place") + F.coalesce("seen", F.lit(0)))
+        self._write(rows.withColumn("bucket", F.floor(F.col("place") / size)), batch_id, ["bucket", *groups], value)
+
+    def table(self, spark: SparkSession, groups: list[str]) -> DataFrame:
+        """(bucket, groups, n, mean) over all batches."""
+        sums = self._batches(spark).groupBy("bucket", *groups).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("known").alias("known"))
+        return sums.select("bucket", *groups, "n", F.when(F.col("known") > 0, F.col("total") / F.col("known")).alias("mean"))
+
+
+def bucketed(stream: DataFrame, path: str, keep: Callable[[BucketTable, DataFrame, int], None], checkpoint: str | None = None) -> BucketTable:
+    """Run a stream over all available input, each batch kept in the bucket table at path."""
+    table = BucketTable(path)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint or shared_folder(stream.sparkSession)).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, batch_id: keep(table, batch, batch_id)).start().awaitTermination()
+    return table
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet folder, or a single file in a folder, as a stream with the schema of what is there.
 

@@ -1,5 +1,7 @@
 """Model fits against plain numpy versions, and contracts that must fail loudly."""
 
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,48 @@ def test_variance_inflation_equals_regressions(spark):
         rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
         assert r.vif == pytest.approx(((y - y.mean()) ** 2).sum() / (rest**2).sum(), rel=1e-4)
     assert got["p_home"].condition == pytest.approx(np.linalg.cond(np.corrcoef(rows.to_numpy(float).T)), rel=1e-4)
+
+
+def test_batch_scores_follow_from_the_stored_coefficients(spark):
+    from math import exp as e
+
+    from matchweave.plans.models import COLUMNS
+    from matchweave.sources.bindings import predictions
+    from matchweave.sources.storage import shared_folder
+
+    p = predictions(spark, "/root/testdata/sf0.001")
+    train, test = p.where("season_year < 1997"), p.where("season_year >= 1997")
+    path = shared_folder(spark)
+    cal.save_goal_models(cal.goal_models(train, COLUMNS), path)
+    models = cal.load_goal_models(path)
+    got = {r.fixture_id: r for r in cal.score_batch(models, test).collect()}
+    assert len(got) == test.count() > 0
+    coefficients = [(m.stages[-1].intercept, m.stages[-1].coefficients.toArray()) for m in models]
+    for r in test.collect():
+        rates = [min(max(e(b + sum(w * r[c] for w, c in zip(k, COLUMNS))), 0.05), 8.0) for b, k in coefficients]
+        g = got[r.fixture_id]
+        assert g.fit_home == pytest.approx(rates[0]) and g.fit_away == pytest.approx(rates[1]) and g.fit_safe
+        grid = [[e(-rates[0]) * rates[0] ** i / factorial(i) * e(-rates[1]) * rates[1] ** j / factorial(j) for j in range(60)] for i in range(60)]
+        assert g.fit_win == pytest.approx(sum(grid[i][j] for i in range(60) for j in range(i)), abs=1e-9)
+        assert g.fit_draw == pytest.approx(sum(grid[i][i] for i in range(60)), abs=1e-9)
+
+
+def test_joint_stack_is_no_worse_where_its_weight_was_chosen(spark):
+    from matchweave.sources.bindings import predictions
+
+    p = predictions(spark, "/root/testdata/sf0.001")
+    train, valid = p.where("season_year < 1996"), p.where("season_year = 1996")
+    weights = [k / 20 for k in range(21)]
+    weight, rows = cal.joint_stack(train, valid, valid, weights)
+    rows = rows.toPandas()
+    label = rows["y_true"].map({"H": 0, "D": 1, "A": 2}).to_numpy()
+    at = np.arange(len(rows))
+    stack, given = (rows[list(c)].to_numpy()[at, label] for c in (("stack_H", "stack_D", "stack_A"), ("p_home", "p_draw", "p_away")))
+    losses = [-np.log(w * stack + (1 - w) * given).mean() for w in weights]
+    assert weight == weights[int(np.argmin(np.round(losses, 12)))]
+    assert np.allclose(rows[["joint_H", "joint_D", "joint_A"]].sum(axis=1), 1)
+    # the fit's optimum: on train, the mean of probabilities less outcomes vanishes for each class
+    _, fitted = cal.joint_stack(train, valid, train, weights)
+    t = fitted.toPandas()
+    for k, v in enumerate("HDA"):
+        assert abs(t[f"stack_{v}"].mean() - (t["y_true"] == v).mean()) < 5e-3
