@@ -35,10 +35,14 @@ def brute(texts, tools):
             if b"".join(left) == plain == b"".join(right):
                 ends_a, ends_b = np.cumsum([len(x) for x in left]), np.cumsum([len(x) for x in right])
                 common = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
-                start = 0
+                i = j = 0
                 for end in common:
-                    groups.append(([k for k, e in zip(a, ends_a) if start < e <= end], [k for k, e in zip(b, ends_b) if start < e <= end]))
-                    start = end
+                    p, q = i, j
+                    while i < len(a) and ends_a[i] <= end:
+                        i += 1
+                    while j < len(b) and ends_b[j] <= end:
+                        j += 1
+                    groups.append((a[p:i], b[q:j]))
         rows.append(groups)
     counts = Counter(p for g in rows for p in {(x, y) for l, r in g for x in l for y in r})
     highest = defaultdict(int)
