@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from math import exp, log, sqrt
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Iso
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.functions.probability import entropy, logit, poisson_pmf, poisson_table, sigmoid, tail_safe_sums
+from matchweave.functions.probability import entropy, logit, poisson_pmf, poisson_table, sigmoid, tail_safe_sums, temperature
 from matchweave.operators.metrics import p_true, quantiles
 
 LABELS = ("H", "D", "A")
@@ -53,13 +55,7 @@ def platt_per_class(train: DataFrame, rows: DataFrame, p: dict[str, str], label:
 
 def isotonic_per_class(train: DataFrame, rows: DataFrame, p: dict[str, str], label: str = "y_true") -> DataFrame:
     """Each class's probability through its own monotone step function, renormalised."""
-    out = rows
-    for v, c in p.items():
-        model = IsotonicRegression(featuresCol=c, labelCol="__y", predictionCol=f"__{v}").fit(train.withColumn("__y", (F.col(label) == v).cast("double")))
-        out = model.transform(out)
-    parts = {v: F.least(F.greatest(F.col(f"__{v}"), F.lit(1e-6)), F.lit(1 - 1e-6)) for v in p}
-    total = sum(list(parts.values())[1:], parts[next(iter(parts))])
-    return out.withColumns({f"cal_{v}": x / total for v, x in parts.items()}).drop(*(f"__{v}" for v in p))
+    return IsotonicCalibrator(p, label).fit(train).transform(rows)
 
 
 def fit_rho(rows: DataFrame, groups: list[str], grid: list[float]) -> DataFrame:
@@ -121,22 +117,95 @@ def category_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return rows.join(codes, column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
 
 
-class PlattCalibrator:
-    """fit(train) and transform(rows) over the probability columns of a class mapping."""
+class Calibrator:
+    """The protocol: fit(train) learns, transform(rows) adds cal_<class> columns that sum to one. This one changes nothing."""
 
     def __init__(self, p: dict[str, str], label: str = "y_true"):
-        self.p, self.label, self.curves = p, label, {}
+        self.p, self.label = p, label
 
-    def fit(self, train: DataFrame) -> PlattCalibrator:
-        self.curves = {v: fit_platt(train, logit(F.col(c)), F.col(self.label) == v) for v, c in self.p.items()}
+    def fit(self, train: DataFrame) -> Calibrator:
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        raw = {v: sigmoid(a * logit(F.col(self.p[v])) + b) for v, (a, b) in self.curves.items()}
-        total = sum(list(raw.values())[1:], raw[next(iter(raw))])
+        return rows.withColumns({f"cal_{v}": F.col(c) for v, c in self.p.items()})
+
+    @staticmethod
+    def _normalised(rows: DataFrame, raw: dict[str, Column]) -> DataFrame:
+        parts = list(raw.values())
+        total = sum(parts[1:], parts[0])
         return rows.withColumns({f"cal_{v}": x / total for v, x in raw.items()})
 
 
+class PlattCalibrator(Calibrator):
+    """A logistic curve of each class's logit, renormalised."""
+
+    def fit(self, train: DataFrame) -> Calibrator:
+        self.curves = {v: fit_platt(train, logit(F.col(c)), F.col(self.label) == v) for v, c in self.p.items()}
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self._normalised(rows, {v: sigmoid(a * logit(F.col(self.p[v])) + b) for v, (a, b) in self.curves.items()})
+
+
+class IsotonicCalibrator(Calibrator):
+    """A monotone step function of each class's probability, held to [1e-6, 1 - 1e-6] and renormalised."""
+
+    def fit(self, train: DataFrame) -> Calibrator:
+        labelled = {v: train.withColumn("__y", (F.col(self.label) == v).cast("double")) for v in self.p}
+        self.models = {v: IsotonicRegression(featuresCol=c, labelCol="__y", predictionCol=f"__{v}").fit(labelled[v]) for v, c in self.p.items()}
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out = rows
+        for model in self.models.values():
+            out = model.transform(out)
+        held = {v: F.least(F.greatest(F.col(f"__{v}"), F.lit(1e-6)), F.lit(1 - 1e-6)) for v in self.p}
+        return self._normalised(out, held).drop(*(f"__{v}" for v in self.p))
+
+
+class TemperatureCalibrator(Calibrator):
+    """One temperature for all classes: that of least log loss on train among the given ones, the first of equal ones."""
+
+    def __init__(self, p: dict[str, str], label: str = "y_true", settings: tuple[float, ...] = tuple(k / 20 for k in range(10, 41))):
+        super().__init__(p, label)
+        self.settings = settings
+
+    def _scaled(self, t: Column | float) -> dict[str, Column]:
+        return dict(zip(self.p, temperature([F.col(c) for c in self.p.values()], t), strict=True))
+
+    def fit(self, train: DataFrame) -> Calibrator:
+        def loss(t: Column) -> Column:
+            expr = None
+            for v, x in self._scaled(t).items():
+                term = -F.log(F.greatest(x, F.lit(1e-15)))
+                expr = F.when(F.col(self.label) == v, term) if expr is None else expr.when(F.col(self.label) == v, term)
+            return expr
+
+        self.setting = searched(train, loss, list(self.settings), []).first()["setting"]
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self._normalised(rows, self._scaled(self.setting))
+
+
+CALIBRATORS = {"uncalibrated": Calibrator, "platt": PlattCalibrator, "isotonic": IsotonicCalibrator, "temperature": TemperatureCalibrator}
+
+
+def split_search(splits: list[tuple], settings: list[float], fit_predict: Callable[[DataFrame, DataFrame, float], DataFrame]) -> DataFrame:
+    """(setting, splits, mean_loss, best) of a callback that may refit: fit_predict(train, test, setting) -> rows with `loss`.
+
+    splits are (name, train, test). Each split counts alike; the first setting wins ties.
+    """
+    parts = [
+        fit_predict(train, test, s).agg(F.avg("loss").alias("loss")).select(F.lit(str(name)).alias("split"), F.lit(float(s)).alias("setting"), "loss")
+        for name, train, test in splits
+        for s in settings
+    ]
+    curve = reduce(DataFrame.unionByName, parts).groupBy("setting").agg(F.count("loss").alias("splits"), F.avg("loss").alias("mean_loss"))
+    best = curve.agg(F.min_by("setting", F.struct(F.round("mean_loss", 12), "setting")).alias("__best"))
+    return curve.crossJoin(F.broadcast(best)).select("setting", "splits", "mean_loss", (F.col("setting") == F.col("__best")).alias("best"))
+
+
 def searched(rows: DataFrame, loss, settings: list[float], groups: list[str]) -> DataFrame:
     """The setting of least mean loss per group; loss(setting column) gives each row's loss. The first wins ties."""
     tried = rows.withColumn("setting", F.explode(F.array(*map(F.lit, settings))))

@@ -204,17 +204,46 @@ def m24_grid_robustness(spark, sf):
 
 @query()
 def k8_nested_calibration(spark, sf):
-    """K8: no calibration, Platt and isotonic (with at least 50 rows of each class), learnt on the seasons before each assessed one."""
+    """Every calibrator by its fit and transform, learnt on the seasons before each assessed one; isotonic with at least 50 rows of each class."""
     p, parts = predictions(spark, sf), []
     for year in (1995, 1996, 1997):
         train, test = p.where(F.col("season_year") < year), p.where(F.col("season_year") == year)
-        fits = {"uncalibrated": (test, metrics.P), "platt": (cal.platt_per_class(train, test, CLASSES), ("cal_H", "cal_D", "cal_A"))}
-        if min(train.groupBy("y_true").count().agg(F.min("count")).first()[0] or 0, 50) >= 50:
-            fits["isotonic"] = (cal.isotonic_per_class(train, test, CLASSES), ("cal_H", "cal_D", "cal_A"))
-        parts += [metrics.scorecard(rows, p=names).select(F.lit(year).alias("season_year"), F.lit(n).alias("method"), "n", "log_loss", "brier") for n, (rows, names) in fits.items()]
+        few = (train.groupBy("y_true").count().agg(F.min("count")).first()[0] or 0) < 50
+        for name, kind in cal.CALIBRATORS.items():
+            if name != "isotonic" or not few:
+                rows = kind(CLASSES).fit(train).transform(test)
+                parts.append(metrics.scorecard(rows, p=("cal_H", "cal_D", "cal_A")).select(F.lit(year).alias("season_year"), F.lit(name).alias("method"), "n", "log_loss", "brier"))
     return reduce(DataFrame.unionByName, parts)
 
 
+_FOLDS, _SHARES = (1995, 1996, 1997), (0.0, 0.1, 0.2, 0.3, 0.5)
+
+
+@query(
+    f"""WITH {PREDS}, y AS (SELECT unnest({list(_FOLDS)}) AS y), w AS (SELECT unnest({list(_SHARES)})::DOUBLE AS w),
+ f AS (SELECT y, avg((y_true = 'H')::INT) AS fh, avg((y_true = 'D')::INT) AS fd, avg((y_true = 'A')::INT) AS fa FROM preds JOIN y ON season_year < y GROUP BY y),
+ l AS (SELECT w, y, avg(-ln(greatest((1 - w) * CASE y_true WHEN 'H' THEN p_home WHEN 'D' THEN p_draw ELSE p_away END + w * CASE y_true WHEN 'H' THEN fh WHEN 'D' THEN fd ELSE fa END, 1e-15))) AS loss
+  FROM preds JOIN y ON season_year = y JOIN f USING (y), w GROUP BY w, y),
+ c AS (SELECT w AS setting, count(*) AS splits, avg(loss) AS mean_loss FROM l GROUP BY w)
+SELECT setting, splits, {r('mean_loss', 'mean_loss')}, setting = (SELECT arg_min(setting, (round(mean_loss, 12), setting)) FROM c) AS best FROM c"""
+)
+def x3_split_search(spark, sf):
+    """A search over splits whose callback refits, here the class shares towards which probabilities are drawn.
+
+    A split without training rows has no loss and doesn't count.
+    """
+    p = predictions(spark, sf)
+    splits = [(y, p.where(F.col("season_year") < y), p.where(F.col("season_year") == y)) for y in _FOLDS]
+    shares = {v: f"share_{v}" for v in "HDA"}
+
+    def fit_predict(train: DataFrame, test: DataFrame, setting: float) -> DataFrame:
+        learnt = train.agg(*(F.avg((F.col("y_true") == v).cast("double")).alias(c) for v, c in shares.items()))
+        mixed = (1 - setting) * metrics.p_true() + setting * metrics.p_true(tuple(shares.values()))
+        return test.crossJoin(F.broadcast(learnt)).select(F.when(mixed.isNotNull(), -F.log(F.greatest(mixed, F.lit(1e-15)))).alias("loss"))
+
+    return cal.split_search(splits, list(_SHARES), fit_predict)
+
+
 @query()
 def k14_draw_stackers(spark, sf):
     """Weighted logistic fits for the draw: two models' logits stacked, the draw's logit alone, and a beta curve."""

@@ -168,3 +168,28 @@ def test_joint_stack_is_no_worse_where_its_weight_was_chosen(spark):
     t = fitted.toPandas()
     for k, v in enumerate("HDA"):
         assert abs(t[f"stack_{v}"].mean() - (t["y_true"] == v).mean()) < 5e-3
+
+
+@pytest.mark.parametrize("name", sorted(cal.CALIBRATORS))
+def test_calibrators_follow_the_protocol(spark, name):
+    train, test = split(spark, SF)
+    tool = cal.CALIBRATORS[name](CLASSES)
+    assert tool.fit(train) is tool
+    rows = tool.transform(test)
+    assert rows.columns == [*test.columns, "cal_H", "cal_D", "cal_A"]
+    got = rows.select("cal_H", "cal_D", "cal_A").toPandas()
+    assert len(got) == test.count() and np.allclose(got.sum(axis=1), 1) and (got > 0).all().all()
+
+
+def test_temperature_is_that_of_least_loss(spark):
+    train = split(spark, SF)[0]
+    tool = cal.TemperatureCalibrator(CLASSES).fit(train)
+    rows = train.select("y_true", "p_home", "p_draw", "p_away").toPandas()
+    at = rows["y_true"].map({"H": 0, "D": 1, "A": 2}).to_numpy()
+    z = np.log(rows[["p_home", "p_draw", "p_away"]].to_numpy())
+
+    def loss(t):
+        e = np.exp(z / t)
+        return -np.log((e / e.sum(axis=1, keepdims=True))[np.arange(len(at)), at]).mean()
+
+    assert tool.setting == min(tool.settings, key=lambda t: (round(loss(t), 10), t))
