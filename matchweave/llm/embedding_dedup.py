@@ -271,7 +271,7 @@ def near_duplicates(
 
     schema = "embedding array<double>, key long, copies long, dim int, filters array<long>"
     capped = written(folded.select("embedding", "key", "copies", "dim").mapInPandas(listed, schema))
-    full = (
+    full = written(
         capped.select("dim", F.explode("filters").alias("filter"))
         .groupBy("dim", "filter")
         .agg(F.count("*").alias("rows"))
@@ -286,6 +286,7 @@ def near_duplicates(
     dealt = tasks.repartition("dim", "filter", "p", "q").sortWithinPartitions("dim", "filter", "p", "q")
     found = written(dealt.mapInPandas(lambda batches: sorted_links(batches, threshold), "key long, linked long, root long"))
     discard(capped)
+    discard(full)
     ids = folded.select("key", "rep")
     edges = found.where("key != root").join(ids, "key").join(ids.select(F.col("key").alias("root"), F.col("rep").alias("root_rep")), "root")
     groups = connected_components(edges, "rep", "root_rep")
