@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import lgamma
 
 import numpy as np
@@ -321,6 +322,17 @@ def decay_weight(unix: Column, reference: Column | int, xi: float) -> Column:
     return F.exp(-xi * F.greatest(ref - unix, F.lit(0)) / 86400)
 
 
+def causal(unix: Column, reference: Column | int) -> Column:
+    """Whether a row lies before the reference time, as every row that is weighted must."""
+    return unix < (reference if isinstance(reference, Column) else F.lit(reference))
+
+
+def ranking_preserved(p: list[Column], q: list[Column]) -> Column:
+    """Whether both triples put their classes in the same order, equal ones by position."""
+    pairs = [(p[i] <= p[j]) == (q[i] <= q[j]) for i in range(len(p)) for j in range(i + 1, len(p))]
+    return reduce(Column.__and__, pairs)
+
+
 def shrinkage(n: Column, m0: float) -> Column:
     return n / (n + m0)
 

@@ -46,3 +46,28 @@ def record_hash(*columns: str) -> Column:
 def redact(url: Column, name: str = "api_token") -> Column:
     """The named query parameter's value replaced."""
     return F.regexp_replace(url, rf"(?i)({name}=)[^&\s]+", "$1REDACTED")
+
+
+def local(time: Column, zone: str = "UTC") -> Column:
+    """An instant's wall clock in a zone, whatever the session's own."""
+    return F.convert_timezone(None, F.lit(zone), time.cast("timestamp_ntz"))
+
+
+def clock(text: Column, zone: str = "UTC", suffix: str = "UTC", half_days: bool = False, day: bool = False) -> Column:
+    """A kickoff as "18:30 UTC", by half days as "05:00 PM IST", with its day as "27 Aug 2026, 18:30 UTC".
+
+    text is anything that to_utc reads, all else stays as it is. Without a suffix only the time is left.
+    """
+    layout = ("dd MMM yyyy, " if day else "") + ("hh:mm a" if half_days else "HH:mm")
+    shown = F.date_format(local(to_utc(text), zone), layout)
+    return F.coalesce(F.concat(shown, F.lit(f" {suffix}" if suffix else "")), text)
+
+
+def local_day(text: Column, zone: str = "UTC") -> Column:
+    """The calendar day yyyy-MM-dd of a kickoff in a zone; of a text without a time its first ten characters."""
+    return F.coalesce(F.date_format(local(to_utc(text), zone), "yyyy-MM-dd"), F.left(text, F.lit(10)))
+
+
+def on_day(text: Column, day: Column | str, zone: str = "UTC") -> Column:
+    """Whether a kickoff falls on a day (yyyy-MM-dd) in a zone."""
+    return local_day(text, zone) == (day if isinstance(day, Column) else F.lit(day))

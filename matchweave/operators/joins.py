@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchweave.operators.contracts import required
 from matchweave.sources.storage import stored
 
 
@@ -207,3 +208,34 @@ def temporal_safety(split: DataFrame) -> DataFrame:
         F.count_if(train).alias("n_train"), F.count_if(test).alias("n_eval"), (F.max(F.when(train, F.col("unix"))) < F.min(F.when(test, F.col("unix")))).alias("ordered")
     )
     return ends.join(shared, "fold")
+
+
+def final_split(rows: DataFrame, walked: set[int], train: set[int], test: set[int], season: str = "season_year", time: str = "unix") -> DataFrame:
+    """Rows of the last split under `role`: train or eval.
+
+    walked holds all seasons of the walk-forward folds. The test seasons must be untouched by them and by training (an
+    error here), and training must end before they start (the run fails on the first row otherwise).
+    """
+    if test & (walked | train):
+        raise ValueError(f"the final test seasons {sorted(test & (walked | train))} are used before")
+    role = F.when(F.col(season).isin(*train), "train").when(F.col(season).isin(*test), "eval")
+    split = rows.withColumn("role", role).where("role is not null")
+    bounds = split.agg(F.max(F.when(F.col("role") == "train", F.col(time))).alias("__end"), F.min(F.when(F.col("role") == "eval", F.col(time))).alias("__start"))
+    safe = F.coalesce(F.col("__end") < F.col("__start"), F.lit(True))
+    return required(split.crossJoin(F.broadcast(bounds)), safe, "training reaches into the final test seasons").drop("__end", "__start")
+
+
+def alignment(left: DataFrame, right: DataFrame, key: str, order: str, label: str) -> DataFrame:
+    """One row of counts that are all zero if two arms predict the same rows: keys that an arm lacks or repeats, and keys
+    whose place in time or label differs between the arms."""
+    arms = [
+        rows.groupBy(key).agg(F.count("*").alias(f"n_{s}"), F.min(order).alias(f"order_{s}"), F.min(label).alias(f"label_{s}")) for s, rows in (("left", left), ("right", right))
+    ]
+    both = arms[0].join(arms[1], key, "full_outer")
+    shared = F.col("n_left").isNotNull() & F.col("n_right").isNotNull()
+    return both.agg(
+        F.count("*").alias("keys"), F.count_if(F.col("n_left").isNull()).alias("missing_left"), F.count_if(F.col("n_right").isNull()).alias("missing_right"),
+        F.count_if(F.col("n_left") > 1).alias("repeated_left"), F.count_if(F.col("n_right") > 1).alias("repeated_right"),
+        F.count_if(shared & ~F.col("order_left").eqNullSafe(F.col("order_right"))).alias("moved"),
+        F.count_if(shared & ~F.col("label_left").eqNullSafe(F.col("label_right"))).alias("relabelled"),
+    )

@@ -75,3 +75,33 @@ def event_problems() -> Column:
         ),
         ",",
     )
+
+
+def pilot(rows: DataFrame, levels: list[str], key: str, order: str, valid: Column, base: Column, candidate: Column, target: int = 100, step: int = 25) -> DataFrame:
+    """Scorecard, milestone and verdict of each cohort, at every level from the whole down (a rollup; upper ones are null).
+
+    A row that isn't valid is rejected; of valid ones that share a key the first by order counts, the others are
+    duplicates. base and candidate are the losses of two models; p_draw and y_true give the draw rates. A cohort below
+    its target is in progress, one that reached it passes, with warnings if rows were rejected or repeated. It tells
+    nothing of significance, which takes resample.gate.
+    """
+    scores = F.struct(base.alias("base"), candidate.alias("candidate"), (F.col("y_true") == "D").cast("double").alias("draw"), F.col("p_draw").alias("p_draw"))
+    # None marks rows that the smallest order passes over
+    keys = rows.groupBy(*levels, key).agg(F.min_by(scores, F.when(valid, F.col(order))).alias("s"), F.count_if(valid).alias("v"), F.count_if(~valid).alias("rejected"))
+    counted = F.when(F.col("v") > 0, F.col("s"))
+    found = keys.rollup(*levels).agg(
+        F.grouping_id().cast("int").alias("above"), F.count_if(F.col("v") > 0).alias("n"), F.sum("rejected").alias("rejected"), F.sum(F.greatest(F.col("v") - 1, F.lit(0))).alias("duplicates"),
+        F.avg(counted["base"]).alias("base_log_loss"), F.avg(counted["candidate"]).alias("candidate_log_loss"), F.avg(counted["draw"]).alias("draw_rate"), F.avg(counted["p_draw"]).alias("mean_p_draw"),
+    )
+    n = F.col("n")
+    reached = F.least(F.floor(n / step) * step, F.lit(target)).cast("string")
+    #: Fixed values of the verdict.
+    verdict = (
+        F.when(n == 0, "PILOT WAITING FOR FRESH DATA")
+        .when(n < target, F.concat(F.lit("PILOT_IN_PROGRESS ("), n.cast("string"), F.lit(f"/{target})")))
+        .when((F.col("rejected") == 0) & (F.col("duplicates") == 0), "PILOT_PASS — OPERATIONALLY CLEAN")
+        .otherwise("PILOT_PASS_WITH_WARNINGS")
+    )
+    return found.withColumns(
+        {"delta_log_loss": F.col("candidate_log_loss") - F.col("base_log_loss"), "milestone": F.concat(reached, F.lit(f" / {target}")), "verdict": verdict}
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
@@ -69,3 +70,21 @@ def interval(replicates: DataFrame, mean: str = "mean") -> DataFrame:
     return replicates.agg(
         F.count("*").alias("replicates"), low.alias("low"), high.alias("high"), below.alias("share_below"), F.least(2 * below, 2 * (1 - below), F.lit(1.0)).alias("p_value"), ((low > 0) | (high < 0)).alias("conclusive")
     )
+
+
+def gate(rows: DataFrame, unit: str, loss: str, brier: str, replicates: int = 200, least: int = 1050, gain: float = 0.001, worse: float = 0.0005) -> DataFrame:
+    """One row: whether a candidate passes a gate registered beforehand, by differences (candidate less base) of each row.
+
+    Five conditions, all of which must hold: enough rows, a mean loss below zero, an interval wholly below zero, a gain
+    that matters, and no Brier score worse than by `worse`. p_value is the share of replicates that show no gain. Without
+    rows nothing holds.
+    """
+    whole = rows.agg(F.count(loss).alias("n"), F.avg(loss).alias("delta_log_loss"), F.avg(brier).alias("delta_brier"))
+    drawn = means(rows.select(unit, F.col(loss).alias("total"), F.lit(1).alias("size")), unit, "total", "size", replicates)
+    ends = drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") >= 0).cast("double")).alias("p_value"))
+    conditions = {
+        "enough_rows": F.col("n") >= least, "improved": F.col("delta_log_loss") < 0, "significant": F.col("high") < 0,
+        "practical": F.col("delta_log_loss") <= -gain, "no_degradation": F.col("delta_brier") <= worse,
+    }
+    found = whole.crossJoin(F.broadcast(ends)).withColumns({k: F.coalesce(c, F.lit(False)) for k, c in conditions.items()})
+    return found.withColumn("decision", F.when(reduce(Column.__and__, (F.col(k) for k in conditions)), "ACCEPTED_PENDING_REVIEW").otherwise("REJECTED"))

@@ -43,6 +43,30 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select("file", F.explode("data").alias("record")).select("file", "record.*")
 
 
+#: A live record under all the names its vendors use; numbers may come as texts.
+LIVE = (
+    "id string, fixture_id string, status string, home_goals string, home_score string, away_goals string, away_score string, "
+    "scores struct<home: string, away: string>, elapsed string, time_added string"
+)
+
+
+def live_records(rows: DataFrame, text: str) -> DataFrame:
+    """The columns of rows but text, and from its JSON fixture_id, status, home_goals, away_goals, elapsed and time_added.
+
+    Each comes from the first of its names that has a value: id, else fixture_id (an id of 0 is none); home_goals, else
+    home_score, else scores.home. A missing status is NS. What isn't a number, or not JSON, is null.
+    """
+    names = {
+        "fixture_id": ("id", "fixture_id"), "home_goals": ("home_goals", "home_score", "scores.home"), "away_goals": ("away_goals", "away_score", "scores.away"),
+        "elapsed": ("elapsed",), "time_added": ("time_added",),
+    }
+    raw = rows.withColumn("__raw", F.from_json(text, LIVE))
+    own, other = (F.col(f"__raw.{n}").try_cast("long") for n in names["fixture_id"])
+    numbers = {k: F.coalesce(*(F.col(f"__raw.{n}") for n in found)).try_cast("int") for k, found in names.items() if k != "fixture_id"}
+    kept = [c for c in rows.columns if c not in {text, "status", *names}]
+    return raw.select(*kept, F.coalesce(F.nullif(own, F.lit(0).cast("long")), other).alias("fixture_id"), F.upper(F.coalesce("__raw.status", F.lit("NS"))).alias("status"), *(c.alias(k) for k, c in numbers.items()))
+
+
 def with_missing(rows: DataFrame, fields: list[str], block: Column | None = None, name: str = "stats") -> DataFrame:
     """Adds missing_fields (sorted), missing_field_count and is_complete; a missing block is one more entry."""
     checks = [F.when(F.col(f).isNull(), F.lit(f)) for f in fields]
