@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,35 +47,42 @@ def best_name_match(left: DataFrame, right: DataFrame, day: str) -> DataFrame:
     """Pairs of one day by normalised names: exact first, else one name inside the other (four letters at least).
 
     left(l_id, day, l_home, l_away), right(r_id, day, r_home, r_away) -> l_id, r_id, method, confidence.
-    Exact names are an equi-join. For the others, a home name inside another has all its runs of four
-    letters there: its rarest one is joined with all runs of the other side, and only such pairs are compared.
+    Only distinct names of a day are compared, each with its first r_id. A home name that lies inside another equals one of
+    that one's parts: the parts as long as some name of the other side are joined with those names. Both sides can be
+    large once cut into parts, whatever their tables' size, so that none is broadcast.
     """
-    same = left.join(right, (left[day] == right[day]) & (left.l_home == right.r_home) & (left.l_away == right.r_away))
-    exact = same.groupBy("l_id").agg(F.min("r_id").alias("r_id")).select("l_id", "r_id", F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
-
-    def inside(a: str, b: str) -> Column:
-        long_enough = (F.length(a) >= 4) & (F.length(b) >= 4)
-        return long_enough & (F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
-
-    def runs(rows: DataFrame, name: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length(name) - 3)
-        return rows.where(F.length(name) >= 4).withColumn("gram", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring(name, k, F.lit(4))))))
-
-    open_rows = left.join(exact.select("l_id"), "l_id", "left_anti")
-    l, r = runs(open_rows, "l_home"), runs(right, "r_home")
-    spread = l.select(day, "gram").unionAll(r.select(day, "gram")).groupBy(day, "gram").agg(F.count("*").alias("n"))
-
-    def rarest(rows: DataFrame, key: str) -> DataFrame:
-        return rows.join(spread, [day, "gram"]).groupBy(key).agg(F.min(F.struct("n", "gram")).alias("g")).select(key, F.col("g.gram").alias("gram"))
-
-    pairs = [
-        rarest(l, "l_id").join(open_rows, "l_id").join(r, [day, "gram"]),
-        rarest(r, "r_id").join(right, "r_id").join(l, [day, "gram"]),
+    teams = left.select(day, "l_home", "l_away").distinct()
+    others = right.groupBy(day, "r_home", "r_away").agg(F.min("r_id").alias("r_id"))
+    names = [day, "l_home", "l_away", "r_home", "r_away", "r_id"]
+
+    def long_enough(*columns: str) -> Column:
+        return reduce(lambda x, y: x & y, (F.length(c) >= 4 for c in columns))
+
+    def lengths(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where(long_enough(name)).agg(F.collect_set(F.length(name)).alias("lengths"))
+
+    def parts(rows: DataFrame, name: str, sought: DataFrame) -> DataFrame:
+        fits = F.filter("lengths", lambda n: n <= F.length(name))
+        cut = F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(F.col(name), k, n)))
+        held = rows.where(long_enough(name)).crossJoin(F.broadcast(sought))
+        return held.withColumn("part", F.explode(F.array_distinct(F.flatten(cut)))).drop("lengths")
+
+    same = teams.join(others.hint("merge"), (teams[day] == others[day]) & (teams.l_home == others.r_home) & (teams.l_away == others.r_away)).drop(others[day])
+    l, r = (x.where(long_enough(f"{s}_home", f"{s}_away")) for x, s in ((teams, "l"), (others, "r")))
+    l_parts, r_parts = parts(l, "l_home", lengths(r, "r_home")), parts(r, "r_home", lengths(l, "l_home"))
+    inside = F.contains(F.col("l_away"), F.col("r_away")) | F.contains(F.col("r_away"), F.col("l_away"))
+    found = [
+        l.join(r_parts.hint("merge"), (l[day] == r_parts[day]) & (l.l_home == r_parts.part)).drop(r_parts[day]),
+        r.join(l_parts.hint("merge"), (r[day] == l_parts[day]) & (r.r_home == l_parts.part)).drop(l_parts[day]),
     ]
-    names = ["l_id", "r_id", "l_home", "l_away", "r_home", "r_away"]
-    found = pairs[0].select(*names).unionByName(pairs[1].select(*names)).where(inside("l_home", "r_home") & inside("l_away", "r_away"))
-    partly = found.groupBy("l_id").agg(F.min("r_id").alias("r_id")).select("l_id", "r_id", F.lit("substring").alias("method"), F.lit(0.8).alias("confidence"))
-    return exact.unionByName(partly)
+    partly = found[0].select(*names).unionByName(found[1].select(*names)).where(inside)
+    pairs = same.select(*names, F.lit(0).alias("k")).unionByName(partly.select(*names, F.lit(1).alias("k")))
+    best = pairs.groupBy(day, "l_home", "l_away").agg(F.min(F.struct("k", "r_id")).alias("b"))
+    matched = left.join(best.hint("merge"), [day, "l_home", "l_away"]).groupBy("l_id").agg(F.min("b").alias("b"))
+    exact = F.col("b.k") == 0
+    return matched.select(
+        "l_id", "b.r_id", F.when(exact, "exact").otherwise("substring").alias("method"), F.when(exact, 1.0).otherwise(0.8).alias("confidence")
+    )
 
 
 VECTOR = ("p_home", "p_draw", "p_away", "lambda_home", "lambda_away")

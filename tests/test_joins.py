@@ -64,3 +64,20 @@ def test_nulls_and_empty_tables(spark):
     assert sorted((r.query_id, r.match_id, r.similarity, r["rank"]) for r in found) == brute(whole, whole)
     assert joins.nearest_past(df.where("false"), df).count() == 0
     assert joins.nearest_past(df, df.where("false")).count() == 0
+
+
+def test_names_by_brute_force_and_no_side_of_the_parts_is_broadcast(spark):
+    rng = np.random.default_rng(3)
+    words = ["ajax", "ajaxamsterdam", "amster", "dam", "real", "realmadrid", "madrid", "madridreal", "abcabcabc", "abca"]
+    picks = lambda n: [(int(k), int(rng.integers(0, 2)), *(str(w) for w in rng.choice(words, 2))) for k in range(n)]
+    teams, others = picks(60) + [(90, None, "ajax", "real"), (91, 0, None, "real")], picks(80)
+    within = lambda a, b: min(len(a), len(b)) >= 4 and (a in b or b in a)
+    want = []
+    for l_id, day, home, away in teams:
+        fits = [(0 if (home, away) == (h, a) else 1, r) for r, d, h, a in others if home and d == day and ((home, away) == (h, a) or (within(home, h) and within(away, a)))]
+        if fits:
+            want.append((l_id, min(fits)[1], *(("exact", 1.0) if min(fits)[0] == 0 else ("substring", 0.8))))
+    schema = "{0}_id long, day int, {0}_home string, {0}_away string"
+    got = joins.best_name_match(spark.createDataFrame(teams, schema.format("l")), spark.createDataFrame(others, schema.format("r")), "day")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[2] for w in want} == {"exact", "substring"}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
