@@ -173,9 +173,9 @@ def quantiles(rows: DataFrame, value: Column | str, points: list[float], groups:
     ranked = dealt.withColumn("__upto", upto)
     at = F.col("__rank") - F.col("__start")
     found = sought.join(ranked, ranges).where((at >= F.col("__upto") - F.col("__n")) & (at < F.col("__upto")))
-    # between two ranks, each weighs by its nearness
-    share = F.when(F.ceil("__at") == F.floor("__at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("__at") - F.col("__rank")))
-    values = found.groupBy(*keys, "__k").agg(F.sum(share * F.col("__v")).alias("__x"))
+    # from the lower rank's value on, so that two equal values give that very value
+    low, high, share = F.min("__v"), F.max("__v"), F.first("__at") - F.floor(F.first("__at"))
+    values = found.groupBy(*keys, "__k").agg(F.when(low == high, low).otherwise(low + (high - low) * share).alias("__x"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x"))), lambda x: x["__x"]).alias("q")
     if keys:
         return values.groupBy(*keys).agg(ordered)

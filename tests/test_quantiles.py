@@ -46,3 +46,10 @@ def test_recent_mean_by_hand(spark):
         for k, r in enumerate(mine):
             past = [x[3] + x[4] for x in mine[max(0, k - 20) : k] if x[3] is not None]
             assert got[r[0]] == pytest.approx(max(np.mean(past), 0.5) if past else 0.5)
+
+
+def test_a_quantile_between_equal_values_is_that_value(spark):
+    """Weights of two ranks that don't sum to one exactly would leave the value by its last digit."""
+    rows = spark.createDataFrame([(n, v) for n in range(2, 40) for v in [1 / 6] * n], "n long, v double")
+    points = [0.05 * k for k in range(1, 20)]
+    assert {x for r in metrics.quantiles(rows, "v", points, ["n"]).collect() for x in r.q} == {1 / 6}
