@@ -7,10 +7,16 @@ every contest gets its features.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from matchweave.sources.storage import stored
+
 PLAYED = ("FT", "AWARDED")
 STATS = ("goals", "xg", "shots", "shots_on")
 #: Observations that a mean needs, by window.
@@ -47,31 +53,123 @@ def team_rows(contests: DataFrame, stats=STATS) -> DataFrame:
     )
 
 
-def with_position(rows: DataFrame, ties: str = "row") -> DataFrame:
+#: Rows of a team that one window partition holds, but for a day's overhang and the context before it.
+BLOCK = 3000
+#: Rows that a task's windows hold.
+TASK = 200_000
+
+
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of unique keys; nulls are equal."""
+    named = table.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(named, same, how).drop(*(f"__{k}" for k in keys))
+
+
+def in_blocks(rows: DataFrame, reach: list[tuple[Column, int]], totals: dict[str, Column] | None = None, size: int | None = None) -> DataFrame:
+    """rows with `block` and `own`: each team's time line in blocks of about size rows, so that no task sorts a whole one.
+
+    Before a block's own rows stand those of earlier days that its windows see: for each (condition, n) of reach the
+    last n rows that meet it, rounded up to days; `base` counts the rows of the first condition before them. Windows by
+    (team_id, block) in time order are those by team_id; keep the rows where `own` holds afterwards. `totals` are
+    conditions or values whose sums over the earlier blocks of the season are added as <name>_before. Days are
+    counted first, so that tables of blocks stay small beside the rows.
+    """
+    totals, size = totals or {}, size or BLOCK
+    keyed = rows.withColumn("day", F.floor(F.col("unix") / 86400))
+    counts = [F.count_if(c).alias(f"n{k}") for k, (c, _) in enumerate(reach)]
+    seasons = stored(keyed.groupBy("team_id", "season_id", "day").agg(F.count("*").alias("n"), *counts, *(F.sum(v).alias(f"{name}_before") for name, v in totals.items())))
+    in_time = W.partitionBy("team_id").orderBy("day")
+    upto = in_time.rowsBetween(W.unboundedPreceding, 0)
+    days = seasons.groupBy("team_id", "day").agg(F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(reach))))
+    ends = {f"end{k}": F.sum(f"n{k}").over(upto) for k in range(len(reach))}
+    days = days.withColumns({"block": F.floor((F.sum("n").over(upto) - F.col("n")) / size), "before": F.sum("n0").over(upto) - F.col("n0"), **ends})
+    entry = F.struct("day", "before")
+    # the days that hold the last n rows up to the end of a day
+    held = [
+        F.collect_list(F.when(F.col(f"n{k}") > 0, entry)).over(W.partitionBy("team_id").orderBy(f"end{k}").rangeBetween(1 - n, 0)) for k, (_, n) in enumerate(reach)
+    ]
+    days = days.withColumn("held", F.array_distinct(F.concat(*held)))
+    opening = F.row_number().over(W.partitionBy("team_id", "block").orderBy("day")) == 1
+    context = F.coalesce(F.lag("held").over(in_time), F.array().cast(days.schema["held"].dataType))
+    days = stored(days.withColumns({"context": context, "opening": opening}).drop("held"))
+    base = F.least(F.col("before"), F.array_min(F.transform("context", lambda c: c["before"])))
+    blocks = stored(days.where("opening").select("team_id", "block", base.alias("base"), "context"))
+    own = days.select("team_id", "day", "block", F.lit(True).alias("own"))
+    lent = blocks.select("team_id", F.explode(F.col("context")["day"]).alias("day"), "block", F.lit(False).alias("own"))
+    places = stored(matched(own.unionByName(lent), blocks.drop("context"), ["team_id", "block"]))
+    sought = reduce(lambda x, y: x | y, (F.coalesce(c, F.lit(False)) for c, _ in reach))
+    found = matched(keyed, places, ["team_id", "day"]).where(F.col("own") | sought)
+    # as many tasks as the counted rows ask for, so that a task's share stays the same however many there are
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, (days.agg(F.sum("n")).first()[0] or 0) // TASK)
+    found = found.repartition(tasks, "team_id", "block")
+    if not totals:
+        return found.drop("day")
+    carried = matched(seasons, own, ["team_id", "day"]).groupBy("team_id", "season_id", "block").agg(*(F.sum(f"{name}_before").alias(f"{name}_before") for name in totals))
+    earlier = W.partitionBy("team_id", "season_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = stored(carried.select("team_id", "season_id", "block", *(F.coalesce(F.sum(f"{name}_before").over(earlier), F.lit(0)).alias(f"{name}_before") for name in totals)))
+    return matched(found, sums, ["team_id", "season_id", "block"], "left").drop("day")
+
+
+def with_position(rows: DataFrame, ties: str = "row", reach: int = 10, values: dict[str, Column] | None = None) -> DataFrame:
     """Adds seen: how many played contests of the team are visible to the row.
 
     The last n of them are the rows whose own place lies in the n before, whatever their status in
-    between, so that windows over `seen` by range are exact for unplayed targets too.
+    between, so that windows over `seen` by range are exact for unplayed targets too. Rows come in blocks: those where
+    `own` is false only stand before others' windows of up to `reach` contests. Of `values` the season's sums and
+    counts before the block come along, for `season_sum` and `season_count`.
     """
-    base = W.partitionBy("team_id").orderBy("unix", "fixture_id").rowsBetween(W.unboundedPreceding, -1)
+    totals = {}
+    for name, value in (values or {}).items():
+        own = F.when(F.col("played"), value)
+        totals |= {f"{name}_sum": own.cast("double"), f"{name}_count": F.when(own.isNotNull(), 1).otherwise(0)}
+    base = W.partitionBy("team_id", "block").orderBy("unix", "fixture_id").rowsBetween(W.unboundedPreceding, -1)
     if ties == "strict":
-        base = W.partitionBy("team_id").orderBy("unix").rangeBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("seen", F.coalesce(F.sum(F.col("played").cast("long")).over(base), F.lit(0)))
+        base = W.partitionBy("team_id", "block").orderBy("unix").rangeBetween(W.unboundedPreceding, -1)
+    placed = in_blocks(rows, [(F.col("played"), reach)], totals)
+    return placed.withColumn("seen", F.col("base") + F.coalesce(F.sum(F.col("played").cast("long")).over(base), F.lit(0))).drop("base")
 
 
 def visible(window: str):
-    """The frame of a named window: last<n> over all seasons, or the season so far."""
+    """The frame of a named window within a block: last<n> over all seasons, or the season so far."""
     if window == "season":
-        return W.partitionBy("team_id", "season_id").orderBy("unix", "fixture_id").rowsBetween(W.unboundedPreceding, -1)
-    return W.partitionBy("team_id").orderBy("seen").rangeBetween(-int(window[4:]), -1)
+        return W.partitionBy("team_id", "block", "season_id").orderBy("unix", "fixture_id").rowsBetween(W.unboundedPreceding, -1)
+    return W.partitionBy("team_id", "block").orderBy("seen").rangeBetween(-int(window[4:]), -1)
+
 
+def season_sum(name: str, value: Column) -> Column:
+    """Sum of a value of with_position over the season so far."""
+    own = F.when(F.col("own") & F.col("played"), value)
+    return F.coalesce(F.sum(own.cast("double")).over(visible("season")), F.lit(0.0)) + F.coalesce(f"{name}_sum_before", F.lit(0.0))
 
-def gated(value: Column, window: str, minimum: int | None = None) -> tuple[Column, Column, Column]:
-    """(mean, n, coverage) of a value over a window: null mean under the minimum coverage."""
+
+def season_count(name: str, value: Column) -> Column:
+    """How many of a value of with_position the season has had so far."""
+    own = F.when(F.col("own") & F.col("played"), value)
+    return F.count(own).over(visible("season")) + F.coalesce(f"{name}_count_before", F.lit(0).cast("long"))
+
+
+def gated(name: str, value: Column, window: str, minimum: int | None = None) -> tuple[Column, Column]:
+    """(mean, coverage) of a value of with_position over a window: null mean under the minimum coverage."""
     frame, own = visible(window), F.when(F.col("played"), value)
-    coverage = F.count(own).over(frame)
     least = MINIMUM[window] if minimum is None else minimum
-    return F.when(coverage >= least, F.avg(own).over(frame)), F.coalesce(F.sum(F.col("played").cast("long")).over(frame), F.lit(0)), coverage
+    if window == "season":
+        n = season_count(name, value)
+        return F.when(n >= least, season_sum(name, value) / n), n
+    coverage = F.count(own).over(frame)
+    return F.when(coverage >= least, F.avg(own).over(frame)), coverage
+
+
+def seen_in(window: str) -> Column:
+    """How many played contests a window holds; with_position must carry `played` for the season."""
+    if window == "season":
+        return season_count("played", F.lit(1))
+    return F.coalesce(F.sum(F.col("played").cast("long")).over(visible(window)), F.lit(0))
+
+
+def owned(rows: DataFrame, *columns) -> DataFrame:
+    """Columns over the windows of rows in blocks, without the rows that only stand before others."""
+    return rows.select("own", *columns).where("own").drop("own")
 
 
 def rolling_features(contests: DataFrame, stats=STATS, windows=tuple(MINIMUM), extra: dict | None = None) -> DataFrame:
@@ -79,16 +177,15 @@ def rolling_features(contests: DataFrame, stats=STATS, windows=tuple(MINIMUM), e
 
     `extra` adds columns to every family: name -> Column over the team rows.
     """
-    rows = with_position(team_rows(contests, stats))
     values = {f"{s}_{d}": F.col(f"{s}_{d}") for s in stats for d in ("for", "against")} | {"points": F.col("points")} | (extra or {})
+    carried = values | {"played": F.lit(1)} if "season" in windows else None
+    rows = with_position(team_rows(contests, stats), reach=max([int(w[4:]) for w in windows if w != "season"], default=1), values=carried)
     new = {}
     for w in windows:
         for name, value in values.items():
-            mean, n, coverage = gated(value, w)
-            new[f"{name}_{w}"] = mean
-            new[f"{name}_{w}_coverage"] = coverage
-        new[f"n_{w}"] = n
-    return rows.select("fixture_id", "team_id", "is_home", "seen", *(c.alias(k) for k, c in new.items()))
+            new[f"{name}_{w}"], new[f"{name}_{w}_coverage"] = gated(name, value, w)
+        new[f"n_{w}"] = seen_in(w)
+    return owned(rows, "fixture_id", "team_id", "is_home", "seen", *(c.alias(k) for k, c in new.items()))
 
 
 def per_contest(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,7 +201,7 @@ def per_contest(features: DataFrame, columns: list[str]) -> DataFrame:
 
 def form(contests: DataFrame, windows=("last5", "last10")) -> DataFrame:
     """Points, win, draw and loss rate, goal and xG difference over the last matches."""
-    rows = with_position(team_rows(contests))
+    rows = with_position(team_rows(contests), reach=max(int(w[4:]) for w in windows))
     values = {
         "points": F.col("points"),
         "win_rate": (F.col("outcome") == "W").cast("double"),
@@ -113,27 +210,18 @@ def form(contests: DataFrame, windows=("last5", "last10")) -> DataFrame:
         "goal_diff": F.col("goals_for") - F.col("goals_against"),
         "xg_diff": F.col("xg_for") - F.col("xg_against"),
     }
-    return rows.select("fixture_id", "team_id", *(gated(v, w)[0].alias(f"{k}_{w}") for w in windows for k, v in values.items()))
+    return owned(rows, "fixture_id", "team_id", *(gated(k, v, w)[0].alias(f"{k}_{w}") for w in windows for k, v in values.items()))
 
 
 def venue(contests: DataFrame) -> DataFrame:
     """Season means at home only and away only, at least two of them."""
-    rows = with_position(team_rows(contests))
-    frame = visible("season")
-
-    def mean(value: Column, home: bool) -> Column:
-        own = F.when(F.col("played") & (F.col("is_home") == home), value)
-        return F.when(F.count(own).over(frame) >= 2, F.avg(own).over(frame))
-
     gap = F.col("goals_for") - F.col("goals_against")
-    return rows.select(
-        "fixture_id",
-        "team_id",
-        mean(F.col("goals_for"), True).alias("goals_home_season"),
-        mean(F.col("goals_for"), False).alias("goals_away_season"),
-        mean(gap, True).alias("gd_home_season"),
-        mean(gap, False).alias("gd_away_season"),
-    )
+    values = {
+        f"{name}_{side}": F.when(F.col("is_home") == home, value) for side, home in (("home", True), ("away", False)) for name, value in (("goals", F.col("goals_for")), ("gd", gap))
+    }
+    rows = with_position(team_rows(contests), reach=1, values=values)
+    means = {f"{name}_season": gated(name, values[name], "season")[0] for name in ("goals_home", "goals_away", "gd_home", "gd_away")}
+    return owned(rows, "fixture_id", "team_id", *(c.alias(k) for k, c in means.items()))
 
 
 def league_context(contests: DataFrame, ties: str = "row") -> DataFrame:
@@ -156,9 +244,7 @@ def league_context(contests: DataFrame, ties: str = "row") -> DataFrame:
 
 def sample_size(contests: DataFrame, least: int = 3) -> DataFrame:
     """Contests seen before, and whether they are too few."""
-    return with_position(team_rows(contests)).select(
-        "fixture_id", "team_id", "seen", (F.col("seen") < least).alias("insufficient_history")
-    )
+    return owned(with_position(team_rows(contests), reach=1), "fixture_id", "team_id", "seen", (F.col("seen") < least).alias("insufficient_history"))
 
 
 def strength(contests: DataFrame, k: float = 5.0) -> DataFrame:
@@ -166,11 +252,9 @@ def strength(contests: DataFrame, k: float = 5.0) -> DataFrame:
 
     Without a league mean: null without team rows, else shrunk to zero.
     """
-    rows = team_rows(contests)
-    frame = visible("season")
-    n = F.coalesce(F.sum(F.col("played").cast("long")).over(frame), F.lit(0))
-    total = F.coalesce(F.sum(F.when(F.col("played"), F.col("goals_for"))).over(frame), F.lit(0))
-    found = rows.select("fixture_id", "team_id", "is_home", n.alias("n"), total.alias("total"))
+    rows = with_position(team_rows(contests), reach=1, values={"played": F.lit(1), "goals": F.col("goals_for")})
+    n, total = seen_in("season"), season_sum("goals", F.col("goals_for"))
+    found = owned(rows, "fixture_id", "team_id", "is_home", n.alias("n"), total.alias("total"))
     joined = found.join(league_context(contests).select("fixture_id", "league_mean"), "fixture_id")
     rate = F.when(F.col("league_mean").isNull() & (F.col("n") == 0), None).otherwise(
         (F.col("total") + k * F.coalesce("league_mean", F.lit(0.0))) / (F.col("n") + k)
@@ -194,23 +278,36 @@ def padded_mean(contests: DataFrame, n: int = 5, prior: float = 1.25) -> DataFra
     )
 
 
-def ewma(value: Column, half_life: float, newest: int, prior: float, order) -> Column:
-    """Exponentially weighted mean by match index, newest first, over the newest rows before this one."""
-    past = F.reverse(F.collect_list(value).over(order.rowsBetween(-newest, -1)))
+def newest(value: Column, n: int, order) -> Column:
+    """The last n values before a row, oldest first."""
+    return F.collect_list(value).over(order.rowsBetween(-n, -1))
+
+
+def ewma(past: Column, half_life: float, n: int, prior: float) -> Column:
+    """Exponentially weighted mean by match index of the n newest of `past`, which holds the oldest first.
+
+    past is to be a column of its own, as its elements are read one by one, without lambdas.
+    """
     decay = 0.6931471805599453 / half_life
-    weight = F.transform(past, lambda x, i: F.exp(-decay * i))
-    top = F.aggregate(F.zip_with(past, weight, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(past) > 0, top / F.aggregate(weight, F.lit(0.0), lambda a, w: a + w)).otherwise(F.lit(prior))
+    weights = [math.exp(-decay * i) for i in range(n)]
+    size = F.size(past)
+    top = reduce(lambda x, y: x + y, (F.coalesce(F.when(size > i, F.get(past, size - 1 - i)), F.lit(0.0)) * w for i, w in enumerate(weights)))
+    bottom = F.get(F.array(*map(F.lit, accumulate(weights))), F.least(size, F.lit(n)) - 1)
+    return F.when(size > 0, top / bottom).otherwise(F.lit(prior))
 
 
 def trends(contests: DataFrame) -> DataFrame:
     """Short and long weighted means of xG, their difference, and the finishing residual."""
     rows = team_rows(contests).withColumns({"x": F.coalesce("xg_for", F.lit(1.25)), "g": F.coalesce(F.col("goals_for").cast("double"), F.lit(0.0))})
-    order = W.partitionBy("team_id").orderBy("unix", "fixture_id")
-    short, long_, luck = ewma(F.col("x"), 3, 5, 1.25, order), ewma(F.col("x"), 10, 20, 1.25, order), ewma(F.col("g") - F.col("x"), 5, 10, 0.0, order)
-    there = ewma(F.col("x"), 5, 10, 1.25, W.partitionBy("team_id", "is_home").orderBy("unix", "fixture_id"))
-    return rows.select(
-        "fixture_id", "team_id", short.alias("xg_short"), long_.alias("xg_long"), luck.alias("finishing"), there.alias("xg_venue")
+    home = F.col("is_home")
+    rows = in_blocks(rows.select("fixture_id", "team_id", "season_id", "unix", "is_home", "x", "g"), [(F.lit(True), 20), (home, 10), (~home, 10)])
+    order = W.partitionBy("team_id", "block").orderBy("unix", "fixture_id")
+    there = W.partitionBy("team_id", "block", "is_home").orderBy("unix", "fixture_id")
+    x, luck, venue = newest(F.col("x"), 20, order), newest(F.col("g") - F.col("x"), 10, order), newest(F.col("x"), 10, there)
+    past = owned(rows, "fixture_id", "team_id", x.alias("x"), luck.alias("luck"), venue.alias("venue"))
+    return past.select(
+        "fixture_id", "team_id", ewma(F.col("x"), 3, 5, 1.25).alias("xg_short"), ewma(F.col("x"), 10, 20, 1.25).alias("xg_long"),
+        ewma(F.col("luck"), 5, 10, 0.0).alias("finishing"), ewma(F.col("venue"), 5, 10, 1.25).alias("xg_venue"),
     ).withColumn("momentum", F.col("xg_short") - F.col("xg_long"))
 
 
@@ -222,12 +319,13 @@ def matchup_trends(contests: DataFrame) -> DataFrame:
     """
     fill = lambda c, v: F.coalesce(F.col(c).cast("double"), F.lit(v))
     rows = team_rows(contests).withColumns({"x": fill("xg_for", 1.25), "y": fill("xg_against", 1.25), "g": fill("goals_for", 0.0), "h": fill("goals_against", 0.0)})
-    order = W.partitionBy("team_id").orderBy("unix", "fixture_id")
-    finishing, defensive = (ewma(F.col(a) - F.col(b), 5, 10, 0.0, order) for a, b in (("g", "x"), ("h", "y")))
-    trend, against = (ewma(F.col(c), 3, 5, 1.25, order) - ewma(F.col(c), 10, 20, 1.25, order) for c in "xy")
-    values = rows.select(
-        "fixture_id", "is_home", finishing.alias("finishing"), defensive.alias("defensive"), (finishing - defensive).alias("net_luck"), (trend - against).alias("momentum")
-    )
+    rows = in_blocks(rows.select("fixture_id", "team_id", "season_id", "unix", "is_home", *"xygh"), [(F.lit(True), 20)])
+    order = W.partitionBy("team_id", "block").orderBy("unix", "fixture_id")
+    series = {"f": newest(F.col("g") - F.col("x"), 10, order), "d": newest(F.col("h") - F.col("y"), 10, order), "x": newest(F.col("x"), 20, order), "y": newest(F.col("y"), 20, order)}
+    past = owned(rows, "fixture_id", "is_home", *(c.alias(k) for k, c in series.items()))
+    trend, against = (ewma(F.col(c), 3, 5, 1.25) - ewma(F.col(c), 10, 20, 1.25) for c in "xy")
+    values = past.select("fixture_id", "is_home", ewma(F.col("f"), 5, 10, 0.0).alias("finishing"), ewma(F.col("d"), 5, 10, 0.0).alias("defensive"), (trend - against).alias("momentum"))
+    values = values.withColumn("net_luck", F.col("finishing") - F.col("defensive"))
     side = lambda c, here: F.max(F.when(F.col("is_home") == here, F.col(c)))
     return values.groupBy("fixture_id").agg(*((side(c, True) - side(c, False)).alias(f"{c}_gap") for c in ("finishing", "defensive", "net_luck", "momentum")))
 

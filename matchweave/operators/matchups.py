@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from matchweave.operators.history import league_context, per_contest, rolling_features, team_rows, visible, with_position
+from matchweave.operators.history import gated, league_context, owned, per_contest, rolling_features, team_rows, with_position
 
 
 def home_advantage(contests: DataFrame, least: int = 2) -> DataFrame:
     """Goal difference of the home team at home and of the away team away, with their n, and the league's."""
-    rows, frame = with_position(team_rows(contests)), visible("season")
-    sides = []
-    for here, name in ((True, "home"), (False, "away")):
-        value = F.when(F.col("played") & (F.col("is_home") == here), F.col("goals_for") - F.col("goals_against"))
-        n = F.count(value).over(frame)
-        sides += [(name, here, F.when(n >= least, F.avg(value).over(frame)), n)]
-    wide = rows.select("fixture_id", "is_home", *(c.alias(f"{name}_{k}") for name, _, gd, n in sides for k, c in (("gd", gd), ("n", n))))
+    values = {name: F.when(F.col("is_home") == here, F.col("goals_for") - F.col("goals_against")) for here, name in ((True, "home"), (False, "away"))}
+    rows = with_position(team_rows(contests), reach=1, values=values)
+    sides = [(name, name == "home", *gated(name, value, "season", least)) for name, value in values.items()]
+    wide = owned(rows, "fixture_id", "is_home", *(c.alias(f"{name}_{k}") for name, _, gd, n in sides for k, c in (("gd", gd), ("n", n))))
     pair = wide.groupBy("fixture_id").agg(
         *(F.max(F.when(F.col("is_home") == here, F.col(f"{name}_{k}"))).alias(f"{name}_{k}") for name, here, _, _ in sides for k in ("gd", "n"))
     )

@@ -45,3 +45,15 @@ def test_the_future_changes_nothing(spark, make):
     keys = set(r.fixture_id for r in past.select("fixture_id").collect())
     show = lambda df: sorted((tuple(r) for r in df.collect() if r.fixture_id in keys), key=repr)
     assert show(a) == show(b)
+
+
+@pytest.mark.parametrize("make", [history.rolling_features, history.form, history.venue, history.strength, history.trends, history.matchup_trends, history.sample_size])
+def test_blocks_change_nothing_and_no_partition_is_a_whole_team(spark, make, monkeypatch):
+    whole = contests(spark, SF).where("home_id % 5 < 2")
+    show = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    want = show(make(whole))
+    parts = history.in_blocks(history.team_rows(whole), [(F.col("played"), 10)], size=4)
+    sizes = parts.groupBy("team_id", "block").count().agg(F.max("count")).first()[0]
+    assert sizes < 25 and parts.where("own").count() == 2 * whole.count()
+    monkeypatch.setattr(history, "BLOCK", 4)
+    assert show(make(whole)) == want
