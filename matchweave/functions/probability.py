@@ -70,6 +70,32 @@ def poisson_pmf(rate: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.exp(i * F.log(rate) - rate - F.get(lf, i)))
 
 
+def likeliest_scores(home: Column, away: Column, k: int, n: int) -> Column:
+    """The n likeliest scores of 0..k goals a side as an array of structs place, score, p; of equal ones, to nine digits,
+    those with fewer goals.
+
+    home and away are columns of the sides' P(0), ..., P(k), to be selected under names before. A cell is one long, its
+    probability in units of 1e-9 before its place in the grid, so that longs are sorted.
+    """
+    cells = (k + 1) ** 2
+    keys = [
+        F.coalesce(-F.floor(F.get(home, F.lit(i)) * F.get(away, F.lit(j)) * 1e9 + 0.5) * cells, F.lit(0).cast("long")) + (i * (k + 1) + j) for i in range(k + 1) for j in range(k + 1)
+    ]
+    known = F.get(home, F.lit(0)).isNotNull() & F.get(away, F.lit(0)).isNotNull()
+
+    def told(key: Column, place: Column) -> Column:
+        at = F.pmod(key, F.lit(cells))
+        text = F.concat_ws("-", F.floor(at / (k + 1)).cast("string"), (at % (k + 1)).cast("string"))
+        return F.struct((place + 1).alias("place"), text.alias("score"), F.when(known, (at - key) / cells / 1e9).alias("p"))
+
+    return F.transform(F.slice(F.sort_array(F.array(*keys)), 1, n), told)
+
+
+def pmf_values(rate: Column, k: int) -> Column:
+    """poisson_pmf for a small k, its terms written out."""
+    return F.array(*(F.exp(i * F.log(rate) - rate - lgamma(i + 1)) for i in range(k + 1)))
+
+
 def score_sums(home: Column, away: Column, k: int) -> Column:
     """struct(win, draw, loss): the mass of 0..k goals a side in which home leads, nobody, or away.
 

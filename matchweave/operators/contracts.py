@@ -81,12 +81,18 @@ def normalized_status(status: Column, home: Column, away: Column) -> list[Column
     return [name, label, F.coalesce(shown, F.lit("-")), name.isin("FT", "AET", "PEN")]
 
 
-def typed_percentages(predictions: Column, type_id: int, names: tuple[str, ...] = ("home", "draw", "away")) -> list[Column]:
-    """Fractions that sum to one, from the first struct (type_id, values map) of an array with that type; null unless complete."""
-    found = F.get(F.filter(predictions, lambda p: p["type_id"] == type_id), F.lit(0))["values"]
-    parts = [F.when(found[n].isNotNull(), F.greatest(found[n], F.lit(0.0))) for n in names]
-    total = reduce(lambda x, y: x + y, parts)
-    return [F.when(total > 0, p / total).when(total == 0, F.lit(1.0 / len(names))) for p in parts]
+def typed_values(predictions: Column, type_id: int, names: tuple[str, ...] = ("home", "draw", "away")) -> Column:
+    """struct(names): values of the first struct (type_id, values map) of an array with that type, none under zero; null where
+    there is none. Select it once under a name, as every mention of it is worked out anew."""
+    first = F.filter(predictions, lambda p: p["type_id"] == type_id)
+    read = F.transform(F.slice(first, 1, 1), lambda p: F.struct(*(F.when(p["values"][n].isNotNull(), F.greatest(p["values"][n], F.lit(0.0))).alias(n) for n in names)))
+    return F.get(read, F.lit(0))
+
+
+def typed_percentages(found: Column, names: tuple[str, ...] = ("home", "draw", "away")) -> list[Column]:
+    """Fractions that sum to one, of a column of typed_values; null unless complete."""
+    total = reduce(lambda x, y: x + y, (found[n] for n in names))
+    return [F.when(total > 0, found[n] / total).when(total == 0, F.lit(1.0 / len(names))) for n in names]
 
 
 def disjoint_union(parts: dict[str, DataFrame], key: str) -> DataFrame:

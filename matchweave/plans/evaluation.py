@@ -127,8 +127,9 @@ def f11_typed_percentages(spark, sf):
     other = F.create_map(F.lit("yes"), F.lit(50.0))
     kind = F.when(F.col("fixture_id") % 7 == 0, 231).otherwise(237)
     listed = F.array(F.struct(F.lit(99).alias("type_id"), other.alias("values")), F.struct(kind.alias("type_id"), wanted.alias("values")))
-    cells = con.typed_percentages(listed, 237)
-    return predictions(spark, sf).select("fixture_id", *(c.alias(n) for c, n in zip(cells, ("home", "draw", "away"), strict=True)))
+    found = predictions(spark, sf).select("fixture_id", con.typed_values(listed, 237).alias("found"))
+    cells = con.typed_percentages(F.col("found"))
+    return found.select("fixture_id", *(c.alias(n) for c, n in zip(cells, ("home", "draw", "away"), strict=True)))
 
 
 _TIER = "CASE WHEN p_draw >= 0.45 THEN 'CRITICAL' WHEN p_draw >= 0.3 THEN 'HIGH' WHEN p_draw >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -219,13 +220,9 @@ def m35_confident_failures(spark, sf):
 @query(f"WITH {PREDS}, {_grid(6)}, t AS (SELECT fixture_id, i || '-' || j AS score, round(ph * pa, 9) AS p, row_number() OVER (PARTITION BY fixture_id ORDER BY round(ph * pa, 9) DESC, i, j) AS place FROM grid) SELECT fixture_id, CAST(place AS INT) AS place, score, {r('p', 'p')} FROM t WHERE place <= 3")
 def t3_top_scorelines(spark, sf):
     """The three likeliest scores of the 0..6 goal grid; of equal ones those with fewer goals."""
-    pmfs = predictions(spark, sf).select("fixture_id", fn.poisson_pmf(F.col("lambda_home"), 6).alias("ph"), fn.poisson_pmf(F.col("lambda_away"), 6).alias("pa"))
-    cells = [
-        F.struct((-F.round(F.get("ph", F.lit(i)) * F.get("pa", F.lit(j)), 9)).alias("minus"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(7) for j in range(7)
-    ]
-    best = pmfs.select("fixture_id", F.slice(F.array_sort(F.array(*cells)), 1, 3).alias("best"))
-    rows = best.select("fixture_id", F.posexplode("best").alias("place", "c"))
-    return rows.select("fixture_id", (F.col("place") + 1).alias("place"), F.concat_ws("-", F.col("c.i").cast("string"), F.col("c.j").cast("string")).alias("score"), (-F.col("c.minus")).alias("p"))
+    pmfs = predictions(spark, sf).select("fixture_id", fn.pmf_values(F.col("lambda_home"), 6).alias("ph"), fn.pmf_values(F.col("lambda_away"), 6).alias("pa"))
+    found = pmfs.select("fixture_id", F.explode(fn.likeliest_scores(F.col("ph"), F.col("pa"), 6, 3)).alias("c"))
+    return found.select("fixture_id", "c.place", "c.score", "c.p")
 
 
 @query(

@@ -53,3 +53,23 @@ def test_likeliest_score(found):
 def test_rates_without_a_table(found):
     for r in found[len(RATES):]:
         assert r.win is None and r.safe is False
+
+
+def test_likeliest_scores_are_keyed_by_longs_and_keep_the_order_of_ties(spark):
+    """Cells were sorted as structs by a comparator; equal ones come by goals."""
+    from matchweave.functions import probability as fn
+
+    rows = spark.createDataFrame([(1, [0.5, 0.25, 0.25], [0.5, 0.5, 0.0]), (2, [1.0, 0.0, 0.0], [1.0, 0.0, 0.0]), (3, [None] * 3, [0.5, 0.5, 0.0])], "k int, p array<double>, q array<double>")
+    got = {r.k: [tuple(c) for c in r.c] for r in rows.select("k", fn.likeliest_scores(F.col("p"), F.col("q"), 2, 3).alias("c")).collect()}
+    assert got[1] == [(1, "0-0", 0.25), (2, "0-1", 0.25), (3, "1-0", 0.125)]
+    assert got[2] == [(1, "0-0", 1.0), (2, "0-1", 0.0), (3, "0-2", 0.0)]
+    assert [c[1:] for c in got[3]] == [("0-0", None), ("0-1", None), ("0-2", None)]
+
+
+def test_typed_values_are_read_once(spark):
+    """Every mention of the array's filter was worked out anew."""
+    from matchweave.operators import contracts
+
+    rows = spark.sql("select array(named_struct('type_id', 237, 'values', map('home', 30d, 'draw', -1d, 'away', 10d)), named_struct('type_id', 237, 'values', map('home', 1d))) as p")
+    found = rows.select(contracts.typed_values(F.col("p"), 237).alias("f"))
+    assert tuple(found.select(*contracts.typed_percentages(F.col("f"))).first()) == (0.75, 0.0, 0.25)
