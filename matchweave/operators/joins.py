@@ -100,6 +100,10 @@ def _similarity(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
 
 
 def _block_top(q: pd.DataFrame, c: pd.DataFrame, k: int, least: float, q_rows: int = 256, c_rows: int = 8192) -> pd.DataFrame:
+    # in the order that breaks ties, so that a row's key tells its similarity and its place and no two are equal
+    c = c.sort_values(["unix", "fixture_id"], ascending=[False, True]).reset_index(drop=True)
+    codes = {v: n for n, v in enumerate(pd.unique(pd.concat([q["pick"], c["pick"]])))}
+    q, c = (x.assign(pick_name=x["pick"], pick=x["pick"].map(codes)) for x in (q, c))
     found = []
     for s in range(0, len(q), q_rows):
         qs, best = q.iloc[s : s + q_rows], None
@@ -107,15 +111,23 @@ def _block_top(q: pd.DataFrame, c: pd.DataFrame, k: int, least: float, q_rows: i
             cs = c.iloc[t : t + c_rows]
             similar = _similarity(qs, cs)
             similar[cs["unix"].to_numpy()[None, :] >= qs["unix"].to_numpy()[:, None]] = -1
-            floor = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(qs), -1.0)
-            i, j = np.nonzero(similar >= np.maximum(floor, least)[:, None])
-            part = pd.DataFrame(
-                {"query_id": qs["fixture_id"].to_numpy()[i], "match_id": cs["fixture_id"].to_numpy()[j], "similarity": similar[i, j], "unix": cs["unix"].to_numpy()[j], "pick": qs["pick"].to_numpy()[i], "outcome": cs["outcome"].to_numpy()[j]}
-            )
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["similarity", "unix", "match_id"], ascending=[False, False, True]).groupby("query_id").head(k)
+            similar[similar < least] = -1
+            keys = np.rint(similar * 10).astype(np.int64) * len(c) - np.arange(t, t + len(cs))
+            if keys.shape[1] > k:
+                keys = np.partition(keys, -k, axis=1)[:, -k:]
+            best = keys if best is None else np.concatenate([best, keys], axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, -k, axis=1)[:, -k:]
         if best is not None:
-            found.append(best)
+            level = -(-best // len(c))
+            i, n = np.nonzero(level >= 0)
+            level, j = level[i, n], (level * len(c) - best)[i, n]
+            found.append(
+                pd.DataFrame({
+                    "query_id": qs["fixture_id"].to_numpy()[i], "match_id": c["fixture_id"].to_numpy()[j], "similarity": level / 10,
+                    "unix": c["unix"].to_numpy()[j], "pick": qs["pick_name"].to_numpy()[i], "outcome": c["outcome"].to_numpy()[j],
+                })
+            )
     columns = ["query_id", "match_id", "similarity", "unix", "pick", "outcome"]
     return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
 

@@ -81,3 +81,17 @@ def test_names_by_brute_force_and_no_side_of_the_parts_is_broadcast(spark):
     got = joins.best_name_match(spark.createDataFrame(teams, schema.format("l")), spark.createDataFrame(others, schema.format("r")), "day")
     assert sorted(map(tuple, got.collect())) == sorted(want) and {w[2] for w in want} == {"exact", "substring"}
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_of_ties_stays_small():
+    """Equally similar rows were all gathered before the best were taken."""
+    import tracemalloc
+
+    rows = pd.concat([table(3, 1).iloc[:1]] * 8000, ignore_index=True).assign(fixture_id=np.arange(8000), unix=np.arange(8000) % 50)
+    asked = rows.iloc[:200].assign(unix=100)
+    tracemalloc.start()
+    got = joins._block_top(asked, rows, 8, 60.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(got) == 8 * 200
+    assert set(got.match_id) == set(range(49, 8000, 50)[:8]) and set(got.similarity) == {100.0}
