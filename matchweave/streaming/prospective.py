@@ -157,7 +157,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class KickoffRatings(StatefulProcessor):
     """Rates one group's contests kickoff by kickoff, once the watermark has passed a kickoff.
 
-    State is a map of waiting kickoffs with their contests, and a map of teams with what the kernel knows of each;
+    State is a map of waiting kickoffs with their contests, the set of those kickoffs, and a map of teams with what the kernel knows of each;
     a released kickoff reads and writes its own teams only. All contests of a kickoff read before any of them writes.
     """
 
@@ -169,6 +169,7 @@ class KickoffRatings(StatefulProcessor):
         self.tables = [f.name for f in fields(self.kernel) if isinstance(getattr(self.kernel, f.name), dict)]
         self.waiting = handle.getMapState("waiting", "unix long", "contests binary")
         self.teams = handle.getMapState("teams", "team long", "known binary")
+        self.pending = handle.getValueState("pending", "kickoffs binary")
         self.released = handle.getValueState("released", "unix long")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -178,19 +179,30 @@ class KickoffRatings(StatefulProcessor):
             for contest in pdf[CONTEST].itertuples(index=False, name=None):
                 if released is None or contest[1] > released:
                     held.setdefault(int(contest[1]), []).append(contest)
+        pending = self._pending()
         for unix, contests in held.items():
-            if self.waiting.containsKey((unix,)):
+            if unix in pending:
                 contests = pickle.loads(self.waiting.getValue((unix,))[0]) + contests
             else:
                 self.handle.registerTimer(unix * 1000)
             self.waiting.updateValue((unix,), (pickle.dumps(contests),))
+        if held:
+            self.pending.update((pickle.dumps(pending | held.keys()),))
         return iter(())
 
+    def _pending(self) -> set[int]:
+        """The waiting kickoffs, kept as one value, as a walk over the map's keys for each timer would be quadratic."""
+        return pickle.loads(self.pending.get()[0]) if self.pending.exists() else set()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000
         known: set[int] = set()
         out = []
-        for unix in sorted(k[0] for k in list(self.waiting.keys()) if k[0] <= now):
+        pending = self._pending()
+        due = sorted(unix for unix in pending if unix <= now)
+        if due:
+            self.pending.update((pickle.dumps(pending.difference(due)),))
+        for unix in due:
             contests = sorted(pickle.loads(self.waiting.getValue((unix,))[0]))
             self.waiting.removeKey((unix,))
             self.released.update((unix,))
