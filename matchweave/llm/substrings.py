@@ -144,6 +144,42 @@ def supported_starts(doc: np.ndarray, first: np.ndarray, last: np.ndarray, neede
     return names[a >> 32], a & 0xFFFFFFFF, b & 0xFFFFFFFF
 
 
+def window_hashes(hashes: np.ndarray, width: int, function: int) -> np.ndarray:
+    """A hash of the sequence in every window of `width` shingles: a polynomial modulo 2**64, from running sums."""
+    if len(hashes) < width:
+        return np.zeros(0, dtype=np.uint64)
+    base = int(_MULTIPLIERS[function])
+    steps = np.array([[base], [pow(base, -1, 2**64)]], dtype=np.uint64).repeat(len(hashes), axis=1)
+    steps[:, 0] = 1
+    power, back = np.cumprod(steps, axis=1)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * power)])
+    x = (total[width:] - total[:-width]) * back[: len(hashes) - width + 1]
+    return (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[63 - function]
+
+
+def first_holders(batches):
+    """(doc_id, at, first) for batches of (key, doc_id, tag) sorted by all three: the first document of a window's content.
+
+    A tag is 32 more bits of the content's hash, then the window's place; at is that place and the one
+    in the first document. Contents whose further bits differ from the first row's stand for themselves,
+    as if no other document had them.
+    """
+    low = 0xFFFFFFFF
+    going = None
+    for batch in batches:
+        key, doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(key):
+            continue
+        new = np.concatenate([[going is None or key[0] != going[0]], key[1:] != key[:-1]])
+        of = np.cumsum(new)
+        first_doc, first_tag = (np.concatenate([[0 if going is None else going[k]], x[new]])[of] for k, x in ((1, doc), (2, tag)))
+        going = key[-1], first_doc[-1], first_tag[-1]
+        same = (first_tag >> 32 == tag >> 32) & (first_doc != doc)
+        place = tag & low
+        at = place << 32 | np.where(same, first_tag & low, place)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, at, np.where(same, first_doc, doc))], ["doc_id", "at", "first"])
+
+
 def counted(batches, most: int):
     """(key, doc_id, run, n) for batches of (key, doc_id, run) sorted by key and document, in batches.
 
@@ -177,17 +213,25 @@ def counted(batches, most: int):
             yield key[:end], cut[1][:end], cut[2][:end], n[:end]
 
 
-def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.ndarray, width: int, similarity: float):
+def rare_shingles(
+    doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.ndarray, width: int, similarity: float, wanted: np.ndarray | None = None, sized: bool = False
+):
     """(shingle, doc, a, b): for runs of passage starts, the shingles by which another such passage is found.
 
     Rows are the shingles of supported passages in document order; n is a shingle's frequency, 0 where
-    no other document has it. Of a window's W distinct shingles a close one as varied misses at most
-    W * (1 - similarity) / (1 + similarity); windows with more of them unshared are left out, and any
-    one more than that, here the rarest, must hold a shared one (prefix filter).
+    no other document has it. Of a window's W distinct shingles any close one misses at most
+    W * (1 - similarity); windows with more of them unshared are left out, and any one more than that,
+    here the rarest, must hold a shared one (prefix filter). Only the wanted starts are looked at.
+
+    With `sized`, two more columns: the least W of the run, and how varied a partner may be so that it
+    needs this shingle, `width` where a partner of W does. Two windows are close if they share
+    similarity / (1 + similarity) of both their W, so that of equally varied ones the first
+    1 + W * (1 - similarity) / (1 + similarity) do, and the rest is for less varied partners.
     """
     none = np.zeros(0, dtype=np.int64)
+    nothing = (none,) * (6 if sized else 4)
     if len(doc) < width:
-        return none, none, none, none
+        return nothing
     at = np.arange(len(doc))
     order = np.lexsort((at, shingle, doc))
     again = (doc[order[1:]] == doc[order[:-1]]) & (shingle[order[1:]] == shingle[order[:-1]])
@@ -197,9 +241,11 @@ def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.n
     spare = np.floor(size * (1 - similarity) + 1e-9).astype(np.int64)
     place = pos - at
     whole = (doc[width - 1 :] == doc[: len(doc) - width + 1]) & (place[width - 1 :] == place[: len(doc) - width + 1])
+    if wanted is not None:
+        whole &= wanted[: len(whole)]
     start = np.flatnonzero(whole & (alone <= spare))
     if not len(start):
-        return none, none, none, none
+        return nothing
     by_rarity = np.lexsort((shingle, n))
     fresh = np.concatenate([[True], (n[by_rarity][1:] != n[by_rarity][:-1]) | (shingle[by_rarity][1:] != shingle[by_rarity][:-1])])
     rank = np.empty(len(doc), dtype=np.int64)
@@ -208,7 +254,8 @@ def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.n
     rank[n == 0] = len(key)
     views = np.lib.stride_tricks.sliding_window_view(rank, width)
     take = (spare + 1 - alone)[start]
-    found_rank, found_start = [], []
+    found_rank, found_start, found_reach = [], [], []
+    share = similarity / (1 + similarity)
     for plain in (True, False):
         rows = np.flatnonzero((size[start] == width) == plain)
         if not len(rows):
@@ -218,16 +265,25 @@ def rare_shingles(doc: np.ndarray, pos: np.ndarray, shingle: np.ndarray, n: np.n
         held = np.sort(np.partition(held, min(most, width) - 1, axis=1)[:, :most] if plain else held, axis=1)
         new = np.ones(held.shape, dtype=bool)
         new[:, 1:] = held[:, 1:] != held[:, :-1]
-        chosen = new & (np.cumsum(new, axis=1) <= take[rows][:, None]) & (held < len(key))
+        nth = np.cumsum(new, axis=1)
+        chosen = new & (nth <= take[rows][:, None]) & (held < len(key))
         row, column = np.nonzero(chosen)
+        at = start[rows[row]]
+        missed = nth[row, column] - 1 + alone[at]
+        reach = np.floor((size[at] * (1 - share) - missed) / share + 1e-9).astype(np.int64)
         found_rank.append(held[row, column])
-        found_start.append(start[rows[row]])
-    r, s = np.concatenate(found_rank), np.concatenate(found_start)
-    order = np.lexsort((s, r))
-    r, s = r[order], s[order]
-    cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]]), [True]]))
+        found_start.append(at)
+        found_reach.append(np.where(reach >= size[at], width, reach))
+    r, s, reach = (np.concatenate(x) for x in (found_rank, found_start, found_reach))
+    lesser = reach < width
+    order = np.lexsort((s, lesser, r))
+    r, s, reach, lesser = r[order], s[order], reach[order], lesser[order]
+    cut = np.flatnonzero(
+        np.concatenate([[True], (r[1:] != r[:-1]) | (lesser[1:] != lesser[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]]), [True]])
+    )
     a, b = s[cut[:-1]], s[cut[1:] - 1]
-    return key[r[cut[:-1]]], doc[a], pos[a], pos[b]
+    out = key[r[cut[:-1]]], doc[a], pos[a], pos[b]
+    return (*out, np.minimum.reduceat(size[s], cut[:-1]), np.maximum.reduceat(reach, cut[:-1])) if sized else out
 
 
 def window_sums(flags: np.ndarray, width: int) -> np.ndarray:
@@ -427,8 +483,9 @@ def repeated_passages(
 
     Every document lists its compact windows under each hash function. Windows whose minimum no other
     document has are dropped; an interval join within the document finds the passages that lie in
-    windows of `needed` functions. Those passages are then joined exactly, by their rarest shingles
-    (rare_shingles): the documents that have one are its members; they are compared in rounds: with the first member, then with the next three, twelve and so on, as long
+    windows of `needed` functions. What an earlier document has word for word takes the first one as its
+    source (first_holders), so that of equal windows one is left, however many there are. The rest is
+    joined exactly, by its rarest shingles (rare_shingles): the documents that have one are its members; they are compared in rounds: with the first member, then with the next three, twelve and so on, as long
     as a passage of the member has no source yet; then those of one shingle that are still in different
     classes. So each repeated passage and each class is found, while copies cost one comparison each.
     Compared are whole documents, every window with every window (alike_passages).
@@ -515,23 +572,58 @@ def repeated_passages(
 
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long"))
-    of_doc = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    body = written(source.join(of_doc, "doc_id").select("doc_id", "text", "spans"))
+    spans_of = lambda rows: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    body = written(source.join(spans_of(starts), "doc_id").select("doc_id", "text", "spans"))
     discard(starts)
 
-    def shingles(batches):
+    def covered(hashes, runs, reach: int):
+        """Which of the places lie in a run of starts, each with so many places after it."""
+        inside = np.zeros(len(hashes) + 1, dtype=np.int64)
+        for r in runs:
+            inside[r["a"]] += 1
+            inside[r["b"] + reach] -= 1
+        return np.cumsum(inside)[:-1] > 0
+
+    def contents(batches):
         for batch in batches:
             for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
                 hashes = text_shingles(text.as_py(), shingle)
-                a, b = (np.array([x[k] for x in runs.as_py()], dtype=np.int64) for k in "ab")
-                inside = np.zeros(len(hashes) + 1, dtype=np.int64)
-                np.add.at(inside, a, 1)
-                np.add.at(inside, b + width, -1)
-                at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
-                kept = hashes[at].view(np.int64)
-                first = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (at[1:] != at[:-1] + 1)]))
+                at = np.flatnonzero(covered(hashes, runs.as_py(), 1))
+                key, more = (window_hashes(hashes, width, k)[at] for k in (20, 21))
+                columns = [key.view(np.int64), np.full(len(at), doc), ((more >> np.uint64(33) << np.uint64(32)) | at.astype(np.uint64)).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "tag"])
+
+    def same_runs(doc, at, first):
+        """Runs of starts whose contents come one after the other in one first document, or in none before."""
+        place, there = at >> 32, at & 0xFFFFFFFF
+        new = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
+        cut = np.flatnonzero(np.concatenate([[True], new, [True]]))
+        a, b = cut[:-1], cut[1:] - 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], place[a], place[b], first[a], there[a])], ["doc_id", "a", "b", "other_id", "there"])
+
+    by_content = body.mapInArrow(contents, "key long, doc_id long, tag long").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "tag")
+    holders = by_content.mapInArrow(first_holders, "doc_id long, at long, first long").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "at")
+    runs = written(holders.mapInArrow(lambda batches: by_document(batches, 3, same_runs), "doc_id long, a long, b long, other_id long, there long"))
+    # What an earlier document has word for word has its source; the rest is compared.
+    place = F.struct(F.col("a").alias("start"), (F.col("b") + min_words).alias("stop"), "there")
+    exact = written(runs.where("other_id != doc_id").groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(place)).alias("found")))
+    fresh = spans_of(runs.where("other_id = doc_id"))
+    body, supported = written(body.select("doc_id", "text").join(fresh, "doc_id")), body
+    discard(supported)
+    discard(runs)
+
+    #: A run's length lies below this bit, which tells that its first shingles start wanted windows.
+    begins = 1 << 31
+
+    def shingles(batches):
+        for batch in batches:
+            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+                hashes, spans = text_shingles(text.as_py(), shingle), runs.as_py()
+                at = np.flatnonzero(covered(hashes, spans, width))
+                kept, wanted = hashes[at].view(np.int64), covered(hashes, spans, 1)[at]
+                first = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (at[1:] != at[:-1] + 1) | (wanted[1:] != wanted[:-1])]))
                 size = np.diff(np.append(first, len(at)))
-                columns = [kept[first], np.full(len(first), doc), at[first] << 32 | size]
+                columns = [kept[first], np.full(len(first), doc), at[first] << 32 | size | np.where(wanted[first], begins, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "run"])
 
     def numbered(batches):
@@ -542,17 +634,18 @@ def repeated_passages(
     placed = spread.mapInArrow(numbered, "doc_id long, run long, key long, n long")
 
     def rare(doc, run, key, n):
-        pos, size = run >> 32, run & 0xFFFFFFFF
+        pos, size, wanted = run >> 32, run & (begins - 1), run & begins > 0
         at = np.repeat(np.arange(len(run)), size)
         pos = pos[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        found = rare_shingles(doc[at], pos, key[at], n[at], width, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "a", "b"])
+        found = rare_shingles(doc[at], pos, key[at], n[at], width, similarity, wanted[at], sized=True)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "a", "b", "size", "reach"])
 
     sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "run")
-    windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long"))
-    several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
+    windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long, size long, reach long"))
+    several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.min("size").alias("least")).where("x < y").select("key", "least")
     grouped = (
-        windows.join(several_docs, "key", "left_semi")
+        windows.join(several_docs, "key")
+        .where("reach >= least")
         .groupBy("key", "doc_id")
         .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     )
@@ -573,7 +666,7 @@ def repeated_passages(
                     out.append((r.doc_id, r.other_id, [{"start": s, "stop": e + shingle - 1, "there": t} for s, e, t in sorted(found)]))
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "found"])
 
-    compared = passages = None
+    compared, passages = None, exact
 
     def compare(members: DataFrame, first: int, last: int, wanted) -> None:
         """Verify the wanted pairs of members with the first to last member of their key, once each."""
@@ -586,7 +679,7 @@ def repeated_passages(
         others = body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).join(pairs.select("other_id"), "other_id", "left_semi")
         joined = pairs.join(body, "doc_id").join(others, "other_id")
         seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, found array<struct<start:long,stop:long,there:long>>"))
-        passages = seen if passages is None else passages.unionAll(seen)
+        passages = passages.unionAll(seen)
 
     def rest(members: DataFrame, last: int, keep) -> DataFrame:
         """Members of the keys in which a comparison is still due after the first `last` members were heads."""
@@ -595,7 +688,7 @@ def repeated_passages(
 
     # First the members whose passages have no source yet.
     members, first, last = whole.withColumn("label", F.lit(True)), 1, 1
-    while passages is None or not members.isEmpty():
+    while not members.isEmpty():
         compare(members, first, last, F.col("label"))
         cover = passages.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("cover"))
         held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))

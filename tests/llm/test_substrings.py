@@ -236,3 +236,87 @@ def test_copies_behind_smaller_documents_with_a_part_are_found(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in op.repeated_passages(frame).collect()}
     assert all(got[b].class_id == got[c].class_id and b in got[c].sources for b, c in copies)
+
+
+def test_window_hashes_are_of_the_sequence():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, 3000)]
+    hashes[2000:2300] = hashes[500:800]
+    for width in (1, 2, 46):
+        got = op.window_hashes(hashes, width, 20)
+        sequence = [tuple(hashes[k : k + width].tolist()) for k in range(len(hashes) - width + 1)]
+        assert len(got) == len(sequence)
+        assert len(set(zip(got.tolist(), sequence, strict=True))) == len(set(got.tolist())) == len(set(sequence))
+    assert len(op.window_hashes(hashes[:45], 46, 20)) == 0
+
+
+def test_first_holders_do_not_depend_on_batches():
+    rng = random.Random(10)
+    rows = sorted({(rng.randrange(20), rng.randrange(4), rng.choice([0, 0, 0, 7]) << 32 | rng.randrange(50)) for _ in range(300)})
+    want, first = [], {}
+    for key, doc, tag in rows:
+        head_doc, head_tag = first.setdefault(key, (doc, tag))
+        same = head_doc != doc and head_tag >> 32 == tag >> 32
+        place = tag & 0xFFFFFFFF
+        want.append((doc, place << 32 | (head_tag & 0xFFFFFFFF if same else place), head_doc if same else doc))
+    for size in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], ["key", "doc_id", "tag"]) for k in range(0, len(rows), size)]
+        assert [x for b in op.first_holders(batches) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] == want
+
+
+def test_close_windows_share_a_shingle_that_each_needs_for_the_other():
+    rng, width, close, lesser = np.random.default_rng(14), 46, 0, 0
+    docs = []
+    for k in range(60):
+        base = rng.integers(0, 2**62, 46) if k % 6 == 0 else base
+        x = base.copy()
+        x[rng.integers(0, 46, rng.integers(0, 5))] = rng.integers(0, 2**62)
+        if k % 2:
+            cut = int(rng.integers(36, 46))
+            x[cut:] = x[: 46 - cut]
+        docs.append(x)
+    doc, pos, shingle = np.repeat(np.arange(60), 46), np.tile(np.arange(46), 60), np.concatenate(docs)
+    holders = {}
+    for d, s in zip(doc.tolist(), shingle.tolist(), strict=True):
+        holders.setdefault(s, set()).add(d)
+    n = np.array([len(holders[s]) if len(holders[s]) > 1 else 0 for s in shingle.tolist()])
+    rows = {}
+    for key, d, a, b, size, reach in zip(*op.rare_shingles(doc, pos, shingle, n, width, 0.8, sized=True), strict=True):
+        assert a == b == 0 and size == len(set(docs[d].tolist()))
+        rows.setdefault(int(d), {})[int(key)] = int(reach)
+        lesser += reach < size
+    sets = [set(x.tolist()) for x in docs]
+    for x in range(60):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                close += 1
+                both = rows.get(x, {}).keys() & rows.get(y, {}).keys()
+                assert any(rows[x][k] >= len(sets[y]) and rows[y][k] >= len(sets[x]) for k in both)
+    assert close > 50 and lesser
+    plain = np.arange(46)
+    found = op.rare_shingles(np.zeros(46, dtype=np.int64), plain, plain, np.full(46, 2), width, 0.8, sized=True)
+    assert len(found[0]) == 10 and (found[5] == width).sum() == 6
+
+
+def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
+    """Eighty texts that each changed some words of one: before, windows without a source met most others."""
+    rng = random.Random(15)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    docs = []
+    for k in range(80):
+        words = list(text)
+        for _ in range(8):
+            words[rng.randrange(300)] = f"e{rng.randrange(3)}"
+        docs.append((k, " ".join(words)))
+    pairs, kept = [], op.written
+
+    def counted(frame):
+        back = kept(frame)
+        if back.columns == ["doc_id", "other_id"]:
+            pairs.append(back.count())
+        return back
+
+    monkeypatch.setattr(op, "written", counted)
+    got = op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and all(r.repeats for r in got)
+    assert sum(pairs) < 80 * 79 / 4
