@@ -23,29 +23,41 @@ LABELS = ("H", "D", "A")
 
 def fit_platt(rows: DataFrame, score: Column, label: Column, weight: Column | None = None, rounds: int = 12) -> tuple[float, float]:
     """(slope, intercept) of a one-dimensional logistic by Newton steps; each step is one aggregate of five sums."""
-    w = F.lit(1.0) if weight is None else weight
-    data = rows.select(score.alias("x"), label.cast("double").alias("y"), w.alias("w")).persist()
-    a, b = 1.0, 0.0
+    return fit_platts(rows, {"": (score, label)}, weight, rounds)[""]
+
+
+def fit_platts(rows: DataFrame, pairs: dict[str, tuple[Column, Column]], weight: Column | None = None, rounds: int = 12) -> dict[str, tuple[float, float]]:
+    """The logistics of several (score, label), by name: a step of all that still move is one aggregate."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    columns = [c for k, (x, y) in enumerate(pairs.values()) for c in (x.alias(f"x{k}"), y.cast("double").alias(f"y{k}"))]
+    data = rows.select(*columns, w.alias("w")).persist()
+    found, moving = {k: (1.0, 0.0) for k in range(len(pairs))}, set(range(len(pairs)))
+
+    def sums(k: int) -> Column:
+        (a, b), x = found[k], F.col(f"x{k}")
+        p = sigmoid(F.lit(a) * x + F.lit(b))
+        g, h = F.col("w") * (p - F.col(f"y{k}")), F.col("w") * p * (1 - p)
+        return F.struct(F.sum(g * x).alias("gx"), F.sum(g).alias("g"), F.sum(h * x * x).alias("hxx"), F.sum(h * x).alias("hx"), F.sum(h).alias("h")).alias(f"s{k}")
+
     try:
         for _ in range(rounds):
-            p = sigmoid(F.lit(a) * F.col("x") + F.lit(b))
-            g, h = F.col("w") * (p - F.col("y")), F.col("w") * p * (1 - p)
-            s = data.agg(
-                F.sum(g * F.col("x")).alias("gx"), F.sum(g).alias("g"), F.sum(h * F.col("x") * F.col("x")).alias("hxx"), F.sum(h * F.col("x")).alias("hx"), F.sum(h).alias("h")
-            ).first()
-            if s.h is None:
-                break
-            hxx, hh = s.hxx + 1e-9, s.h + 1e-9
-            det = hxx * hh - s.hx * s.hx
-            if det <= 0:
-                break
-            da, db = (hh * s.gx - s.hx * s.g) / det, (hxx * s.g - s.hx * s.gx) / det
-            a, b = a - da, b - db
-            if max(abs(da), abs(db)) < 1e-10:
+            if not moving:
                 break
+            row = data.agg(*(sums(k) for k in sorted(moving))).first()
+            for k in sorted(moving):
+                s = row[f"s{k}"]
+                hxx, hh = (0.0, 0.0) if s.h is None else (s.hxx + 1e-9, s.h + 1e-9)
+                det = hxx * hh - s.hx * s.hx if hh else 0.0
+                if det <= 0:
+                    moving.discard(k)
+                    continue
+                da, db = (hh * s.gx - s.hx * s.g) / det, (hxx * s.g - s.hx * s.gx) / det
+                found[k] = found[k][0] - da, found[k][1] - db
+                if max(abs(da), abs(db)) < 1e-10:
+                    moving.discard(k)
     finally:
         data.unpersist()
-    return a, b
+    return dict(zip(pairs, found.values(), strict=True))
 
 
 def platt_per_class(train: DataFrame, rows: DataFrame, p: dict[str, str], label: str = "y_true") -> DataFrame:
@@ -118,10 +130,13 @@ def category_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 
 class Calibrator:
-    """The protocol: fit(train) learns, transform(rows) adds cal_<class> columns that sum to one. This one changes nothing."""
+    """The protocol: fit(train) learns, transform(rows) adds cal_<class> columns that sum to one. This one changes nothing.
 
-    def __init__(self, p: dict[str, str], label: str = "y_true"):
-        self.p, self.label = p, label
+    With `weight`, a row of train stands for so many, as after counting() of equal ones.
+    """
+
+    def __init__(self, p: dict[str, str], label: str = "y_true", weight: str | None = None):
+        self.p, self.label, self.weight = p, label, weight
 
     def fit(self, train: DataFrame) -> Calibrator:
         return self
@@ -140,7 +155,8 @@ class PlattCalibrator(Calibrator):
     """A logistic curve of each class's logit, renormalised."""
 
     def fit(self, train: DataFrame) -> Calibrator:
-        self.curves = {v: fit_platt(train, logit(F.col(c)), F.col(self.label) == v) for v, c in self.p.items()}
+        pairs = {v: (logit(F.col(c)), F.col(self.label) == v) for v, c in self.p.items()}
+        self.curves = fit_platts(train, pairs, F.col(self.weight) if self.weight else None)
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -151,10 +167,15 @@ class IsotonicCalibrator(Calibrator):
     """A monotone step function of each class's probability, held to [1e-6, 1 - 1e-6] and renormalised."""
 
     def fit(self, train: DataFrame) -> Calibrator:
-        labelled = {v: train.withColumn("__y", (F.col(self.label) == v).cast("double")) for v in self.p}
-        self.models = {v: IsotonicRegression(featuresCol=c, labelCol="__y", predictionCol=f"__{v}").fit(labelled[v]) for v, c in self.p.items()}
+        self.models = {v: IsotonicRegression(featuresCol=c, labelCol="__y", weightCol="__w", predictionCol=f"__{v}").fit(self._places(train, v)) for v, c in self.p.items()}
         return self
 
+    def _places(self, train: DataFrame, v: str) -> DataFrame:
+        """One row for each value of a probability: the share of the class there and its weight. A fit keeps equal values in one task."""
+        w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        y = (F.col(self.label) == v).cast("double")
+        return train.groupBy(self.p[v]).agg((F.sum(w * y) / F.sum(w)).alias("__y"), F.sum(w).alias("__w"))
+
     def transform(self, rows: DataFrame) -> DataFrame:
         out = rows
         for model in self.models.values():
@@ -166,8 +187,8 @@ class IsotonicCalibrator(Calibrator):
 class TemperatureCalibrator(Calibrator):
     """One temperature for all classes: that of least log loss on train among the given ones, the first of equal ones."""
 
-    def __init__(self, p: dict[str, str], label: str = "y_true", settings: tuple[float, ...] = tuple(k / 20 for k in range(10, 41))):
-        super().__init__(p, label)
+    def __init__(self, p: dict[str, str], label: str = "y_true", settings: tuple[float, ...] = tuple(k / 20 for k in range(10, 41)), weight: str | None = None):
+        super().__init__(p, label, weight)
         self.settings = settings
 
     def _scaled(self, t: Column | float) -> dict[str, Column]:
@@ -181,13 +202,18 @@ class TemperatureCalibrator(Calibrator):
                 expr = F.when(F.col(self.label) == v, term) if expr is None else expr.when(F.col(self.label) == v, term)
             return expr
 
-        self.setting = searched(train, loss, list(self.settings), []).first()["setting"]
+        self.setting = searched(train, loss, list(self.settings), [], self.weight).first()["setting"]
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
         return self._normalised(rows, self._scaled(self.setting))
 
 
+def counting(rows: DataFrame, columns: list[str], weight: str = "weight") -> DataFrame:
+    """Equal rows once, with their number."""
+    return rows.groupBy(*columns).agg(F.count("*").alias(weight))
+
+
 CALIBRATORS = {"uncalibrated": Calibrator, "platt": PlattCalibrator, "isotonic": IsotonicCalibrator, "temperature": TemperatureCalibrator}
 
 
@@ -206,10 +232,12 @@ def split_search(splits: list[tuple], settings: list[float], fit_predict: Callab
     return curve.crossJoin(F.broadcast(best)).select("setting", "splits", "mean_loss", (F.col("setting") == F.col("__best")).alias("best"))
 
 
-def searched(rows: DataFrame, loss, settings: list[float], groups: list[str]) -> DataFrame:
+def searched(rows: DataFrame, loss, settings: list[float], groups: list[str], weight: str | None = None) -> DataFrame:
     """The setting of least mean loss per group; loss(setting column) gives each row's loss. The first wins ties."""
     tried = rows.withColumn("setting", F.explode(F.array(*map(F.lit, settings))))
-    curve = tried.groupBy(*groups, "setting").agg(F.avg(loss(F.col("setting"))).alias("loss"))
+    each = loss(F.col("setting"))
+    mean = F.sum(each * F.col(weight)) / F.sum(F.when(each.isNotNull(), F.col(weight))) if weight else F.avg(each)
+    curve = tried.groupBy(*groups, "setting").agg(mean.alias("loss"))
     return curve.groupBy(*groups).agg(F.min_by("setting", F.struct(F.round("loss", 12), "setting")).alias("setting"), F.min("loss").alias("loss"))
 
 

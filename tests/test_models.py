@@ -193,3 +193,19 @@ def test_temperature_is_that_of_least_loss(spark):
         return -np.log((e / e.sum(axis=1, keepdims=True))[np.arange(len(at)), at]).mean()
 
     assert tool.setting == min(tool.settings, key=lambda t: (round(loss(t), 10), t))
+
+
+def test_counted_rows_calibrate_as_the_rows_do(spark, monkeypatch):
+    """Fits of equal rows by weight; an isotonic fit gets one row for each value, where it got them all before."""
+    rows = spark.range(3000).selectExpr(
+        "element_at(array('H', 'D', 'A'), cast(1 + abs(hash(id)) % 3 as int)) as y_true", "(1 + id % 7) as a", "(1 + id % 5) as b", "(1 + id % 6) as c"
+    ).selectExpr("y_true", "a / (a + b + c) as p_home", "b / (a + b + c) as p_draw", "c / (a + b + c) as p_away")
+    columns = list(CLASSES.values())
+    counted = cal.counting(rows, ["y_true", *columns])
+    assert counted.count() < 700 and counted.agg(F.sum("weight")).first()[0] == 3000
+    fits, kept = [], cal.IsotonicRegression.fit
+    monkeypatch.setattr(cal.IsotonicRegression, "fit", lambda self, data: (fits.append((self.getFeaturesCol(), data.count())), kept(self, data))[1])
+    for kind in cal.CALIBRATORS.values():
+        out = [kind(CLASSES, **k).fit(t).transform(rows.distinct()).orderBy("y_true", *columns).select("cal_H", "cal_D", "cal_A").collect() for k, t in (({}, rows), ({"weight": "weight"}, counted))]
+        assert np.allclose(*out, atol=1e-9)
+    assert len(fits) == 6 and all(n == rows.select(c).distinct().count() for c, n in fits)
