@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,42 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """Write df in the shared folder as a table in buckets of a column: joins by it move the other side alone."""
+    spark = df.sparkSession
+    name = f"matchweave_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(parts, column).write.format("parquet").option("path", path).bucketBy(parts, column).sortBy(column).saveAsTable(name)
+    back = spark.table(name)
+    back._matchweave_path, back._matchweave_table = path, name
+    return back
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that written() returned."""
+    """Delete the files behind a frame that written() or bucketed() returned."""
     spark = df.sparkSession
+    if hasattr(df, "_matchweave_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df._matchweave_table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._matchweave_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freeing_shuffles(build):
+    """For build(df, ...): shuffle files go as each of its writes ends, not when the driver happens to collect garbage."""
+
+    @wraps(build)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key)
+        conf.set(key, "true")
+        try:
+            return build(df, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def by_bytes(batches, column: str, limit: int = 4 << 20):
     """Arrow batches cut so that a string column holds about limit bytes in each; a longer row stands alone."""
     for batch in batches:

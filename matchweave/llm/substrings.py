@@ -7,14 +7,18 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, discard, written
+from matchweave.llm.common import bucketed, connected_components, discard, freeing_shuffles, written
 
 #: Odd 64-bit multipliers, one per hash function, drawn once from a seeded generator.
 _MULTIPLIERS = np.random.default_rng(42).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: What separates words, as in a class of a regular expression.
+_BLANK = r"\x20\x09-\x0D"
+
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of every word."""
@@ -472,6 +476,7 @@ def link_classes(edges: DataFrame) -> DataFrame:
     return inner.unionByName(upper.join(near.select("node"), "node", "left_anti"))
 
 
+@freeing_shuffles
 def repeated_passages(
     docs: DataFrame, min_words: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = 6, needed: int = 3, most: int = 4096
 ) -> DataFrame:
@@ -501,9 +506,13 @@ def repeated_passages(
     spark, width = docs.sparkSession, min_words - shingle + 1
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = given.where("doc_id is not null and text is not null")
-    keyed = usable.select("doc_id", F.md5("text").alias("digest"))
-    several = written(keyed.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"))
-    one_each = usable if several.isEmpty() else (
+    # Only so many words are looked at, however long the text.
+    long_enough = F.col("text").rlike(rf"^[{_BLANK}]*+(?:[^{_BLANK}]++[{_BLANK}]++){{{min_words - 1}}}[^{_BLANK}]")
+    named = lambda texts: texts.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")).distinct()
+    units = written(named(usable))
+    several = written(units.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"))
+    alike_ids = not several.isEmpty()
+    one_each = usable if not alike_ids else (
         usable.join(several, "doc_id", "left_anti").unionAll(
             usable.join(several, "doc_id", "left_semi")
             .groupBy("doc_id")
@@ -512,8 +521,8 @@ def repeated_passages(
         )
     )
     none = F.array().cast("array<long>")
-    long_enough = F.size(F.split(F.trim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")) >= min_words
-    units = written(one_each.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")).distinct())
+    if alike_ids:
+        units = written(named(one_each))
     firsts = units.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = written(units.join(firsts, "digest").where("doc_id != rep").select("doc_id", F.col("rep").alias("other_id"), "long_enough"))
 
@@ -573,7 +582,8 @@ def repeated_passages(
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long"))
     spans_of = lambda rows: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    body = written(source.join(spans_of(starts), "doc_id").select("doc_id", "text", "spans"))
+    # Texts are dealt by document once; every later join by document finds them where they lie.
+    body = bucketed(source.join(spans_of(starts), "doc_id").select("doc_id", "text", "spans"), "doc_id", parts)
     discard(starts)
 
     def covered(hashes, runs, reach: int):
@@ -593,8 +603,13 @@ def repeated_passages(
                 columns = [key.view(np.int64), np.full(len(at), doc), ((more >> np.uint64(33) << np.uint64(32)) | at.astype(np.uint64)).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "tag"])
 
+    def held_before(batches):
+        """The rows of first_holders whose content an earlier document has; the others are what is left of the spans."""
+        for batch in first_holders(batches):
+            yield batch.filter(pc.not_equal(batch.column("first"), batch.column("doc_id")))
+
     def same_runs(doc, at, first):
-        """Runs of starts whose contents come one after the other in one first document, or in none before."""
+        """Runs of starts whose contents come one after the other in one first document."""
         place, there = at >> 32, at & 0xFFFFFFFF
         new = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
         cut = np.flatnonzero(np.concatenate([[True], new, [True]]))
@@ -602,25 +617,25 @@ def repeated_passages(
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], place[a], place[b], first[a], there[a])], ["doc_id", "a", "b", "other_id", "there"])
 
     by_content = body.mapInArrow(contents, "key long, doc_id long, tag long").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "tag")
-    holders = by_content.mapInArrow(first_holders, "doc_id long, at long, first long").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "at")
+    holders = by_content.mapInArrow(held_before, "doc_id long, at long, first long").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "at")
     runs = written(holders.mapInArrow(lambda batches: by_document(batches, 3, same_runs), "doc_id long, a long, b long, other_id long, there long"))
     # What an earlier document has word for word has its source; the rest is compared.
     place = F.struct(F.col("a").alias("start"), (F.col("b") + min_words).alias("stop"), "there")
-    exact = written(runs.where("other_id != doc_id").groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(place)).alias("found")))
-    fresh = spans_of(runs.where("other_id = doc_id"))
-    body, supported = written(body.select("doc_id", "text").join(fresh, "doc_id")), body
-    discard(supported)
-    discard(runs)
+    exact = written(runs.groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(place)).alias("found")))
+    fresh = body.join(spans_of(runs).withColumnRenamed("spans", "held"), "doc_id", "left")
 
     #: A run's length lies below this bit, which tells that its first shingles start wanted windows.
     begins = 1 << 31
 
     def shingles(batches):
         for batch in batches:
-            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
-                hashes, spans = text_shingles(text.as_py(), shingle), runs.as_py()
-                at = np.flatnonzero(covered(hashes, spans, width))
-                kept, wanted = hashes[at].view(np.int64), covered(hashes, spans, 1)[at]
+            for doc, text, runs, held in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("text", "spans", "held")), strict=True):
+                hashes = text_shingles(text.as_py(), shingle)
+                wanted = covered(hashes, runs.as_py(), 1) & ~covered(hashes, held.as_py() or [], 1)
+                at = np.flatnonzero(covered(hashes, [{"a": a, "b": b} for a, b in runs_of(wanted)], width))
+                if not len(at):
+                    continue
+                kept, wanted = hashes[at].view(np.int64), wanted[at]
                 first = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (at[1:] != at[:-1] + 1) | (wanted[1:] != wanted[:-1])]))
                 size = np.diff(np.append(first, len(at)))
                 columns = [kept[first], np.full(len(first), doc), at[first] << 32 | size | np.where(wanted[first], begins, 0)]
@@ -630,7 +645,7 @@ def repeated_passages(
         for key, doc, run, n in counted(batches, most):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, key, n)], ["doc_id", "run", "key", "n"])
 
-    spread = body.mapInArrow(shingles, "key long, doc_id long, run long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    spread = fresh.mapInArrow(shingles, "key long, doc_id long, run long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
     placed = spread.mapInArrow(numbered, "doc_id long, run long, key long, n long")
 
     def rare(doc, run, key, n):
@@ -642,17 +657,19 @@ def repeated_passages(
 
     sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "run")
     windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long, size long, reach long"))
-    several_docs = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.min("size").alias("least")).where("x < y").select("key", "least")
+    rows_of = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.min("size").alias("least"), F.count("*").alias("most_members"))
+    several_docs = rows_of.where("x < y").select("key", "least", "most_members")
     grouped = (
         windows.join(several_docs, "key")
         .where("reach >= least")
-        .groupBy("key", "doc_id")
+        .groupBy("key", "doc_id", "most_members")
         .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     )
     nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    whole = written(grouped.select("key", "doc_id", "runs", nth.alias("nth")))
+    whole = written(grouped.select("key", "doc_id", "runs", nth.alias("nth"), "most_members"))
     discard(windows)
-    body = body.select("doc_id", "text")
+    discard(runs)
+    texts = body.select("doc_id", "text")
 
     def verify(batches):
         other_id = side = None
@@ -676,8 +693,8 @@ def repeated_passages(
         pairs = pairs.select("doc_id", F.col("head_doc_id").alias("other_id")).distinct()
         pairs = written(pairs if compared is None else pairs.join(compared, ["doc_id", "other_id"], "left_anti"))
         compared = pairs if compared is None else compared.unionAll(pairs)
-        others = body.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).join(pairs.select("other_id"), "other_id", "left_semi")
-        joined = pairs.join(body, "doc_id").join(others, "other_id")
+        others = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).join(pairs.select("other_id"), "other_id", "left_semi")
+        joined = pairs.join(texts, "doc_id").join(others, "other_id")
         seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, found array<struct<start:long,stop:long,there:long>>"))
         passages = passages.unionAll(seen)
 
@@ -692,7 +709,8 @@ def repeated_passages(
         compare(members, first, last, F.col("label"))
         cover = passages.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("cover"))
         held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))
-        flagged = members.drop("label").join(cover, "doc_id", "left").select("key", "doc_id", "runs", "nth", (F.col("cover").isNull() | ~F.forall("runs", held)).alias("label"))
+        due = members.where(F.col("most_members") > last + 1).drop("label")
+        flagged = due.join(cover, "doc_id", "left").select("key", "doc_id", "runs", "nth", "most_members", (F.col("cover").isNull() | ~F.forall("runs", held)).alias("label"))
         flagged = written(flagged)
         members = rest(flagged, last, F.max(F.when(F.col("nth") > last + 1, F.col("label"))))
         discard(flagged)
@@ -706,6 +724,7 @@ def repeated_passages(
         compare(members, first, last, F.col("label") != F.col("head_label"))
         members = rest(members, last, F.min("label") < F.max("label"))
         first, last = last + 1, 16 * last
+    discard(body)
     linked = passages.select("doc_id", "other_id")
     groups = link_classes(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")))
     placed_in = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.col("other_id").alias("other_id"), x["there"].alias("there")))

@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 
+from matchweave.llm import common
 from matchweave.llm import substrings as op
 
 
@@ -320,3 +322,48 @@ def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
     got = op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0} and all(r.repeats for r in got)
     assert sum(pairs) < 80 * 79 / 4
+
+
+def test_texts_in_buckets_stay_where_they_lie(spark):
+    texts = spark.range(500).selectExpr("id AS doc_id", "repeat('w ', 40) AS text")
+    table = common.bucketed(texts, "doc_id", 4)
+    pairs = spark.range(300).selectExpr("id AS doc_id", "id % 7 AS other_id").hint("merge")
+    one = pairs.join(table, "doc_id")
+    both = one.hint("merge").join(table.selectExpr("doc_id AS other_id", "text AS other_text"), "other_id")
+    for frame, moves in ((one, 1), (both, 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == moves
+    assert both.count() == 300
+    name = table._matchweave_table
+    common.discard(table)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_shuffle_files_go_while_the_job_runs(spark):
+    """Before, they stayed until the driver collected its garbage."""
+    rng = random.Random(16)
+    passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    docs = spark.createDataFrame([(k, f"{passage} {k}") for k in range(20)], "doc_id long, text string")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, given = files(), spark.conf.get(key)
+    op.repeated_passages(docs)
+    assert spark.conf.get(key) == given
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_a_text_is_long_enough_from_fifty_words_on(spark):
+    blanks = " \t\n\x0b\x0c\r"
+    docs = []
+    for k in range(40):
+        words = [f"w{k}x{j} y" for j in range(49 + k % 2)]
+        text = blanks[k % 6] * (k % 3) + "".join(w + blanks[j % 6] * (1 + j % 2) for j, w in enumerate(words))
+        docs += [(2 * k, text.rstrip() if k % 5 else text), (2 * k + 1, text.rstrip() if k % 5 else text)]
+    got = {r.doc_id: r for r in op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r.repeats} == {i for i, text in docs if len(text.encode().split()) >= 50}
