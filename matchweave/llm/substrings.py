@@ -185,7 +185,7 @@ def first_holders(batches):
 
 
 def counted(batches, most: int):
-    """(key, doc_id, run, n) for batches of (key, doc_id, run) sorted by key and document, in batches.
+    """(key, doc_id, run, n) for batches of (key, doc_id, run) sorted by key, in batches.
 
     n is the number of a key's rows, `most` where there are at least as many, and 0 where they are of
     one document. Rows wait only until that is known, or as long as they are of one document.
@@ -205,7 +205,7 @@ def counted(batches, most: int):
         key, doc, _ = cut
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        mixed = doc[first] != doc[first + size - 1]
+        mixed = np.logical_or.reduceat(doc != np.repeat(doc[first], size), first)
         full = mixed & (size >= most)
         if key[0] == going:
             full[0] = True
@@ -506,8 +506,9 @@ def repeated_passages(
     spark, width = docs.sparkSession, min_words - shingle + 1
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = given.where("doc_id is not null and text is not null")
-    # Only so many words are looked at, however long the text.
-    long_enough = F.col("text").rlike(rf"^[{_BLANK}]*+(?:[^{_BLANK}]++[{_BLANK}]++){{{min_words - 1}}}[^{_BLANK}]")
+    # Only so many words are looked at, however long the text; mostly its beginning holds them.
+    has_words = lambda text: text.rlike(rf"^[{_BLANK}]*+(?:[^{_BLANK}]++[{_BLANK}]++){{{min_words - 1}}}[^{_BLANK}]")
+    long_enough = has_words(F.substring("text", 1, 2000)) | ((F.octet_length("text") > 2000) & has_words(F.col("text")))
     named = lambda texts: texts.select("doc_id", F.md5("text").alias("digest"), long_enough.alias("long_enough")).distinct()
     units = written(named(usable))
     several = written(units.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"))
@@ -533,7 +534,7 @@ def repeated_passages(
                 ids.append(doc)
                 texts.append(text.as_py())
                 size += len(texts[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield listed(ids, texts)
                     ids, texts, size = [], [], 0
             if texts:
@@ -558,7 +559,8 @@ def repeated_passages(
             at = np.flatnonzero(n > 0)
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(run[at])], ["doc_id", "run"])
 
-    dealt = emitted.repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    # Sorts by one number are radix sorts; what else must be in order is put so in the tasks' batches.
+    dealt = emitted.repartition(parts, "key").sortWithinPartitions("key")
     met = dealt.mapInArrow(shared, "doc_id long, run long")
 
     def by_document(batches, columns: int, found):
@@ -577,13 +579,28 @@ def repeated_passages(
             yield found(*kept)
 
     def spans(doc, run):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in supported_starts(doc, run >> 32, run & 0xFFFFFFFF, needed)], ["doc_id", "a", "b"])
+        """Starts that lie in windows of enough functions and, marked as whole, those that lie in windows of all."""
+        some, every = (supported_starts(doc, run >> 32, run & 0xFFFFFFFF, n) for n in (needed, functions))
+        columns = [np.concatenate(x) for x in zip(some, every, strict=True)]
+        whole = np.repeat([False, True], [len(some[0]), len(every[0])])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, whole)], ["doc_id", "a", "b", "whole"])
 
     by_doc = met.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-    starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long"))
-    spans_of = lambda rows: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    # Texts are dealt by document once; every later join by document finds them where they lie.
-    body = bucketed(source.join(spans_of(starts), "doc_id").select("doc_id", "text", "spans"), "doc_id", parts)
+    starts = written(by_doc.mapInArrow(lambda batches: by_document(batches, 2, spans), "doc_id long, a long, b long, whole boolean"))
+    gathered = lambda kept: F.array_sort(F.collect_list(F.when(kept, F.struct("a", "b"))))
+    spans_of = starts.groupBy("doc_id").agg(gathered(~F.col("whole")).alias("spans"), gathered(F.col("whole")).alias("equals"))
+
+    def hashed(batches):
+        for batch in batches:
+            hashes = [text_shingles(text.as_py(), shingle).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(hashes, pa.binary()), batch.column("spans"), batch.column("equals")], ["doc_id", "hashes", "spans", "equals"]
+            )
+
+    runs_type = "array<struct<a:long,b:long>>"
+    shingled = source.join(spans_of, "doc_id").select("doc_id", "text", "spans", "equals")
+    # Shingles are dealt by document once; every later join by document finds them where they lie.
+    body = bucketed(shingled.mapInArrow(hashed, f"doc_id long, hashes binary, spans {runs_type}, equals {runs_type}"), "doc_id", parts)
     discard(starts)
 
     def covered(hashes, runs, reach: int):
@@ -594,10 +611,16 @@ def repeated_passages(
             inside[r["b"] + reach] -= 1
         return np.cumsum(inside)[:-1] > 0
 
+    def shingles_in(value) -> np.ndarray:
+        return np.frombuffer(value, dtype=np.uint64)
+
     def contents(batches):
+        # A window that another document has word for word has its minima too, under every function.
         for batch in batches:
-            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
-                hashes = text_shingles(text.as_py(), shingle)
+            for doc, value, runs in zip(batch.column("doc_id").to_pylist(), batch.column("hashes"), batch.column("equals"), strict=True):
+                if not len(runs):
+                    continue
+                hashes = shingles_in(value.as_buffer())
                 at = np.flatnonzero(covered(hashes, runs.as_py(), 1))
                 key, more = (window_hashes(hashes, width, k)[at] for k in (20, 21))
                 columns = [key.view(np.int64), np.full(len(at), doc), ((more >> np.uint64(33) << np.uint64(32)) | at.astype(np.uint64)).view(np.int64)]
@@ -610,27 +633,29 @@ def repeated_passages(
 
     def same_runs(doc, at, first):
         """Runs of starts whose contents come one after the other in one first document."""
+        order = np.lexsort((at, doc))
+        doc, at, first = doc[order], at[order], first[order]
         place, there = at >> 32, at & 0xFFFFFFFF
         new = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
         cut = np.flatnonzero(np.concatenate([[True], new, [True]]))
         a, b = cut[:-1], cut[1:] - 1
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], place[a], place[b], first[a], there[a])], ["doc_id", "a", "b", "other_id", "there"])
 
-    by_content = body.mapInArrow(contents, "key long, doc_id long, tag long").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "tag")
-    holders = by_content.mapInArrow(held_before, "doc_id long, at long, first long").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "at")
+    by_content = body.select("doc_id", "hashes", "equals").mapInArrow(contents, "key long, doc_id long, tag long").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "tag")
+    holders = by_content.mapInArrow(held_before, "doc_id long, at long, first long").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     runs = written(holders.mapInArrow(lambda batches: by_document(batches, 3, same_runs), "doc_id long, a long, b long, other_id long, there long"))
     # What an earlier document has word for word has its source; the rest is compared.
     place = F.struct(F.col("a").alias("start"), (F.col("b") + min_words).alias("stop"), "there")
     exact = written(runs.groupBy("doc_id", "other_id").agg(F.array_sort(F.collect_list(place)).alias("found")))
-    fresh = body.join(spans_of(runs).withColumnRenamed("spans", "held"), "doc_id", "left")
+    fresh = body.drop("equals").join(runs.groupBy("doc_id").agg(gathered(F.lit(True)).alias("held")), "doc_id", "left")
 
     #: A run's length lies below this bit, which tells that its first shingles start wanted windows.
     begins = 1 << 31
 
     def shingles(batches):
         for batch in batches:
-            for doc, text, runs, held in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("text", "spans", "held")), strict=True):
-                hashes = text_shingles(text.as_py(), shingle)
+            for doc, value, runs, held in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("hashes", "spans", "held")), strict=True):
+                hashes = shingles_in(value.as_buffer())
                 wanted = covered(hashes, runs.as_py(), 1) & ~covered(hashes, held.as_py() or [], 1)
                 at = np.flatnonzero(covered(hashes, [{"a": a, "b": b} for a, b in runs_of(wanted)], width))
                 if not len(at):
@@ -645,17 +670,19 @@ def repeated_passages(
         for key, doc, run, n in counted(batches, most):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, run, key, n)], ["doc_id", "run", "key", "n"])
 
-    spread = fresh.mapInArrow(shingles, "key long, doc_id long, run long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    spread = fresh.mapInArrow(shingles, "key long, doc_id long, run long").repartition(parts, "key").sortWithinPartitions("key")
     placed = spread.mapInArrow(numbered, "doc_id long, run long, key long, n long")
 
     def rare(doc, run, key, n):
+        order = np.lexsort((run, doc))
+        doc, run, key, n = doc[order], run[order], key[order], n[order]
         pos, size, wanted = run >> 32, run & (begins - 1), run & begins > 0
         at = np.repeat(np.arange(len(run)), size)
         pos = pos[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         found = rare_shingles(doc[at], pos, key[at], n[at], width, similarity, wanted[at], sized=True)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "doc_id", "a", "b", "size", "reach"])
 
-    sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "run")
+    sorted_rows = placed.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     windows = written(sorted_rows.mapInArrow(lambda batches: by_document(batches, 4, rare), "key long, doc_id long, a long, b long, size long, reach long"))
     rows_of = windows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.min("size").alias("least"), F.count("*").alias("most_members"))
     several_docs = rows_of.where("x < y").select("key", "least", "most_members")
@@ -669,7 +696,7 @@ def repeated_passages(
     whole = written(grouped.select("key", "doc_id", "runs", nth.alias("nth"), "most_members"))
     discard(windows)
     discard(runs)
-    texts = body.select("doc_id", "text")
+    sides = body.select("doc_id", "hashes")
 
     def verify(batches):
         other_id = side = None
@@ -677,56 +704,60 @@ def repeated_passages(
             out = []
             for r in pdf.itertuples():
                 if r.other_id != other_id:
-                    other_id, side = r.other_id, prepared(text_shingles(r.other_text, shingle), width)
-                found = alike_passages(text_shingles(r.text, shingle), side, width, similarity)
+                    other_id, side = r.other_id, prepared(shingles_in(r.other_hashes), width)
+                found = alike_passages(shingles_in(r.hashes), side, width, similarity)
                 if found:
                     out.append((r.doc_id, r.other_id, [{"start": s, "stop": e + shingle - 1, "there": t} for s, e, t in sorted(found)]))
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "found"])
 
     compared, passages = None, exact
 
-    def compare(members: DataFrame, first: int, last: int, wanted) -> None:
-        """Verify the wanted pairs of members with the first to last member of their key, once each."""
+    def compare(members: DataFrame, first: int, last: int, wanted) -> DataFrame:
+        """Verify the wanted pairs of members with the first to last member of their key, once each; what was found."""
         nonlocal compared, passages
         heads = members.where(F.col("nth").between(first, last)).select("key", *(F.col(c).alias(f"head_{c}") for c in ("doc_id", "nth", "label")))
         pairs = members.where(F.col("nth") > first).join(heads, "key").where((F.col("nth") > F.col("head_nth")) & wanted)
         pairs = pairs.select("doc_id", F.col("head_doc_id").alias("other_id")).distinct()
         pairs = written(pairs if compared is None else pairs.join(compared, ["doc_id", "other_id"], "left_anti"))
         compared = pairs if compared is None else compared.unionAll(pairs)
-        others = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).join(pairs.select("other_id"), "other_id", "left_semi")
-        joined = pairs.join(texts, "doc_id").join(others, "other_id")
+        # A task's pairs are small and looked up, so that only the documents they name are sorted.
+        others = sides.select(F.col("doc_id").alias("other_id"), F.col("hashes").alias("other_hashes")).join(
+            pairs.select("other_id").distinct().hint("shuffle_hash"), "other_id", "left_semi"
+        )
+        joined = sides.join(pairs.hint("shuffle_hash"), "doc_id").join(others, "other_id")
         seen = written(joined.mapInPandas(verify, "doc_id long, other_id long, found array<struct<start:long,stop:long,there:long>>"))
         passages = passages.unionAll(seen)
+        return seen
 
     def rest(members: DataFrame, last: int, keep) -> DataFrame:
         """Members of the keys in which a comparison is still due after the first `last` members were heads."""
         ahead = members.groupBy("key").agg(F.max("nth").alias("n"), keep.alias("keep")).where((F.col("n") > last + 1) & F.col("keep"))
         return written(members.join(ahead.select("key"), "key", "left_semi"))
 
-    # First the members whose passages have no source yet.
+    # First the members whose passages have no source yet: of a member's runs each round leaves those that it found none for.
     members, first, last = whole.withColumn("label", F.lit(True)), 1, 1
     while not members.isEmpty():
-        compare(members, first, last, F.col("label"))
-        cover = passages.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("cover"))
+        seen = compare(members, first, last, F.col("label"))
+        cover = (exact.unionAll(seen) if last == 1 else seen).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("cover"))
         held = lambda run: F.exists("cover", lambda p: (p["start"] <= run["a"]) & (run["b"] + min_words <= p["stop"]))
-        due = members.where(F.col("most_members") > last + 1).drop("label")
-        flagged = due.join(cover, "doc_id", "left").select("key", "doc_id", "runs", "nth", "most_members", (F.col("cover").isNull() | ~F.forall("runs", held)).alias("label"))
-        flagged = written(flagged)
+        left = F.when(F.col("cover").isNull(), F.col("runs")).otherwise(F.filter("runs", lambda run: ~held(run)))
+        due = members.where(F.col("most_members") > last + 1).join(cover, "doc_id", "left").select("key", "doc_id", left.alias("runs"), "nth", "most_members")
+        flagged = written(due.withColumn("label", F.size("runs") > 0))
         members = rest(flagged, last, F.max(F.when(F.col("nth") > last + 1, F.col("label"))))
         discard(flagged)
         first, last = last + 1, 4 * last
     # Then the members of one key that are still in different classes.
-    groups = written(link_classes(passages.select("doc_id", "other_id")))
+    links = written(passages.select("other_id", "doc_id"))
+    groups = written(link_classes(links))
     classed = whole.drop("runs").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members, first, last = classed.select("key", "doc_id", "nth", F.coalesce("component", "doc_id").alias("label")), 1, 1
     members = rest(members, 0, F.min("label") < F.max("label"))
     while not members.isEmpty():
-        compare(members, first, last, F.col("label") != F.col("head_label"))
+        links = links.unionAll(compare(members, first, last, F.col("label") != F.col("head_label")).select("other_id", "doc_id"))
         members = rest(members, last, F.min("label") < F.max("label"))
         first, last = last + 1, 16 * last
     discard(body)
-    linked = passages.select("doc_id", "other_id")
-    groups = link_classes(linked.unionAll(copies.where("long_enough").select("doc_id", "other_id")))
+    groups = link_classes(written(links.unionAll(copies.where("long_enough").select("other_id", "doc_id"))))
     placed_in = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.col("other_id").alias("other_id"), x["there"].alias("there")))
     listed_by = passages.groupBy("doc_id").agg(
         F.array_sort(F.flatten(F.collect_list(placed_in))).alias("p"), F.array_sort(F.collect_set("other_id")).alias("sources")

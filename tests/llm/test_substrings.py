@@ -367,3 +367,44 @@ def test_a_text_is_long_enough_from_fifty_words_on(spark):
         docs += [(2 * k, text.rstrip() if k % 5 else text), (2 * k + 1, text.rstrip() if k % 5 else text)]
     got = {r.doc_id: r for r in op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {i for i, r in got.items() if r.repeats} == {i for i, text in docs if len(text.encode().split()) >= 50}
+
+
+def test_counts_do_not_depend_on_the_order_of_a_keys_documents():
+    """Before, a key whose first and last row were of one document counted as that document's alone."""
+    rng = random.Random(17)
+    rows = sorted(((rng.randrange(12), rng.choice([7, 7, 8, 9]), k) for k in range(300)), key=lambda r: (r[0], r[2]))
+    rows += [(20, 7, 0), (20, 8, 1), (20, 7, 2), (21, 7, 0), (21, 7, 1)]
+    total = {}
+    for key, doc, _ in rows:
+        total.setdefault(key, []).append(doc)
+    for most in (2, 5, 4096):
+        want = [(*r, min(len(total[r[0]]), most) if len(set(total[r[0]])) > 1 else 0) for r in rows]
+        for size in (1, 3, 1000):
+            batches = [
+                pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], ["key", "doc_id", "run"]) for k in range(0, len(rows), size)
+            ]
+            assert [x for part in op.counted(batches, most) for x in zip(*(c.tolist() for c in part), strict=True)] == want
+
+
+def test_a_round_keeps_only_runs_without_a_source(spark, monkeypatch):
+    """Before, every round looked all runs up in all passages found so far."""
+    rng = random.Random(15)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    docs = []
+    for k in range(30):
+        words = list(text)
+        for _ in range(8):
+            words[rng.randrange(300)] = f"e{rng.randrange(3)}"
+        docs.append((k, " ".join(words)))
+    found, kept = [], op.written
+
+    def looked(frame):
+        back = kept(frame)
+        if {"runs", "label"} <= set(back.columns):
+            found.append([tuple(r) for r in back.selectExpr("label", "size(runs)").collect()])
+        return back
+
+    monkeypatch.setattr(op, "written", looked)
+    op.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = [r for some in found for r in some]
+    assert any(not label for label, _ in rows) and all(label == (size > 0) for label, size in rows)
