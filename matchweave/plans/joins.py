@@ -11,6 +11,7 @@ from matchweave.plans.base import query, r
 from matchweave.plans.history import TEAMS
 from matchweave.plans.metrics import LL, PICK_P, SCORED
 from matchweave.sources.bindings import CONTESTS, ODDS, PREDS, contests, odds, predictions
+from matchweave.sources.storage import stored
 
 
 @query(f"WITH {ODDS} SELECT p.fixture_id, o.outcome, {r('o.closing', 'closing')}, {r('p.lambda_home', 'lambda_home')} FROM preds p JOIN odds o USING (fixture_id) WHERE o.closing IS NOT NULL")
@@ -62,15 +63,23 @@ def j9_interval_join(spark, sf):
     return joins.interval_label(rows, w, "competition_id", "day").select("fixture_id", "label")
 
 
-_NEAR = f"""{SCORED}, q AS (SELECT * FROM s WHERE fixture_id % 100 = 0), pair AS (
+def _near(asked: str = "") -> str:
+    return f"""{SCORED}, q AS (SELECT * FROM s{asked}), pair AS (
  SELECT q.fixture_id AS query_id, c.fixture_id AS match_id, c.unix, q.pick, c.y_true AS outcome, round(100 * greatest(0, 1 - (0.7 * sqrt(power(q.p_home - c.p_home, 2) + power(q.p_draw - c.p_draw, 2) + power(q.p_away - c.p_away, 2))
   + 0.3 * sqrt(power(q.lambda_home - c.lambda_home, 2) + power(q.lambda_away - c.lambda_away, 2)) / 5 + CASE WHEN q.pick <> c.pick THEN 0.15 ELSE 0 END) / sqrt(2)), 1) AS similarity
  FROM q JOIN s c ON c.unix < q.unix AND c.competition_id = q.competition_id),
  near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, unix DESC, match_id) AS rank FROM pair WHERE similarity >= 60 QUALIFY rank <= 8)"""
 
 
+_NEAR = _near(" WHERE fixture_id % 100 = 0")
+
+
+def _compared(spark, sf):
+    return predictions(spark, sf).withColumns({"pick": argmax(*map(F.col, metrics.P)), "outcome": F.col("y_true")})
+
+
 def _neighbours(spark, sf):
-    rows = predictions(spark, sf).withColumns({"pick": argmax(*map(F.col, metrics.P)), "outcome": F.col("y_true")})
+    rows = _compared(spark, sf)
     return joins.nearest_past(rows, rows.where("fixture_id % 100 = 0"))
 
 
@@ -89,16 +98,24 @@ def g7_evidence(spark, sf):
 
 
 @query(
-    f"""{_NEAR}, c AS (SELECT query_id, outcome, count(*) AS k, min(rank) AS first, sum(count(*)) OVER (PARTITION BY query_id) AS n FROM near GROUP BY query_id, outcome)
+    f"""{_near()}, c AS (SELECT query_id, outcome, count(*) AS k, min(rank) AS first, sum(count(*)) OVER (PARTITION BY query_id) AS n FROM near GROUP BY query_id, outcome)
 SELECT query_id, arg_min(outcome, (-k, first)) AS mode, CAST(max(k) AS BIGINT) AS k, bool_or(k >= 2 AND k >= 0.35 * n) AS refined FROM c GROUP BY query_id"""
 )
 def g8_mode_refinement(spark, sf):
-    """The analogues' most frequent outcome, ties by first appearance."""
-    c = _neighbours(spark, sf).groupBy("query_id", "outcome").agg(F.count("*").alias("k"), F.min("rank").alias("first"))
+    """The most frequent outcome among each contest's analogues, ties by first appearance.
+
+    Contests that ask the same are searched for once; their result is joined back to each of them.
+    """
+    rows = _compared(spark, sf)
+    asked = stored(joins.asked_once(rows))
+    near = joins.nearest_past(rows, asked.where("fixture_id <=> asked_as"))
+    c = near.groupBy("query_id", "outcome").agg(F.count("*").alias("k"), F.min("rank").alias("first"))
     whole = c.groupBy("query_id").agg(
         F.min_by("outcome", F.struct(-F.col("k"), F.col("first"))).alias("mode"), F.max("k").alias("k"), F.sum("k").alias("n")
     )
-    return whole.select("query_id", "mode", "k", ((F.col("k") >= 2) & (F.col("k") >= 0.35 * F.col("n"))).alias("refined"))
+    found = whole.select("query_id", "mode", "k", ((F.col("k") >= 2) & (F.col("k") >= 0.35 * F.col("n"))).alias("refined"))
+    each = asked.where("copy = 1").select("fixture_id", "asked_as")
+    return each.join(found, each.asked_as.eqNullSafe(found.query_id)).select(F.col("fixture_id").alias("query_id"), "mode", "k", "refined")
 
 
 @query(

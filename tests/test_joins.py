@@ -1,10 +1,14 @@
 """The similarity join against all pairs, and how much a task of it holds."""
 
+from datetime import datetime
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 from matchweave.operators import joins
+from matchweave.plans import catalog
 
 
 def table(n, seed, spread=1.0):
@@ -95,3 +99,42 @@ def test_a_block_of_ties_stays_small():
     tracemalloc.stop()
     assert peak < 150e6 and len(got) == 8 * 200
     assert set(got.match_id) == set(range(49, 8000, 50)[:8]) and set(got.similarity) == {100.0}
+
+
+@pytest.mark.parametrize("kinds", [1, 6, 40])
+def test_kinds_of_rows_give_what_all_pairs_give(kinds):
+    rows = table(1200, 7)
+    names = [*joins.VECTOR, "pick"]
+    rows[names] = rows[names].iloc[np.arange(1200) % kinds].to_numpy()
+    rows = rows.astype({n: "float64" for n in joins.VECTOR})
+    show = lambda found: sorted(zip(found.query_id, found.match_id, found.similarity, found.unix, found.pick, found.outcome))
+    assert len(rows) ** 2 > joins.SMALL and kinds * 8 < len(rows)
+    singly = pd.concat([joins._block_top(rows.iloc[[n]], rows, 8, 60.0) for n in range(len(rows))])
+    assert len(singly) > 4000 and show(joins._block_top(rows, rows, 8, 60.0)) == show(singly)
+
+
+def test_every_contest_is_refined_and_equal_questions_are_asked_once(spark, tmp_path, monkeypatch):
+    """Only ids divisible by 100 had a row; repeated and missing ids keep what the SQL gives them."""
+    rng = np.random.default_rng(11)
+    keys = [*range(5), 5, 5, None, 8, None, *range(10, 400)]
+    rows = [
+        (key, int(n % 7), "F", float(rng.choice(np.arange(12)) * 1234.5 + 950), datetime(1996, 1, 1 + (n if n < 10 else int(rng.integers(0, 25)))))
+        for n, key in enumerate(keys)
+    ]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    asked = []
+
+    def watched(rows, queries, real=joins.nearest_past):
+        asked.append(queries.count())
+        return real(rows, queries)
+
+    monkeypatch.setattr(joins, "nearest_past", watched)
+    got = catalog.QUERIES["g8_mode_refinement"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+        want = con.execute(catalog.ORACLES["g8_mode_refinement"]).fetchall()
+    assert sorted(((r.query_id, r["mode"], r.k, r.refined) for r in got), key=repr) == sorted(want, key=repr)
+    ids = [r.query_id for r in got]
+    assert len(ids) > 350 and {None, 5, 11} <= set(ids) and len(ids) == len(set(ids))
+    assert asked[0] < len(rows)
